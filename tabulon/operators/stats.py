@@ -75,39 +75,49 @@ def strong_correlations(df: DataFrame, threshold: float = 0.7,
 
 
 # ---------------------------------------------------------------- M2
-def normality_pvalue(n: Column, g1: Column, g2: Column) -> Column:
-    """D'Agostino-Pearson K^2 p-value from n, population skewness g1 and
-    population excess kurtosis g2 (D'Agostino 1970; Anscombe & Glynn 1983).
-
-    Only scalar expressions, so it runs inside whole-stage codegen.
-    n < 8 or an undefined moment gives NULL.
+def with_normality_pvalue(df: DataFrame, n: str, g1: str, g2: str,
+                          out: str = "p_value") -> DataFrame:
+    """Add the D'Agostino-Pearson K^2 p-value computed from the columns ``n``
+    (count), ``g1`` (population skewness) and ``g2`` (population excess
+    kurtosis) -- D'Agostino 1970; Anscombe & Glynn 1983.
+
+    Scalar expressions only, staged as chained projections: every
+    intermediate is referenced several times, so Catalyst keeps the stages
+    apart and each value is computed once.  n < 8 or an undefined moment
+    gives NULL.
     """
-    n = n.cast("double")
-    b2 = g2 + 3.0
-    # skewness part
-    y = g1 * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
-    beta2 = (3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3)
-             / ((n - 2) * (n + 5) * (n + 7) * (n + 9)))
-    w2 = -1.0 + F.sqrt(2.0 * (beta2 - 1.0))
-    delta = 1.0 / F.sqrt(0.5 * F.log(w2))
-    alpha = F.sqrt(2.0 / (w2 - 1.0))
-    y = F.when(y == 0, F.lit(1.0)).otherwise(y)
-    ya = y / alpha
-    z1 = delta * F.log(ya + F.sqrt(ya * ya + 1.0))
-    # kurtosis part
-    e = 3.0 * (n - 1) / (n + 1)
-    var_b2 = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (b2 - e) / F.sqrt(var_b2)
-    sb = (6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9))
-          * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))))
-    a = 6.0 + 8.0 / sb * (2.0 / sb + F.sqrt(1.0 + 4.0 / (sb * sb)))
-    t1 = 1.0 - 2.0 / (9.0 * a)
-    d = 1.0 + x * F.sqrt(2.0 / (a - 4.0))
-    t2 = F.signum(d) * F.pow((1.0 - 2.0 / a) / F.abs(d), 1.0 / 3.0)
-    t2 = F.when(d == 0, F.lit(math.nan)).otherwise(t2)
-    z2 = (t1 - t2) / F.sqrt(2.0 / (9.0 * a))
-    p = F.exp(-(z1 * z1 + z2 * z2) / 2.0)
-    return F.when((n >= 8) & g1.isNotNull() & g2.isNotNull() & ~F.isnan(p), p)
+    c = F.col
+    steps = [
+        ("_n", c(n).cast("double")),
+        ("_b2", c(g2) + 3.0),
+        # skewness part
+        ("_y0", c(g1) * F.sqrt((c("_n") + 1) * (c("_n") + 3) / (6.0 * (c("_n") - 2)))),
+        ("_beta2", 3.0 * (c("_n") * c("_n") + 27 * c("_n") - 70) * (c("_n") + 1) * (c("_n") + 3)
+         / ((c("_n") - 2) * (c("_n") + 5) * (c("_n") + 7) * (c("_n") + 9))),
+        ("_w2", -1.0 + F.sqrt(2.0 * (c("_beta2") - 1.0))),
+        ("_delta", 1.0 / F.sqrt(0.5 * F.log(c("_w2")))),
+        ("_alpha", F.sqrt(2.0 / (c("_w2") - 1.0))),
+        ("_ya", F.when(c("_y0") == 0, F.lit(1.0)).otherwise(c("_y0")) / c("_alpha")),
+        ("_z1", c("_delta") * F.log(c("_ya") + F.sqrt(c("_ya") * c("_ya") + 1.0))),
+        # kurtosis part
+        ("_x", (c("_b2") - 3.0 * (c("_n") - 1) / (c("_n") + 1))
+         / F.sqrt(24.0 * c("_n") * (c("_n") - 2) * (c("_n") - 3)
+                  / ((c("_n") + 1) * (c("_n") + 1) * (c("_n") + 3) * (c("_n") + 5)))),
+        ("_sb", 6.0 * (c("_n") * c("_n") - 5 * c("_n") + 2) / ((c("_n") + 7) * (c("_n") + 9))
+         * F.sqrt(6.0 * (c("_n") + 3) * (c("_n") + 5)
+                  / (c("_n") * (c("_n") - 2) * (c("_n") - 3)))),
+        ("_a", 6.0 + 8.0 / c("_sb") * (2.0 / c("_sb") + F.sqrt(1.0 + 4.0 / (c("_sb") * c("_sb"))))),
+        ("_d", 1.0 + c("_x") * F.sqrt(2.0 / (c("_a") - 4.0))),
+        ("_t2", F.when(c("_d") == 0, F.lit(math.nan)).otherwise(
+            F.signum(c("_d")) * F.pow((1.0 - 2.0 / c("_a")) / F.abs(c("_d")), 1.0 / 3.0))),
+        ("_z2", ((1.0 - 2.0 / (9.0 * c("_a"))) - c("_t2")) / F.sqrt(2.0 / (9.0 * c("_a")))),
+        ("_p", F.exp(-(c("_z1") * c("_z1") + c("_z2") * c("_z2")) / 2.0)),
+    ]
+    for name, expr in steps:
+        df = df.withColumn(name, expr)
+    df = df.withColumn(out, F.when((c("_n") >= 8) & c(g1).isNotNull() & c(g2).isNotNull()
+                                   & ~F.isnan(c("_p")), c("_p")))
+    return df.drop(*[name for name, _ in steps])
 
 
 def distribution(df: DataFrame, cols: Sequence[str] | None = None, alpha: float = 0.05,
@@ -132,12 +142,63 @@ def distribution(df: DataFrame, cols: Sequence[str] | None = None, alpha: float
         "g1": lambda c: F.skewness(as_double(c)),
         "g2": lambda c: F.kurtosis(as_double(c)),
     })
-    med = quantile_table(df, cols, [0.5], ["median"], approx_accuracy)
-    p = normality_pvalue(F.col("n"), F.col("g1"), F.col("g2"))
-    return (m.join(med, "column", "left")
-            .select("position", "column", "mean", "median", "std", "min", "max",
-                    F.coalesce(p > alpha, F.lit(False)).alias("is_normal"),
-                    p.alias("p_value")))
+    med = {r["column"]: r["median"] for r in
+           quantile_table(df, cols, [0.5], ["median"], approx_accuracy).collect()}
+    # one row per column is all that is left: the test itself is plain
+    # arithmetic on those few numbers
+    rows = []
+    for r in m.orderBy("position").collect():
+        p = normality_p(r["n"], r["g1"], r["g2"])
+        rows.append((r["position"], r["column"], r["mean"], med.get(r["column"]), r["std"],
+                     r["min"], r["max"], bool(p is not None and p > alpha), p))
+    return df.sparkSession.createDataFrame(
+        rows, "position int, column string, mean double, median double, std double, "
+              "min double, max double, is_normal boolean, p_value double")
+
+
+def normality_p(n: int | None, g1: float | None, g2: float | None) -> float | None:
+    """The K^2 p-value of ``with_normality_pvalue`` for one set of moments."""
+    if n is None or g1 is None or g2 is None or n < 8:
+        return None
+    try:
+        n = float(n)
+        b2 = g2 + 3.0
+        y = g1 * math.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
+        beta2 = (3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3)
+                 / ((n - 2) * (n + 5) * (n + 7) * (n + 9)))
+        w2 = -1.0 + math.sqrt(2.0 * (beta2 - 1.0))
+        delta = 1.0 / math.sqrt(0.5 * math.log(w2))
+        alpha = math.sqrt(2.0 / (w2 - 1.0))
+        ya = (1.0 if y == 0 else y) / alpha
+        z1 = delta * math.log(ya + math.sqrt(ya * ya + 1.0))
+        x = (b2 - 3.0 * (n - 1) / (n + 1)) / math.sqrt(
+            24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))
+        sb = (6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9))
+              * math.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))))
+        a = 6.0 + 8.0 / sb * (2.0 / sb + math.sqrt(1.0 + 4.0 / (sb * sb)))
+        d = 1.0 + x * math.sqrt(2.0 / (a - 4.0))
+        if d == 0:
+            return None
+        t2 = math.copysign(1.0, d) * ((1.0 - 2.0 / a) / abs(d)) ** (1.0 / 3.0)
+        z2 = ((1.0 - 2.0 / (9.0 * a)) - t2) / math.sqrt(2.0 / (9.0 * a))
+        p = math.exp(-(z1 * z1 + z2 * z2) / 2.0)
+    except (ValueError, ZeroDivisionError):
+        return None
+    return None if math.isnan(p) else p
+
+
+def grouped_normality(df: DataFrame, groups: Sequence[str], value: str,
+                      alpha: float = 0.05) -> DataFrame:
+    """M2 per group: ``(groups..., n, mean, std, is_normal, p_value)`` --
+    one partial aggregate, then the p-value stages; scales to many groups."""
+    x = as_double(value)
+    m = nan_to_null(df).groupBy(*groups).agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"))
+    m = with_normality_pvalue(m, "n", "g1", "g2")
+    return m.select(*groups, "n", "mean", "std",
+                    F.coalesce(F.col("p_value") > alpha, F.lit(False)).alias("is_normal"),
+                    "p_value")
 
 
 def moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -501,3 +501,381 @@ def q_trend_range(spark, d):
 
 def all_numeric(df: DataFrame) -> list[str]:
     return numeric_columns(df)
+
+
+# ================================================================== runner
+RUN_OPS = ["clean_data", "handle_missing", "normalize", "encode_categorical"]
+_G5 = f"(SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority FROM {ORDERS_GAPS_SQL} g)"
+
+
+@register("run_operations", f"""
+WITH g AS {_G5},
+f AS (SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey,
+        coalesce(CAST(o_custkey AS DOUBLE), (SELECT median(o_custkey) FROM g)) AS o_custkey,
+        coalesce(o_totalprice, (SELECT median(o_totalprice) FROM g)) AS o_totalprice,
+        coalesce(o_orderstatus, {_MODE_SQL.format(c='o_orderstatus', src='g')}) AS o_orderstatus,
+        coalesce(o_orderpriority, {_MODE_SQL.format(c='o_orderpriority', src='g')}) AS o_orderpriority
+      FROM g)
+SELECT """ + ", ".join(
+    f"{sr(f'({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 ELSE stddev_pop({c}) OVER () END')} AS {c}"
+    for c in ["o_orderkey", "o_custkey", "o_totalprice"]) + """,
+  o_orderstatus, o_orderpriority,
+  CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS o_orderstatus_encoded,
+  CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority_encoded
+FROM f""")
+def q_run_operations(spark, d):
+    from tabulon.plans.runner import run_operations
+    g = orders_gaps(spark, d).select("o_orderkey", "o_custkey", "o_totalprice",
+                                     "o_orderstatus", "o_orderpriority")
+    out, _log = run_operations(g, RUN_OPS, with_log=False)
+    return round_doubles(out)
+
+
+@register("insights")
+def q_insights(spark, d):
+    from tabulon.plans.runner import run_steps
+    res = run_steps(priced_lineitem(spark, d),
+                    ["summary_statistics", "correlation_analysis", "distribution_analysis"])
+    return res["insights"]
+
+
+# ================================================================== sources
+@register("flatten_events_props", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS "props.k" FROM events""")
+def q_flatten(spark, d):
+    from tabulon.sources.files import parse_json_column
+    ev = table(spark, d, "events").select("event_id", "props")
+    return parse_json_column(ev, "props")
+
+
+@register("scan_parquet_count", "SELECT count(*) AS n FROM lineitem")
+def q_scan_count(spark, d):
+    from tabulon.sources.files import read_parquet
+    return read_parquet(spark, f"{d}/lineitem*.parquet").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("append_files", """
+SELECT s_suppkey AS k, s_name AS name, s_nationkey AS nationkey, s_acctbal AS acctbal FROM supplier
+UNION ALL
+SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer""")
+def q_append(spark, d):
+    from tabulon.sources.files import append_tables
+    s = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"),
+        F.col("s_nationkey").alias("nationkey"), F.col("s_acctbal").alias("acctbal"))
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    return append_tables([s, c])
+
+
+@register("sample_head", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
+ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity LIMIT 5""")
+def q_head(spark, d):
+    from tabulon.sources.files import sample_head
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
+                                            "l_quantity")
+    return sample_head(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], 5)
+
+
+@register("file_manifest")
+def q_manifest(spark, d):
+    from tabulon.sources.files import file_manifest
+    return file_manifest(spark, d).drop("path", "modified")
+
+
+@register("page_table_count", """
+SELECT page_id, CAST((length(lower(html)) - length(replace(lower(html), '<table', ''))) / 6
+  AS BIGINT) AS n_tables FROM pages""")
+def q_page_tables(spark, d):
+    from tabulon.sources.html_tables import page_table_counts
+    return page_table_counts(table(spark, d, "pages"))
+
+
+@register("html_tables")
+def q_html_tables(spark, d):
+    from tabulon.sources.html_tables import html_tables
+    return html_tables(table(spark, d, "pages"))
+
+
+@register("html_best_table")
+def q_html_best(spark, d):
+    from tabulon.sources.html_tables import best_tables, html_tables
+    pages = table(spark, d, "pages")
+    return best_tables(html_tables(pages), pages)
+
+
+# ================================================================== prompt text
+@register("extract_urls", r"""
+SELECT page_id AS id, unnest(list_distinct(regexp_extract_all(url || ' ' || html,
+  'https?://[^\s\n]+'))) AS url FROM pages""")
+def q_urls(spark, d):
+    from tabulon.functions.text import extract_urls
+    p = table(spark, d, "pages").select(
+        "page_id", F.concat_ws(" ", "url", "html").alias("text"))
+    return extract_urls(p, "page_id", "text")
+
+
+_CONV_ID = "CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)"
+
+
+@register("extract_questions", rf"""
+WITH q AS (SELECT {_CONV_ID} AS id,
+  list_filter(list_transform(regexp_extract_all(text, '\d+\.\s*([^?\n]+\??)', 1),
+                             lambda x: trim(x)), lambda x: x <> '') AS found, trim(text) AS whole
+  FROM conversations WHERE role = 'user'),
+l AS (SELECT id, CASE WHEN len(found) > 0 THEN found
+                      WHEN whole <> '' THEN [whole] ELSE [] END AS qs FROM q)
+SELECT id, CAST(generate_subscripts(qs, 1) - 1 AS INTEGER) AS pos, unnest(qs) AS question FROM l""")
+def q_questions(spark, d):
+    from tabulon.functions.text import extract_questions
+    c = (table(spark, d, "conversations").where(F.col("role") == "user")
+         .select(F.concat_ws(":", F.col("conv_id").cast("string"),
+                             F.col("turn").cast("string")).alias("id"), "text"))
+    return extract_questions(c, "id", "text")
+
+
+@register("answer_shape", f"""
+SELECT {_CONV_ID} AS id,
+  CASE WHEN contains(lower(text), 'base64')
+       THEN (CASE WHEN contains(lower(text), 'json array') THEN 'JSON array' ELSE 'standard' END)
+            || ' with base64 images'
+       ELSE (CASE WHEN contains(lower(text), 'json array') THEN 'JSON array' ELSE 'standard' END)
+  END AS format,
+  (""" + " OR ".join(f"contains(lower(text), '{p}')" for p in [
+    "return a json object", "json object with keys", "return json", "output json",
+    "respond with json"]) + r""")
+    AND len(regexp_extract_all(text, '-\s*`([^`]+)`\s*:', 1)) > 0 AS json_object,
+  array_to_string(regexp_extract_all(text, '-\s*`([^`]+)`\s*:', 1), ',') AS keys
+FROM conversations""")
+def q_answer_shape(spark, d):
+    from tabulon.functions.text import answer_shape
+    c = table(spark, d, "conversations").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        "text")
+    return answer_shape(c, "id", "text").withColumn("keys", F.array_join("keys", ","))
+
+
+# ================================================================== models
+@register("ols_single", f"""
+SELECT regr_count(l_extendedprice, l_quantity) AS n,
+  {sr('regr_slope(l_extendedprice, l_quantity)')} AS slope,
+  {sr('regr_intercept(l_extendedprice, l_quantity)')} AS intercept,
+  {sr('regr_r2(l_extendedprice, l_quantity)', 8)} AS r2 FROM lineitem""")
+def q_ols(spark, d):
+    from tabulon.operators.models import ols
+    out = ols(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity")
+    return round_doubles(round_doubles(out, 8, ["r2"]), 4, ["slope", "intercept"])
+
+
+@register("ols_multi")
+def q_ols_multi(spark, d):
+    from tabulon.operators.models import linear_regression
+    li = priced_lineitem(spark, d).withColumn("rid", F.monotonically_increasing_id())
+    coefs, _m = linear_regression(li.drop("rid"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return coefs
+
+
+@register("rf_importance")
+def q_rf(spark, d):
+    from tabulon.operators.models import random_forest
+    imps, _m = random_forest(priced_lineitem(spark, d),
+                             ["l_quantity", "l_extendedprice", "l_discount"])
+    return imps
+
+
+@register("kmeans_elbow")
+def q_kmeans(spark, d):
+    from tabulon.operators.models import kmeans_elbow
+    elbow, _clusters, _k = kmeans_elbow(table(spark, d, "embeddings"), vector_col="embedding")
+    return elbow
+
+
+# ================================================================== questions
+PRICING_SUMMARY = """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty,
+  count(*) AS count_order, avg(l_discount) AS avg_disc
+FROM lineitem GROUP BY l_returnflag, l_linestatus"""
+
+
+@register("sql_adhoc", f"""
+SELECT l_returnflag, l_linestatus, {sr('sum_qty', 2)} AS sum_qty, count_order,
+  {sr('avg_disc', 6)} AS avg_disc FROM ({PRICING_SUMMARY}) t""")
+def q_sql(spark, d):
+    from tabulon.plans.questions import sql
+    out = sql(spark, {"lineitem": table(spark, d, "lineitem")}, PRICING_SUMMARY)
+    return round_doubles(round_doubles(out, 2, ["sum_qty"]), 6, ["avg_disc"])
+
+
+@register("corr_day_of_month", f"""
+SELECT {sr('corr(o_totalprice, dayofmonth(o_orderdate))', 6)} AS r FROM orders""")
+def q_corr_dom(spark, d):
+    from tabulon.plans.questions import corr_with_day_of_month
+    return round_doubles(corr_with_day_of_month(table(spark, d, "orders"), "o_totalprice",
+                                                "o_orderdate"), 6)
+
+
+@register("grand_total", f"SELECT {sr('sum(l_extendedprice)', 2)} AS total FROM lineitem")
+def q_total(spark, d):
+    from tabulon.plans.questions import grand_total
+    return round_doubles(grand_total(table(spark, d, "lineitem"), "l_extendedprice"), 2)
+
+
+@register("top_group_mean", f"""
+SELECT c_mktsegment AS "group", {sr('avg(c_acctbal)')} AS mean FROM customer
+GROUP BY c_mktsegment ORDER BY avg(c_acctbal) DESC, c_mktsegment LIMIT 1""")
+def q_top_group(spark, d):
+    from tabulon.plans.questions import top_group_by_mean
+    return round_doubles(top_group_by_mean(table(spark, d, "customer"), "c_mktsegment",
+                                           "c_acctbal"))
+
+
+@register("count_where", """
+SELECT count(*) AS n FROM orders
+WHERE o_totalprice >= 200000 AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00'""")
+def q_count_where(spark, d):
+    from tabulon.plans.questions import count_where
+    pred = (F.col("o_totalprice") >= 200000) & (F.col("o_orderdate") < F.lit("1998-01-01").cast(
+        "timestamp_ntz"))
+    return count_where(table(spark, d, "orders"), pred)
+
+
+@register("earliest_above", """
+SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_totalprice FROM orders
+WHERE o_totalprice > 450000 ORDER BY o_orderdate, o_orderkey LIMIT 1""")
+def q_earliest(spark, d):
+    from tabulon.plans.questions import earliest_above
+    o = table(spark, d, "orders")
+    out = earliest_above(o, "o_totalprice", 450000, "o_orderdate", "o_orderkey",
+                         ["o_orderkey", "o_orderdate", "o_totalprice"])
+    return out.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
+@register("extreme_record", """
+SELECT c_custkey, c_name, c_acctbal FROM customer
+ORDER BY c_acctbal DESC, c_custkey LIMIT 1""")
+def q_extreme(spark, d):
+    from tabulon.plans.questions import extreme_record
+    return extreme_record(table(spark, d, "customer"), "c_acctbal",
+                          ["c_custkey", "c_name", "c_acctbal"], True, "c_custkey")
+
+
+@register("most_frequent_in_range", """
+SELECT o_orderpriority AS category, count(*) AS n FROM orders
+WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY o_orderpriority
+ORDER BY n DESC, category LIMIT 1""")
+def q_most_frequent(spark, d):
+    from tabulon.plans.questions import most_frequent_in_range
+    return most_frequent_in_range(table(spark, d, "orders"), "o_orderpriority", "o_orderdate",
+                                  1996, 1998)
+
+
+@register("delay_slope", f"""
+WITH y AS (SELECT year(o_orderdate) AS year,
+                  avg(datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) AS m
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+           WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+SELECT count(*) AS years, {sr('regr_slope(m, year)', 6)} AS slope FROM y""")
+def q_delay(spark, d):
+    from tabulon.plans.questions import yearly_delay_slope
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate")
+    o = table(spark, d, "orders").where(F.col("o_orderpriority") == "1-URGENT") \
+        .select("o_orderkey", "o_orderdate")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("o_orderdate").cast("date").alias("o_orderdate"),
+        F.col("l_shipdate").cast("date").alias("l_shipdate"))
+    return round_doubles(yearly_delay_slope(j, "o_orderdate", "l_shipdate", "o_orderdate"), 6)
+
+
+@register("top_parts_revenue", f"""
+SELECT p_partkey AS key, p_name, {sr('total', 2)} AS total FROM (
+  SELECT l_partkey, sum(l_extendedprice * (1 - l_discount)) AS total FROM lineitem
+  GROUP BY l_partkey ORDER BY total DESC, l_partkey LIMIT 5) t
+JOIN part ON p_partkey = t.l_partkey""")
+def q_top_parts(spark, d):
+    from tabulon.plans.questions import top_by_sum
+    li = table(spark, d, "lineitem")
+    top = top_by_sum(li, "l_partkey", F.col("l_extendedprice") * (1 - F.col("l_discount")), 5)
+    part = table(spark, d, "part").select("p_partkey", "p_name")
+    out = top.join(part, top.key == part.p_partkey).select("key", "p_name", "total")
+    return round_doubles(out, 2)
+
+
+@register("monthly_revenue", f"""
+SELECT strftime(date_trunc('month', l_shipdate), '%Y-%m') AS month,
+  {sr('sum(l_extendedprice * (1 - l_discount))', 2)} AS total FROM lineitem GROUP BY 1""")
+def q_monthly(spark, d):
+    from tabulon.plans.questions import monthly_totals
+    li = table(spark, d, "lineitem")
+    return round_doubles(monthly_totals(li, "l_shipdate",
+                                        F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2)
+
+
+@register("top_customers", """
+SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10""")
+def q_top_customers(spark, d):
+    from tabulon.plans.questions import top_n
+    return top_n(table(spark, d, "customer"), "c_acctbal", ["c_custkey", "c_name", "c_acctbal"],
+                 10, "c_custkey")
+
+
+@register("region_average", f"""
+SELECT r_name, {sr('avg(c_acctbal)')} AS avg_acctbal, count(*) AS customers
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+GROUP BY r_name""")
+def q_region_avg(spark, d):
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
+    out = j.groupBy("r_name").agg(F.avg("c_acctbal").alias("avg_acctbal"),
+                                  F.count(F.lit(1)).alias("customers"))
+    return round_doubles(out)
+
+
+# ================================================================== graph (Q13)
+EDGES_SQL = """(SELECT DISTINCT least('s' || l_suppkey, 'p' || l_partkey) AS a,
+  greatest('s' || l_suppkey, 'p' || l_partkey) AS b FROM lineitem)"""
+
+
+def supply_edges(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"),
+                     F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"))
+
+
+@register("graph_degrees", f"""
+SELECT node, count(*) AS degree FROM (
+  SELECT a AS node FROM {EDGES_SQL} e1 UNION ALL SELECT b FROM {EDGES_SQL} e2) t GROUP BY node""")
+def q_degrees(spark, d):
+    from tabulon.operators.graph import degrees
+    return degrees(supply_edges(spark, d))
+
+
+@register("graph_summary", f"""
+WITH e AS {EDGES_SQL},
+deg AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) t
+        GROUP BY node),
+top AS (SELECT node, degree FROM deg ORDER BY degree DESC, node LIMIT 1)
+SELECT (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM deg) AS n_nodes,
+  {sr('2.0 * (SELECT count(*) FROM e) / ((SELECT count(*) FROM deg) * ((SELECT count(*) FROM deg) - 1))', 8)} AS density,
+  {sr('2.0 * (SELECT count(*) FROM e) / (SELECT count(*) FROM deg)', 6)} AS average_degree,
+  top.node AS max_degree_node, top.degree AS max_degree FROM top""")
+def q_graph_summary(spark, d):
+    from tabulon.operators.graph import graph_summary
+    out = graph_summary(supply_edges(spark, d))
+    return round_doubles(round_doubles(out, 8, ["density"]), 6, ["average_degree"])
+
+
+@register("degree_histogram", f"""
+SELECT degree, count(*) AS nodes FROM (
+  SELECT node, count(*) AS degree FROM (
+    SELECT a AS node FROM {EDGES_SQL} e1 UNION ALL SELECT b FROM {EDGES_SQL} e2) t
+  GROUP BY node) g GROUP BY degree""")
+def q_degree_hist(spark, d):
+    from tabulon.operators.graph import degree_histogram
+    return degree_histogram(supply_edges(spark, d))
+
+
+@register("graph_shortest_path")
+def q_path(spark, d):
+    from tabulon.operators.graph import shortest_path
+    li = table(spark, d, "lineitem")
+    ends = li.agg(F.min("l_suppkey").alias("s"), F.max("l_partkey").alias("p")).first()
+    return shortest_path(supply_edges(spark, d), f"s{ends['s']}", f"p{ends['p']}")
