@@ -1,9 +1,9 @@
 """Profiling operators.
 
-Every operator reads the table once with a single wide ``agg`` over all
-columns (partial aggregation on the map side, one small row to the final
-task) and unpivots that one row into long format.  Quantiles come from the
-distributed ``exact_quantiles``.
+Every operator reads the table once: the columns are unpivoted into
+``(column, value)`` rows and aggregated per column (partial aggregation on the
+map side, one small row per column to the final task).  Quantiles come from
+the distributed ``exact_quantiles``.
 """
 
 from __future__ import annotations
@@ -22,28 +22,26 @@ Stat = Callable[[str], Column]
 
 
 def wide_to_long(df: DataFrame, cols: Sequence[str], stats: dict[str, Stat],
-                 chunk: int = 40) -> DataFrame:
-    """One aggregate row with ``len(cols) x len(stats)`` cells -> one row per column.
-
-    Output: ``(position, column, <stat names>)``.  Very wide tables are split
-    into chunks so generated code stays under the JVM method-size limit; the
-    chunks are unioned (each is one small row per column).
+                 value: Callable[[str], Column] | None = None) -> DataFrame:
+    """Per-column statistics -> ``(position, column, <stat names>)``.
+
+    The columns are unpivoted to ``(position, column, value)`` rows and
+    aggregated with ``groupBy(column)``: one scan, and however many columns
+    there are, each aggregate has only ``len(stats)`` functions, so it stays
+    inside whole-stage codegen (a single wide aggregate with more than ~100
+    buffer fields falls back to interpreted execution).  ``stats`` map a name
+    to a function of the value column; ``value`` builds the value from a
+    column name (default: cast to double, NaN -> NULL).
     """
-    parts = []
-    for start in range(0, len(cols), chunk):
-        block = list(cols[start:start + chunk])
-        aggs = [fn(c).alias(f"s{j}_{i}") for i, c in enumerate(block)
-                for j, fn in enumerate(stats.values())]
-        row = df.agg(*aggs)
-        recs = [F.struct(F.lit(start + i).alias("position"), F.lit(c).alias("column"),
-                         *[F.col(f"s{j}_{i}").alias(name)
-                           for j, name in enumerate(stats.keys())])
-                for i, c in enumerate(block)]
-        parts.append(row.select(F.explode(F.array(*recs)).alias("r")).select("r.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if not cols:
+        raise ValueError("no columns")
+    make = value or (lambda c: F.when(~F.isnan(as_double(c)), as_double(c)))
+    recs = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
+                     make(c).alias("value")) for i, c in enumerate(cols)]
+    long = df.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
+    v = F.col("value")
+    return long.groupBy("position", "column").agg(
+        *[fn(v).alias(name) for name, fn in stats.items()])
 
 
 # ---------------------------------------------------------------- P1, P2, P10
@@ -53,7 +51,8 @@ def profile_columns(df: DataFrame) -> DataFrame:
     if not names:
         return df.sparkSession.createDataFrame(
             [], "position int, column string, dtype string, kind string, missing long")
-    counts = wide_to_long(df, names, {"missing": lambda c: F.count_if(missing(df, c))})
+    counts = wide_to_long(df, names, {"missing": lambda v: F.count_if(v)},
+                          value=lambda c: missing(df, c))
     meta = df.sparkSession.createDataFrame(
         [(i, f.dataType.simpleString(), kind_of(f.dataType))
          for i, f in enumerate(df.schema.fields)],
@@ -70,10 +69,16 @@ def basic_summary(df: DataFrame) -> DataFrame:
     missing_values_total, missing_pct)``.
     """
     k = len(df.columns)
-    cells = [F.count_if(missing(df, c)) for c in df.columns]
-    total_missing = sum(cells[1:], cells[0]) if cells else F.lit(0)
-    row = df.agg(F.count(F.lit(1)).alias("total_rows"),
-                 total_missing.cast("long").alias("missing_values_total"))
+    if k == 0:
+        row = df.agg(F.count(F.lit(1)).alias("total_rows"),
+                     F.lit(0).cast("long").alias("missing_values_total"))
+    else:
+        per_col = wide_to_long(df, df.columns,
+                               {"missing": lambda v: F.count_if(v), "rows": F.count},
+                               value=lambda c: missing(df, c))
+        row = per_col.agg(F.coalesce(F.max("rows"), F.lit(0)).cast("long").alias("total_rows"),
+                          F.coalesce(F.sum("missing"), F.lit(0)).cast("long")
+                          .alias("missing_values_total"))
     return row.select(
         "total_rows",
         F.lit(k).alias("total_columns"),
@@ -118,12 +123,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
             [], "position int, column string, count long, mean double, std double, "
                 "min double, q25 double, q50 double, q75 double, max double")
     moments = wide_to_long(df, cols, {
-        "count": lambda c: F.count(qcol(c)),
-        "mean": lambda c: F.avg(as_double(c)),
-        "std": lambda c: F.stddev_samp(as_double(c)),
-        "min": lambda c: F.min(as_double(c)),
-        "max": lambda c: F.max(as_double(c)),
-    })
+        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
     q = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], approx_accuracy)
     return (moments.join(q, "column", "left")
             .select("position", "column", "count", "mean", "std", "min",
@@ -144,11 +144,8 @@ def skew_kurtosis(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
         return df.sparkSession.createDataFrame(
             [], "position int, column string, skewness double, kurtosis double")
     m = wide_to_long(df, cols, {
-        "n": lambda c: F.count(qcol(c)).cast("double"),
-        "g1": lambda c: F.skewness(as_double(c)),
-        "g2": lambda c: F.kurtosis(as_double(c)),
-        "var": lambda c: F.var_pop(as_double(c)),
-    })
+        "n": lambda v: F.count(v).cast("double"), "g1": F.skewness, "g2": F.kurtosis,
+        "var": F.var_pop})
     n = F.col("n")
     const = F.col("var") == 0
     skew = F.when(n < 3, None).when(const, 0.0).otherwise(
@@ -171,13 +168,14 @@ def unique_counts(df: DataFrame, cols: Sequence[str] | None = None,
     """P5: ``(position, column, unique_count)``; ``approx_rsd`` uses HyperLogLog++."""
     cols = list(cols) if cols is not None else string_columns(df)
     if approx_rsd:
-        fn = lambda c: F.approx_count_distinct(qcol(c), approx_rsd)
+        fn = lambda v: F.approx_count_distinct(v, approx_rsd)
     else:
-        fn = lambda c: F.count_distinct(qcol(c))
+        fn = F.count_distinct
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "position int, column string, unique_count long")
-    return wide_to_long(df, cols, {"unique_count": fn})
+    return wide_to_long(df, cols, {"unique_count": fn},
+                        value=lambda c: qcol(c).cast("string"))
 
 
 # ---------------------------------------------------------------- P6
@@ -194,28 +192,21 @@ def outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None,
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, count long, percentage double, lower double, upper double")
-    bounds = {r["column"]: r for r in quantile_table(
-        df, cols, [0.25, 0.75], ["q1", "q3"], approx_accuracy).collect()}
-    exprs, recs = [F.count(F.lit(1)).alias("_n")], []
-    for i, c in enumerate(cols):
-        b = bounds.get(c)
-        if b is None or b["q1"] is None:
-            lo = hi = None
-            cnt = F.lit(0).cast("long")
-        else:
-            iqr = b["q3"] - b["q1"]
-            lo, hi = b["q1"] - 1.5 * iqr, b["q3"] + 1.5 * iqr
-            x = as_double(c)
-            cnt = F.count_if((x < F.lit(lo)) | (x > F.lit(hi)))
-        exprs.append(cnt.alias(f"o{i}"))
-        recs.append((c, lo, hi, i))
-    row = df.agg(*exprs)
-    structs = [F.struct(F.lit(c).alias("column"), F.col(f"o{i}").cast("long").alias("count"),
-                        (F.col(f"o{i}") * 100.0 / F.col("_n")).alias("percentage"),
-                        F.lit(lo).cast("double").alias("lower"),
-                        F.lit(hi).cast("double").alias("upper"))
-               for c, lo, hi, i in recs]
-    return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    q = quantile_table(df, cols, [0.25, 0.75], ["q1", "q3"], approx_accuracy)
+    # bounds: one row per column, broadcast to the scan
+    bounds = q.select("column", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower"),
+                      (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper"))
+    recs = [F.struct(F.lit(c).alias("column"), as_double(c).alias("value")) for c in cols]
+    long = df.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
+    v = F.col("value")
+    counted = (long.join(F.broadcast(bounds), "column", "left")
+               .groupBy("column")
+               .agg(F.count_if((v < F.col("lower")) | (v > F.col("upper"))).alias("count"),
+                    F.count(F.lit(1)).alias("_n"),
+                    F.first("lower").alias("lower"), F.first("upper").alias("upper")))
+    return counted.select("column", F.col("count").cast("long").alias("count"),
+                          (F.col("count") * 100.0 / F.col("_n")).alias("percentage"),
+                          "lower", "upper")
 
 
 def outlier_rows(df: DataFrame, col: str, lower: float, upper: float) -> DataFrame:
@@ -235,8 +226,10 @@ def column_bytes(df: DataFrame) -> DataFrame:
     def size(c: str) -> Column:
         t = df.schema[c].dataType.simpleString()
         if t == "string":
-            return F.coalesce(F.sum(F.octet_length(qcol(c))), F.lit(0)).cast("long")
+            return F.octet_length(qcol(c)).cast("long")
         if t == "binary":
-            return F.coalesce(F.sum(F.length(qcol(c))), F.lit(0)).cast("long")
-        return (F.count(qcol(c)) * F.lit(_FIXED_WIDTH.get(t, 8))).cast("long")
-    return wide_to_long(df, df.columns, {"bytes": size})
+            return F.length(qcol(c)).cast("long")
+        return F.when(qcol(c).isNotNull(), F.lit(_FIXED_WIDTH.get(t, 8)).cast("long"))
+    return wide_to_long(df, df.columns,
+                        {"bytes": lambda v: F.coalesce(F.sum(v), F.lit(0)).cast("long")},
+                        value=size)

@@ -1,10 +1,10 @@
 """Correlation and distribution statistics.
 
-All pairs or all columns go into one aggregate, so one scan serves the whole
-matrix.  Pearson r is taken over the rows where both columns are present
-(pandas' pairwise-complete rule); ``covar_pop / (stddev_pop * stddev_pop)``
-on the masked columns is used instead of ``corr`` because ``corr`` raises
-DIVIDE_BY_ZERO under ANSI mode for a constant column, where we want NULL.
+Pearson r is taken over the rows where both columns are present (pandas'
+pairwise-complete rule).  The whole matrix comes from one scan: each task
+reduces its rows to k x k co-moment matrices with NumPy and Spark sums them.
+Per-column moments use the long-format aggregate of ``profile``.  A constant
+column gives NULL (Spark's ``corr`` would raise DIVIDE_BY_ZERO under ANSI).
 """
 
 from __future__ import annotations
@@ -12,52 +12,86 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import as_double, nan_to_null, numeric_columns
 from tabulon.operators.profile import wide_to_long
 from tabulon.operators.ranking import quantile_table
 
-_PAIR_CHUNK = 300  # pair aggregates per Spark aggregate (codegen size)
+def _comoments(cols: list[str], shift: list[float]):
+    """Per partition: pairwise-complete sums as k x k matrices (NumPy BLAS).
 
-
-def _pair_r(a: str, b: str) -> Column:
-    x, y = as_double(a), as_double(b)
-    xm = F.when(y.isNotNull(), x)
-    ym = F.when(x.isNotNull(), y)
-    den = F.stddev_pop(xm) * F.stddev_pop(ym)
-    return F.covar_pop(xm, ym) / F.nullif(den, F.lit(0.0))
+    n[i,j] rows with both present; sa[i,j] sum of x_i over those rows;
+    saa[i,j] sum of x_i^2 over them; sab[i,j] sum of x_i x_j.  Values are
+    shifted by the column means first, so the final differences do not
+    cancel.  One output row per matrix cell; nothing for an empty partition.
+    """
+    k = len(cols)
+    mu = np.asarray(shift, dtype="float64")
+
+    def fn(batches):
+        acc = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = pdf[cols].to_numpy(dtype="float64", na_value=np.nan) - mu
+            m = ~np.isnan(x)
+            x0 = np.where(m, x, 0.0)
+            mf = m.astype("float64")
+            part = (mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0)
+            acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
+        if acc is not None:
+            yield pd.DataFrame({"cell": np.arange(k * k, dtype="int64"),
+                                "n": acc[0].ravel(), "sa": acc[1].ravel(),
+                                "saa": acc[2].ravel(), "sab": acc[3].ravel()})
+    return fn
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """M1: ``(var1, var2, r)`` for every ordered pair, diagonal included.
 
-    The matrix is symmetric, so only i <= j is aggregated and mirrored.
+    Pass 1: column means (one long-format aggregate).  Pass 2: every task
+    turns its rows into k x k co-moment matrices with NumPy (Arrow batches,
+    matrix products) and Spark sums the k^2 cells over tasks.  The r values
+    are then arithmetic on k^2 numbers.  Pairwise-complete, like pandas;
+    a constant column gives NULL.
     """
     df = nan_to_null(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
     schema = "var1 string, var2 string, r double"
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    parts = []
-    for start in range(0, len(pairs), _PAIR_CHUNK):
-        block = pairs[start:start + _PAIR_CHUNK]
-        row = df.agg(*[_pair_r(cols[i], cols[j]).alias(f"p{n}")
-                       for n, (i, j) in enumerate(block)])
-        recs = []
-        for n, (i, j) in enumerate(block):
-            recs.append(F.struct(F.lit(cols[i]).alias("var1"), F.lit(cols[j]).alias("var2"),
-                                 F.col(f"p{n}").alias("r")))
-            if i != j:
-                recs.append(F.struct(F.lit(cols[j]).alias("var1"),
-                                     F.lit(cols[i]).alias("var2"), F.col(f"p{n}").alias("r")))
-        parts.append(row.select(F.explode(F.array(*recs)).alias("x")).select("x.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    means = {r["column"]: r["mean"] for r in
+             wide_to_long(df, cols, {"mean": F.avg}).collect()}
+    shift = [means.get(c) or 0.0 for c in cols]
+    names = [f"c{i}" for i in range(len(cols))]
+    data = df.select(*[as_double(c).alias(n) for c, n in zip(cols, names)])
+    cells = (data.mapInPandas(_comoments(names, shift),
+                              "cell long, n double, sa double, saa double, sab double")
+             .groupBy("cell").agg(*[F.sum(c).alias(c) for c in ["n", "sa", "saa", "sab"]]))
+    k = len(cols)
+    mats = {c: np.zeros((k, k)) for c in ["n", "sa", "saa", "sab"]}
+    for r in cells.collect():  # k^2 rows: bounded by the column count
+        i, j = divmod(r["cell"], k)
+        for c in mats:
+            mats[c][i, j] = r[c]
+    out = []
+    for i in range(k):
+        for j in range(k):
+            n = mats["n"][i, j]
+            sa, sb = mats["sa"][i, j], mats["sa"][j, i]
+            saa, sbb = mats["saa"][i, j], mats["saa"][j, i]
+            cov = mats["sab"][i, j] - sa * sb / n if n else 0.0
+            va = saa - sa * sa / n if n else 0.0
+            vb = sbb - sb * sb / n if n else 0.0
+            r = cov / math.sqrt(va * vb) if n > 1 and va > 0 and vb > 0 else None
+            if r is not None:
+                r = float(max(-1.0, min(1.0, r)))
+            out.append((cols[i], cols[j], r))
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def strong_correlations(df: DataFrame, threshold: float = 0.7,
@@ -134,14 +168,8 @@ def distribution(df: DataFrame, cols: Sequence[str] | None = None, alpha: float
             [], "position int, column string, mean double, median double, std double, "
                 "min double, max double, is_normal boolean, p_value double")
     m = wide_to_long(df, cols, {
-        "n": lambda c: F.count(as_double(c)),
-        "mean": lambda c: F.avg(as_double(c)),
-        "std": lambda c: F.stddev_samp(as_double(c)),
-        "min": lambda c: F.min(as_double(c)),
-        "max": lambda c: F.max(as_double(c)),
-        "g1": lambda c: F.skewness(as_double(c)),
-        "g2": lambda c: F.kurtosis(as_double(c)),
-    })
+        "n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+        "g1": F.skewness, "g2": F.kurtosis})
     med = {r["column"]: r["median"] for r in
            quantile_table(df, cols, [0.5], ["median"], approx_accuracy).collect()}
     # one row per column is all that is left: the test itself is plain
@@ -205,8 +233,4 @@ def moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Helper table ``(position, column, n, mean, var_pop)`` used by z-scores."""
     df = nan_to_null(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
-    return wide_to_long(df, cols, {
-        "n": lambda c: F.count(as_double(c)),
-        "mean": lambda c: F.avg(as_double(c)),
-        "std_pop": lambda c: F.stddev_pop(as_double(c)),
-    })
+    return wide_to_long(df, cols, {"n": F.count, "mean": F.avg, "std_pop": F.stddev_pop})
