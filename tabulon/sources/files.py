@@ -98,7 +98,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         "boolean": lambda c: F.when(F.lower(F.trim(c)).isin("true", "false"),
                                     F.lower(F.trim(c)) == "true"),
         "date": lambda c: F.when(F.trim(c).rlike(r"^\d{4}-\d{2}-\d{2}$"),
-                                 F.try_to_date(F.trim(c), F.lit("yyyy-MM-dd"))),
+                                 F.try_to_date(F.trim(c), "yyyy-MM-dd")),
         "timestamp": lambda c: F.when(F.trim(c).rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d"),
                                       F.try_to_timestamp(F.trim(c))),
     }
