@@ -6,12 +6,15 @@ un-partitioned window moves every row to one task.  At 100 TB neither is
 acceptable, so the operators here are built from shuffles that split the work:
 
 * ``exact_quantiles`` -- pre-aggregate ``(column, value) -> cnt`` (map-side
-  combine, so a value held by a third of all rows becomes one row), range-
-  partition the distinct values, take a running count inside each partition,
-  add per-partition offsets (a table of at most partitions x columns rows,
-  broadcast), and pick the rows whose rank interval holds the wanted ranks.
-  Linear interpolation between the two neighbouring ranks, as pandas,
-  NumPy's default and DuckDB ``quantile_cont`` do.
+  combine, so a value held by a third of all rows becomes one row).  A
+  column with at most ``WINDOW_LIMIT`` distinct values is ranked in one
+  window partition (JVM, bounded by that limit); a column with more is
+  range-partitioned over all tasks, running counts are taken inside each
+  partition and per-partition offsets (at most partitions x columns rows,
+  broadcast) make them global.  The rows whose rank interval holds the
+  wanted ranks give the answer, linearly interpolated between the two
+  neighbouring ranks as pandas, NumPy's default and DuckDB
+  ``quantile_cont`` do.
 * ``column_modes`` -- most frequent value per column, smallest value on ties,
   with a partial ``min(struct(-cnt, value))`` aggregate.
 * ``top_values`` -- top-k per column in two rounds: top-k inside hash buckets
@@ -26,12 +29,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import qcol
 
 _QUANTILE_BUCKETS = 64
+# distinct values of one column that may be ranked inside a single task
+WINDOW_LIMIT = 2_000_000
 
 
 def _partitions(df: DataFrame) -> int:
@@ -55,90 +61,143 @@ def long_values(df: DataFrame, cols: Sequence[str], cast: str = "double") -> Dat
 def _running_counts(batches):
     """Inside one range partition: rows before each row, per column.
 
-    Rows arrive sorted by (column, value); the total of earlier batches is
+    Rows arrive sorted by (cid, value); the total of earlier batches is
     carried over so the partition may come in several Arrow batches.
     """
-    carry: dict[str, int] = {}
+    carry: dict[int, int] = {}
     for pdf in batches:
         if pdf.empty:
             yield pdf.assign(below=pd.Series(dtype="int64"))
             continue
-        cs = pdf.groupby("column", sort=False)["cnt"].cumsum()
-        base = pdf["column"].map(carry).fillna(0).astype("int64")
+        cs = pdf.groupby("cid", sort=False)["cnt"].cumsum()
+        base = pdf["cid"].map(carry).fillna(0).astype("int64")
         pdf = pdf.assign(below=(cs - pdf["cnt"] + base).astype("int64"))
-        for k, v in pdf.groupby("column", sort=False)["cnt"].sum().items():
+        for k, v in pdf.groupby("cid", sort=False)["cnt"].sum().items():
             carry[k] = carry.get(k, 0) + int(v)
         yield pdf
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    approx_accuracy: int | None = None) -> DataFrame:
+                    approx_accuracy: int | None = None,
+                    window_limit: int = WINDOW_LIMIT) -> DataFrame:
     """Quantiles of every column in ``cols`` -> ``(column, prob, value)``.
 
+    The ``(column, value) -> count`` pre-aggregate is computed once and kept
+    for the call.  Its per-column sizes route each column: at most
+    ``window_limit`` distinct values -> ``_quantiles_by_window`` (JVM, one
+    window partition per column, bounded by that limit); more ->
+    ``_quantiles_by_range`` (range-partitioned over all tasks, no bound).
+    The result is columns x probabilities rows, returned materialised.
     ``approx_accuracy`` switches to ``percentile_approx`` (one pass, bounded
-    sketch memory, rank error about n / accuracy) for very large inputs where
-    the exact answer is not needed.
+    sketch memory, rank error about n / accuracy).
     """
     spark = df.sparkSession
     schema = "column string, prob double, value double"
     if not cols or not probs:
         return spark.createDataFrame([], schema)
     probs = [float(p) for p in probs]
-    long = long_values(df, cols)
+    cols = list(cols)
+    long = _long_ids(df, cols)
     if approx_accuracy:
-        return (long.groupBy("column")
-                .agg(F.percentile_approx("value", F.array(*[F.lit(p) for p in probs]),
-                                         approx_accuracy).alias("qs"))
-                .select("column", F.posexplode("qs").alias("i", "value"))
-                .select("column", F.element_at(F.array(*[F.lit(p) for p in probs]),
-                                               F.col("i") + 1).alias("prob"), "value"))
-
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        arr = F.array(*[F.lit(p) for p in probs])
+        q = (long.groupBy("cid")
+             .agg(F.percentile_approx("value", arr, approx_accuracy).alias("qs"))
+             .select("cid", F.posexplode("qs").alias("i", "value"))
+             .select("cid", F.element_at(arr, F.col("i") + 1).alias("prob"), "value"))
+        return _named(spark, q.collect(), cols, schema)
+    counts = (long.groupBy("cid", "value").agg(F.count(F.lit(1)).alias("cnt"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        distinct = {r["cid"]: r["d"] for r in
+                    counts.groupBy("cid").agg(F.count(F.lit(1)).alias("d")).collect()}
+        small = [i for i, d in distinct.items() if d <= window_limit]
+        big = [i for i, d in distinct.items() if d > window_limit]
+        got = []
+        if small:
+            got += _quantiles_by_window(counts.where(F.col("cid").isin(small)), probs).collect()
+        if big:
+            got += _quantiles_by_range(counts.where(F.col("cid").isin(big)), probs).collect()
+    finally:
+        counts.unpersist()
+    return _named(spark, got, cols, schema)
+
+
+def _long_ids(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(cid, value)``: column index (a cheap int key) and value as double,
+    NULL and NaN dropped."""
+    pairs = [F.struct(F.lit(i).alias("cid"), qcol(c).cast("double").alias("value"))
+             for i, c in enumerate(cols)]
+    out = df.select(F.inline(F.array(*pairs)))
+    return out.where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def _named(spark, rows, cols: Sequence[str], schema: str) -> DataFrame:
+    return spark.createDataFrame(
+        [(cols[r["cid"]], float(r["prob"]), None if r["value"] is None else float(r["value"]))
+         for r in rows], schema)
+
+
+def _pick(rows: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Rows ``(cid, value, first, last, n)`` -- the 0-based rank interval each
+    distinct value occupies -> interpolated quantiles ``(cid, prob, value)``."""
+    picks = []
+    for p in probs:
+        h = (F.col("n") - 1) * F.lit(p)
+        lo, hi = F.floor(h), F.ceil(h)
+        picks.append(F.struct(
+            F.lit(p).alias("prob"), (h - lo).alias("frac"),
+            F.when(lo.between(F.col("first"), F.col("last")), F.col("value")).alias("vlo"),
+            F.when(hi.between(F.col("first"), F.col("last")), F.col("value")).alias("vhi")))
+    hits = (rows.select("cid", F.inline(F.array(*picks)))
+            .where(F.col("vlo").isNotNull() | F.col("vhi").isNotNull()))
+    return (hits.groupBy("cid", "prob")
+            .agg(F.max("vlo").alias("vlo"), F.max("vhi").alias("vhi"),
+                 F.max("frac").alias("frac"))
+            .select("cid", "prob",
+                    (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("value")))
+
+
+def _quantiles_by_window(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Distinct values of a column ranked in one window partition (JVM only).
+
+    Safe because the caller bounds the distinct values per column; value
+    skew is gone after the pre-aggregation.
+    """
+    w = Window.partitionBy("cid").orderBy("value")
+    ranked = counts.select(
+        "cid", "value", "cnt",
+        (F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cnt"))
+        .alias("first"),
+        F.sum("cnt").over(Window.partitionBy("cid")).alias("n"))
+    return _pick(ranked.withColumn("last", F.col("first") + F.col("cnt") - 1), probs)
+
+
+def _quantiles_by_range(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Distinct values range-partitioned over all tasks, running counts per
+    partition in ``mapInPandas``, per-partition offsets broadcast."""
     # explicit partition count: AQE leaves it alone, so partition ids are stable
-    ranged = (counts.repartitionByRange(_partitions(df), "column", "value")
-              .sortWithinPartitions("column", "value")
+    ranged = (counts.repartitionByRange(_partitions(counts), "cid", "value")
+              .sortWithinPartitions("cid", "value")
               .withColumn("pid", F.spark_partition_id()))
     # Frozen in the shared checkpoint folder: partition ids and running counts
     # are read by two branches below and must not change if a task is re-run.
     ranked = ranged.mapInPandas(
-        _running_counts, "column string, value double, cnt long, pid int, below long"
+        _running_counts, "cid int, value double, cnt long, pid int, below long"
     ).checkpoint(eager=True)
 
-    per_part = ranked.groupBy("column", "pid").agg(F.sum("cnt").alias("tot"))
-    w = Window.partitionBy("column").orderBy("pid")
+    per_part = ranked.groupBy("cid", "pid").agg(F.sum("cnt").alias("tot"))
+    w = Window.partitionBy("cid").orderBy("pid")
     offsets = per_part.select(
-        "column", "pid",
+        "cid", "pid",
         F.coalesce(F.sum("tot").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("offset"),
-        F.sum("tot").over(Window.partitionBy("column")).alias("n"))
+        F.sum("tot").over(Window.partitionBy("cid")).alias("n"))
     # at most (partitions + columns) rows: a proven bound, safe to broadcast
-    offsets = F.broadcast(offsets)
-
-    targets = (offsets.select("column", "n").distinct()
-               .select("column", "n",
-                       F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
-               .select("column", "prob",
-                       ((F.col("n") - 1) * F.col("prob")).alias("h"))
-               .select("column", "prob",
-                       F.floor("h").cast("long").alias("lo"),
-                       F.ceil("h").cast("long").alias("hi"),
-                       (F.col("h") - F.floor("h")).alias("frac")))
-    rows = (ranked.join(offsets.select("column", "pid", "offset"), ["column", "pid"])
-            .select("column", "value",
+    rows = (ranked.join(F.broadcast(offsets), ["cid", "pid"])
+            .select("cid", "value", "n",
                     (F.col("offset") + F.col("below")).alias("first"),
                     (F.col("offset") + F.col("below") + F.col("cnt") - 1).alias("last")))
-    t = F.broadcast(targets)  # columns x probs rows
-    hit_lo = F.col("lo").between(F.col("first"), F.col("last"))
-    hit_hi = F.col("hi").between(F.col("first"), F.col("last"))
-    picked = rows.join(t, (rows["column"] == t["column"]) & (hit_lo | hit_hi)).select(
-        rows["column"], "prob", "frac",
-        F.when(hit_lo, F.col("value")).alias("vlo"),
-        F.when(hit_hi, F.col("value")).alias("vhi"))
-    return (picked.groupBy("column", "prob")
-            .agg(F.max("vlo").alias("vlo"), F.max("vhi").alias("vhi"),
-                 F.max("frac").alias("frac"))
-            .select("column", "prob",
-                    (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("value")))
+    return _pick(rows, probs)
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],

@@ -106,3 +106,16 @@ def test_column_bytes_and_first_mean(spark):
     assert b == {"s": 4, "i": 8, "d": 8}
     assert profile.first_numeric_mean(df).first()["mean"] == 1.5
     assert profile.first_numeric_mean(df.select("s")).first()["mean"] is None
+
+
+def test_range_path_equals_window_path(spark):
+    df = spark.range(0, 4000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise((F.col("id") * 7919 % 997).cast("double"))
+        .alias("a"), (F.col("id") % 13).cast("double").alias("b")).repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    by_window = sorted(map(tuple, exact_quantiles(df, ["a", "b"], probs).collect()))
+    by_range = sorted(map(tuple, exact_quantiles(df, ["a", "b"], probs, window_limit=0).collect()))
+    assert by_window == by_range
+    pdf = df.toPandas()
+    for c, p, v in by_range:
+        assert math.isclose(v, pdf[c].quantile(p))
