@@ -10,21 +10,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import as_double, nan_to_null, numeric_columns, qcol, string_columns
+from tabulon.operators.profile import wide_to_long
 from tabulon.operators.ranking import long_values, quantile_table, top_k_counts
 
 
 def _ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
-    row = df.agg(*[F.min(as_double(c)).alias(f"lo{i}") for i, c in enumerate(cols)],
-                 *[F.max(as_double(c)).alias(f"hi{i}") for i, c in enumerate(cols)],
-                 *[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_samp(as_double(c)).alias(f"sd{i}") for i, c in enumerate(cols)]
-                 ).first()
-    return {c: (row[f"lo{i}"], row[f"hi{i}"], row[f"n{i}"], row[f"sd{i}"])
-            for i, c in enumerate(cols)}
+    """``column -> (min, max, count, sample std)`` from one long-format aggregate."""
+    got = {r["column"]: (r["lo"], r["hi"], r["n"], r["sd"]) for r in wide_to_long(
+        df, cols, {"lo": F.min, "hi": F.max, "n": F.count, "sd": F.stddev_samp}).collect()}
+    return {c: got[c] for c in cols if c in got}
 
 
 def _edges(lo: float, hi: float) -> tuple[float, float]:
@@ -108,24 +106,21 @@ def box_plot(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 5
         return df.sparkSession.createDataFrame([], schema)
     q = {r["column"]: r for r in quantile_table(
         df, cols, [0.25, 0.5, 0.75], ["q1", "med", "q3"], approx_accuracy).collect()}
-    cols = [c for c in cols if c in q]
+    cols = [c for c in cols if c in q and q[c]["q1"] is not None]
     if not cols:
         return df.sparkSession.createDataFrame([], schema)
-    aggs, recs = [], []
-    for i, c in enumerate(cols):
-        r = q[c]
-        iqr = r["q3"] - r["q1"]
-        lo, hi = r["q1"] - 1.5 * iqr, r["q3"] + 1.5 * iqr
-        x = as_double(c)
-        inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
-        aggs += [F.min(F.when(inside, x)).alias(f"wl{i}"), F.max(F.when(inside, x)).alias(f"wh{i}"),
-                 F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"f{i}")]
-        recs.append(F.struct(F.lit(c).alias("column"), F.lit(r["q1"]).alias("q1"),
-                             F.lit(r["med"]).alias("med"), F.lit(r["q3"]).alias("q3"),
-                             F.col(f"wl{i}").alias("whisker_lo"),
-                             F.col(f"wh{i}").alias("whisker_hi"),
-                             F.col(f"f{i}").cast("long").alias("n_fliers")))
-    return df.agg(*aggs).select(F.explode(F.array(*recs)).alias("r")).select("r.*")
+    bounds = df.sparkSession.createDataFrame(
+        [(c, q[c]["q1"], q[c]["med"], q[c]["q3"],
+          q[c]["q1"] - 1.5 * (q[c]["q3"] - q[c]["q1"]), q[c]["q3"] + 1.5 * (q[c]["q3"] - q[c]["q1"]))
+         for c in cols], "column string, q1 double, med double, q3 double, lo double, hi double")
+    x = F.col("value")
+    inside = (x >= F.col("lo")) & (x <= F.col("hi"))
+    # bounds: one row per column, broadcast to the scan
+    return (long_values(df, cols).join(F.broadcast(bounds), "column")
+            .groupBy("column", "q1", "med", "q3")
+            .agg(F.min(F.when(inside, x)).alias("whisker_lo"),
+                 F.max(F.when(inside, x)).alias("whisker_hi"),
+                 F.count_if(~inside).cast("long").alias("n_fliers")))
 
 
 def bar_chart(df: DataFrame, col: str | None = None, k: int = 10) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tabulon.functions.columns import (
     as_double, is_floating, nan_to_null, numeric_columns, qcol, quote, string_columns,
 )
+from tabulon.operators.profile import wide_to_long
 from tabulon.operators.ranking import column_modes, quantile_table
 
 # The whitespace pattern used for stripping text (Java regex,
@@ -40,8 +41,10 @@ def empty_columns(df: DataFrame) -> list[str]:
     if not df.columns:
         return []
     d = nan_to_null(df)
-    row = d.agg(*[F.count(qcol(c)).alias(f"c{i}") for i, c in enumerate(d.columns)]).first()
-    return [c for i, c in enumerate(d.columns) if row[f"c{i}"] == 0]
+    got = {r["column"]: r["n"] for r in wide_to_long(
+        d, d.columns, {"n": F.count}, value=lambda c: F.when(qcol(c).isNotNull(), F.lit(1))
+    ).collect()}
+    return [c for c in d.columns if got.get(c, 0) == 0]
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
@@ -93,12 +96,11 @@ def zscore(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         return df
-    row = df.agg(*[F.avg(as_double(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(as_double(c)).alias(f"s{i}") for i, c in enumerate(cols)]
-                 ).first()
+    m = {r["column"]: r for r in wide_to_long(
+        df, cols, {"mean": F.avg, "sd": F.stddev_pop}).collect()}
     exprs = {}
-    for i, c in enumerate(cols):
-        mu, sd = row[f"m{i}"], row[f"s{i}"]
+    for c in cols:
+        mu, sd = (m[c]["mean"], m[c]["sd"]) if c in m else (None, None)
         if mu is None:
             exprs[c] = as_double(c)
             continue
@@ -119,9 +121,11 @@ def encode_categorical(df: DataFrame, max_distinct: int = ENCODE_MAX_DISTINCT,
     cols = list(cols) if cols is not None else string_columns(df)
     if not cols:
         return df
-    approx = df.agg(*[F.approx_count_distinct(qcol(c), 0.01).alias(f"a{i}")
-                      for i, c in enumerate(cols)]).first()
-    candidates = [c for i, c in enumerate(cols) if approx[f"a{i}"] < 2 * max_distinct + 5]
+    approx = {r["column"]: r["a"] for r in wide_to_long(
+        df, cols, {"a": lambda v: F.approx_count_distinct(v, 0.05)},
+        value=lambda c: qcol(c).cast("string")).collect()}
+    # HLL at 5 % error: a column with < max_distinct values never reaches the cut
+    candidates = [c for c in cols if approx.get(c, 0) < 2 * max_distinct + 5]
     exprs = {}
     if candidates:
         vals = (df.select(F.explode(F.array(*[
@@ -153,17 +157,17 @@ def text_to_number(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     cols = list(cols) if cols is not None else string_columns(df)
     if not cols:
         return df
-    conv = {c: _to_number(c) for c in cols}
-    row = df.agg(*[F.bool_or(qcol(c).rlike(MONEY_HINT)).alias(f"h{i}")
-                   for i, c in enumerate(cols)],
-                 *[F.count(conv[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    exprs = {f"{c}_numeric": conv[c] for i, c in enumerate(cols)
-             if row[f"h{i}"] and row[f"n{i}"] > 0}
+    facts = {r["column"]: r for r in wide_to_long(
+        df, cols, {"hint": lambda v: F.bool_or(v.rlike(MONEY_HINT)),
+                   "n": lambda v: F.count(_to_number(v))},
+        value=lambda c: qcol(c)).collect()}
+    exprs = {f"{c}_numeric": _to_number(qcol(c)) for c in cols
+             if c in facts and facts[c]["hint"] and facts[c]["n"] > 0}
     return df.withColumns(exprs) if exprs else df
 
 
-def _to_number(c: str):
-    s = F.regexp_replace(qcol(c), MONEY_CHARS, "")
+def _to_number(c):
+    s = F.regexp_replace(c, MONEY_CHARS, "")
     return F.when(s.rlike(NUMBER_SHAPE), F.trim(s).try_cast("double"))
 
 
@@ -191,10 +195,11 @@ def find_datetime_column(df: DataFrame, min_share: float = 0.5) -> str | None:
              and ("date" in f.name.lower() or "time" in f.name.lower())]
     if not cands:
         return None
-    row = df.agg(*[F.avg(F.try_to_timestamp(qcol(c)).isNotNull().cast("double")).alias(f"p{i}")
-                   for i, c in enumerate(cands)]).first()
-    for i, c in enumerate(cands):
-        if row[f"p{i}"] is not None and row[f"p{i}"] >= min_share:
+    share = {r["column"]: r["p"] for r in wide_to_long(
+        df, cands, {"p": F.avg},
+        value=lambda c: F.try_to_timestamp(qcol(c)).isNotNull().cast("double")).collect()}
+    for c in cands:
+        if share.get(c) is not None and share[c] >= min_share:
             return c
     return None
 

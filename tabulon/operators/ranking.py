@@ -267,8 +267,12 @@ def global_index(df: DataFrame, order_by: Sequence[str | Column], group: str | N
     readers see the same partition ids even after a lost executor.
     Keep ``group`` to a column of few values (a column name, a series id).
     """
+    # a per-row id as the last key: rows equal on every key (even a third of
+    # all rows) can then be split over several range partitions; such rows
+    # are interchangeable, so their relative order does not matter
+    df = df.withColumn("_tie", F.monotonically_increasing_id())
     keys = ([F.col(group)] if group else []) + [
-        F.col(c) if isinstance(c, str) else c for c in order_by]
+        F.col(c) if isinstance(c, str) else c for c in order_by] + [F.col("_tie")]
     g = F.col(group) if group else F.lit(0)
     r = (df.repartitionByRange(_partitions(df), *keys)
          .sortWithinPartitions(*keys)
@@ -284,4 +288,4 @@ def global_index(df: DataFrame, order_by: Sequence[str | Column], group: str | N
                         F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     out = r.join(F.broadcast(offs), ["_g", "_pid"])
     return out.withColumn(name, F.col("_off") + F.col("_pos") - F.col("_min")).drop(
-        "_g", "_pid", "_pos", "_min", "_off")
+        "_g", "_pid", "_pos", "_min", "_off", "_tie")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.columns import qcol, quote
+from tabulon.operators.profile import wide_to_long
 
 # The texts pandas reads as missing by default (read_csv na_values).
 PANDAS_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -102,19 +103,17 @@ def infer_types(df: DataFrame) -> DataFrame:
         "timestamp": lambda c: F.when(F.trim(c).rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d"),
                                       F.try_to_timestamp(F.trim(c))),
     }
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs.append(F.count(qcol(c)).alias(f"n{i}"))
-        for t, fn in tests.items():
-            aggs.append(F.count(fn(qcol(c))).alias(f"{t}{i}"))
-    row = df.agg(*aggs).first()
+    stats = {"n": F.count, **{t: (lambda fn: lambda v: F.count(fn(v)))(fn)
+                              for t, fn in tests.items()}}
+    facts = {r["column"]: r for r in wide_to_long(df, cols, stats,
+                                                  value=lambda c: qcol(c)).collect()}
     exprs = {}
-    for i, c in enumerate(cols):
-        n = row[f"n{i}"]
+    for c in cols:
+        n = facts[c]["n"] if c in facts else 0
         if n == 0:
             continue
         for t, fn in tests.items():
-            if row[f"{t}{i}"] == n:
+            if facts[c][t] == n:
                 exprs[c] = fn(qcol(c))
                 break
     return df.withColumns(exprs) if exprs else df

@@ -119,3 +119,13 @@ def test_range_path_equals_window_path(spark):
     pdf = df.toPandas()
     for c, p, v in by_range:
         assert math.isclose(v, pdf[c].quantile(p))
+
+
+def test_global_index_hot_duplicate_group(spark):
+    # a third of all rows identical on the order key: still a dense 0..n-1 index
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k")).repartition(5)
+    idx = global_index(df, ["k"]).collect()
+    assert sorted(r["idx"] for r in idx) == list(range(3000))
+    hot = sorted(r["idx"] for r in idx if r["k"] == -1)
+    assert hot == list(range(1000))
