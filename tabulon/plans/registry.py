@@ -879,3 +879,37 @@ def q_path(spark, d):
     li = table(spark, d, "lineitem")
     ends = li.agg(F.min("l_suppkey").alias("s"), F.max("l_partkey").alias("p")).first()
     return shortest_path(supply_edges(spark, d), f"s{ends['s']}", f"p{ends['p']}")
+
+
+# ================================================================== more charts / questions
+@register("heatmap", union_all([
+    f"""SELECT '{a}' AS var1, '{b}' AS var2, {sr(f'corr({a}, {b})', 2)} AS r FROM {PRICED_SQL} p"""
+    for a in PRICED for b in PRICED]))
+def q_heatmap(spark, d):
+    from tabulon.plans.runner import chart_data
+    return chart_data(priced_lineitem(spark, d), ["correlation_heatmap"])["correlation_heatmap"]
+
+
+@register("pair_correlation", f"""
+SELECT 'l_quantity' AS var1, 'charge' AS var2, {sr('corr(l_quantity, charge)', 6)} AS r
+FROM {PRICED_SQL} p""")
+def q_pair(spark, d):
+    m = stats.correlation_matrix(priced_lineitem(spark, d), ["l_quantity", "charge"])
+    return round_doubles(m.where((F.col("var1") == "l_quantity") & (F.col("var2") == "charge")), 6)
+
+
+@register("delay_slope_text_dates", f"""
+WITH y AS (SELECT year(l_shipdate) AS year,
+                  avg(datediff('day', strptime(strftime(o_orderdate, '%d-%m-%Y'), '%d-%m-%Y'),
+                               CAST(l_shipdate AS DATE))) AS m
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+           WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT count(*) AS years, {sr('regr_slope(m, year)', 6)} AS slope FROM y""")
+def q_delay_text(spark, d):
+    from tabulon.plans.questions import yearly_delay_slope
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate")
+    o = (table(spark, d, "orders").where(F.col("o_orderstatus") == "F")
+         .select("o_orderkey", F.date_format("o_orderdate", "dd-MM-yyyy").alias("registered")))
+    j = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        "registered", F.col("l_shipdate").cast("date").alias("l_shipdate"))
+    return round_doubles(yearly_delay_slope(j, "registered", "l_shipdate", "l_shipdate"), 6)
