@@ -18,7 +18,8 @@ acceptable, so the operators here are built from shuffles that split the work:
 * ``column_modes`` -- most frequent value per column, smallest value on ties,
   with a partial ``min(struct(-cnt, value))`` aggregate.
 * ``top_values`` -- top-k per column in two rounds: top-k inside hash buckets
-  of the values, then top-k of the k x buckets candidates.
+  of the values (as many buckets as shuffle partitions), then top-k of the
+  k x buckets candidates.
 * ``global_index`` -- 0-based row number in a total order, optionally
   restarting per group, from a range shuffle plus
   ``monotonically_increasing_id`` and broadcast offsets.
@@ -35,7 +36,6 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.columns import qcol
 
-_QUANTILE_BUCKETS = 64
 # distinct values of one column that may be ranked inside a single task
 WINDOW_LIMIT = 2_000_000
 
@@ -226,7 +226,7 @@ def column_modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def top_values(df: DataFrame, cols: Sequence[str], k: int = 5,
-               buckets: int = _QUANTILE_BUCKETS) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """Top-``k`` values per column by frequency -> ``(column, value, cnt, rank)``.
 
     Order: count descending, then value ascending (a total order, so the cut
@@ -241,9 +241,16 @@ def top_values(df: DataFrame, cols: Sequence[str], k: int = 5,
     return top_k_counts(counts, k, buckets)
 
 
-def top_k_counts(counts: DataFrame, k: int, buckets: int = _QUANTILE_BUCKETS,
+def top_k_counts(counts: DataFrame, k: int, buckets: int | None = None,
                  group: str = "column", key: str = "value", weight: str = "cnt") -> DataFrame:
-    """Top-``k`` rows per ``group`` of an already aggregated table."""
+    """Top-``k`` rows per ``group`` of an already aggregated table.
+
+    Round 1 keeps the top ``k`` of each (group, hash bucket); with as many
+    buckets as shuffle partitions a bucket holds about one partition's share
+    of a group's values, whatever the data size.  Round 2 ranks the
+    k x buckets candidates of each group.
+    """
+    buckets = buckets or _partitions(counts)
     order = [F.col(weight).desc(), F.col(key).asc()]
     first = (counts.withColumn("_b", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)))
              .withColumn("_r", F.row_number().over(
