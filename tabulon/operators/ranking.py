@@ -17,9 +17,8 @@ acceptable, so the operators here are built from shuffles that split the work:
   ``quantile_cont`` do.
 * ``column_modes`` -- most frequent value per column, smallest value on ties,
   with a partial ``min(struct(-cnt, value))`` aggregate.
-* ``top_values`` -- top-k per column in two rounds: top-k inside hash buckets
-  of the values (as many buckets as shuffle partitions), then top-k of the
-  k x buckets candidates.
+* ``top_values`` -- top-k per column: ``row_number() <= k`` that Spark plans
+  as a partial per-task limit before the shuffle and a final one after it.
 * ``global_index`` -- 0-based row number in a total order, optionally
   restarting per group, from a range shuffle plus
   ``monotonically_increasing_id`` and broadcast offsets.
@@ -225,38 +224,32 @@ def column_modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                        (-F.col("m.neg")).alias("cnt"))
 
 
-def top_values(df: DataFrame, cols: Sequence[str], k: int = 5,
-               buckets: int | None = None) -> DataFrame:
+def top_values(df: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame:
     """Top-``k`` values per column by frequency -> ``(column, value, cnt, rank)``.
 
     Order: count descending, then value ascending (a total order, so the cut
-    at ``k`` is deterministic).  Two rounds keep every window partition small
-    even when one column has billions of distinct values.
+    at ``k`` is deterministic).  See ``top_k_counts`` for why no task ever
+    holds a whole column.
     """
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, value string, cnt long, rank int")
     counts = (long_values(df, cols, cast="string")
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    return top_k_counts(counts, k, buckets)
+    return top_k_counts(counts, k)
 
 
-def top_k_counts(counts: DataFrame, k: int, buckets: int | None = None,
-                 group: str = "column", key: str = "value", weight: str = "cnt") -> DataFrame:
+def top_k_counts(counts: DataFrame, k: int, group: str = "column", key: str = "value",
+                 weight: str = "cnt") -> DataFrame:
     """Top-``k`` rows per ``group`` of an already aggregated table.
 
-    Round 1 keeps the top ``k`` of each (group, hash bucket); with as many
-    buckets as shuffle partitions a bucket holds about one partition's share
-    of a group's values, whatever the data size.  Round 2 ranks the
-    k x buckets candidates of each group.
+    ``row_number() <= k`` over ``partitionBy(group)`` is planned by Spark as a
+    partial ``WindowGroupLimit`` in every map task before the shuffle, so
+    each task ships at most k rows per group and the final window partition
+    of a group holds at most k x map tasks rows -- never a whole column.
     """
-    buckets = buckets or _partitions(counts)
     order = [F.col(weight).desc(), F.col(key).asc()]
-    first = (counts.withColumn("_b", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)))
-             .withColumn("_r", F.row_number().over(
-                 Window.partitionBy(group, "_b").orderBy(*order)))
-             .where(F.col("_r") <= k).drop("_b", "_r"))
-    return (first.withColumn("rank", F.row_number().over(
+    return (counts.withColumn("rank", F.row_number().over(
         Window.partitionBy(group).orderBy(*order)))
         .where(F.col("rank") <= k))
 
