@@ -59,10 +59,15 @@ def strip_strings(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     return df.withColumns({c: F.regexp_replace(qcol(c), STRIP_PATTERN, "") for c in cols})
 
 
-def clean_data(df: DataFrame) -> DataFrame:
+def clean_data(df: DataFrame, empty: Sequence[str] | None = None) -> DataFrame:
     """De-duplicate, drop empty columns, strip text.  De-duplication runs
-    first, so rows that differ only by whitespace both survive."""
-    return strip_strings(drop_empty_columns(dedup(df)))
+    first, so rows that differ only by whitespace both survive.
+
+    Whether a column is empty does not change with de-duplication, so it is
+    decided on the input (a scan) and the de-duplicating shuffle runs once.
+    """
+    empty = empty_columns(df) if empty is None else list(empty)
+    return strip_strings(dedup(df).drop(*empty))
 
 
 def fill_missing(df: DataFrame, approx_accuracy: int | None = None) -> DataFrame:

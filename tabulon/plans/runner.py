@@ -30,12 +30,18 @@ def run_operations(df: DataFrame, operations: Sequence[str] = DEFAULT_OPERATIONS
     ``with_log=False`` skips the counts that only the log needs.
     """
     log: list[str] = []
-    for op in operations:
+    known = {"clean_data", "handle_missing", "normalize", "encode_categorical",
+             "detect_outliers"}
+    for i, op in enumerate(operations):
         if op == "clean_data":
             before = df.count() if with_log else None
-            deduped = clean.dedup(df)
-            empty = clean.empty_columns(deduped)
-            df = clean.strip_strings(deduped.drop(*empty))
+            empty = clean.empty_columns(df)
+            df = clean.clean_data(df, empty)
+            if with_log or any(o in known for o in operations[i + 1:]):
+                # every later step reads the de-duplicated table several times;
+                # freeze it once in the shared checkpoint folder instead of
+                # re-running the de-duplicating shuffle for each of them
+                df = df.checkpoint(eager=True)
             if with_log:
                 removed = before - df.count()
                 if removed:
