@@ -15,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# frontier rows that may be broadcast to the edge scan in one BFS level
+BROADCAST_FRONTIER_ROWS = 1_000_000
+
 
 def simple_edges(edges: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
     """Unordered, de-duplicated pairs ``(a, b)`` with a <= b; self-loops kept once."""
@@ -36,12 +39,13 @@ def graph_summary(edges: DataFrame, src: str = "source", dst: str = "target") ->
     e = simple_edges(edges, src, dst)
     deg = (e.select(F.explode(F.array("a", "b")).alias("node"))
            .groupBy("node").agg(F.count(F.lit(1)).alias("degree")))
-    ne = e.agg(F.count(F.lit(1)).alias("n_edges"))
-    nd = deg.agg(F.count(F.lit(1)).alias("n_nodes"),
+    # every edge adds 2 to the degree sum, so one aggregate gives both counts
+    nd = deg.agg((F.sum("degree") / 2).cast("long").alias("n_edges"),
+                 F.count(F.lit(1)).alias("n_nodes"),
                  F.min(F.struct((-F.col("degree")).alias("neg"), F.col("node"))).alias("top"))
     v, m = F.col("n_nodes").cast("double"), F.col("n_edges").cast("double")
-    return ne.join(nd, how="inner").select(
-        "n_edges", "n_nodes",
+    return nd.select(
+        F.coalesce("n_edges", F.lit(0).cast("long")).alias("n_edges"), "n_nodes",
         F.when(v > 1, 2 * m / (v * (v - 1))).alias("density"),
         F.when(v > 0, 2 * m / v).alias("average_degree"),
         F.col("top.node").alias("max_degree_node"),
@@ -60,21 +64,30 @@ def shortest_path(edges: DataFrame, start: str, goal: str, src: str = "source",
     is the smallest name, so the answer is deterministic."""
     spark = edges.sparkSession
     e = simple_edges(edges, src, dst)
-    both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # built once (the de-duplication is a shuffle) and reused by every level
+    both = (e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            .checkpoint(eager=True))
     visited = spark.createDataFrame([(start, None, 0)], "node string, parent string, depth int")
-    frontier = visited
+    frontier, size = visited, 1
     depth = 0
     found = start == goal
     while not found:
         depth += 1
         if max_depth is not None and depth > max_depth:
             break
-        nxt = (frontier.select(F.col("node").alias("a")).join(both, "a")
+        front = frontier.select(F.col("node").alias("a"))
+        # the frontier is counted each level: broadcast it only under a fixed
+        # row bound, so the edge list streams through without a shuffle;
+        # beyond the bound both sides shuffle (sort-merge join)
+        if size <= BROADCAST_FRONTIER_ROWS:
+            front = F.broadcast(front)
+        nxt = (front.join(both, "a")
                .groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
                .join(visited.select("node"), "node", "left_anti")
                .withColumn("depth", F.lit(depth)))
         nxt = nxt.checkpoint(eager=True)
-        if nxt.isEmpty():
+        size = nxt.count()
+        if size == 0:
             break
         visited = visited.unionByName(nxt).checkpoint(eager=True)
         frontier = nxt

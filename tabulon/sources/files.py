@@ -296,11 +296,11 @@ def sample_head(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame
 
 def sample_preview(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
     """``(sample_json, sample_size, total_size)`` in one row."""
+    total = df.count()  # one number
     head = sample_head(df, order_by, n)
-    rows = head.agg(F.to_json(F.collect_list(F.struct(*[qcol(c) for c in df.columns])))
-                    .alias("sample_json"), F.count(F.lit(1)).alias("sample_size"))
-    total = df.agg(F.count(F.lit(1)).alias("total_size"))
-    return rows.join(total, how="inner")
+    return head.agg(F.to_json(F.collect_list(F.struct(*[qcol(c) for c in df.columns])))
+                    .alias("sample_json"), F.count(F.lit(1)).alias("sample_size"),
+                    F.lit(total).alias("total_size"))
 
 
 # ------------------------------------------------------------------ S15, S16 sinks
