@@ -71,15 +71,25 @@ def clean_data(df: DataFrame, empty: Sequence[str] | None = None) -> DataFrame:
 
 
 def fill_missing(df: DataFrame, approx_accuracy: int | None = None) -> DataFrame:
-    """Numeric -> median (columns become double), text -> mode (smallest
-    value on ties), all-missing text -> 'Unknown', all-missing numeric stays.
-
-    One distributed quantile job for all numeric columns and one mode job for
-    all text columns; the fill values are a few literals.
+    """Numeric -> median, text -> mode (smallest value on ties),
+    all-missing text -> 'Unknown', all-missing numeric stays missing.
+
+    As in pandas, a numeric column with missing values comes back as double
+    (its median may be fractional); a complete column keeps its type.  One
+    pass counts the gaps, one distributed quantile job covers the numeric
+    columns that have any, one mode job the text columns; the fill values
+    are a few literals.
     """
     df = nan_to_null(df)
     nums = numeric_columns(df)
     texts = string_columns(df)
+    if not nums and not texts:
+        return df
+    gaps = {r["column"]: r["missing"] for r in wide_to_long(
+        df, nums + texts, {"missing": lambda v: F.count_if(v)},
+        value=lambda c: qcol(c).isNull()).collect()}
+    nums = [c for c in nums if gaps.get(c, 0) > 0]
+    texts = [c for c in texts if gaps.get(c, 0) > 0]
     fills: dict[str, object] = {}
     if nums:
         for r in quantile_table(df, nums, [0.5], ["median"], approx_accuracy).collect():

@@ -313,7 +313,7 @@ _MODE_SQL = ("(SELECT {c} FROM {src} WHERE {c} IS NOT NULL GROUP BY {c} "
 
 
 @register("fill_missing", f"""
-SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey,
+SELECT o_orderkey,
   {sr('coalesce(o_custkey, (SELECT median(o_custkey) FROM ' + ORDERS_GAPS_SQL + ' g))')} AS o_custkey,
   coalesce(o_orderstatus, {_MODE_SQL.format(c='o_orderstatus', src=ORDERS_GAPS_SQL + ' g2')})
     AS o_orderstatus,

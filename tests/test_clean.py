@@ -91,3 +91,10 @@ def test_find_and_parse_datetime(spark):
                                  ["x"]).count() == 1
     assert clean.find_datetime_column(df.select("v")) is None
     assert F is not None
+
+
+def test_fill_missing_types_follow_pandas(spark):
+    df = spark.createDataFrame([(1, 10), (2, None), (3, 40)], "full bigint, gappy bigint")
+    out = clean.fill_missing(df)
+    assert dict(out.dtypes) == {"full": "bigint", "gappy": "double"}
+    assert sorted(r["gappy"] for r in out.collect()) == [10.0, 25.0, 40.0]
