@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tabulon.functions.columns import (
     as_double, kind_of, missing, nan_to_null, numeric_columns, qcol, string_columns,
 )
-from tabulon.operators.ranking import quantile_table, top_values as _top_values
+from tabulon.operators.ranking import column_summary, quantile_table, top_values as _top_values
 
 Stat = Callable[[str], Column]
 
@@ -122,12 +122,22 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
         return df.sparkSession.createDataFrame(
             [], "position int, column string, count long, mean double, std double, "
                 "min double, q25 double, q50 double, q75 double, max double")
-    moments = wide_to_long(df, cols, {
-        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
-    q = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], approx_accuracy)
-    return (moments.join(q, "column", "left")
-            .select("position", "column", "count", "mean", "std", "min",
-                    "q25", "q50", "q75", "max"))
+    if approx_accuracy:
+        moments = wide_to_long(df, cols, {
+            "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
+        q = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], approx_accuracy)
+        return (moments.join(q, "column", "left")
+                .select("position", "column", "count", "mean", "std", "min",
+                        "q25", "q50", "q75", "max"))
+    # exact: quantiles and moments from one pre-aggregate (one pass over the data)
+    qs, mom = column_summary(df, cols, [0.25, 0.5, 0.75], moments=True)
+    q = {(r["column"], r["prob"]): r["value"] for r in qs.collect()}
+    rows = [(i, r["column"], r["n"], r["mean"], r["std"], r["min"],
+             q.get((r["column"], 0.25)), q.get((r["column"], 0.5)), q.get((r["column"], 0.75)),
+             r["max"]) for i, r in enumerate(mom.collect())]
+    return df.sparkSession.createDataFrame(
+        rows, "position int, column string, count long, mean double, std double, "
+              "min double, q25 double, q50 double, q75 double, max double")
 
 
 def skew_kurtosis(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -90,35 +90,81 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     ``approx_accuracy`` switches to ``percentile_approx`` (one pass, bounded
     sketch memory, rank error about n / accuracy).
     """
+    return column_summary(df, cols, probs, approx_accuracy, window_limit)[0]
+
+
+def column_summary(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                   approx_accuracy: int | None = None, window_limit: int = WINDOW_LIMIT,
+                   moments: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Quantiles and, with ``moments``, per-column moments from ONE pass.
+
+    Returns ``(quantiles (column, prob, value), moments (column, n, mean, std,
+    min, max, g1, g2) or None)``.  The moments come from the cached
+    ``(column, value) -> count`` table -- weighted sums, then weighted
+    central moments around the mean (two passes over that table, none over
+    the data), so describe-style profiles read the data once.
+    """
     spark = df.sparkSession
     schema = "column string, prob double, value double"
-    if not cols or not probs:
-        return spark.createDataFrame([], schema)
+    mschema = ("column string, n long, mean double, std double, min double, max double, "
+               "g1 double, g2 double")
+    if not cols:
+        return spark.createDataFrame([], schema), (spark.createDataFrame([], mschema)
+                                                   if moments else None)
     probs = [float(p) for p in probs]
     cols = list(cols)
     long = _long_ids(df, cols)
-    if approx_accuracy:
+    if approx_accuracy and not moments:
         arr = F.array(*[F.lit(p) for p in probs])
         q = (long.groupBy("cid")
              .agg(F.percentile_approx("value", arr, approx_accuracy).alias("qs"))
              .select("cid", F.posexplode("qs").alias("i", "value"))
              .select("cid", F.element_at(arr, F.col("i") + 1).alias("prob"), "value"))
-        return _named(spark, q.collect(), cols, schema)
+        return _named(spark, q.collect(), cols, schema), None
     counts = (long.groupBy("cid", "value").agg(F.count(F.lit(1)).alias("cnt"))
               .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        distinct = {r["cid"]: r["d"] for r in
-                    counts.groupBy("cid").agg(F.count(F.lit(1)).alias("d")).collect()}
-        small = [i for i, d in distinct.items() if d <= window_limit]
-        big = [i for i, d in distinct.items() if d > window_limit]
+        first = {r["cid"]: r for r in counts.groupBy("cid").agg(
+            F.count(F.lit(1)).alias("d"), F.sum("cnt").alias("n"),
+            (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
+            F.min("value").alias("min"), F.max("value").alias("max")).collect()}
         got = []
-        if small:
-            got += _quantiles_by_window(counts.where(F.col("cid").isin(small)), probs).collect()
-        if big:
-            got += _quantiles_by_range(counts.where(F.col("cid").isin(big)), probs).collect()
+        if probs:
+            small = [i for i, r in first.items() if r["d"] <= window_limit]
+            big = [i for i, r in first.items() if r["d"] > window_limit]
+            if small:
+                got += _quantiles_by_window(counts.where(F.col("cid").isin(small)),
+                                            probs).collect()
+            if big:
+                got += _quantiles_by_range(counts.where(F.col("cid").isin(big)),
+                                           probs).collect()
+        mom = None
+        if moments:
+            mean = F.create_map(*[x for i, r in first.items()
+                                  for x in (F.lit(i), F.lit(r["mean"]))]) if first else None
+            central = {}
+            if first:
+                dev = F.col("value") - mean[F.col("cid")]
+                central = {r["cid"]: r for r in counts.groupBy("cid").agg(
+                    *[F.sum(F.col("cnt") * F.pow(dev, k)).alias(f"m{k}") for k in (2, 3, 4)]
+                ).collect()}
+            rows = []
+            for i, c in enumerate(cols):
+                r = first.get(i)
+                if r is None:
+                    rows.append((c, 0, None, None, None, None, None, None))
+                    continue
+                n, m = r["n"], central[i]
+                m2, m3, m4 = m["m2"], m["m3"], m["m4"]
+                std = (m2 / (n - 1)) ** 0.5 if n > 1 else None
+                g1 = (m3 / n) / (m2 / n) ** 1.5 if m2 > 0 else None
+                g2 = (m4 / n) / (m2 / n) ** 2 - 3.0 if m2 > 0 else None
+                rows.append((c, int(n), float(r["mean"]), std, float(r["min"]), float(r["max"]),
+                             g1, g2))
+            mom = spark.createDataFrame(rows, mschema)
     finally:
         counts.unpersist()
-    return _named(spark, got, cols, schema)
+    return _named(spark, got, cols, schema), mom
 
 
 def _long_ids(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.columns import as_double, nan_to_null, numeric_columns
 from tabulon.operators.profile import wide_to_long
-from tabulon.operators.ranking import quantile_table
+from tabulon.operators.ranking import column_summary, exact_quantiles
 
 def _comoments(cols: list[str], shift: list[float]):
     """Per partition: pairwise-complete sums as k x k matrices (NumPy BLAS).
@@ -167,17 +167,20 @@ def distribution(df: DataFrame, cols: Sequence[str] | None = None, alpha: float
         return df.sparkSession.createDataFrame(
             [], "position int, column string, mean double, median double, std double, "
                 "min double, max double, is_normal boolean, p_value double")
-    m = wide_to_long(df, cols, {
-        "n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
-        "g1": F.skewness, "g2": F.kurtosis})
-    med = {r["column"]: r["median"] for r in
-           quantile_table(df, cols, [0.5], ["median"], approx_accuracy).collect()}
+    if approx_accuracy:  # sketch quantiles; moments straight from the data
+        mom = wide_to_long(df, cols, {
+            "n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+            "g1": F.skewness, "g2": F.kurtosis}).orderBy("position")
+        qs = exact_quantiles(df, cols, [0.5], approx_accuracy)
+    else:  # quantiles and moments from one pre-aggregate
+        qs, mom = column_summary(df, cols, [0.5], moments=True)
+    med = {r["column"]: r["value"] for r in qs.collect()}
     # one row per column is all that is left: the test itself is plain
     # arithmetic on those few numbers
     rows = []
-    for r in m.orderBy("position").collect():
+    for i, r in enumerate(mom.collect()):
         p = normality_p(r["n"], r["g1"], r["g2"])
-        rows.append((r["position"], r["column"], r["mean"], med.get(r["column"]), r["std"],
+        rows.append((i, r["column"], r["mean"], med.get(r["column"]), r["std"],
                      r["min"], r["max"], bool(p is not None and p > alpha), p))
     return df.sparkSession.createDataFrame(
         rows, "position int, column string, mean double, median double, std double, "
