@@ -199,12 +199,27 @@ def parse_json_column(df: DataFrame, col: str, schema: T.StructType | str | None
 
 
 # ------------------------------------------------------------------ S7 parquet
+# The Hadoop S3A option and provider for public (unsigned) reads.
+S3A_PROVIDER_OPTION = "fs.s3a.aws.credentials.provider"
+S3A_ANONYMOUS_PROVIDER = "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider"
+
+
+def object_path(bucket: str, key: str = "", scheme: str = "s3a") -> str:
+    """``bucket`` + ``key`` -> ``s3a://bucket/key`` (a key may be a prefix or glob)."""
+    return f"{scheme}://{bucket.strip('/')}/{key.lstrip('/')}"
+
+
 def read_parquet(spark: SparkSession, path: str | Sequence[str],
-                 base_path: str | None = None, **options) -> DataFrame:
+                 base_path: str | None = None, anonymous: bool = False,
+                 **options) -> DataFrame:
     """Parquet files, folders or globs; ``base_path`` keeps partition
-    columns (``year=/court=/bench=``) when a sub-folder is read.  Object-store
-    paths (``s3a://``) work when the cluster has the connector."""
+    columns (``year=/court=/bench=``) when a sub-folder is read, so filters on
+    them prune folders.  Object-store paths (``s3a://``) need the S3A
+    connector on the cluster; ``anonymous`` reads a public bucket without
+    credentials (a per-read Hadoop option, the session is not changed)."""
     reader = spark.read
+    if anonymous:
+        reader = reader.option(S3A_PROVIDER_OPTION, S3A_ANONYMOUS_PROVIDER)
     if base_path:
         reader = reader.option("basePath", base_path)
     for k, v in options.items():

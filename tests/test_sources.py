@@ -86,3 +86,16 @@ def test_parse_json_column(spark):
     df = spark.createDataFrame([(1, '{"k": 69, "m": {"z": "a"}}'), (2, None)], "id int, props string")
     out = files.parse_json_column(df, "props").orderBy("id").collect()
     assert out[0]["props.k"] == 69 and out[0]["props.m.z"] == "a" and out[1]["props.k"] is None
+
+
+def test_partitioned_parquet_and_object_paths(spark, folder):
+    from pyspark.sql import functions as F
+    out = os.path.join(folder, "court")
+    spark.createDataFrame([(2019, "a", 1), (2020, "a", 2), (2020, "b", 3)],
+                          "year int, court string, v int").write.partitionBy("year", "court") \
+        .parquet(out)
+    part = files.read_parquet(spark, os.path.join(out, "year=2020"), base_path=out)
+    assert sorted(part.columns) == ["court", "v", "year"] and part.count() == 2
+    pruned = files.read_parquet(spark, out).where(F.col("year") == 2019)
+    assert pruned.count() == 1
+    assert files.object_path("bucket", "/a/b.parquet") == "s3a://bucket/a/b.parquet"
