@@ -230,10 +230,3 @@ def grouped_normality(df: DataFrame, groups: Sequence[str], value: str,
     return m.select(*groups, "n", "mean", "std",
                     F.coalesce(F.col("p_value") > alpha, F.lit(False)).alias("is_normal"),
                     "p_value")
-
-
-def moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Helper table ``(position, column, n, mean, var_pop)`` used by z-scores."""
-    df = nan_to_null(df)
-    cols = list(cols) if cols is not None else numeric_columns(df)
-    return wide_to_long(df, cols, {"n": F.count, "mean": F.avg, "std_pop": F.stddev_pop})

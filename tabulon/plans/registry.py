@@ -499,10 +499,6 @@ def q_trend_range(spark, d):
     return trend.trend_summary(table(spark, d, "events"), "ts")
 
 
-def all_numeric(df: DataFrame) -> list[str]:
-    return numeric_columns(df)
-
-
 # ================================================================== runner
 RUN_OPS = ["clean_data", "handle_missing", "normalize", "encode_categorical"]
 _G5 = f"(SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority FROM {ORDERS_GAPS_SQL} g)"

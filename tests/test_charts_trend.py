@@ -77,3 +77,19 @@ def test_trend_text_dates_and_line_chart(spark):
     big = spark.range(0, 100).select(F.col("id"), F.col("id").cast("double").alias("v"))
     pts = trend.line_chart(big, ["id"], "v", max_points=10).collect()
     assert len(pts) == 10
+
+
+def test_partition_invariance_trend_and_top(spark):
+    from tabulon.operators.profile import top_values
+    base = spark.range(0, 2000).select(
+        F.col("id"), F.expr("timestamp_seconds(id * 60)").alias("ts"),
+        ((F.col("id") * 7919) % 101).cast("double").alias("v"),
+        F.concat(F.lit("k"), (F.col("id") % 17).cast("string")).alias("t"))
+    one, seven = base.coalesce(1), base.repartition(7)
+    t1 = trend.trends(one, "ts", ["ts", "id"], ["v"]).first()
+    t7 = trend.trends(seven, "ts", ["ts", "id"], ["v"]).first()
+    assert t1["n"] == t7["n"] and t1["trend"] == t7["trend"]
+    for k in ["slope", "intercept", "r_squared"]:  # equal up to summation order
+        assert math.isclose(t1[k], t7[k], rel_tol=1e-9)
+    assert sorted(map(tuple, top_values(one, ["t"], 3).collect())) == \
+        sorted(map(tuple, top_values(seven, ["t"], 3).collect()))
