@@ -64,6 +64,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, src: str = "source",
     is the smallest name, so the answer is deterministic."""
     spark = edges.sparkSession
     e = simple_edges(edges, src, dst)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     # built once (the de-duplication is a shuffle) and reused by every level
     both = (e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
             .checkpoint(eager=True))
@@ -89,7 +90,9 @@ def shortest_path(edges: DataFrame, start: str, goal: str, src: str = "source",
         size = nxt.count()
         if size == 0:
             break
-        visited = visited.unionByName(nxt).checkpoint(eager=True)
+        # coalesce (no shuffle) keeps the partition count of the growing
+        # visited set fixed instead of adding the new level's partitions
+        visited = visited.unionByName(nxt).coalesce(parts).checkpoint(eager=True)
         frontier = nxt
         found = not nxt.where(F.col("node") == goal).isEmpty()
     if not found:
