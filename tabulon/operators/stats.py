@@ -69,6 +69,9 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     shift = [means.get(c) or 0.0 for c in cols]
     names = [f"c{i}" for i in range(len(cols))]
     data = df.select(*[as_double(c).alias(n) for c, n in zip(cols, names)])
+    # every task emits k^2 cells: cap the number of tasks (a narrow coalesce,
+    # no shuffle) so the cell shuffle stays bounded however many splits there are
+    data = data.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
     cells = (data.mapInPandas(_comoments(names, shift),
                               "cell long, n double, sa double, saa double, sab double")
              .groupBy("cell").agg(*[F.sum(c).alias(c) for c in ["n", "sa", "saa", "sab"]]))
