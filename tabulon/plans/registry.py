@@ -527,7 +527,25 @@ def q_run_operations(spark, d):
     return round_doubles(out)
 
 
-@register("insights")
+def _insights_sql() -> str:
+    pairs = union_all([f"SELECT corr({a}, {b}) AS r FROM {PRICED_SQL} p"
+                       for i, a in enumerate(PRICED) for b in PRICED[i + 1:]])
+    normal = _normality_sql(PRICED, PRICED_SQL)
+    return f"""
+WITH strong AS (SELECT count(*) AS n FROM ({pairs}) c WHERE abs(r) > 0.7),
+normal AS (SELECT string_agg(chr(39) || "column" || chr(39), ', ' ORDER BY position) AS cols,
+                  count(*) AS n FROM ({normal}) t WHERE is_normal),
+lines AS (
+  SELECT 1 AS k, 'Found ' || CAST(n AS VARCHAR) || ' strong correlations between variables'
+    AS text FROM strong WHERE n > 0
+  UNION ALL
+  SELECT 2, 'Variables [' || cols || '] follow normal distribution' FROM normal WHERE n > 0)
+SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS ord, text FROM lines"""
+
+
+# NULL-free table: no missing-value line; strong pairs and normal columns from
+# the same formulas as the correlation and normality oracles
+@register("insights", _insights_sql())
 def q_insights(spark, d):
     from tabulon.plans.runner import run_steps
     res = run_steps(priced_lineitem(spark, d),
