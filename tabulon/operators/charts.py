@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.columns import as_double, nan_to_null, numeric_columns, qcol, string_columns
 from tabulon.operators.profile import wide_to_long
-from tabulon.operators.ranking import long_values, quantile_table, top_k_counts
+from tabulon.operators.ranking import (
+    long_values, quantile_table, quantiles_from_counts, top_k_counts, value_counts,
+)
 
 
 def _ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
@@ -97,30 +99,53 @@ def box_plot(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 5
              approx_accuracy: int | None = None) -> DataFrame:
     """V4: ``(column, q1, med, q3, whisker_lo, whisker_hi, n_fliers)`` for the
     first ``max_cols`` numeric columns.  Tukey whiskers: the most extreme data
-    within 1.5 IQR of the box."""
+    within 1.5 IQR of the box.  Everything comes from one cached
+    ``(column, value) -> count`` table: the data is read once."""
     df = nan_to_null(df)
     cols = (list(cols) if cols is not None else numeric_columns(df))[:max_cols]
     schema = ("column string, q1 double, med double, q3 double, whisker_lo double, "
               "whisker_hi double, n_fliers long")
     if not cols:
         return df.sparkSession.createDataFrame([], schema)
-    q = {r["column"]: r for r in quantile_table(
-        df, cols, [0.25, 0.5, 0.75], ["q1", "med", "q3"], approx_accuracy).collect()}
-    cols = [c for c in cols if c in q and q[c]["q1"] is not None]
-    if not cols:
-        return df.sparkSession.createDataFrame([], schema)
-    bounds = df.sparkSession.createDataFrame(
-        [(c, q[c]["q1"], q[c]["med"], q[c]["q3"],
-          q[c]["q1"] - 1.5 * (q[c]["q3"] - q[c]["q1"]), q[c]["q3"] + 1.5 * (q[c]["q3"] - q[c]["q1"]))
-         for c in cols], "column string, q1 double, med double, q3 double, lo double, hi double")
-    x = F.col("value")
-    inside = (x >= F.col("lo")) & (x <= F.col("hi"))
-    # bounds: one row per column, broadcast to the scan
-    return (long_values(df, cols).join(F.broadcast(bounds), "column")
-            .groupBy("column", "q1", "med", "q3")
-            .agg(F.min(F.when(inside, x)).alias("whisker_lo"),
-                 F.max(F.when(inside, x)).alias("whisker_hi"),
-                 F.count_if(~inside).cast("long").alias("n_fliers")))
+    spark = df.sparkSession
+    if approx_accuracy:
+        q = {r["column"]: r for r in quantile_table(
+            df, cols, [0.25, 0.5, 0.75], ["q1", "med", "q3"], approx_accuracy).collect()}
+        cols = [c for c in cols if c in q and q[c]["q1"] is not None]
+        if not cols:
+            return spark.createDataFrame([], schema)
+        bounds = spark.createDataFrame(
+            [(c, q[c]["q1"], q[c]["med"], q[c]["q3"], q[c]["q1"] - 1.5 * (q[c]["q3"] - q[c]["q1"]),
+              q[c]["q3"] + 1.5 * (q[c]["q3"] - q[c]["q1"])) for c in cols],
+            "column string, q1 double, med double, q3 double, lo double, hi double")
+        x = F.col("value")
+        inside = (x >= F.col("lo")) & (x <= F.col("hi"))
+        # bounds: one row per column, broadcast to the scan
+        return (long_values(df, cols).join(F.broadcast(bounds), "column")
+                .groupBy("column", "q1", "med", "q3")
+                .agg(F.min(F.when(inside, x)).alias("whisker_lo"),
+                     F.max(F.when(inside, x)).alias("whisker_hi"),
+                     F.count_if(~inside).cast("long").alias("n_fliers")))
+    # exact: quartiles, whiskers and fliers from one cached value-count table
+    with value_counts(df, cols) as counts:
+        q: dict[int, dict[float, float]] = {}
+        for r in quantiles_from_counts(counts, [0.25, 0.5, 0.75]):
+            q.setdefault(r["cid"], {})[r["prob"]] = r["value"]
+        if not q:
+            return spark.createDataFrame([], schema)
+        b = spark.createDataFrame(
+            [(i, v[0.25] - 1.5 * (v[0.75] - v[0.25]), v[0.75] + 1.5 * (v[0.75] - v[0.25]))
+             for i, v in q.items()], "cid int, lo double, hi double")
+        x = F.col("value")
+        inside = (x >= F.col("lo")) & (x <= F.col("hi"))
+        got = {r["cid"]: r for r in counts.join(F.broadcast(b), "cid").groupBy("cid").agg(
+            F.min(F.when(inside, x)).alias("whisker_lo"),
+            F.max(F.when(inside, x)).alias("whisker_hi"),
+            F.sum(F.when(~inside, F.col("cnt")).otherwise(0)).cast("long").alias("n_fliers")
+        ).collect()}
+    rows = [(c, q[i][0.25], q[i][0.5], q[i][0.75], got[i]["whisker_lo"], got[i]["whisker_hi"],
+             got[i]["n_fliers"]) for i, c in enumerate(cols) if i in q and i in got]
+    return spark.createDataFrame(rows, schema)
 
 
 def bar_chart(df: DataFrame, col: str | None = None, k: int = 10) -> DataFrame:

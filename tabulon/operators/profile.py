@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from tabulon.functions.columns import (
     as_double, kind_of, missing, nan_to_null, numeric_columns, qcol, string_columns,
 )
-from tabulon.operators.ranking import column_summary, quantile_table, top_values as _top_values
+from tabulon.operators.ranking import (
+    column_summary, quantile_table, quantiles_from_counts, top_values as _top_values, value_counts,
+)
 
 Stat = Callable[[str], Column]
 
@@ -194,29 +196,55 @@ def outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None,
     """``(column, count, percentage, lower, upper)``.
 
     Bounds Q1 - 1.5 IQR and Q3 + 1.5 IQR, strict comparison; the percentage is
-    taken over all rows, missing ones included.  Pass 1 finds the quartiles,
-    pass 2 counts with the bounds as literals (a handful of driver values).
+    taken over all rows, missing ones included.  Quartiles and the counts
+    outside the bounds both come from one cached ``(column, value) -> count``
+    table (bounds broadcast, k rows), so the data is read once plus a row
+    count.
     """
     df = nan_to_null(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, count long, percentage double, lower double, upper double")
-    q = quantile_table(df, cols, [0.25, 0.75], ["q1", "q3"], approx_accuracy)
-    # bounds: one row per column, broadcast to the scan
-    bounds = q.select("column", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower"),
-                      (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper"))
-    recs = [F.struct(F.lit(c).alias("column"), as_double(c).alias("value")) for c in cols]
-    long = df.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
-    v = F.col("value")
-    counted = (long.join(F.broadcast(bounds), "column", "left")
-               .groupBy("column")
-               .agg(F.count_if((v < F.col("lower")) | (v > F.col("upper"))).alias("count"),
-                    F.count(F.lit(1)).alias("_n"),
-                    F.first("lower").alias("lower"), F.first("upper").alias("upper")))
-    return counted.select("column", F.col("count").cast("long").alias("count"),
-                          (F.col("count") * 100.0 / F.col("_n")).alias("percentage"),
-                          "lower", "upper")
+    spark = df.sparkSession
+    schema = "column string, count long, percentage double, lower double, upper double"
+    total = df.count()  # percentages are over all rows, missing ones included
+    if approx_accuracy:
+        q = quantile_table(df, cols, [0.25, 0.75], ["q1", "q3"], approx_accuracy)
+        bounds = q.select("column", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower"),
+                          (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper"))
+        recs = [F.struct(F.lit(c).alias("column"), as_double(c).alias("value")) for c in cols]
+        long = df.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
+        v = F.col("value")
+        got = {r["column"]: r for r in long.join(F.broadcast(bounds), "column")
+               .groupBy("column").agg(F.count_if((v < F.col("lower")) | (v > F.col("upper")))
+                                      .alias("count"), F.first("lower").alias("lower"),
+                                      F.first("upper").alias("upper")).collect()}
+    else:
+        # quartiles and the outside counts both from the cached value counts:
+        # the data is read once
+        with value_counts(df, cols) as counts:
+            q = {}
+            for r in quantiles_from_counts(counts, [0.25, 0.75]):
+                q.setdefault(r["cid"], {})[r["prob"]] = r["value"]
+            rows = [(i, q[i][0.25] - 1.5 * (q[i][0.75] - q[i][0.25]),
+                     q[i][0.75] + 1.5 * (q[i][0.75] - q[i][0.25])) for i in q]
+            got = {}
+            if rows:
+                b = spark.createDataFrame(rows, "cid int, lower double, upper double")
+                v = F.col("value")
+                for r in (counts.join(F.broadcast(b), "cid").groupBy("cid", "lower", "upper")
+                          .agg(F.sum(F.when((v < F.col("lower")) | (v > F.col("upper")),
+                                            F.col("cnt")).otherwise(0)).alias("count"))
+                          .collect()):
+                    got[cols[r["cid"]]] = r
+    out = []
+    for c in cols:
+        r = got.get(c)
+        cnt = int(r["count"]) if r is not None else 0
+        out.append((c, cnt, cnt * 100.0 / total if total else None,
+                    r["lower"] if r is not None else None, r["upper"] if r is not None else None))
+    return spark.createDataFrame(out, schema)
 
 
 def outlier_rows(df: DataFrame, col: str, lower: float, upper: float) -> DataFrame:

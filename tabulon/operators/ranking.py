@@ -27,6 +27,7 @@ acceptable, so the operators here are built from shuffles that split the work:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import StorageLevel
@@ -93,6 +94,35 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return column_summary(df, cols, probs, approx_accuracy, window_limit)[0]
 
 
+@contextmanager
+def value_counts(df: DataFrame, cols: Sequence[str]):
+    """The ``(cid, value, cnt)`` pre-aggregate of ``cols`` (cid = position in
+    ``cols``), persisted while the block runs.  Everything order-statistical
+    about the columns can be read from it without touching the data again."""
+    counts = (_long_ids(df, cols).groupBy("cid", "value")
+              .agg(F.count(F.lit(1)).alias("cnt")).persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        yield counts
+    finally:
+        counts.unpersist()
+
+
+def quantiles_from_counts(counts: DataFrame, probs: Sequence[float],
+                          window_limit: int = WINDOW_LIMIT) -> list:
+    """Rows ``(cid, prob, value)`` from a ``value_counts`` table: columns with
+    at most ``window_limit`` distinct values by window, the others by range."""
+    sizes = {r["cid"]: r["d"] for r in
+             counts.groupBy("cid").agg(F.count(F.lit(1)).alias("d")).collect()}
+    small = [i for i, d in sizes.items() if d <= window_limit]
+    big = [i for i, d in sizes.items() if d > window_limit]
+    got = []
+    if small:
+        got += _quantiles_by_window(counts.where(F.col("cid").isin(small)), probs).collect()
+    if big:
+        got += _quantiles_by_range(counts.where(F.col("cid").isin(big)), probs).collect()
+    return got
+
+
 def column_summary(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                    approx_accuracy: int | None = None, window_limit: int = WINDOW_LIMIT,
                    moments: bool = False) -> tuple[DataFrame, DataFrame | None]:
@@ -113,37 +143,25 @@ def column_summary(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                                                    if moments else None)
     probs = [float(p) for p in probs]
     cols = list(cols)
-    long = _long_ids(df, cols)
     if approx_accuracy and not moments:
         arr = F.array(*[F.lit(p) for p in probs])
-        q = (long.groupBy("cid")
+        q = (_long_ids(df, cols).groupBy("cid")
              .agg(F.percentile_approx("value", arr, approx_accuracy).alias("qs"))
              .select("cid", F.posexplode("qs").alias("i", "value"))
              .select("cid", F.element_at(arr, F.col("i") + 1).alias("prob"), "value"))
         return _named(spark, q.collect(), cols, schema), None
-    counts = (long.groupBy("cid", "value").agg(F.count(F.lit(1)).alias("cnt"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        first = {r["cid"]: r for r in counts.groupBy("cid").agg(
-            F.count(F.lit(1)).alias("d"), F.sum("cnt").alias("n"),
-            (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
-            F.min("value").alias("min"), F.max("value").alias("max")).collect()}
-        got = []
-        if probs:
-            small = [i for i, r in first.items() if r["d"] <= window_limit]
-            big = [i for i, r in first.items() if r["d"] > window_limit]
-            if small:
-                got += _quantiles_by_window(counts.where(F.col("cid").isin(small)),
-                                            probs).collect()
-            if big:
-                got += _quantiles_by_range(counts.where(F.col("cid").isin(big)),
-                                           probs).collect()
+    with value_counts(df, cols) as counts:
+        got = quantiles_from_counts(counts, probs, window_limit) if probs else []
         mom = None
         if moments:
-            mean = F.create_map(*[x for i, r in first.items()
-                                  for x in (F.lit(i), F.lit(r["mean"]))]) if first else None
+            first = {r["cid"]: r for r in counts.groupBy("cid").agg(
+                F.sum("cnt").alias("n"),
+                (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
+                F.min("value").alias("min"), F.max("value").alias("max")).collect()}
             central = {}
             if first:
+                mean = F.create_map(*[x for i, r in first.items()
+                                      for x in (F.lit(i), F.lit(r["mean"]))])
                 dev = F.col("value") - mean[F.col("cid")]
                 central = {r["cid"]: r for r in counts.groupBy("cid").agg(
                     *[F.sum(F.col("cnt") * F.pow(dev, k)).alias(f"m{k}") for k in (2, 3, 4)]
@@ -162,8 +180,6 @@ def column_summary(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 rows.append((c, int(n), float(r["mean"]), std, float(r["min"]), float(r["max"]),
                              g1, g2))
             mom = spark.createDataFrame(rows, mschema)
-    finally:
-        counts.unpersist()
     return _named(spark, got, cols, schema), mom
 
 
