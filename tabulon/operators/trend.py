@@ -1,11 +1,12 @@
 """Trend analysis (M6) and the row-position line chart (V6).
 
 The reference regresses each numeric column on its row position after sorting
-by the date column and dropping that column's missing rows.  The position is
-a global row number; ``global_index`` computes it with a range shuffle and
-broadcast per-partition offsets instead of an un-partitioned window, and the
-regression is ``regr_slope``/``regr_r2`` over (position, value) grouped by
-column, so each column's series is split over all tasks.
+by the date column and dropping that column's missing rows.  The regression
+needs only sums over (position, value), so ``trends`` never numbers the rows
+globally: a range shuffle, positions inside each sorted partition and one
+small per-partition aggregate give the exact sums (see
+``_position_regressions``); no un-partitioned window, no checkpoint.  The
+line chart, which does need every row's position, uses ``global_index``.
 """
 
 from __future__ import annotations
@@ -89,18 +90,65 @@ def trends(df: DataFrame, date_col: str | None = None,
                                         for c in cols])).alias("kv"))
             .select(*keys, "kv.column", "kv.y")
             .where(F.col("y").isNotNull()))
-    idx = global_index(long, keys, group="column", name="x")
-    agg = idx.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.regr_slope("y", "x").alias("slope"),
-        F.regr_intercept("y", "x").alias("intercept"),
-        F.regr_r2("y", "x").alias("r2"),
-        F.var_pop("y").alias("vy"))
-    return (agg.where(F.col("n") > 2)
-            .select("column", "n", "slope", "intercept",
-                    F.when(F.col("vy") == 0, F.lit(0.0)).otherwise(F.col("r2")).alias("r_squared"),
-                    F.when(F.col("slope") > 0, F.lit("increasing"))
-                    .otherwise(F.lit("decreasing")).alias("trend")))
+    rows = []
+    for c, (n, slope, icpt, r2) in _position_regressions(long, keys).items():
+        if n > 2:
+            rows.append((c, n, slope, icpt, r2,
+                         "increasing" if slope is not None and slope > 0 else "decreasing"))
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _position_regressions(long: DataFrame, keys: list) -> dict[str, tuple]:
+    """Least squares of ``y`` on its 0-based position in ``keys`` order, per
+    ``column``, without numbering the rows globally.
+
+    One range shuffle on (column, keys, row id) and a sort inside each
+    partition give every row its position *within* the partition
+    (``monotonically_increasing_id``).  One aggregate per (column, partition)
+    -- at most columns x partitions rows -- holds n, the first position,
+    sum(y), sum(position * y) and the within-partition variance of y.  With
+    each partition's offset (the counts of the earlier partitions) the sums
+    become exact global sums: sum(x y) = sum(offset * sum_y + sum(local * y));
+    sum(x) and sum(x^2) over 0..n-1 are closed forms.  No checkpoint, no
+    second read.
+    """
+    r = (long.withColumn("_tie", F.monotonically_increasing_id())
+         .repartitionByRange(_parts(long), F.col("column"), *keys, F.col("_tie"))
+         .sortWithinPartitions(F.col("column"), *keys, F.col("_tie"))
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_pos", F.monotonically_increasing_id()
+                     - F.shiftleft(F.col("_pid").cast("long"), 33)))
+    y = F.col("y")
+    parts = r.groupBy("column", "_pid").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_pos").alias("p0"), F.sum(y).alias("sy"),
+        F.sum(F.col("_pos").cast("double") * y).alias("spy"), F.avg(y).alias("my"),
+        (F.var_pop(y) * F.count(F.lit(1))).alias("m2")).collect()
+    by_col: dict[str, list] = {}
+    for p in parts:
+        by_col.setdefault(p["column"], []).append(p)
+    out = {}
+    for c, ps in by_col.items():
+        ps.sort(key=lambda p: p["_pid"])
+        n = sum(p["n"] for p in ps)
+        sy = sum(p["sy"] for p in ps)
+        mean = sy / n
+        sxy, offset = 0.0, 0
+        for p in ps:
+            sxy += offset * p["sy"] + (p["spy"] - p["p0"] * p["sy"])
+            offset += p["n"]
+        syy = sum(p["m2"] + p["n"] * (p["my"] - mean) ** 2 for p in ps)
+        xbar = (n - 1) / 2.0
+        sxx = n * (n * n - 1) / 12.0
+        cxy = sxy - xbar * sy
+        slope = cxy / sxx if sxx > 0 else None
+        icpt = mean - slope * xbar if slope is not None else None
+        r2 = (cxy * cxy / (sxx * syy)) if sxx > 0 and syy > 0 else 0.0
+        out[c] = (n, slope, icpt, min(1.0, r2))
+    return out
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def line_chart(df: DataFrame, order_by: Sequence[str], col: str | None = None,
