@@ -93,3 +93,23 @@ def test_partition_invariance_trend_and_top(spark):
         assert math.isclose(t1[k], t7[k], rel_tol=1e-9)
     assert sorted(map(tuple, top_values(one, ["t"], 3).collect())) == \
         sorted(map(tuple, top_values(seven, ["t"], 3).collect()))
+
+
+def test_trend_sums_across_partitions_match_numpy(spark):
+    n = 5000
+    rng = np.random.default_rng(3)
+    ts = pd.to_datetime("2024-01-01") + pd.to_timedelta(rng.integers(0, 300, n), unit="h")
+    y = rng.normal(10, 3, n) + np.arange(n) * 0.001
+    gaps = np.where(rng.random(n) < 0.2, np.nan, y)
+    pdf = pd.DataFrame({"id": np.arange(n), "ts": ts, "y": y, "g": gaps})
+    df = spark.createDataFrame(pdf).repartition(6)
+    t = {r["column"]: r for r in trend.trends(df, "ts", ["ts", "id"], ["y", "g"]).collect()}
+    srt = pdf.sort_values(["ts", "id"])
+    for c in ["y", "g"]:
+        s = srt[c].dropna().to_numpy()
+        slope, icpt = np.polyfit(np.arange(len(s)), s, 1)
+        r2 = np.corrcoef(np.arange(len(s)), s)[0, 1] ** 2
+        assert t[c]["n"] == len(s)
+        assert math.isclose(t[c]["slope"], slope, rel_tol=1e-7)
+        assert math.isclose(t[c]["intercept"], icpt, rel_tol=1e-9)
+        assert math.isclose(t[c]["r_squared"], r2, rel_tol=1e-7)
