@@ -108,11 +108,14 @@ def value_counts(df: DataFrame, cols: Sequence[str]):
 
 
 def quantiles_from_counts(counts: DataFrame, probs: Sequence[float],
-                          window_limit: int = WINDOW_LIMIT) -> list:
+                          window_limit: int = WINDOW_LIMIT,
+                          sizes: dict[int, int] | None = None) -> list:
     """Rows ``(cid, prob, value)`` from a ``value_counts`` table: columns with
-    at most ``window_limit`` distinct values by window, the others by range."""
-    sizes = {r["cid"]: r["d"] for r in
-             counts.groupBy("cid").agg(F.count(F.lit(1)).alias("d")).collect()}
+    at most ``window_limit`` distinct values by window, the others by range.
+    ``sizes`` (distinct values per cid) saves a pass when already known."""
+    if sizes is None:
+        sizes = {r["cid"]: r["d"] for r in
+                 counts.groupBy("cid").agg(F.count(F.lit(1)).alias("d")).collect()}
     small = [i for i, d in sizes.items() if d <= window_limit]
     big = [i for i, d in sizes.items() if d > window_limit]
     got = []
@@ -151,13 +154,14 @@ def column_summary(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
              .select("cid", F.element_at(arr, F.col("i") + 1).alias("prob"), "value"))
         return _named(spark, q.collect(), cols, schema), None
     with value_counts(df, cols) as counts:
-        got = quantiles_from_counts(counts, probs, window_limit) if probs else []
+        first = {r["cid"]: r for r in counts.groupBy("cid").agg(
+            F.count(F.lit(1)).alias("d"), F.sum("cnt").alias("n"),
+            (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
+            F.min("value").alias("min"), F.max("value").alias("max")).collect()}
+        sizes = {i: r["d"] for i, r in first.items()}
+        got = quantiles_from_counts(counts, probs, window_limit, sizes) if probs else []
         mom = None
         if moments:
-            first = {r["cid"]: r for r in counts.groupBy("cid").agg(
-                F.sum("cnt").alias("n"),
-                (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
-                F.min("value").alias("min"), F.max("value").alias("max")).collect()}
             central = {}
             if first:
                 mean = F.create_map(*[x for i, r in first.items()
