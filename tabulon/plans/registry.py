@@ -927,3 +927,20 @@ def q_delay_text(spark, d):
     j = li.join(o, li.l_orderkey == o.o_orderkey).select(
         "registered", F.col("l_shipdate").cast("date").alias("l_shipdate"))
     return round_doubles(yearly_delay_slope(j, "registered", "l_shipdate", "l_shipdate"), 6)
+
+
+# ================================================================== S9 multi-source status
+ALL_TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events",
+              "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
+
+
+@register("load_sources_status", union_all([
+    f"""SELECT '{t}.parquet' AS name, CAST({i} AS INTEGER) AS "index", true AS success,
+  (SELECT count(*) FROM {t}) AS n_rows,
+  CAST((SELECT count(*) FROM (DESCRIBE {t})) AS INTEGER) AS n_cols"""
+    for i, t in enumerate(ALL_TABLES)]))
+def q_load_sources(spark, d):
+    from tabulon.sources.files import load_sources
+    _frames, status = load_sources(spark, [f"{d}/{t}.parquet" for t in ALL_TABLES])
+    return status.select(F.regexp_extract("source", r"([^/]+)$", 1).alias("name"),
+                         "index", "success", "n_rows", "n_cols")
