@@ -96,6 +96,16 @@ def yearly_delay_slope(df: DataFrame, start: str, end: str, year_of: str) -> Dat
                         F.regr_slope("mean_delay", F.col("year").cast("double")).alias("slope"))
 
 
+def slope_of_yearly_mean(df: DataFrame, year: str, total: str, count: str) -> DataFrame:
+    """Q9 from pre-aggregated pieces: per year sum(total) / sum(count), then
+    the least-squares slope over the years -> ``(years, slope)``.  Lets a
+    fact table be aggregated per join key before the join."""
+    per_year = (df.groupBy(qcol(year).alias("year"))
+                .agg((F.sum(qcol(total)) / F.sum(qcol(count))).alias("mean_delay")))
+    return per_year.agg(F.count(F.lit(1)).alias("years"),
+                        F.regr_slope("mean_delay", F.col("year").cast("double")).alias("slope"))
+
+
 def top_by_sum(df: DataFrame, key: str, value: Column, k: int = 5) -> DataFrame:
     """Q10/Q11: the ``k`` keys with the largest sum of ``value`` ->
     ``(key, total)``; ties by key."""

@@ -789,14 +789,19 @@ WITH y AS (SELECT year(o_orderdate) AS year,
            WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
 SELECT count(*) AS years, {sr('regr_slope(m, year)', 6)} AS slope FROM y""")
 def q_delay(spark, d):
-    from tabulon.plans.questions import yearly_delay_slope
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate")
-    o = table(spark, d, "orders").where(F.col("o_orderpriority") == "1-URGENT") \
-        .select("o_orderkey", "o_orderdate")
+    from tabulon.plans.questions import slope_of_yearly_mean
+    # aggregate the fact table per join key first (its lines collapse map-side),
+    # so the join moves one row per order instead of one per line
+    li = (table(spark, d, "lineitem")
+          .groupBy("l_orderkey")
+          .agg(F.sum(F.unix_date(F.col("l_shipdate").cast("date"))).alias("ship_days"),
+               F.count(F.lit(1)).alias("n")))
+    o = (table(spark, d, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+         .select("o_orderkey", F.col("o_orderdate").cast("date").alias("od")))
     j = li.join(o, li.l_orderkey == o.o_orderkey).select(
-        F.col("o_orderdate").cast("date").alias("o_orderdate"),
-        F.col("l_shipdate").cast("date").alias("l_shipdate"))
-    return round_doubles(yearly_delay_slope(j, "o_orderdate", "l_shipdate", "o_orderdate"), 6)
+        F.year("od").alias("year"), "n",
+        (F.col("ship_days") - F.col("n") * F.unix_date("od")).alias("delay"))
+    return round_doubles(slope_of_yearly_mean(j, "year", "delay", "n"), 6)
 
 
 @register("top_parts_revenue", f"""
@@ -920,13 +925,18 @@ WITH y AS (SELECT year(l_shipdate) AS year,
            WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT count(*) AS years, {sr('regr_slope(m, year)', 6)} AS slope FROM y""")
 def q_delay_text(spark, d):
-    from tabulon.plans.questions import yearly_delay_slope
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate")
+    from tabulon.plans.questions import slope_of_yearly_mean
+    li = (table(spark, d, "lineitem")
+          .select("l_orderkey", F.col("l_shipdate").cast("date").alias("ship"))
+          .groupBy("l_orderkey", F.year("ship").alias("year"))
+          .agg(F.sum(F.unix_date("ship")).alias("ship_days"), F.count(F.lit(1)).alias("n")))
+    # registration dates arrive as dd-MM-yyyy text and are parsed
     o = (table(spark, d, "orders").where(F.col("o_orderstatus") == "F")
-         .select("o_orderkey", F.date_format("o_orderdate", "dd-MM-yyyy").alias("registered")))
-    j = li.join(o, li.l_orderkey == o.o_orderkey).select(
-        "registered", F.col("l_shipdate").cast("date").alias("l_shipdate"))
-    return round_doubles(yearly_delay_slope(j, "registered", "l_shipdate", "l_shipdate"), 6)
+         .select("o_orderkey", F.try_to_date(F.date_format("o_orderdate", "dd-MM-yyyy"),
+                                             "dd-MM-yyyy").alias("registered")))
+    j = li.join(o, li.l_orderkey == o.o_orderkey).where(F.col("registered").isNotNull()).select(
+        "year", "n", (F.col("ship_days") - F.col("n") * F.unix_date("registered")).alias("delay"))
+    return round_doubles(slope_of_yearly_mean(j, "year", "delay", "n"), 6)
 
 
 # ================================================================== S9 multi-source status
