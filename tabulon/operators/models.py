@@ -1,8 +1,8 @@
 """Regression and clustering (M3-M5) with ``pyspark.ml``.
 
-* The train/test split is a hash of a row key, not a random draw, so it is
-  the same for any partitioning and on a re-run after a lost executor
-  (``randomSplit`` depends on partition layout).
+* The train/test split is an md5 hash of a row key, not a random draw, so
+  it is the same for any partitioning, on a re-run after a lost executor
+  (``randomSplit`` depends on partition layout) and in other engines.
 * Linear regression uses the normal-equation solver: XᵀX is a tree-aggregate
   of features x features numbers, so rows never move.
 * K-means runs once per k on the same vectors; they are persisted for the
@@ -27,8 +27,13 @@ MIN_ROWS = 10
 
 
 def split_flag(key_cols: Sequence[str], test_buckets: int = 1, buckets: int = 5):
-    """``True`` for test rows: a stable hash of the key into ``buckets``."""
-    h = F.xxhash64(*[qcol(c) for c in key_cols])
+    """``True`` for test rows: the first 8 hex digits of md5 of the key
+    (columns joined with ``|``) modulo ``buckets``.  md5 is available in
+    every SQL engine, so the same split can be reproduced outside Spark
+    (use integer or text keys for that: their text form is the same
+    everywhere)."""
+    key = F.concat_ws("|", *[qcol(c).cast("string") for c in key_cols])
+    h = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
     return F.pmod(h, F.lit(buckets)) < test_buckets
 
 

@@ -954,3 +954,53 @@ def q_load_sources(spark, d):
     _frames, status = load_sources(spark, [f"{d}/{t}.parquet" for t in ALL_TABLES])
     return status.select(F.regexp_extract("source", r"([^/]+)$", 1).alias("name"),
                          "index", "success", "n_rows", "n_cols")
+
+
+# ================================================================== M3 with the hash split
+_SPLIT_SQL = ("CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '|' || "
+              "CAST(l_linenumber AS VARCHAR)), 1, 8)) AS BIGINT) % 5")
+
+
+@register("ols_split", f"""
+WITH t AS (SELECT l_quantity AS x1, l_discount AS x2, l_extendedprice AS y FROM lineitem
+           WHERE {_SPLIT_SQL} >= 1),
+m AS (SELECT var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12,
+             covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y,
+             avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM t),
+b AS (SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+             (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2, m1, m2, my FROM m)
+SELECT 'l_quantity' AS feature, {sr('b1')} AS coefficient FROM b
+UNION ALL SELECT 'l_discount', {sr('b2')} FROM b
+UNION ALL SELECT '(intercept)', {sr('my - b1 * m1 - b2 * m2')} FROM b""")
+def q_ols_split(spark, d):
+    # least squares on the 80 % training rows of an md5 split of the row key
+    from tabulon.operators.models import linear_regression
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
+                                            "l_discount", "l_extendedprice")
+    coefs, _m = linear_regression(li, ["l_orderkey", "l_linenumber"], "l_extendedprice",
+                                  ["l_quantity", "l_discount"])
+    return round_doubles(coefs)
+
+
+@register("ols_split_metrics", f"""
+WITH t AS (SELECT l_quantity AS x1, l_discount AS x2, l_extendedprice AS y FROM lineitem
+           WHERE {_SPLIT_SQL} >= 1),
+h AS (SELECT l_quantity AS x1, l_discount AS x2, l_extendedprice AS y FROM lineitem
+      WHERE {_SPLIT_SQL} < 1),
+m AS (SELECT var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12,
+             covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y,
+             avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, count(*) AS n FROM t),
+b AS (SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+             (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2, m1, m2, my, n FROM m),
+e AS (SELECT h.y, (b.my - b.b1 * b.m1 - b.b2 * b.m2) + b.b1 * h.x1 + b.b2 * h.x2 - h.y AS err
+      FROM h, b)
+SELECT 'l_extendedprice' AS target, (SELECT n FROM b) AS n_train, count(*) AS n_test,
+  {sr('1 - sum(err * err) / (count(*) * var_pop(y))', 6)} AS r2,
+  {sr('avg(err * err)', 2)} AS mse FROM e""")
+def q_ols_split_metrics(spark, d):
+    from tabulon.operators.models import linear_regression
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
+                                            "l_discount", "l_extendedprice")
+    _c, m = linear_regression(li, ["l_orderkey", "l_linenumber"], "l_extendedprice",
+                              ["l_quantity", "l_discount"])
+    return round_doubles(round_doubles(m, 6, ["r2"]), 2, ["mse"])
