@@ -1004,3 +1004,31 @@ def q_ols_split_metrics(spark, d):
     _c, m = linear_regression(li, ["l_orderkey", "l_linenumber"], "l_extendedprice",
                               ["l_quantity", "l_discount"])
     return round_doubles(round_doubles(m, 6, ["r2"]), 2, ["mse"])
+
+
+# ================================================================== S11 on pages derived from a table
+def customer_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer row rendered as a one-table HTML page (header row of
+    <th>, data row with inline markup and an entity), so the parser runs on
+    pages whose content is known from the table itself."""
+    c = table(spark, d, "customer")
+    html = F.concat(
+        F.lit("<html><body><p>card<table><thead><tr><th>Name</th><th>Segment</th>"
+              "<th>Balance</th></tr></thead><tbody><tr><td><b>"),
+        F.col("c_name"), F.lit("</b></td><td>"), F.col("c_mktsegment"),
+        F.lit(" &amp; co</td><td>"), F.col("c_acctbal").cast("string"),
+        F.lit("</td></tr></tbody></table></body></html>"))
+    return c.select(F.col("c_custkey").alias("page_id"), html.alias("html"))
+
+
+@register("html_tables_derived", """
+SELECT c_custkey AS page_id, CAST(0 AS INTEGER) AS row_idx, true AS is_header,
+  'Name' AS cell0, 'Segment' AS cell1, 'Balance' AS cell2 FROM customer
+UNION ALL
+SELECT c_custkey, CAST(1 AS INTEGER), false, c_name, c_mktsegment || ' & co',
+  CAST(c_acctbal AS VARCHAR) FROM customer""")
+def q_html_derived(spark, d):
+    from tabulon.sources.html_tables import html_tables
+    t = html_tables(customer_pages(spark, d))
+    return t.select("page_id", "row_idx", "is_header",
+                    *[F.get(F.col("cells"), i).alias(f"cell{i}") for i in range(3)])
