@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import mixing, secrets, simhash
-from tabulon.llm.common import sha256_joined
+from tabulon.llm import mixing, pieces, quality, secrets, simhash
+from tabulon.llm.common import bound_batches, sha256_joined, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +61,37 @@ def op6_simhash_dedup(spark, d):
 def op7_source_mixing(spark, d):
     found = mixing.mix(table(spark, d, "documents"), keep=["doc_id"])
     return found.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+# --------------------------------------------------------------- sentencepiece
+def tokenizer_file(name: str) -> str:
+    """Place of a vocabulary file; the operators take its content."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def file_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+@register("op3_sentencepiece")
+def op3_sentencepiece(spark, d):
+    bound_batches(spark)
+    model = file_bytes(tokenizer_file("piece_bpe_32k.model"))
+    docs = table(spark, d, "documents")
+    found = docs.select("doc_id", pieces.encoded(text_or_empty("text"), model).alias("e"))
+    return found.select("doc_id", pieces.token_count(F.col("e.ids")).alias("n_tokens"),
+                        F.sha2("e.ids", 256).alias("ids_sha256"),
+                        F.sha2("e.decoded", 256).alias("decoded_sha256"),
+                        F.sha2("e.bounds", 256).alias("bounds_sha256"))
+
+
+# --------------------------------------------------------------------- quality
+@register("op8_quality_rules")
+def op8_quality_rules(spark, d):
+    bound_batches(spark)
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return quality.judged(docs, labels).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", F.round("good", 6).alias("good"))
