@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tabulon.llm.wordcache import WordCache
+
 #: The mark that stands for a blank in pieces.
 MARK = "▁"
-#: Words kept with their ids, per worker, and the longest one kept.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
 
 
 class CharacterMap:
@@ -143,35 +143,23 @@ class Encoder:
         self.length = np.array([
             1 if p.type == kind.BYTE else 0 if p.type == kind.CONTROL
             else -1 if p.type == kind.UNKNOWN else len(p.piece.encode()) for p in proto.pieces])
-        self.words: dict[str, bytes] = {}
+        self.words = WordCache(self._encode)
         self.mark_id = np.array([self.sp.piece_to_id(MARK)], dtype="<u4").tobytes()
 
-    def _fill(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of ``words``, each a mark and what follows up to the next word."""
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of ``words``, each a mark and what follows up to the next word;
+        the library puts the first mark there itself."""
         ids = self.sp.encode([w[1:] for w in words], num_threads=1)
-        return {w: np.array(i, dtype="<u4").tobytes() if len(w) > 1 else self.mark_id
-                for w, i in zip(words, ids)}
+        return [np.array(i, dtype="<u4").tobytes() if len(w) > 1 else self.mark_id
+                for w, i in zip(words, ids)]
 
     def ids(self, text: str) -> bytes:
         """Ids with begin and end as little-endian unsigned 32-bit numbers."""
         if not self.by_word:
             return np.array(self.sp.encode(text, add_bos=True, add_eos=True), dtype="<u4").tobytes()
-        body = b""
-        if text:
-            words = re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))
-            known = self.words
-            missing = [w for w in set(words) if w not in known]
-            if missing:
-                new = self._fill(missing)
-                known.update((w, i) for w, i in new.items() if len(w) <= CACHE_CHARS)
-                body = b"".join([known[w] if w in known else new[w] if w in new else
-                                 self._fill([w])[w] for w in words])
-            else:
-                body = b"".join([known[w] for w in words])
+        words = re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK)) if text else []
         ends = np.array([self.sp.bos_id(), self.sp.eos_id()], dtype="<u4")
-        return ends[:1].tobytes() + body + ends[1:].tobytes()
+        return ends[:1].tobytes() + self.words.ids(words) + ends[1:].tobytes()
 
     def bounds(self, text: str, ids: np.ndarray) -> np.ndarray:
         """Source byte where each id begins, and where the last one ends; an id

@@ -37,7 +37,7 @@ SAMPLE = 1500
 HASH_BITS = 15
 GROUPS = 3
 #: A text is rejected below this probability of good quality.
-THRESHOLD = 0.2
+THRESHOLD = 0.6
 #: Words kept with their hash, per worker.
 CACHE_WORDS = 300_000
 

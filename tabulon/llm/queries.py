@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import mixing, pieces, quality, secrets, simhash
+from tabulon.llm import mixing, pieces, quality, secrets, simhash, toxicity, wavelet
 from tabulon.llm.common import bound_batches, sha256_joined, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,26 @@ def op8_quality_rules(spark, d):
     return quality.judged(docs, labels).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", F.round("good", 6).alias("good"))
+
+
+# -------------------------------------------------------------------- toxicity
+def _held_out(doc_id):
+    return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(4)) == 2
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark, d):
+    bound_batches(spark)
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    found = toxicity.toxic_documents(docs.select("doc_id", "text"), labels, ~_held_out(F.col("id")))
+    return found.select(F.col("row.doc_id").alias("doc_id"),
+                        F.coalesce(_held_out(F.col("row.doc_id")), F.lit(False)).alias("held_out"),
+                        "score", F.col("predicted").cast("int").alias("predicted"), "spans")
+
+
+# ---------------------------------------------------------------- wavelet shards
+@register("op10_token_shards")
+def op10_token_shards(spark, d):
+    model = file_bytes(tokenizer_file("word_bpe_49k.json"))
+    files = wavelet.write_shards(table(spark, d, "documents"), model, end_id=1)
+    return wavelet.read_documents(files)
