@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import mixing, pieces, quality, secrets, simhash, toxicity, wavelet
+from tabulon.llm import covertree, mixing, pieces, quality, secrets, simhash, toxicity, wavelet
 from tabulon.llm.common import bound_batches, sha256_joined, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,17 @@ def op10_token_shards(spark, d):
     model = file_bytes(tokenizer_file("word_bpe_49k.json"))
     files = wavelet.write_shards(table(spark, d, "documents"), model, end_id=1)
     return wavelet.read_documents(files)
+
+
+# ------------------------------------------------------------------ top-k search
+@register("op4_exact_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 10
+""")
+def op4_exact_top_k(spark, d):
+    return covertree.top_k(table(spark, d, "embeddings"), "vec_id % 100 = 0")
