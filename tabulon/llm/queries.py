@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import covertree, mixing, pieces, quality, secrets, simhash, toxicity, wavelet
+from tabulon.llm import covertree, mixing, pieces, pii, quality, secrets, simhash, toxicity, wavelet
 from tabulon.llm.common import bound_batches, sha256_joined, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,3 +132,9 @@ SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 10
 """)
 def op4_exact_top_k(spark, d):
     return covertree.top_k(table(spark, d, "embeddings"), "vec_id % 100 = 0")
+
+
+# ----------------------------------------------------------------- personal data
+@register("op5_personal_data")
+def op5_personal_data(spark, d):
+    return _span_digest(pii.find_personal(table(spark, d, "documents"), keep=["doc_id"]), pii.KINDS)

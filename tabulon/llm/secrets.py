@@ -97,15 +97,18 @@ def find_secrets(docs: DataFrame, text_col: str = "text",
                  rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of ``docs``: ``row`` (all its columns), ``text`` (null as
     empty) and ``spans``, ordered by start and then by rule."""
-    texts = docs.select(F.struct("*").alias("row"), text_or_empty(text_col).alias("text"))
-    keyed = texts.withColumn("key", F.md5("text"))
+    text = text_or_empty(text_col)
+    keyed = docs.select(F.struct("*").alias("row"), F.md5(text).alias("key"))
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted({g for q in queries for clause in q or [] for g in clause})
     if grams:
-        found = candidates(postings(keyed, "key", "text", grams), "key", rules)
+        texts = docs.select(F.md5(text).alias("key"), text.alias("text"))
+        found = candidates(postings(texts, "key", "text", grams), "key", rules)
         keyed = keyed.join(found, "key", "left")
     else:
         keyed = keyed.withColumn("rules", F.lit(None).cast("array<int>"))
+    # the text is taken from the row only now, so it is shuffled once
+    keyed = keyed.withColumn("text", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")))
     spans = []
     for i, (rule, query) in enumerate(zip(rules, queries)):
         own = rule_spans(F.col("text"), rule, i)
