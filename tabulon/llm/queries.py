@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import covertree, mixing, pieces, pii, quality, secrets, simhash, toxicity, wavelet
+from tabulon.llm import (covertree, mixing, pieces, pii, quality, secrets, simhash, suffix_dedup,
+                         toxicity, wavelet)
 from tabulon.llm.common import bound_batches, sha256_joined, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +139,10 @@ def op4_exact_top_k(spark, d):
 @register("op5_personal_data")
 def op5_personal_data(spark, d):
     return _span_digest(pii.find_personal(table(spark, d, "documents"), keep=["doc_id"]), pii.KINDS)
+
+
+# ------------------------------------------------------------- repeated substrings
+@register("op2_suffix_dedup")
+def op2_suffix_dedup(spark, d):
+    found = suffix_dedup.without_repeats(table(spark, d, "documents"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
