@@ -48,10 +48,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     would not survive the loss of an executor.
     """
     sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not current:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()  # the setting with a folder of this application
+    if current and (not named or current.rstrip("/").startswith(named.rstrip("/"))
+                    or current.rstrip("/").startswith("file:" + named.rstrip("/"))):
+        return current
+    if not named:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        current = tempfile.mkdtemp(prefix="tabulon-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+        named = tempfile.mkdtemp(prefix="tabulon-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir() or named

@@ -10,6 +10,7 @@ Jobs that know their schema pass ``schema=`` and skip that pass.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -69,23 +70,34 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True
              na_values: Sequence[str] = PANDAS_NA, **options) -> DataFrame:
     """Delimited text with a header row.
 
-    With ``schema`` the read is a single typed pass.  Otherwise columns are
-    read as text, the ``na_values`` become NULL and each column is typed by
-    ``infer_types`` (one aggregate).
+    Columns are read as text and the ``na_values`` become NULL.  With ``schema``
+    they are cast to its types (a single pass); otherwise each column is
+    typed by ``infer_types`` (one aggregate).
     """
     reader = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
     for k, v in options.items():
         reader = reader.option(k, v)
-    if schema is not None:
-        return reader.schema(schema).csv(path)
     raw = reader.option("inferSchema", False).csv(path)
     raw = raw.toDF(*[c.strip() for c in raw.columns])
     nas = [F.lit(v) for v in na_values]
     raw = raw.withColumns({c: F.when(~F.trim(qcol(c)).isin(*nas), qcol(c))
                            for c in raw.columns}) if nas and raw.columns else raw
+    if schema is not None:
+        return _typed(raw, schema)
     return infer_types(raw) if infer else raw
 
 
+def _typed(raw: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """Text columns as the types of ``schema``, by position; a value that does not
+    convert is missing."""
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    if len(fields) != len(raw.columns):
+        raise ValueError(f"{len(raw.columns)} columns in the file, {len(fields)} in the schema")
+    return raw.select(*[
+        (qcol(c) if isinstance(f.dataType, T.StringType) else F.trim(qcol(c)).try_cast(f.dataType))
+        .alias(f.name) for c, f in zip(raw.columns, fields)])
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Give each text column the narrowest of bigint, double, boolean, date,
     timestamp that all its non-missing values cast to (else keep string)."""
@@ -122,36 +134,78 @@ def infer_types(df: DataFrame) -> DataFrame:
 def read_delimited_text(spark: SparkSession, path: str, **options) -> DataFrame:
     """A .txt table: tab-separated if the header line holds a tab, else
     pipe-separated if it holds a pipe, else comma-separated."""
-    first = spark.read.text(path).limit(1).collect()
+    # the header is the first line of a file that is no blank one
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
     line = first[0][0] if first else ""
     sep = "\t" if "\t" in line else ("|" if "|" in line else ",")
     return read_csv(spark, path, sep=sep, **options)
 
 
 # ------------------------------------------------------------------ S5, S6 JSON
+_CORRUPT = "_corrupt_record"
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
               multi_line: bool | None = None, flatten_structs: bool = True,
               **options) -> DataFrame:
-    """A JSON array of objects, one object, or JSON lines.
-
-    JSON lines split across tasks; an array or pretty-printed object is read
-    whole per file (``multiLine``).  Nested objects become ``a.b`` columns.
+    """JSON lines, a JSON array of objects or one object.
+
+    JSON lines (one object or array of objects in a line) split across tasks.
+    ``multi_line=True`` reads each file as one document.  By default the
+    files are read as JSON lines, and nothing is guessed from a prefix: only if
+    that read meets text that is no JSON line, each of those files must as a
+    whole be one valid document and is read as such; a file that is neither
+    raises ValueError.  Nested objects become ``a.b`` columns.
     """
-    if multi_line is None:
-        first = spark.read.text(path).limit(1).collect()
-        line = (first[0][0] or "").strip() if first else ""
-        multi_line = not (line.startswith("{") and line.endswith("}"))
-    reader = spark.read.option("multiLine", multi_line)
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.json(path)
-    if "_corrupt_record" in df.columns and len(df.columns) == 1:
+    def reader(multi: bool):
+        out = spark.read.option("multiLine", multi)
+        for k, v in options.items():
+            out = out.option(k, v)
+        return out.schema(schema) if schema is not None else out
+
+    if multi_line is not None:
+        df = reader(multi_line).json(path)
+        bad = _CORRUPT in df.columns
+        if bad and len(df.columns) == 1:
+            raise ValueError(f"Not a JSON table: {path}")
+        return flatten(df) if flatten_structs else df
+    whole = _document_files(spark, path)
+    lines = [f for f, is_document in whole if not is_document]
+    documents = [f for f, is_document in whole if is_document]
+    parts = [reader(m).option("mode", "FAILFAST").json(f) for m, f in ((False, lines), (True, documents)) if f]
+    if not documents:  # also for a path without any file
+        df = reader(False).option("mode", "FAILFAST").json(path)
+    else:
+        df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    if not df.columns:
         raise ValueError(f"Not a JSON table: {path}")
     return flatten(df) if flatten_structs else df
 
 
+def _one_value(col: str):
+    """Whether a text is one JSON object or array and nothing else.  The parser
+    ignores what follows a value, so the value is parsed inside brackets."""
+    text = F.regexp_replace(col, r"^\s+|\s+$", "")
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return ends.isin("{}", "[]") & F.try_parse_json(F.concat(F.lit("["), col, F.lit("]"))).isNotNull()
+
+
+def _document_files(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """The files under ``path`` with text, and whether each is one document over
+    many lines.  One pass tests every non-blank line; only files in which a
+    line is no object or array are read as a whole."""
+    text = spark.read.text(path).withColumn("file", F.input_file_name())
+    files = text.where(F.trim("value") != "").groupBy("file").agg(
+        F.count_if(~_one_value("value")).alias("odd")).collect()  # one row per file
+    odd = [r["file"] for r in files if r["odd"]]
+    if odd:
+        whole = spark.read.text(odd, wholetext=True).withColumn("file", F.input_file_name())
+        broken = whole.where(~_one_value("value")).select("file").collect()
+        if broken:
+            raise ValueError(f"Not a JSON table: {[r['file'] for r in broken]}")
+    return [(r["file"], bool(r["odd"])) for r in files]
+
+
 def flat_columns(schema: T.StructType, sep: str = ".") -> list:
     """Column expressions that lift every leaf of nested structs to the top."""
     def walk(dtype: T.StructType, path: list[str]):
@@ -183,21 +237,35 @@ def parse_json_column(df: DataFrame, col: str, schema: T.StructType | str | None
                       sep: str = ".") -> DataFrame:
     """A JSON text column -> flattened ``col.field`` columns.
 
-    ``schema`` defaults to the schema of the first non-missing value (one row
-    to the driver); give it explicitly for heterogeneous data.
+    ``schema`` defaults to the union of the keys and types of all values (one
+    aggregate over the column); text that is no JSON gives missing values.  A
+    key with values of several types is read as text.
     """
     if schema is None:
-        sample = df.where(qcol(col).isNotNull()).select(qcol(col)).limit(1).collect()
-        if not sample:
+        found = df.agg(F.schema_of_variant_agg(F.try_parse_json(qcol(col)))).first()[0]
+        if found is None or not found.startswith("OBJECT<") or found == "OBJECT<>":
             return df
-        schema = df.sparkSession.range(1).select(
-            F.schema_of_json(F.lit(sample[0][0]))).first()[0]
+        schema = _struct_type(found)
     parsed = df.withColumn(col, F.from_json(qcol(col), schema))
     nested = T.StructType([parsed.schema[col]])
     return parsed.select(*[qcol(c) for c in df.columns if c != col],
                          *flat_columns(nested, sep))
 
 
+def _struct_type(variant_schema: str) -> str:
+    """The text of a variant's schema as a DDL type; names are quoted, so only
+    the words outside back-quotes are types."""
+    out = []
+    for i, part in enumerate(variant_schema.split("`")):
+        if i % 2 == 0:
+            part = re.sub(r"\bOBJECT<", "STRUCT<", part)
+            part = re.sub(r"\bDECIMAL\(\d+, ?\d+\)", "DOUBLE", part)
+            part = re.sub(r"\b(VARIANT|VOID)\b", "STRING", part)
+            part = re.sub(r"\bSTRUCT<>", "MAP<STRING, STRING>", part)
+        out.append(part)
+    return "`".join(out)
+
+
 # ------------------------------------------------------------------ S7 parquet
 # The Hadoop S3A option and provider for public (unsigned) reads.
 S3A_PROVIDER_OPTION = "fs.s3a.aws.credentials.provider"

@@ -7,8 +7,9 @@ Parsing markup is the one step Spark has no expression for, so it runs in
 ``mapInPandas`` with the standard-library ``html.parser`` -- per partition,
 Arrow batches, no driver involvement.  A JVM-side ``contains('<table')``
 filter runs first, so pages without tables never reach Python.  Unclosed
-tags, nested tables, ``rowspan``/``colspan`` and broken pages are handled;
-a page that fails to parse yields no rows instead of failing the job.
+tags, nested tables, ``rowspan``/``colspan`` (with the limits of the HTML
+standard) and empty rows are handled; a page that fails to parse yields one
+row with its ``error`` and no table.
 """
 
 from __future__ import annotations
@@ -21,7 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TABLE_ROWS_SCHEMA = ("page_id long, table_idx int, row_idx int, is_header boolean, "
-                     "cells array<string>")
+                     "cells array<string>, error string")
+
+# The largest spans of the HTML standard.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+# Rows handed to Spark at once.
+CHUNK_ROWS = 2000
 
 # Header words that mark a ranking/film table on an encyclopedia
 # page, and the size it must have (more than 10 rows, at least 4 columns,
@@ -32,7 +38,8 @@ BEST_MIN_ROWS, BEST_MIN_COLS, BEST_MIN_HITS = 10, 4, 2
 
 class _Table:
     def __init__(self):
-        self.rows: list[tuple[bool, list[str]]] = []
+        self.rows: list[tuple[bool, list[tuple[str, int, int, bool]], int]] = []
+        self.group = 0  # row groups: thead, tbody, tfoot
         self.row: list[tuple[str, int, int, bool]] | None = None
         self.cell: list[str] | None = None
         self.cell_attrs = (1, 1, False)
@@ -57,19 +64,22 @@ class _TableParser(HTMLParser):
 
     def _close_row(self, t: _Table):
         self._close_cell(t)
-        if t.row:
-            header = t.in_head or all(c[3] for c in t.row)
-            t.rows.append((header, t.row))
+        if t.row is not None:  # an empty row is a row: spans go through it
+            header = bool(t.row) and (t.in_head or all(c[3] for c in t.row))
+            t.rows.append((header, t.row, t.group))
         t.row = None
 
     @staticmethod
-    def _span(attrs, key):
+    def _span(attrs, key, most):
         for k, v in attrs:
             if k == key:
                 try:
-                    return max(1, min(int(v), 1000))
+                    n = int(v)
                 except (TypeError, ValueError):
                     return 1
+                if n == 0 and key == "rowspan":
+                    return 0  # to the end of the row group
+                return min(n, most) if n > 0 else 1
         return 1
 
     # -- events
@@ -81,10 +91,10 @@ class _TableParser(HTMLParser):
         if not self.stack:
             return
         t = self.stack[-1][1]
-        if tag == "thead":
-            t.in_head = True
-        elif tag in ("tbody", "tfoot"):
-            t.in_head = False
+        if tag in ("thead", "tbody", "tfoot"):
+            self._close_row(t)
+            t.in_head = tag == "thead"
+            t.group += 1
         elif tag == "tr":
             self._close_row(t)
             t.row = []
@@ -93,7 +103,8 @@ class _TableParser(HTMLParser):
             if t.row is None:
                 t.row = []
             t.cell = []
-            t.cell_attrs = (self._span(attrs, "rowspan"), self._span(attrs, "colspan"),
+            t.cell_attrs = (self._span(attrs, "rowspan", MAX_ROWSPAN),
+                            self._span(attrs, "colspan", MAX_COLSPAN),
                             tag == "th")
         elif tag == "br" and t.cell is not None:
             t.cell.append(" ")
@@ -109,9 +120,10 @@ class _TableParser(HTMLParser):
             self._close_cell(t)
         elif tag == "tr":
             self._close_row(t)
-        elif tag == "thead":
+        elif tag in ("thead", "tbody", "tfoot"):
             self._close_row(t)
             t.in_head = False
+            t.group += 1
 
     def handle_data(self, data):
         if self.stack and self.stack[-1][1].cell is not None:
@@ -126,62 +138,76 @@ class _TableParser(HTMLParser):
         return sorted(self.done, key=lambda x: x[0])
 
 
-def _expand(rows: list[tuple[bool, list[tuple[str, int, int, bool]]]]):
-    """Apply rowspan/colspan: every spanned slot repeats the cell text."""
-    carry: dict[int, tuple[str, int]] = {}  # column -> (text, rows left)
-    for header, cells in rows:
-        out: list[str] = []
+def _expand(rows: list[tuple[bool, list[tuple[str, int, int, bool]], int]]):
+    """Apply rowspan/colspan row by row: every spanned slot repeats the cell's
+    text; a slot that no cell reaches is missing.  Spans end with their row
+    group."""
+    carry: dict[int, tuple[str, int]] = {}  # column -> (text, rows left; -1: all of the group)
+    last = None
+    for header, cells, group in rows:
+        if group != last:
+            carry, last = {}, group
+        out: dict[int, str] = {}
+        for col in list(carry):
+            text, left = carry[col]
+            out[col] = text
+            if left == 1:
+                del carry[col]
+            elif left > 0:
+                carry[col] = (text, left - 1)
         col = 0
-        queue = list(cells)
-        while queue or any(k >= col for k in carry):
-            if col in carry:
-                text, left = carry[col]
-                out.append(text)
-                if left <= 1:
-                    del carry[col]
-                else:
-                    carry[col] = (text, left - 1)
+        for text, down, across, _th in cells:
+            while col in out:
                 col += 1
-                continue
-            if not queue:
-                break
-            text, rs, cs, _th = queue.pop(0)
-            for _ in range(cs):
-                out.append(text)
-                if rs > 1:
-                    carry[col] = (text, rs - 1)
+            for _ in range(across):
+                if col in out:  # overlapping spans: the earlier cell stays
+                    break
+                out[col] = text
+                if down != 1:
+                    carry[col] = (text, down - 1)
                 col += 1
-        yield header, out
+        yield header, [out.get(c) for c in range(max(out, default=-1) + 1)]
 
 
-def parse_tables(html: str) -> list[tuple[int, int, bool, list[str]]]:
-    """All tables of one page as ``(table_idx, row_idx, is_header, cells)``."""
+def iter_tables(html: str):
+    """The rows of all tables of one page as ``(table_idx, row_idx, is_header, cells)``."""
     p = _TableParser()
     p.feed(html)
-    out = []
     for idx, t in p.finish():
         for r, (header, cells) in enumerate(_expand(t.rows)):
-            out.append((idx, r, header, cells))
-    return out
+            yield idx, r, header, cells
+
+
+def parse_tables(html: str) -> list[tuple[int, int, bool, list[str]]]:
+    return list(iter_tables(html))
 
 
 def _parse_batches(batches):
+    names = ["page_id", "table_idx", "row_idx", "is_header", "cells", "error"]
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=names).astype({"table_idx": "Int32", "row_idx": "Int32"})
+
+    rows = []
     for pdf in batches:
-        recs = []
         for pid, html in zip(pdf["page_id"], pdf["html"]):
             if html is None:
                 continue
             try:
-                for idx, r, header, cells in parse_tables(html):
-                    recs.append((int(pid), idx, r, header, cells))
-            except Exception:  # noqa: BLE001 -- a broken page yields no rows
-                continue
-        yield pd.DataFrame(recs, columns=["page_id", "table_idx", "row_idx", "is_header",
-                                          "cells"])
+                for idx, r, header, cells in iter_tables(html):
+                    rows.append((int(pid), idx, r, header, cells, None))
+                    if len(rows) >= CHUNK_ROWS:
+                        yield frame(rows)
+                        rows = []
+            except Exception as e:  # noqa: BLE001 -- told in the page's own row
+                rows.append((int(pid), None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
+    if rows:
+        yield frame(rows)
 
 
 def html_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Every table row of every page."""
+    """Every table row of every page; a page that could not be parsed to its
+    end has a row with ``error`` (and the rows before the fault)."""
     src = (pages.select(F.col(id_col).cast("long").alias("page_id"),
                         F.col(html_col).alias("html"))
            .where(F.lower(F.col("html")).contains("<table")))
@@ -195,7 +221,7 @@ def table_stats(tables: DataFrame, keywords: Sequence[str] = BEST_TABLE_KEYWORDS
     stripped; ``hits`` counts keywords found in any header cell (lower case).
     """
     first = F.min_by(F.col("cells"), F.struct(~F.col("is_header"), F.col("row_idx")))
-    agg = tables.groupBy("page_id", "table_idx").agg(
+    agg = tables.where("error IS NULL").groupBy("page_id", "table_idx").agg(
         F.count_if(~F.col("is_header")).alias("n_rows"),
         F.max(F.size("cells")).alias("n_cols"),
         first.alias("header"))

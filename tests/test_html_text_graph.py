@@ -6,10 +6,9 @@ from tabulon.functions import text
 from tabulon.operators import graph
 from tabulon.sources.html_tables import best_tables, html_tables, page_table_counts, table_frame
 
-TOPICS = ("<html><body><p>intro<table><tr><th>Topic</th><th>Description</th><th>Count</th></tr>"
-          "<tr><td>Topic 1</td><td>Desc 1</td><td>10</td></tr>"
-          "<tr><td>Topic 2</td><td>Desc 2</td><td>20</td></tr>"
-          "<tr><td>Topic 3</td><td>Desc 3</td><td>15</td></tr></table></body></html>")
+TEAS = ("<html><body><p>intro<table><tr><th>Tea</th><th>Origin</th><th>Grams</th></tr>"
+        "<tr><td>Sencha</td><td>Uji</td><td>40</td></tr>"
+        "<tr><td>Assam</td><td>Jorhat</td><td>75</td></tr></table></body></html>")
 
 
 def wiki_page():
@@ -22,15 +21,14 @@ def wiki_page():
 
 
 def test_html_tables_and_best(spark):
-    pages = spark.createDataFrame([(1, "http://x.example/t.html", TOPICS),
+    pages = spark.createDataFrame([(1, "http://x.example/t.html", TEAS),
                                    (2, "https://en.wikipedia.org/wiki/Films", wiki_page()),
                                    (3, "http://y.example/", "<p>no tables</p>"),
                                    (4, "http://z.example/", "<table><tr><td>broken")],
                                   "page_id long, url string, html string")
     t = html_tables(pages)
     frame = table_frame(t, 1, 0).collect()
-    assert [tuple(r) for r in frame] == [("Topic 1", "Desc 1", "10"), ("Topic 2", "Desc 2", "20"),
-                                         ("Topic 3", "Desc 3", "15")]
+    assert [tuple(r) for r in frame] == [("Sencha", "Uji", "40"), ("Assam", "Jorhat", "75")]
     best = {r["page_id"]: r for r in best_tables(t, pages).collect()}
     assert best[2]["table_idx"] == 2 and best[2]["matched"]
     assert best[1]["table_idx"] == 0 and best[4]["n_rows"] == 1
@@ -58,19 +56,39 @@ def test_prompt_mining(spark):
     assert json.loads(obj) == {"count": "7", "film": None}
 
 
-EDGES = [("Alice", "Bob"), ("Alice", "Carol"), ("Bob", "Carol"), ("Bob", "David"),
-         ("Bob", "Eve"), ("Carol", "David"), ("David", "Eve")]
+# a square with one diagonal and a tail
+EDGES = [("n1", "n2"), ("n2", "n3"), ("n3", "n4"), ("n4", "n1"), ("n1", "n3"), ("n4", "n5"), ("n5", "n6")]
 
 
-def test_graph_edges_csv(spark):
-    e = spark.createDataFrame(EDGES, "source string, target string")
+def test_graph(spark):
+    e = spark.createDataFrame(EDGES + [("n2", "n1")], "source string, target string")
     deg = {r["node"]: r["degree"] for r in graph.degrees(e).collect()}
-    assert deg == {"Alice": 2, "Bob": 4, "Carol": 3, "David": 3, "Eve": 2}
+    assert deg == {"n1": 3, "n2": 2, "n3": 3, "n4": 3, "n5": 2, "n6": 1}
     s = graph.graph_summary(e).first()
-    assert s["n_edges"] == 7 and abs(s["density"] - 0.7) < 1e-12
-    assert s["average_degree"] == 2.8 and s["max_degree_node"] == "Bob"
-    path = [r["node"] for r in graph.shortest_path(e, "Alice", "Eve").orderBy("step").collect()]
-    assert path == ["Alice", "Bob", "Eve"]
-    assert graph.shortest_path(e, "Alice", "Zed").count() == 0
+    assert s["n_edges"] == 7 and abs(s["density"] - 14 / 30) < 1e-12
+    assert abs(s["average_degree"] - 14 / 6) < 1e-12 and s["max_degree_node"] == "n1"
+    path = [r["node"] for r in graph.shortest_path(e, "n2", "n6").orderBy("step").collect()]
+    assert path == ["n2", "n1", "n4", "n5", "n6"]
+    assert graph.shortest_path(e, "n2", "n6", max_depth=3).count() == 0
+    assert graph.shortest_path(e, "n2", "nowhere").count() == 0
+    assert [tuple(r) for r in graph.shortest_path(e, "n2", "n2").collect()] == [(0, "n2")]
     hist = {r["degree"]: r["nodes"] for r in graph.degree_histogram(e).collect()}
-    assert hist == {2: 2, 3: 2, 4: 1}
+    assert hist == {1: 1, 2: 2, 3: 3}
+
+
+def test_html_spans_and_faults(spark, monkeypatch):
+    from tabulon.sources import html_tables as ht
+    cells = lambda html: [c for _, _, _, c in ht.parse_tables(html)]
+    assert cells("<table><tr><td>A</td><td rowspan=2>B</td></tr><tr></tr><tr><td>C</td><td>D</td></tr></table>") \
+        == [["A", "B"], [None, "B"], ["C", "D"]]
+    assert cells("<table><tr><td>a<td>b<td rowspan=3>c<tr><td>x<tr><td>y<td>z</table>") \
+        == [["a", "b", "c"], ["x", None, "c"], ["y", "z", "c"]]
+    long = "<table><tr><td rowspan=1500>A</td><td>0</td></tr>" + "<tr><td>i</td></tr>" * 1500 + "</table>"
+    got = cells(long)
+    assert got[1499] == ["A", "i"] and got[1500] == ["i"]
+    assert cells("<table><thead><tr><th rowspan=0>H<th>x<tr><th>y</thead><tr><td>1</table>") \
+        == [["H", "x"], ["H", "y"], ["1"]]
+    monkeypatch.setattr(ht, "iter_tables", lambda html: (_ for _ in ()).throw(RuntimeError("broken")))
+    import pandas as pd
+    rows = pd.concat(ht._parse_batches([pd.DataFrame({"page_id": [7], "html": ["<table>"]})]))
+    assert rows["page_id"].tolist() == [7] and "broken" in rows["error"].iloc[0]
