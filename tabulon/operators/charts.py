@@ -14,16 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import as_double, nan_to_null, numeric_columns, qcol, string_columns
-from tabulon.operators.profile import wide_to_long
-from tabulon.operators.ranking import (
-    long_values, quantile_table, quantiles_from_counts, top_k_counts, value_counts,
-)
+from tabulon.operators.profile import fences, wide_to_long
+from tabulon.operators.ranking import top_k_counts
 
 
-def _ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
-    """``column -> (min, max, count, sample std)`` from one long-format aggregate."""
-    got = {r["column"]: (r["lo"], r["hi"], r["n"], r["sd"]) for r in wide_to_long(
-        df, cols, {"lo": F.min, "hi": F.max, "n": F.count, "sd": F.stddev_samp}).collect()}
+def _ranges(df: DataFrame, cols: Sequence[str], spread: bool = True) -> dict[str, tuple]:
+    """``column -> (min, max, count, sample std)`` from one long-format aggregate
+    (no standard deviation without ``spread``)."""
+    stats = {"lo": F.min, "hi": F.max, "n": F.count, **({"sd": F.stddev_samp} if spread else {})}
+    got = {r["column"]: (r["lo"], r["hi"], r["n"], r["sd"] if spread else None)
+           for r in wide_to_long(df, cols, stats).collect()}
     return {c: got[c] for c in cols if c in got}
 
 
@@ -32,18 +32,19 @@ def _edges(lo: float, hi: float) -> tuple[float, float]:
     return (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
 
 
-def _bin_expr(ranges: dict[str, tuple], bins: int):
-    """``bin`` of a ``(column, value)`` row: equal width, last bin closed."""
-    expr = None
-    for c, (lo, hi, _n, _sd) in ranges.items():
-        if lo is None:
-            continue
+def _bin_counts(df: DataFrame, ranges: dict[str, tuple], bins: int, name: str) -> DataFrame:
+    """``(column, <name>, cnt)``: equal-width bins, the last one closed.  Each
+    column's bin is computed in its own place of the row; only (column, bin)
+    pairs are unpivoted."""
+    pairs = []
+    for c, (lo, hi, *_rest) in ranges.items():
         a, b = _edges(lo, hi)
-        e = F.least(F.floor((F.col("value") - F.lit(a)) * F.lit(bins / (b - a))),
-                    F.lit(bins - 1)).cast("int")
-        expr = F.when(F.col("column") == c, e) if expr is None else \
-            expr.when(F.col("column") == c, e)
-    return expr
+        x = as_double(c)
+        at = F.least(F.floor((x - F.lit(a)) * F.lit(bins / (b - a))), F.lit(bins - 1)).cast("int")
+        pairs.append(F.struct(F.lit(c).alias("column"),
+                              F.when(x.isNotNull() & ~F.isnan(x), at).alias(name)))
+    return (df.select(F.inline(F.array(*pairs))).where(F.col(name).isNotNull())
+            .groupBy("column", name).agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def histogram(df: DataFrame, bins: int = 30, cols: Sequence[str] | None = None) -> DataFrame:
@@ -54,12 +55,10 @@ def histogram(df: DataFrame, bins: int = 30, cols: Sequence[str] | None = None)
     schema = "column string, bin int, lo double, hi double, cnt long"
     if not cols:
         return df.sparkSession.createDataFrame([], schema)
-    ranges = {c: r for c, r in _ranges(df, cols).items() if r[0] is not None}
+    ranges = {c: r for c, r in _ranges(df, cols, spread=False).items() if r[0] is not None}
     if not ranges:
         return df.sparkSession.createDataFrame([], schema)
-    counts = (long_values(df, list(ranges))
-              .select("column", _bin_expr(ranges, bins).alias("bin"))
-              .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("cnt")))
+    counts = _bin_counts(df, ranges, bins, "bin")
     grid = df.sparkSession.createDataFrame(
         [(c, i, _edges(lo, hi)[0] + i * (_edges(lo, hi)[1] - _edges(lo, hi)[0]) / bins,
           _edges(lo, hi)[0] + (i + 1) * (_edges(lo, hi)[1] - _edges(lo, hi)[0]) / bins)
@@ -99,53 +98,25 @@ def box_plot(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 5
              approx_accuracy: int | None = None) -> DataFrame:
     """V4: ``(column, q1, med, q3, whisker_lo, whisker_hi, n_fliers)`` for the
     first ``max_cols`` numeric columns.  Tukey whiskers: the most extreme data
-    within 1.5 IQR of the box.  Everything comes from one cached
-    ``(column, value) -> count`` table: the data is read once."""
+    within 1.5 IQR of the box, from one aggregate with the bounds as literals."""
     df = nan_to_null(df)
     cols = (list(cols) if cols is not None else numeric_columns(df))[:max_cols]
     schema = ("column string, q1 double, med double, q3 double, whisker_lo double, "
               "whisker_hi double, n_fliers long")
-    if not cols:
+    box = fences(df, cols, approx_accuracy) if cols else {}
+    if not box:
         return df.sparkSession.createDataFrame([], schema)
-    spark = df.sparkSession
-    if approx_accuracy:
-        q = {r["column"]: r for r in quantile_table(
-            df, cols, [0.25, 0.5, 0.75], ["q1", "med", "q3"], approx_accuracy).collect()}
-        cols = [c for c in cols if c in q and q[c]["q1"] is not None]
-        if not cols:
-            return spark.createDataFrame([], schema)
-        bounds = spark.createDataFrame(
-            [(c, q[c]["q1"], q[c]["med"], q[c]["q3"], q[c]["q1"] - 1.5 * (q[c]["q3"] - q[c]["q1"]),
-              q[c]["q3"] + 1.5 * (q[c]["q3"] - q[c]["q1"])) for c in cols],
-            "column string, q1 double, med double, q3 double, lo double, hi double")
-        x = F.col("value")
-        inside = (x >= F.col("lo")) & (x <= F.col("hi"))
-        # bounds: one row per column, broadcast to the scan
-        return (long_values(df, cols).join(F.broadcast(bounds), "column")
-                .groupBy("column", "q1", "med", "q3")
-                .agg(F.min(F.when(inside, x)).alias("whisker_lo"),
-                     F.max(F.when(inside, x)).alias("whisker_hi"),
-                     F.count_if(~inside).cast("long").alias("n_fliers")))
-    # exact: quartiles, whiskers and fliers from one cached value-count table
-    with value_counts(df, cols) as counts:
-        q: dict[int, dict[float, float]] = {}
-        for r in quantiles_from_counts(counts, [0.25, 0.5, 0.75]):
-            q.setdefault(r["cid"], {})[r["prob"]] = r["value"]
-        if not q:
-            return spark.createDataFrame([], schema)
-        b = spark.createDataFrame(
-            [(i, v[0.25] - 1.5 * (v[0.75] - v[0.25]), v[0.75] + 1.5 * (v[0.75] - v[0.25]))
-             for i, v in q.items()], "cid int, lo double, hi double")
-        x = F.col("value")
-        inside = (x >= F.col("lo")) & (x <= F.col("hi"))
-        got = {r["cid"]: r for r in counts.join(F.broadcast(b), "cid").groupBy("cid").agg(
-            F.min(F.when(inside, x)).alias("whisker_lo"),
-            F.max(F.when(inside, x)).alias("whisker_hi"),
-            F.sum(F.when(~inside, F.col("cnt")).otherwise(0)).cast("long").alias("n_fliers")
-        ).collect()}
-    rows = [(c, q[i][0.25], q[i][0.5], q[i][0.75], got[i]["whisker_lo"], got[i]["whisker_hi"],
-             got[i]["n_fliers"]) for i, c in enumerate(cols) if i in q and i in got]
-    return spark.createDataFrame(rows, schema)
+    aggs = []
+    for i, (c, (_q1, _med, _q3, lo, hi)) in enumerate(box.items()):
+        x = as_double(c)
+        inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
+        aggs += [F.min(F.when(inside, x)).alias(f"lo{i}"), F.max(F.when(inside, x)).alias(f"hi{i}"),
+                 F.count_if(~inside).alias(f"n{i}")]
+    row = df.agg(*aggs).first()
+    order = {c: i for i, c in enumerate(box)}
+    return df.sparkSession.createDataFrame(
+        [(c, *box[c][:3], row[f"lo{order[c]}"], row[f"hi{order[c]}"], row[f"n{order[c]}"])
+         for c in cols if c in box], schema)
 
 
 def bar_chart(df: DataFrame, col: str | None = None, k: int = 10) -> DataFrame:
@@ -180,9 +151,7 @@ def kde(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 4,
               if r[0] is not None and r[2] and r[2] > 1 and r[3]}
     if not ranges:
         return df.sparkSession.createDataFrame([], schema)
-    cells = (long_values(df, list(ranges))
-             .select("column", _bin_expr(ranges, bins).alias("cell"))
-             .groupBy("column", "cell").agg(F.count(F.lit(1)).alias("cnt")))
+    cells = _bin_counts(df, ranges, bins, "cell")
     meta = df.sparkSession.createDataFrame(
         [(c, float(lo), float(hi), int(n), float(sd) * n ** -0.2)
          for c, (lo, hi, n, sd) in ranges.items()],

@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 from tabulon.functions.columns import (
     as_double, kind_of, missing, nan_to_null, numeric_columns, qcol, string_columns,
 )
-from tabulon.operators.ranking import (
-    column_summary, quantile_table, quantiles_from_counts, top_values as _top_values, value_counts,
-)
+from tabulon.operators.ranking import quantile_table, top_values as _top_values
 
 Stat = Callable[[str], Column]
 
@@ -124,24 +122,15 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
         return df.sparkSession.createDataFrame(
             [], "position int, column string, count long, mean double, std double, "
                 "min double, q25 double, q50 double, q75 double, max double")
-    if approx_accuracy:
-        moments = wide_to_long(df, cols, {
-            "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
-        q = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], approx_accuracy)
-        return (moments.join(q, "column", "left")
-                .select("position", "column", "count", "mean", "std", "min",
-                        "q25", "q50", "q75", "max"))
-    # exact: quantiles and moments from one pre-aggregate (one pass over the data)
-    qs, mom = column_summary(df, cols, [0.25, 0.5, 0.75], moments=True)
-    q = {(r["column"], r["prob"]): r["value"] for r in qs.collect()}
-    rows = [(i, r["column"], r["n"], r["mean"], r["std"], r["min"],
-             q.get((r["column"], 0.25)), q.get((r["column"], 0.5)), q.get((r["column"], 0.75)),
-             r["max"]) for i, r in enumerate(mom.collect())]
-    return df.sparkSession.createDataFrame(
-        rows, "position int, column string, count long, mean double, std double, "
-              "min double, q25 double, q50 double, q75 double, max double")
+    moments = wide_to_long(df, cols, {
+        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
+    q = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], approx_accuracy)
+    return (moments.join(q, "column", "left")
+            .select("position", "column", "count", "mean", "std", "min",
+                    "q25", "q50", "q75", "max"))
 
 
+# ---------------------------------------------------------------- P4
 def skew_kurtosis(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Bias-corrected skewness G1 and excess kurtosis G2 (pandas ``skew``/``kurt``).
 
@@ -196,55 +185,32 @@ def outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None,
     """``(column, count, percentage, lower, upper)``.
 
     Bounds Q1 - 1.5 IQR and Q3 + 1.5 IQR, strict comparison; the percentage is
-    taken over all rows, missing ones included.  Quartiles and the counts
-    outside the bounds both come from one cached ``(column, value) -> count``
-    table (bounds broadcast, k rows), so the data is read once plus a row
-    count.
+    taken over all rows, missing ones included.  The rows outside are counted
+    in one aggregate with the bounds as literals.
     """
     df = nan_to_null(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
-    if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "column string, count long, percentage double, lower double, upper double")
-    spark = df.sparkSession
     schema = "column string, count long, percentage double, lower double, upper double"
-    total = df.count()  # percentages are over all rows, missing ones included
-    if approx_accuracy:
-        q = quantile_table(df, cols, [0.25, 0.75], ["q1", "q3"], approx_accuracy)
-        bounds = q.select("column", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower"),
-                          (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper"))
-        recs = [F.struct(F.lit(c).alias("column"), as_double(c).alias("value")) for c in cols]
-        long = df.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
-        v = F.col("value")
-        got = {r["column"]: r for r in long.join(F.broadcast(bounds), "column")
-               .groupBy("column").agg(F.count_if((v < F.col("lower")) | (v > F.col("upper")))
-                                      .alias("count"), F.first("lower").alias("lower"),
-                                      F.first("upper").alias("upper")).collect()}
-    else:
-        # quartiles and the outside counts both from the cached value counts:
-        # the data is read once
-        with value_counts(df, cols) as counts:
-            q = {}
-            for r in quantiles_from_counts(counts, [0.25, 0.75]):
-                q.setdefault(r["cid"], {})[r["prob"]] = r["value"]
-            rows = [(i, q[i][0.25] - 1.5 * (q[i][0.75] - q[i][0.25]),
-                     q[i][0.75] + 1.5 * (q[i][0.75] - q[i][0.25])) for i in q]
-            got = {}
-            if rows:
-                b = spark.createDataFrame(rows, "cid int, lower double, upper double")
-                v = F.col("value")
-                for r in (counts.join(F.broadcast(b), "cid").groupBy("cid", "lower", "upper")
-                          .agg(F.sum(F.when((v < F.col("lower")) | (v > F.col("upper")),
-                                            F.col("cnt")).otherwise(0)).alias("count"))
-                          .collect()):
-                    got[cols[r["cid"]]] = r
+    if not cols:
+        return df.sparkSession.createDataFrame([], schema)
+    bounds = fences(df, cols, approx_accuracy)
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[
+        F.count_if((as_double(c) < F.lit(lo)) | (as_double(c) > F.lit(hi))).alias(f"o{i}")
+        for i, c in enumerate(cols) if c in bounds for _, _, _, lo, hi in [bounds[c]]]).first()
     out = []
-    for c in cols:
-        r = got.get(c)
-        cnt = int(r["count"]) if r is not None else 0
-        out.append((c, cnt, cnt * 100.0 / total if total else None,
-                    r["lower"] if r is not None else None, r["upper"] if r is not None else None))
-    return spark.createDataFrame(out, schema)
+    for i, c in enumerate(cols):
+        n = row[f"o{i}"] if c in bounds else 0
+        lo, hi = bounds[c][3:] if c in bounds else (None, None)
+        out.append((c, n, n * 100.0 / row["n"] if row["n"] else None, lo, hi))
+    return df.sparkSession.createDataFrame(out, schema)
+
+
+def fences(df: DataFrame, cols: Sequence[str], approx_accuracy: int | None = None) -> dict[str, tuple]:
+    """``{column: (q1, median, q3, q1 - 1.5 IQR, q3 + 1.5 IQR)}`` of the columns
+    that have a value."""
+    q = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q1", "med", "q3"], approx_accuracy)
+    return {r["column"]: (r["q1"], r["med"], r["q3"], r["q1"] - 1.5 * (r["q3"] - r["q1"]),
+                          r["q3"] + 1.5 * (r["q3"] - r["q1"])) for r in q.collect()}
 
 
 def outlier_rows(df: DataFrame, col: str, lower: float, upper: float) -> DataFrame:

@@ -5,15 +5,14 @@ per group and merge all of it in one task for a global aggregate; an
 un-partitioned window moves every row to one task.  At 100 TB neither is
 acceptable, so the operators here are built from shuffles that split the work:
 
-* ``exact_quantiles`` -- pre-aggregate ``(column, value) -> cnt`` (map-side
-  combine, so a value held by a third of all rows becomes one row).  A
-  column with at most ``WINDOW_LIMIT`` distinct values is ranked in one
-  window partition (JVM, bounded by that limit); a column with more is
-  range-partitioned over all tasks, running counts are taken inside each
-  partition and per-partition offsets (at most partitions x columns rows,
-  broadcast) make them global.  The rows whose rank interval holds the
-  wanted ranks give the answer, linearly interpolated between the two
-  neighbouring ranks as pandas, NumPy's default and DuckDB
+* ``exact_quantiles`` -- bracket refinement: one scan gives, per column and
+  probability, two neighbouring values from Spark's bounded quantile sketch;
+  the next scan counts the rows below and inside that bracket (so the sketch's
+  error does no harm) and sketches inside it, until a bracket is a single
+  value.  A bracket shrinks by the sketch's accuracy (some thousand times) per
+  scan: a few scans for any number of rows, each one row of partial
+  aggregates, no shuffle of the data and no copy of it.  The two neighbouring
+  ranks are linearly interpolated as pandas, NumPy's default and DuckDB
   ``quantile_cont`` do.
 * ``column_modes`` -- most frequent value per column, smallest value on ties,
   with a partial ``min(struct(-cnt, value))`` aggregate.
@@ -27,17 +26,15 @@ acceptable, so the operators here are built from shuffles that split the work:
 from __future__ import annotations
 
 from collections.abc import Sequence
-from contextlib import contextmanager
+from functools import reduce
 
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import qcol
 
-# distinct values of one column that may be ranked inside a single task
-WINDOW_LIMIT = 2_000_000
+#: Accuracy of the quantile sketch (rank error 1 / accuracy of the bracket's rows).
+SKETCH = 10_000
 
 
 def _partitions(df: DataFrame) -> int:
@@ -58,211 +55,115 @@ def long_values(df: DataFrame, cols: Sequence[str], cast: str = "double") -> Dat
     return out.where(cond)
 
 
-def _running_counts(batches):
-    """Inside one range partition: rows before each row, per column.
-
-    Rows arrive sorted by (cid, value); the total of earlier batches is
-    carried over so the partition may come in several Arrow batches.
-    """
-    carry: dict[int, int] = {}
-    for pdf in batches:
-        if pdf.empty:
-            yield pdf.assign(below=pd.Series(dtype="int64"))
-            continue
-        cs = pdf.groupby("cid", sort=False)["cnt"].cumsum()
-        base = pdf["cid"].map(carry).fillna(0).astype("int64")
-        pdf = pdf.assign(below=(cs - pdf["cnt"] + base).astype("int64"))
-        for k, v in pdf.groupby("cid", sort=False)["cnt"].sum().items():
-            carry[k] = carry.get(k, 0) + int(v)
-        yield pdf
-
-
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    approx_accuracy: int | None = None,
-                    window_limit: int = WINDOW_LIMIT) -> DataFrame:
-    """Quantiles of every column in ``cols`` -> ``(column, prob, value)``.
-
-    The ``(column, value) -> count`` pre-aggregate is computed once and kept
-    for the call.  Its per-column sizes route each column: at most
-    ``window_limit`` distinct values -> ``_quantiles_by_window`` (JVM, one
-    window partition per column, bounded by that limit); more ->
-    ``_quantiles_by_range`` (range-partitioned over all tasks, no bound).
-    The result is columns x probabilities rows, returned materialised.
-    ``approx_accuracy`` switches to ``percentile_approx`` (one pass, bounded
-    sketch memory, rank error about n / accuracy).
-    """
-    return column_summary(df, cols, probs, approx_accuracy, window_limit)[0]
-
-
-@contextmanager
-def value_counts(df: DataFrame, cols: Sequence[str]):
-    """The ``(cid, value, cnt)`` pre-aggregate of ``cols`` (cid = position in
-    ``cols``), persisted while the block runs.  Everything order-statistical
-    about the columns can be read from it without touching the data again."""
-    counts = (_long_ids(df, cols).groupBy("cid", "value")
-              .agg(F.count(F.lit(1)).alias("cnt")).persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        yield counts
-    finally:
-        counts.unpersist()
-
-
-def quantiles_from_counts(counts: DataFrame, probs: Sequence[float],
-                          window_limit: int = WINDOW_LIMIT,
-                          sizes: dict[int, int] | None = None) -> list:
-    """Rows ``(cid, prob, value)`` from a ``value_counts`` table: columns with
-    at most ``window_limit`` distinct values by window, the others by range.
-    ``sizes`` (distinct values per cid) saves a pass when already known."""
-    if sizes is None:
-        sizes = {r["cid"]: r["d"] for r in
-                 counts.groupBy("cid").agg(F.count(F.lit(1)).alias("d")).collect()}
-    small = [i for i, d in sizes.items() if d <= window_limit]
-    big = [i for i, d in sizes.items() if d > window_limit]
-    got = []
-    if small:
-        got += _quantiles_by_window(counts.where(F.col("cid").isin(small)), probs).collect()
-    if big:
-        got += _quantiles_by_range(counts.where(F.col("cid").isin(big)), probs).collect()
-    return got
-
-
-def column_summary(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                   approx_accuracy: int | None = None, window_limit: int = WINDOW_LIMIT,
-                   moments: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """Quantiles and, with ``moments``, per-column moments from ONE pass.
-
-    Returns ``(quantiles (column, prob, value), moments (column, n, mean, std,
-    min, max, g1, g2) or None)``.  The moments come from the cached
-    ``(column, value) -> count`` table -- weighted sums, then weighted
-    central moments around the mean (two passes over that table, none over
-    the data), so describe-style profiles read the data once.
+                    approx_accuracy: int | None = None) -> DataFrame:
+    """Quantiles of every column in ``cols`` -> ``(column, prob, value)``
+    (columns x probabilities rows, returned materialised; columns without a
+    value are left out).
+
+    ``approx_accuracy`` takes the sketch's own answer instead (one scan, rank
+    error about n / accuracy).
     """
-    spark = df.sparkSession
     schema = "column string, prob double, value double"
-    mschema = ("column string, n long, mean double, std double, min double, max double, "
-               "g1 double, g2 double")
-    if not cols:
-        return spark.createDataFrame([], schema), (spark.createDataFrame([], mschema)
-                                                   if moments else None)
-    probs = [float(p) for p in probs]
-    cols = list(cols)
-    if approx_accuracy and not moments:
-        arr = F.array(*[F.lit(p) for p in probs])
-        q = (_long_ids(df, cols).groupBy("cid")
-             .agg(F.percentile_approx("value", arr, approx_accuracy).alias("qs"))
-             .select("cid", F.posexplode("qs").alias("i", "value"))
-             .select("cid", F.element_at(arr, F.col("i") + 1).alias("prob"), "value"))
-        return _named(spark, q.collect(), cols, schema), None
-    with value_counts(df, cols) as counts:
-        first = {r["cid"]: r for r in counts.groupBy("cid").agg(
-            F.count(F.lit(1)).alias("d"), F.sum("cnt").alias("n"),
-            (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
-            F.min("value").alias("min"), F.max("value").alias("max")).collect()}
-        sizes = {i: r["d"] for i, r in first.items()}
-        got = quantiles_from_counts(counts, probs, window_limit, sizes) if probs else []
-        mom = None
-        if moments:
-            central = {}
-            if first:
-                mean = F.create_map(*[x for i, r in first.items()
-                                      for x in (F.lit(i), F.lit(r["mean"]))])
-                dev = F.col("value") - mean[F.col("cid")]
-                central = {r["cid"]: r for r in counts.groupBy("cid").agg(
-                    *[F.sum(F.col("cnt") * F.pow(dev, k)).alias(f"m{k}") for k in (2, 3, 4)]
-                ).collect()}
-            rows = []
-            for i, c in enumerate(cols):
-                r = first.get(i)
-                if r is None:
-                    rows.append((c, 0, None, None, None, None, None, None))
-                    continue
-                n, m = r["n"], central[i]
-                m2, m3, m4 = m["m2"], m["m3"], m["m4"]
-                std = (m2 / (n - 1)) ** 0.5 if n > 1 else None
-                g1 = (m3 / n) / (m2 / n) ** 1.5 if m2 > 0 else None
-                g2 = (m4 / n) / (m2 / n) ** 2 - 3.0 if m2 > 0 else None
-                rows.append((c, int(n), float(r["mean"]), std, float(r["min"]), float(r["max"]),
-                             g1, g2))
-            mom = spark.createDataFrame(rows, mschema)
-    return _named(spark, got, cols, schema), mom
-
-
-def _long_ids(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(cid, value)``: column index (a cheap int key) and value as double,
-    NULL and NaN dropped."""
-    pairs = [F.struct(F.lit(i).alias("cid"), qcol(c).cast("double").alias("value"))
-             for i, c in enumerate(cols)]
-    out = df.select(F.inline(F.array(*pairs)))
-    return out.where(F.col("value").isNotNull() & ~F.isnan("value"))
-
-
-def _named(spark, rows, cols: Sequence[str], schema: str) -> DataFrame:
-    return spark.createDataFrame(
-        [(cols[r["cid"]], float(r["prob"]), None if r["value"] is None else float(r["value"]))
-         for r in rows], schema)
-
-
-def _pick(rows: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Rows ``(cid, value, first, last, n)`` -- the 0-based rank interval each
-    distinct value occupies -> interpolated quantiles ``(cid, prob, value)``."""
-    picks = []
-    for p in probs:
-        h = (F.col("n") - 1) * F.lit(p)
-        lo, hi = F.floor(h), F.ceil(h)
-        picks.append(F.struct(
-            F.lit(p).alias("prob"), (h - lo).alias("frac"),
-            F.when(lo.between(F.col("first"), F.col("last")), F.col("value")).alias("vlo"),
-            F.when(hi.between(F.col("first"), F.col("last")), F.col("value")).alias("vhi")))
-    hits = (rows.select("cid", F.inline(F.array(*picks)))
-            .where(F.col("vlo").isNotNull() | F.col("vhi").isNotNull()))
-    return (hits.groupBy("cid", "prob")
-            .agg(F.max("vlo").alias("vlo"), F.max("vhi").alias("vhi"),
-                 F.max("frac").alias("frac"))
-            .select("cid", "prob",
-                    (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("value")))
-
-
-def _quantiles_by_window(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Distinct values of a column ranked in one window partition (JVM only).
-
-    Safe because the caller bounds the distinct values per column; value
-    skew is gone after the pre-aggregation.
-    """
-    w = Window.partitionBy("cid").orderBy("value")
-    ranked = counts.select(
-        "cid", "value", "cnt",
-        (F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cnt"))
-        .alias("first"),
-        F.sum("cnt").over(Window.partitionBy("cid")).alias("n"))
-    return _pick(ranked.withColumn("last", F.col("first") + F.col("cnt") - 1), probs)
-
-
-def _quantiles_by_range(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Distinct values range-partitioned over all tasks, running counts per
-    partition in ``mapInPandas``, per-partition offsets broadcast."""
-    # explicit partition count: AQE leaves it alone, so partition ids are stable
-    ranged = (counts.repartitionByRange(_partitions(counts), "cid", "value")
-              .sortWithinPartitions("cid", "value")
-              .withColumn("pid", F.spark_partition_id()))
-    # Frozen in the shared checkpoint folder: partition ids and running counts
-    # are read by two branches below and must not change if a task is re-run.
-    ranked = ranged.mapInPandas(
-        _running_counts, "cid int, value double, cnt long, pid int, below long"
-    ).checkpoint(eager=True)
-
-    per_part = ranked.groupBy("cid", "pid").agg(F.sum("cnt").alias("tot"))
-    w = Window.partitionBy("cid").orderBy("pid")
-    offsets = per_part.select(
-        "cid", "pid",
-        F.coalesce(F.sum("tot").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("offset"),
-        F.sum("tot").over(Window.partitionBy("cid")).alias("n"))
-    # at most (partitions + columns) rows: a proven bound, safe to broadcast
-    rows = (ranked.join(F.broadcast(offsets), ["cid", "pid"])
-            .select("cid", "value", "n",
-                    (F.col("offset") + F.col("below")).alias("first"),
-                    (F.col("offset") + F.col("below") + F.col("cnt") - 1).alias("last")))
-    return _pick(rows, probs)
+    spark, cols, probs = df.sparkSession, list(cols), [float(p) for p in probs]
+    if not cols or not probs:
+        return spark.createDataFrame([], schema)
+    data = df.select(*[F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double")).alias(f"x{i}")
+                       for i, c in enumerate(cols)])
+    if approx_accuracy:
+        row = data.agg(*[F.percentile_approx(f"x{i}", probs, approx_accuracy).alias(f"q{i}")
+                         for i in range(len(cols))]).first()
+        got = [(c, p, v) for i, c in enumerate(cols) if row[f"q{i}"] for p, v in zip(probs, row[f"q{i}"])]
+    else:
+        found = _order_statistics(data, len(cols), probs)
+        got = [(c, p, found[i, p]) for i, c in enumerate(cols) for p in probs if (i, p) in found]
+    return spark.createDataFrame(got, schema)
+
+
+class _Bracket:
+    """Rank ``rank`` (from 0) of a column, known to lie among the ``inside`` rows
+    with values strictly between a and b (none: no bound), ``below`` rows being
+    smaller."""
+
+    def __init__(self, col: int, rank: int, n: int):
+        self.col, self.rank = col, rank
+        self.a, self.b, self.below, self.inside = None, None, 0, n
+
+    def member(self) -> Column:
+        x = F.col(f"x{self.col}")
+        tests = [x.isNotNull()] + ([x > F.lit(self.a)] if self.a is not None else []) \
+            + ([x < F.lit(self.b)] if self.b is not None else [])
+        return reduce(lambda p, q: p & q, tests)
+
+    def around(self) -> list[float]:
+        """Probabilities inside the bracket, a little below and above the rank."""
+        gap = 2 * (self.inside / SKETCH + 1)
+        return [min(max((self.rank - self.below + d + 0.5) / self.inside, 0.0), 1.0) for d in (-gap, gap)]
+
+    def counts(self, guess: tuple[float, float]) -> list[Column]:
+        x = F.col(f"x{self.col}")
+        a, z = (F.lit(v) for v in guess)
+        return [F.count_if(self.member() & t) for t in (x < a, x <= a, x < z, x <= z)]
+
+    def narrow(self, guess: tuple[float, float], counts: list[int]) -> float | None:
+        """The value at the rank, if the counts tell it.  Otherwise the bracket
+        loses at least the values of the guess, whatever that was worth."""
+        (a, z), (lt_a, le_a, lt_z, le_z) = guess, (self.below + n for n in counts)
+        if lt_a <= self.rank < le_a:
+            return a
+        if lt_z <= self.rank < le_z:
+            return z
+        end = self.below + self.inside
+        if self.rank < lt_a:
+            self.b, end = a, lt_a
+        elif self.rank >= le_z:
+            self.a, self.below = z, le_z
+        else:
+            self.a, self.b, self.below, end = a, z, le_a, lt_z
+        self.inside = end - self.below
+        return None
+
+
+def _order_statistics(data: DataFrame, k: int, probs: Sequence[float]) -> dict[tuple, float]:
+    """Interpolated quantiles ``{(column, prob): value}`` of the columns x0 .. xk-1."""
+    eps = 2.0 / SKETCH
+    ends = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-eps, eps)]
+    first = data.agg(*[e for i in range(k) for e in (
+        F.count(f"x{i}").alias(f"n{i}"), F.percentile_approx(f"x{i}", ends, SKETCH).alias(f"q{i}"))]).first()
+    ranks, open_, guess, values = {}, {}, {}, {}
+    for i in range(k):
+        n = first[f"n{i}"]
+        for j, p in enumerate(probs if n else ()):
+            lo = min(int((n - 1) * p), n - 1)
+            ranks[i, p] = (lo, min(lo + ((n - 1) * p > lo), n - 1), (n - 1) * p - lo)
+            for r in ranks[i, p][:2]:
+                open_[i, r] = _Bracket(i, r, n)
+                guess[i, r] = tuple(first[f"q{i}"][2 * j:2 * j + 2])
+    while wide := [key for key, b in open_.items() if b.inside > SKETCH]:
+        if any(key not in guess for key in wide):
+            got = data.where(_any([open_[key].member() for key in wide])).agg(*[
+                F.percentile_approx(F.when(open_[key].member(), F.col(f"x{key[0]}")),
+                                    open_[key].around(), SKETCH) for key in wide]).first()
+            guess = {key: tuple(got[j]) for j, key in enumerate(wide)}
+        got = data.where(_any([open_[key].member() for key in wide])).agg(*[
+            c for key in wide for c in open_[key].counts(guess[key])]).first()
+        for j, key in enumerate(wide):
+            found = open_[key].narrow(guess.pop(key), list(got[4 * j:4 * j + 4]))
+            if found is not None:
+                values[key] = found
+                del open_[key]
+    # what is left: at most SKETCH rows of each bracket
+    keys = list(open_)
+    if keys:
+        rows = data.where(_any([open_[key].member() for key in keys])).agg(*[
+            F.sort_array(F.collect_list(F.when(open_[key].member(), F.col(f"x{key[0]}")))) for key in keys]).first()
+        values |= {key: row[open_[key].rank - open_[key].below] for key, row in zip(keys, rows)}
+    return {(i, p): values[i, lo] + (values[i, hi] - values[i, lo]) * frac
+            for (i, p), (lo, hi, frac) in ranks.items()}
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda x, y: x | y, conditions)
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tabulon.operators import profile
+from tabulon.operators import profile, ranking
 from tabulon.operators.ranking import exact_quantiles, global_index, top_values
 
 
@@ -108,17 +108,20 @@ def test_column_bytes_and_first_mean(spark):
     assert profile.first_numeric_mean(df.select("s")).first()["mean"] is None
 
 
-def test_range_path_equals_window_path(spark):
+@pytest.mark.parametrize("sketch", [20, 300, 10_000])
+def test_quantiles_are_exact_however_coarse_the_sketch(spark, monkeypatch, sketch):
+    monkeypatch.setattr(ranking, "SKETCH", sketch)
     df = spark.range(0, 4000).select(
         F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise((F.col("id") * 7919 % 997).cast("double"))
-        .alias("a"), (F.col("id") % 13).cast("double").alias("b")).repartition(5)
+        .alias("a"), (F.col("id") % 13).cast("double").alias("b"),
+        F.when(F.col("id") % 5 == 0, F.exp(F.col("id") / 20.0)).when(F.col("id") % 5 == 1, float("nan")).alias("c"),
+        F.lit(None).cast("double").alias("d")).repartition(5)
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    by_window = sorted(map(tuple, exact_quantiles(df, ["a", "b"], probs).collect()))
-    by_range = sorted(map(tuple, exact_quantiles(df, ["a", "b"], probs, window_limit=0).collect()))
-    assert by_window == by_range
+    got = [tuple(r) for r in exact_quantiles(df, ["a", "b", "c", "d"], probs).collect()]
+    assert len(got) == 18
     pdf = df.toPandas()
-    for c, p, v in by_range:
-        assert math.isclose(v, pdf[c].quantile(p))
+    for c, p, v in got:
+        assert math.isclose(v, pdf[c].quantile(p), rel_tol=1e-12)
 
 
 def test_global_index_hot_duplicate_group(spark):
