@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,9 +25,9 @@ from tabulon.operators.ranking import column_modes, quantile_table
 STRIP_PATTERN = r"(?U)^\s+|\s+$"
 # The currency symbols and thousands separator removed before a
 # text value is read as a number, and the shape of a plain number.
-MONEY_CHARS = r"[$£€,]"
+MONEY_CHARS = "$£€,"
 NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-MONEY_HINT = r"[$£€]|^\d"
+MONEY_SIGNS = "$£€"
 ENCODE_MAX_DISTINCT = 10
 
 
@@ -129,34 +129,28 @@ def encode_categorical(df: DataFrame, max_distinct: int = ENCODE_MAX_DISTINCT,
     """Text columns with fewer than ``max_distinct`` distinct values get
     ``<col>_encoded`` = 0-based position of the value in ascending order.
 
-    A HyperLogLog pass screens all columns at once; only columns that may be
-    small get an exact distinct list (a few rows to the driver).  The code is
-    a literal array lookup, no join.  NULL stays NULL.
+    At most ``max_distinct`` values of each column come to the driver: the
+    smallest ones, by a row number that every task limits before the shuffle.
+    A column with fewer is complete; the code is a literal array lookup, no
+    join.  NULL stays NULL.
     """
     cols = list(cols) if cols is not None else string_columns(df)
     if not cols:
         return df
-    approx = {r["column"]: r["a"] for r in wide_to_long(
-        df, cols, {"a": lambda v: F.approx_count_distinct(v, 0.05)},
-        value=lambda c: qcol(c).cast("string")).collect()}
-    # HLL at 5 % error: a column with < max_distinct values never reaches the cut
-    candidates = [c for c in cols if approx.get(c, 0) < 2 * max_distinct + 5]
+    values = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), qcol(c).alias("value")) for c in cols
+    ]))).where(F.col("value").isNotNull()).distinct()
+    first = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    by_col: dict[str, list[str]] = {c: [] for c in cols}
+    for r in values.withColumn("n", first).where(F.col("n") <= max_distinct).collect():
+        by_col[r["column"]].append(r["value"])
     exprs = {}
-    if candidates:
-        vals = (df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), qcol(c).alias("value")) for c in candidates
-        ])).alias("kv")).select("kv.*").where(F.col("value").isNotNull()).distinct())
-        # bounded: candidates x (2 * max_distinct + 5) rows at most, by the screen above
-        by_col: dict[str, list[str]] = {}
-        for r in vals.collect():
-            by_col.setdefault(r["column"], []).append(r["value"])
-        for c in candidates:
-            values = sorted(by_col.get(c, []))
-            if len(values) < max_distinct:
-                arr = F.array(*[F.lit(v) for v in values]) if values else \
-                    F.array().cast("array<string>")
-                exprs[f"{c}_encoded"] = F.when(
-                    qcol(c).isNotNull(), F.array_position(arr, qcol(c)) - 1).cast("int")
+    for c, found in by_col.items():
+        if len(found) < max_distinct:
+            arr = F.array(*[F.lit(v) for v in sorted(found, key=lambda v: v.encode())]) if found else \
+                F.array().cast("array<string>")
+            exprs[f"{c}_encoded"] = F.when(
+                qcol(c).isNotNull(), F.array_position(arr, qcol(c)) - 1).cast("int")
     return df.withColumns(exprs) if exprs else df
 
 
@@ -173,7 +167,7 @@ def text_to_number(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     if not cols:
         return df
     facts = {r["column"]: r for r in wide_to_long(
-        df, cols, {"hint": lambda v: F.bool_or(v.rlike(MONEY_HINT)),
+        df, cols, {"hint": lambda v: F.bool_or(_looks_like_money(v)),
                    "n": lambda v: F.count(_to_number(v))},
         value=lambda c: qcol(c)).collect()}
     exprs = {f"{c}_numeric": _to_number(qcol(c)) for c in cols
@@ -181,8 +175,13 @@ def text_to_number(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     return df.withColumns(exprs) if exprs else df
 
 
+def _looks_like_money(c):
+    """A currency sign somewhere, or a digit first; no regular expression."""
+    return (F.translate(c, MONEY_SIGNS, "") != c) | F.substring(c, 1, 1).between("0", "9")
+
+
 def _to_number(c):
-    s = F.regexp_replace(c, MONEY_CHARS, "")
+    s = F.translate(c, MONEY_CHARS, "")
     return F.when(s.rlike(NUMBER_SHAPE), F.trim(s).try_cast("double"))
 
 

@@ -5,9 +5,9 @@ The graph is undirected and simple: an edge list ``(source, target)`` is
 normalised to unordered pairs and de-duplicated.  Degrees are one
 ``explode`` + ``groupBy``; the shortest path is a breadth-first search where
 each level is a join of the frontier with the edges and an anti-join with
-the visited set -- the loop runs once per level (the graph's depth), never
-per row, and the visited set is checkpointed each level to keep the plan
-short and to survive lost executors.
+the last two levels -- the loop runs once per level (the graph's depth), never
+per row, and each level is checkpointed once, to keep the plan short and to
+survive lost executors.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# frontier rows that may be broadcast to the edge scan in one BFS level
-BROADCAST_FRONTIER_ROWS = 1_000_000
-
 
 def simple_edges(edges: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
     """Unordered, de-duplicated pairs ``(a, b)`` with a <= b; self-loops kept once."""
@@ -63,47 +60,31 @@ def shortest_path(edges: DataFrame, start: str, goal: str, src: str = "source",
     (empty when unreachable).  Among equal-length paths, each node's parent
     is the smallest name, so the answer is deterministic."""
     spark = edges.sparkSession
+    none = spark.createDataFrame([], "step int, node string")
+    if start == goal:
+        return spark.createDataFrame([(0, start)], "step int, node string")
     e = simple_edges(edges, src, dst)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     # built once (the de-duplication is a shuffle) and reused by every level
     both = (e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
             .checkpoint(eager=True))
-    visited = spark.createDataFrame([(start, None, 0)], "node string, parent string, depth int")
-    frontier, size = visited, 1
-    depth = 0
-    found = start == goal
-    while not found:
-        depth += 1
-        if max_depth is not None and depth > max_depth:
-            break
-        front = frontier.select(F.col("node").alias("a"))
-        # the frontier is counted each level: broadcast it only under a fixed
-        # row bound, so the edge list streams through without a shuffle;
-        # beyond the bound both sides shuffle (sort-merge join)
-        if size <= BROADCAST_FRONTIER_ROWS:
-            front = F.broadcast(front)
-        nxt = (front.join(both, "a")
+    levels = [spark.createDataFrame([(start, None)], "node string, parent string")]
+    while max_depth is None or len(levels) <= max_depth:
+        # a neighbour of this level is in the level before, in this one or in the
+        # next: earlier levels need not be looked at
+        near = levels[-1].select("node")
+        if len(levels) > 1:
+            near = near.union(levels[-2].select("node"))
+        nxt = (levels[-1].select(F.col("node").alias("a")).join(both, "a")
                .groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
-               .join(visited.select("node"), "node", "left_anti")
-               .withColumn("depth", F.lit(depth)))
-        nxt = nxt.checkpoint(eager=True)
-        size = nxt.count()
-        if size == 0:
-            break
-        # coalesce (no shuffle) keeps the partition count of the growing
-        # visited set fixed instead of adding the new level's partitions
-        visited = visited.unionByName(nxt).coalesce(parts).checkpoint(eager=True)
-        frontier = nxt
-        found = not nxt.where(F.col("node") == goal).isEmpty()
-    if not found:
-        return spark.createDataFrame([], "step int, node string")
-    # walk back: one small lookup per level of the path
-    path, node = [goal], goal
-    for _ in range(depth):
-        row = visited.where(F.col("node") == node).select("parent").first()
-        if row is None or row[0] is None:
+               .join(near, "node", "left_anti").checkpoint(eager=True))
+        if nxt.isEmpty():
+            return none
+        levels.append(nxt)
+        if not nxt.where(F.col("node") == goal).isEmpty():
             break
-        node = row[0]
-        path.append(node)
-    path.reverse()
-    return spark.createDataFrame(list(enumerate(path)), "step int, node string")
+    else:
+        return none
+    path = [goal]  # walk back: one row of each level
+    for level in reversed(levels[1:]):
+        path.append(level.where(F.col("node") == path[-1]).first()["parent"])
+    return spark.createDataFrame(list(enumerate(reversed(path))), "step int, node string")

@@ -5,25 +5,30 @@
   (``randomSplit`` depends on partition layout) and in other engines.
 * Linear regression uses the normal-equation solver: XᵀX is a tree-aggregate
   of features x features numbers, so rows never move.
-* K-means runs once per k on the same vectors; they are persisted for the
-  elbow loop and released afterwards.
+* K-means runs once per k on the same vectors; they are kept for the
+  elbow loop in the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions import messages
 from tabulon.functions.columns import nan_to_null, numeric_columns, qcol
+from tabulon.functions.messages import NotPossible
 
 MIN_ROWS = 10
+#: Depth bound of forest trees (a parameter of the analysis plan too).
+MAX_DEPTH = 8
+#: Rows of one partition when clustering.
+ROWS_PER_PART = 250_000
 
 
 def split_flag(key_cols: Sequence[str], test_buckets: int = 1, buckets: int = 5):
@@ -37,18 +42,24 @@ def split_flag(key_cols: Sequence[str], test_buckets: int = 1, buckets: int = 5)
     return F.pmod(h, F.lit(buckets)) < test_buckets
 
 
-def _prepare(df: DataFrame, target: str | None, features: Sequence[str] | None):
+def _prepare(df: DataFrame, key: Sequence[str], target: str | None, features: Sequence[str] | None,
+             test_buckets: int) -> tuple[DataFrame, str, list[str]]:
+    """The complete rows as (features vector, label, test), read once and kept in
+    the shared checkpoint folder for the count, the fit and the metrics.  Columns
+    are renamed inside, so any column name will do."""
     df = nan_to_null(df)
     nums = numeric_columns(df)
     if len(nums) < 2 and features is None:
-        raise ValueError("Need at least 2 numeric columns for regression analysis")
+        raise NotPossible(messages.FEW_FOR_REGRESSION)
     target = target or nums[-1]
     features = list(features) if features is not None else [c for c in nums if c != target]
-    cols = features + [target]
-    data = df.select(*[qcol(c).cast("double").alias(c) for c in cols],
-                     *[qcol(c) for c in df.columns if c not in cols])
-    data = data.dropna(subset=cols)
-    return data, target, features
+    names = [f"f{i}" for i in range(len(features))]
+    data = df.select(*[qcol(c).cast("double").alias(n) for c, n in zip(features, names)],
+                     qcol(target).cast("double").alias("label"),
+                     split_flag(key, test_buckets).alias("test")).dropna(subset=[*names, "label"])
+    vec = VectorAssembler(inputCols=names, outputCol="features").transform(data)
+    vec = vec.select("features", "label", "test").checkpoint(eager=True)
+    return vec, target, features
 
 
 def ols(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -60,12 +71,21 @@ def ols(df: DataFrame, y: str, x: str) -> DataFrame:
                  F.regr_intercept(yy, xx).alias("intercept"), F.regr_r2(yy, xx).alias("r2"))
 
 
-def _metrics(pred: DataFrame, target: str) -> DataFrame:
-    err = F.col("prediction") - F.col(target)
+def _metrics(pred: DataFrame, target: str, n_train: int) -> DataFrame:
+    err = F.col("prediction") - F.col("label")
     return pred.agg(F.count(F.lit(1)).alias("n_test"),
                     F.avg(err * err).alias("mse"),
                     (1 - F.sum(err * err) / F.nullif(
-                        F.count(F.lit(1)) * F.var_pop(target), F.lit(0.0))).alias("r2"))
+                        F.count(F.lit(1)) * F.var_pop("label"), F.lit(0.0))).alias("r2")) \
+        .select(F.lit(target).alias("target"), F.lit(n_train).alias("n_train"), "n_test", "r2", "mse")
+
+
+def _train(vec: DataFrame) -> tuple[DataFrame, int]:
+    train = vec.where(~F.col("test"))
+    n = train.count()
+    if n < MIN_ROWS:
+        raise NotPossible(messages.LITTLE_FOR_REGRESSION)
+    return train, n
 
 
 def linear_regression(df: DataFrame, key: Sequence[str], target: str | None = None,
@@ -74,57 +94,39 @@ def linear_regression(df: DataFrame, key: Sequence[str], target: str | None = No
     coefficient)`` including ``(intercept)``; metrics ``(target, n_train,
     n_test, r2, mse)`` on the held-out rows.  Target: last numeric column;
     features: the others; rows with a missing value are dropped."""
-    data, target, features = _prepare(df, target, features)
-    test = split_flag(key, test_buckets)
-    vec = VectorAssembler(inputCols=features, outputCol="features").transform(data)
-    train, held = vec.where(~test), vec.where(test)
-    n_train = train.count()
-    if n_train < MIN_ROWS:
-        raise ValueError("Insufficient data for regression analysis")
-    model = LinearRegression(featuresCol="features", labelCol=target, solver="normal",
-                             regParam=0.0, elasticNetParam=0.0).fit(train)
-    spark = df.sparkSession
-    coefs = spark.createDataFrame(
+    vec, target, features = _prepare(df, key, target, features, test_buckets)
+    train, n_train = _train(vec)
+    model = LinearRegression(solver="normal", regParam=0.0, elasticNetParam=0.0).fit(train)
+    coefs = df.sparkSession.createDataFrame(
         [(f, float(c)) for f, c in zip(features, model.coefficients.toArray())]
         + [("(intercept)", float(model.intercept))], "feature string, coefficient double")
-    m = _metrics(model.transform(held), target).select(
-        F.lit(target).alias("target"), F.lit(n_train).alias("n_train"), "n_test", "r2", "mse")
-    return coefs, m
+    return coefs, _metrics(model.transform(vec.where("test")), target, n_train)
 
 
 def random_forest(df: DataFrame, key: Sequence[str], target: str | None = None,
                   features: Sequence[str] | None = None, num_trees: int = 100,
-                  max_depth: int = 8, seed: int = 42, test_buckets: int = 1):
+                  max_depth: int = MAX_DEPTH, seed: int = 42, test_buckets: int = 1):
     """M4: ``(importances, metrics)`` -- ``(feature, importance)`` summing to 1
     and ``(target, n_train, n_test, r2, mse)`` on the held-out rows.  Every
     split considers all features (scikit-learn's regressor default)."""
-    data, target, features = _prepare(df, target, features)
-    test = split_flag(key, test_buckets)
-    vec = VectorAssembler(inputCols=features, outputCol="features").transform(data)
-    train, held = vec.where(~test), vec.where(test)
-    n_train = train.count()
-    if n_train < MIN_ROWS:
-        raise ValueError("Insufficient data for regression analysis")
-    model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=num_trees,
-                                  maxDepth=max_depth, featureSubsetStrategy="all",
+    vec, target, features = _prepare(df, key, target, features, test_buckets)
+    train, n_train = _train(vec)
+    model = RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="all",
                                   seed=seed).fit(train)
-    spark = df.sparkSession
-    imp = model.featureImportances.toArray()
-    imps = spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)],
-                                 "feature string, importance double")
-    m = _metrics(model.transform(held), target).select(
-        F.lit(target).alias("target"), F.lit(n_train).alias("n_train"), "n_test", "r2", "mse")
-    return imps, m
+    imps = df.sparkSession.createDataFrame(
+        [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())],
+        "feature string, importance double")
+    return imps, _metrics(model.transform(vec.where("test")), target, n_train)
 
 
 def kmeans_elbow(df: DataFrame, cols: Sequence[str] | None = None, vector_col: str | None = None,
-                 max_k: int = 10, seed: int = 42):
+                 max_k: int = 10, seed: int = 42, n_init: int = 3):
     """M5: ``(elbow, clusters, chosen_k)``.
 
     ``elbow``: ``(k, inertia)`` for k in 2 .. min(max_k, n // 2) - 1;
     the chosen k is the one *before* the largest inertia drop (the reference's
     rule, kept); ``clusters``: ``(cluster, size, center array<double>)`` of
-    the final fit.  Rows with a missing value are dropped.  ``vector_col``
+    the best of ``n_init`` fits.  Rows with a missing value are dropped.  ``vector_col``
     clusters an ``array<float|double>`` column (e.g. embeddings) instead.
     """
     spark = df.sparkSession
@@ -135,31 +137,37 @@ def kmeans_elbow(df: DataFrame, cols: Sequence[str] | None = None, vector_col: s
         d = nan_to_null(df)
         cols = list(cols) if cols is not None else numeric_columns(d)
         if len(cols) < 2:
-            raise ValueError("Insufficient data for clustering analysis")
-        data = VectorAssembler(inputCols=cols, outputCol="features").transform(
-            d.select(*[qcol(c).cast("double").alias(c) for c in cols]).dropna())
-    data = data.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = data.count()
-        if n < MIN_ROWS:
-            raise ValueError("Insufficient data for clustering analysis")
-        ks = list(range(2, min(max_k, n // 2)))
-        inertias = []
-        for k in ks:
-            model = KMeans(k=k, seed=seed, featuresCol="features").fit(data)
-            inertias.append(float(model.summary.trainingCost))
-        if len(ks) >= 2:
-            drops = [b - a for a, b in zip(inertias, inertias[1:])]
-            chosen = ks[drops.index(min(drops))]
-        else:
-            chosen = ks[0] if ks else 2
-        final = KMeans(k=chosen, seed=seed, featuresCol="features").fit(data)
-        sizes = final.summary.clusterSizes
-        centers = final.clusterCenters()
-        elbow = spark.createDataFrame(list(zip(ks, inertias)), "k int, inertia double")
-        clusters = spark.createDataFrame(
-            [(i, int(sizes[i]), [float(v) for v in centers[i]]) for i in range(len(centers))],
-            "cluster int, size long, center array<double>")
-        return elbow, clusters, chosen
-    finally:
-        data.unpersist()
+            raise NotPossible(messages.LITTLE_FOR_CLUSTERING)
+        names = [f"f{i}" for i in range(len(cols))]
+        data = VectorAssembler(inputCols=names, outputCol="features").transform(
+            d.select(*[qcol(c).cast("double").alias(n) for c, n in zip(cols, names)]).dropna())
+    data = data.select("features")
+    n = data.count()
+    if n < MIN_ROWS:
+        raise NotPossible(messages.LITTLE_FOR_CLUSTERING)
+    # the start centres are drawn partition by partition: deal the rows out by
+    # their content and sort them, so that the input's layout has no effect
+    text = vector_to_array("features").cast("string")
+    data = data.withColumn("key", F.xxhash64(text)).repartition(-(-n // ROWS_PER_PART), "key") \
+        .sortWithinPartitions("key", text).select("features").checkpoint(eager=True)
+    ks = list(range(2, min(max_k, n // 2)))
+
+    def best(k: int):
+        fits = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(data) for i in range(n_init)]
+        return min(fits, key=lambda m: m.summary.trainingCost)
+
+    models = {k: best(k) for k in ks}
+    inertias = [float(models[k].summary.trainingCost) for k in ks]
+    if len(ks) >= 2:
+        drops = [b - a for a, b in zip(inertias, inertias[1:])]
+        chosen = ks[drops.index(min(drops))]
+    else:
+        chosen = ks[0] if ks else 2
+    final = models.get(chosen) or best(chosen)
+    sizes = final.summary.clusterSizes
+    centers = final.clusterCenters()
+    elbow = spark.createDataFrame(list(zip(ks, inertias)), "k int, inertia double")
+    clusters = spark.createDataFrame(
+        [(i, int(sizes[i]), [float(v) for v in centers[i]]) for i in range(len(centers))],
+        "cluster int, size long, center array<double>")
+    return elbow, clusters, chosen

@@ -1,10 +1,10 @@
 """Correlation and distribution statistics.
 
 Pearson r is taken over the rows where both columns are present (pandas'
-pairwise-complete rule).  The whole matrix comes from one scan: each task
-reduces its rows to k x k co-moment matrices with NumPy and Spark sums them.
-Per-column moments use the long-format aggregate of ``profile``.  A constant
-column gives NULL (Spark's ``corr`` would raise DIVIDE_BY_ZERO under ANSI).
+pairwise-complete rule), from ``covar_pop`` and ``stddev_pop`` of each pair in
+the JVM.  Per-column moments use the long-format aggregate of ``profile``.  A
+constant column gives NULL (Spark's ``corr`` would raise DIVIDE_BY_ZERO under
+ANSI).
 """
 
 from __future__ import annotations
@@ -12,89 +12,46 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import as_double, nan_to_null, numeric_columns
 from tabulon.operators.profile import wide_to_long
-from tabulon.operators.ranking import column_summary, exact_quantiles
+from tabulon.operators.ranking import exact_quantiles
 
-def _comoments(cols: list[str], shift: list[float]):
-    """Per partition: pairwise-complete sums as k x k matrices (NumPy BLAS).
-
-    n[i,j] rows with both present; sa[i,j] sum of x_i over those rows;
-    saa[i,j] sum of x_i^2 over them; sab[i,j] sum of x_i x_j.  Values are
-    shifted by the column means first, so the final differences do not
-    cancel.  One output row per matrix cell; nothing for an empty partition.
-    """
-    k = len(cols)
-    mu = np.asarray(shift, dtype="float64")
-
-    def fn(batches):
-        acc = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = pdf[cols].to_numpy(dtype="float64", na_value=np.nan) - mu
-            m = ~np.isnan(x)
-            x0 = np.where(m, x, 0.0)
-            mf = m.astype("float64")
-            part = (mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0)
-            acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
-        if acc is not None:
-            yield pd.DataFrame({"cell": np.arange(k * k, dtype="int64"),
-                                "n": acc[0].ravel(), "sa": acc[1].ravel(),
-                                "saa": acc[2].ravel(), "sab": acc[3].ravel()})
-    return fn
+#: Pairs of one aggregate: with more, Spark leaves whole-stage code generation.
+PAIRS = 12
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """M1: ``(var1, var2, r)`` for every ordered pair, diagonal included.
 
-    Pass 1: column means (one long-format aggregate).  Pass 2: every task
-    turns its rows into k x k co-moment matrices with NumPy (Arrow batches,
-    matrix products) and Spark sums the k^2 cells over tasks.  The r values
-    are then arithmetic on k^2 numbers.  Pairwise-complete, like pandas;
-    a constant column gives NULL.
+    Pairs of columns are aggregated ``PAIRS`` at a time: one scan of just
+    those columns and one row of partial aggregates each, every sum being of
+    centred values (Spark's covariance updates its means as it goes).
+    Pairwise-complete, like pandas; a constant column gives NULL.
     """
     df = nan_to_null(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
     schema = "var1 string, var2 string, r double"
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    means = {r["column"]: r["mean"] for r in
-             wide_to_long(df, cols, {"mean": F.avg}).collect()}
-    shift = [means.get(c) or 0.0 for c in cols]
-    names = [f"c{i}" for i in range(len(cols))]
-    data = df.select(*[as_double(c).alias(n) for c, n in zip(cols, names)])
-    # every task emits k^2 cells: cap the number of tasks (a narrow coalesce,
-    # no shuffle) so the cell shuffle stays bounded however many splits there are
-    data = data.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
-    cells = (data.mapInPandas(_comoments(names, shift),
-                              "cell long, n double, sa double, saa double, sab double")
-             .groupBy("cell").agg(*[F.sum(c).alias(c) for c in ["n", "sa", "saa", "sab"]]))
-    k = len(cols)
-    mats = {c: np.zeros((k, k)) for c in ["n", "sa", "saa", "sab"]}
-    for r in cells.collect():  # k^2 rows: bounded by the column count
-        i, j = divmod(r["cell"], k)
-        for c in mats:
-            mats[c][i, j] = r[c]
-    out = []
-    for i in range(k):
-        for j in range(k):
-            n = mats["n"][i, j]
-            sa, sb = mats["sa"][i, j], mats["sa"][j, i]
-            saa, sbb = mats["saa"][i, j], mats["saa"][j, i]
-            cov = mats["sab"][i, j] - sa * sb / n if n else 0.0
-            va = saa - sa * sa / n if n else 0.0
-            vb = sbb - sb * sb / n if n else 0.0
-            r = cov / math.sqrt(va * vb) if n > 1 and va > 0 and vb > 0 else None
-            if r is not None:
-                r = float(max(-1.0, min(1.0, r)))
-            out.append((cols[i], cols[j], r))
-    return df.sparkSession.createDataFrame(out, schema)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    found: dict[tuple, float | None] = {}
+    for at in range(0, len(pairs), PAIRS):
+        some = pairs[at:at + PAIRS]
+        aggs = []
+        for n, (i, j) in enumerate(some):
+            x, y = as_double(cols[i]), as_double(cols[j])
+            both = x.isNotNull() & y.isNotNull()
+            aggs += [F.covar_pop(x, y).alias(f"c{n}"), F.stddev_pop(F.when(both, x)).alias(f"a{n}"),
+                     F.stddev_pop(F.when(both, y)).alias(f"b{n}")]
+        row = df.agg(*aggs).first()
+        for n, pair in enumerate(some):
+            cov, a, b = row[f"c{n}"], row[f"a{n}"], row[f"b{n}"]
+            found[pair] = max(-1.0, min(1.0, cov / (a * b))) if cov is not None and a and b else None
+    return df.sparkSession.createDataFrame(
+        [(a, b, found[min(i, j), max(i, j)]) for i, a in enumerate(cols) for j, b in enumerate(cols)], schema)
 
 
 def strong_correlations(df: DataFrame, threshold: float = 0.7,
@@ -112,86 +69,10 @@ def strong_correlations(df: DataFrame, threshold: float = 0.7,
 
 
 # ---------------------------------------------------------------- M2
-def with_normality_pvalue(df: DataFrame, n: str, g1: str, g2: str,
-                          out: str = "p_value") -> DataFrame:
-    """Add the D'Agostino-Pearson K^2 p-value computed from the columns ``n``
-    (count), ``g1`` (population skewness) and ``g2`` (population excess
-    kurtosis) -- D'Agostino 1970; Anscombe & Glynn 1983.
-
-    Scalar expressions only, staged as chained projections: every
-    intermediate is referenced several times, so Catalyst keeps the stages
-    apart and each value is computed once.  n < 8 or an undefined moment
-    gives NULL.
-    """
-    c = F.col
-    steps = [
-        ("_n", c(n).cast("double")),
-        ("_b2", c(g2) + 3.0),
-        # skewness part
-        ("_y0", c(g1) * F.sqrt((c("_n") + 1) * (c("_n") + 3) / (6.0 * (c("_n") - 2)))),
-        ("_beta2", 3.0 * (c("_n") * c("_n") + 27 * c("_n") - 70) * (c("_n") + 1) * (c("_n") + 3)
-         / ((c("_n") - 2) * (c("_n") + 5) * (c("_n") + 7) * (c("_n") + 9))),
-        ("_w2", -1.0 + F.sqrt(2.0 * (c("_beta2") - 1.0))),
-        ("_delta", 1.0 / F.sqrt(0.5 * F.log(c("_w2")))),
-        ("_alpha", F.sqrt(2.0 / (c("_w2") - 1.0))),
-        ("_ya", F.when(c("_y0") == 0, F.lit(1.0)).otherwise(c("_y0")) / c("_alpha")),
-        ("_z1", c("_delta") * F.log(c("_ya") + F.sqrt(c("_ya") * c("_ya") + 1.0))),
-        # kurtosis part
-        ("_x", (c("_b2") - 3.0 * (c("_n") - 1) / (c("_n") + 1))
-         / F.sqrt(24.0 * c("_n") * (c("_n") - 2) * (c("_n") - 3)
-                  / ((c("_n") + 1) * (c("_n") + 1) * (c("_n") + 3) * (c("_n") + 5)))),
-        ("_sb", 6.0 * (c("_n") * c("_n") - 5 * c("_n") + 2) / ((c("_n") + 7) * (c("_n") + 9))
-         * F.sqrt(6.0 * (c("_n") + 3) * (c("_n") + 5)
-                  / (c("_n") * (c("_n") - 2) * (c("_n") - 3)))),
-        ("_a", 6.0 + 8.0 / c("_sb") * (2.0 / c("_sb") + F.sqrt(1.0 + 4.0 / (c("_sb") * c("_sb"))))),
-        ("_d", 1.0 + c("_x") * F.sqrt(2.0 / (c("_a") - 4.0))),
-        ("_t2", F.when(c("_d") == 0, F.lit(math.nan)).otherwise(
-            F.signum(c("_d")) * F.pow((1.0 - 2.0 / c("_a")) / F.abs(c("_d")), 1.0 / 3.0))),
-        ("_z2", ((1.0 - 2.0 / (9.0 * c("_a"))) - c("_t2")) / F.sqrt(2.0 / (9.0 * c("_a")))),
-        ("_p", F.exp(-(c("_z1") * c("_z1") + c("_z2") * c("_z2")) / 2.0)),
-    ]
-    for name, expr in steps:
-        df = df.withColumn(name, expr)
-    df = df.withColumn(out, F.when((c("_n") >= 8) & c(g1).isNotNull() & c(g2).isNotNull()
-                                   & ~F.isnan(c("_p")), c("_p")))
-    return df.drop(*[name for name, _ in steps])
-
-
-def distribution(df: DataFrame, cols: Sequence[str] | None = None, alpha: float = 0.05,
-                 approx_accuracy: int | None = None) -> DataFrame:
-    """M2: ``(position, column, mean, median, std, min, max, is_normal, p_value)``.
-
-    ``is_normal`` is ``p_value > alpha``; an untestable column (n < 8, constant)
-    has a NULL p-value and ``is_normal`` false.
-    """
-    df = nan_to_null(df)
-    cols = list(cols) if cols is not None else numeric_columns(df)
-    if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "position int, column string, mean double, median double, std double, "
-                "min double, max double, is_normal boolean, p_value double")
-    if approx_accuracy:  # sketch quantiles; moments straight from the data
-        mom = wide_to_long(df, cols, {
-            "n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
-            "g1": F.skewness, "g2": F.kurtosis}).orderBy("position")
-        qs = exact_quantiles(df, cols, [0.5], approx_accuracy)
-    else:  # quantiles and moments from one pre-aggregate
-        qs, mom = column_summary(df, cols, [0.5], moments=True)
-    med = {r["column"]: r["value"] for r in qs.collect()}
-    # one row per column is all that is left: the test itself is plain
-    # arithmetic on those few numbers
-    rows = []
-    for i, r in enumerate(mom.collect()):
-        p = normality_p(r["n"], r["g1"], r["g2"])
-        rows.append((i, r["column"], r["mean"], med.get(r["column"]), r["std"],
-                     r["min"], r["max"], bool(p is not None and p > alpha), p))
-    return df.sparkSession.createDataFrame(
-        rows, "position int, column string, mean double, median double, std double, "
-              "min double, max double, is_normal boolean, p_value double")
-
-
 def normality_p(n: int | None, g1: float | None, g2: float | None) -> float | None:
-    """The K^2 p-value of ``with_normality_pvalue`` for one set of moments."""
+    """D'Agostino-Pearson K^2 p-value from count, population skewness and
+    population excess kurtosis (D'Agostino 1970; Anscombe & Glynn 1983); none for
+    n < 8 or an undefined moment."""
     if n is None or g1 is None or g2 is None or n < 8:
         return None
     try:
@@ -221,15 +102,28 @@ def normality_p(n: int | None, g1: float | None, g2: float | None) -> float | No
     return None if math.isnan(p) else p
 
 
-def grouped_normality(df: DataFrame, groups: Sequence[str], value: str,
-                      alpha: float = 0.05) -> DataFrame:
-    """M2 per group: ``(groups..., n, mean, std, is_normal, p_value)`` --
-    one partial aggregate, then the p-value stages; scales to many groups."""
-    x = as_double(value)
-    m = nan_to_null(df).groupBy(*groups).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"))
-    m = with_normality_pvalue(m, "n", "g1", "g2")
-    return m.select(*groups, "n", "mean", "std",
-                    F.coalesce(F.col("p_value") > alpha, F.lit(False)).alias("is_normal"),
-                    "p_value")
+def distribution(df: DataFrame, cols: Sequence[str] | None = None, alpha: float = 0.05,
+                 approx_accuracy: int | None = None) -> DataFrame:
+    """M2: ``(position, column, mean, median, std, min, max, is_normal, p_value)``.
+
+    ``is_normal`` is ``p_value > alpha``; an untestable column (n < 8, constant)
+    has a NULL p-value and ``is_normal`` false.
+    """
+    df = nan_to_null(df)
+    cols = list(cols) if cols is not None else numeric_columns(df)
+    if not cols:
+        return df.sparkSession.createDataFrame(
+            [], "position int, column string, mean double, median double, std double, "
+                "min double, max double, is_normal boolean, p_value double")
+    mom = wide_to_long(df, cols, {
+        "n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+        "g1": F.skewness, "g2": F.kurtosis})
+    med = {r["column"]: r["value"] for r in exact_quantiles(df, cols, [0.5], approx_accuracy).collect()}
+    rows = []  # one row per column is left: plain arithmetic
+    for r in mom.orderBy("position").collect():
+        p = normality_p(r["n"], r["g1"], r["g2"])
+        rows.append((r["position"], r["column"], r["mean"], med.get(r["column"]), r["std"], r["min"], r["max"],
+                     p is not None and p > alpha, p))
+    return df.sparkSession.createDataFrame(
+        rows, "position int, column string, mean double, median double, std double, "
+              "min double, max double, is_normal boolean, p_value double")

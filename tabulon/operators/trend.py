@@ -3,8 +3,8 @@
 The reference regresses each numeric column on its row position after sorting
 by the date column and dropping that column's missing rows.  The regression
 needs only sums over (position, value), so ``trends`` never numbers the rows
-globally: a range shuffle, positions inside each sorted partition and one
-small per-partition aggregate give the exact sums (see
+globally: one range shuffle of the rows, positions inside each sorted
+partition and one small per-partition aggregate give the exact sums (see
 ``_position_regressions``); no un-partitioned window, no checkpoint.  The
 line chart, which does need every row's position, uses ``global_index``.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,69 +82,55 @@ def trends(df: DataFrame, date_col: str | None = None,
     if not cols:
         return df.sparkSession.createDataFrame([], schema)
     order = list(order_by) if order_by else default_order(df, col)
-    keys = [F.col(f"_k{i}") for i in range(len(order))]
-    long = (df.where(qcol(col).isNotNull())
-            .select(*[qcol(c).alias(f"_k{i}") for i, c in enumerate(order)],
-                    F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
-                                                 qcol(c).cast("double").alias("y"))
-                                        for c in cols])).alias("kv"))
-            .select(*keys, "kv.column", "kv.y")
-            .where(F.col("y").isNotNull()))
-    rows = []
-    for c, (n, slope, icpt, r2) in _position_regressions(long, keys).items():
-        if n > 2:
-            rows.append((c, n, slope, icpt, r2,
-                         "increasing" if slope is not None and slope > 0 else "decreasing"))
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
-def _position_regressions(long: DataFrame, keys: list) -> dict[str, tuple]:
-    """Least squares of ``y`` on its 0-based position in ``keys`` order, per
-    ``column``, without numbering the rows globally.
-
-    One range shuffle on (column, keys, row id) and a sort inside each
-    partition give every row its position *within* the partition
-    (``monotonically_increasing_id``).  One aggregate per (column, partition)
-    -- at most columns x partitions rows -- holds n, the first position,
-    sum(y), sum(position * y) and the within-partition variance of y.  With
-    each partition's offset (the counts of the earlier partitions) the sums
-    become exact global sums: sum(x y) = sum(offset * sum_y + sum(local * y));
-    sum(x) and sum(x^2) over 0..n-1 are closed forms.  No checkpoint, no
-    second read.
+    rows = df.where(qcol(col).isNotNull()).select(
+        *[qcol(c).alias(f"_k{i}") for i, c in enumerate(order)],
+        *[qcol(c).cast("double").alias(f"_y{i}") for i, c in enumerate(cols)])
+    found = _position_regressions(rows, len(order), len(cols))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "cid int, column string")
+    return found.where("n > 2").join(F.broadcast(names), "cid").select(
+        "column", "n", "slope", "intercept", "r_squared",
+        F.when(F.col("slope") > 0, "increasing").otherwise("decreasing").alias("trend"))
+
+
+def _position_regressions(rows: DataFrame, n_keys: int, n_cols: int) -> DataFrame:
+    """Least squares of each ``_y<i>`` on its 0-based position among the rows with
+    a value, in order of the ``_k<i>``: ``(cid, n, slope, intercept, r_squared)``.
+
+    The rows are range-partitioned and sorted once by their keys; only then
+    are they unpivoted, to (column, partition, place, value) without keys.  A
+    window inside one (column, partition) counts the places with a value, and
+    partial sums per (column, partition) become exact global sums with the
+    counts of the partitions before: sum(x y) = sum(offset * sum_y +
+    sum(local * y)).  Values are centred on their column's mean first, so large
+    offsets cost no digits; the sums of x and x^2 are closed forms.
     """
-    r = (long.withColumn("_tie", F.monotonically_increasing_id())
-         .repartitionByRange(_parts(long), F.col("column"), *keys, F.col("_tie"))
-         .sortWithinPartitions(F.col("column"), *keys, F.col("_tie"))
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_pos", F.monotonically_increasing_id()
-                     - F.shiftleft(F.col("_pid").cast("long"), 33)))
-    y = F.col("y")
-    parts = r.groupBy("column", "_pid").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_pos").alias("p0"), F.sum(y).alias("sy"),
-        F.sum(F.col("_pos").cast("double") * y).alias("spy"), F.avg(y).alias("my"),
-        (F.var_pop(y) * F.count(F.lit(1))).alias("m2")).collect()
-    by_col: dict[str, list] = {}
-    for p in parts:
-        by_col.setdefault(p["column"], []).append(p)
-    out = {}
-    for c, ps in by_col.items():
-        ps.sort(key=lambda p: p["_pid"])
-        n = sum(p["n"] for p in ps)
-        sy = sum(p["sy"] for p in ps)
-        mean = sy / n
-        sxy, offset = 0.0, 0
-        for p in ps:
-            sxy += offset * p["sy"] + (p["spy"] - p["p0"] * p["sy"])
-            offset += p["n"]
-        syy = sum(p["m2"] + p["n"] * (p["my"] - mean) ** 2 for p in ps)
-        xbar = (n - 1) / 2.0
-        sxx = n * (n * n - 1) / 12.0
-        cxy = sxy - xbar * sy
-        slope = cxy / sxx if sxx > 0 else None
-        icpt = mean - slope * xbar if slope is not None else None
-        r2 = (cxy * cxy / (sxx * syy)) if sxx > 0 and syy > 0 else 0.0
-        out[c] = (n, slope, icpt, min(1.0, r2))
-    return out
+    mean = rows.agg(*[F.avg(f"_y{i}").alias(f"m{i}") for i in range(n_cols)]).first()
+    keys = [F.col(f"_k{i}") for i in range(n_keys)] + [F.col("_tie")]
+    placed = (rows.withColumn("_tie", F.monotonically_increasing_id())
+              .repartitionByRange(_parts(rows), *keys).sortWithinPartitions(*keys)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_pos", F.monotonically_increasing_id()))
+    long = placed.select("_pid", "_pos", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("cid"), (F.col(f"_y{i}") - F.lit(mean[i] or 0.0)).alias("y"))
+        for i in range(n_cols)]))).where("y is not null")
+    local = F.row_number().over(Window.partitionBy("cid", "_pid").orderBy("_pos")) - 1
+    parts = long.withColumn("x", local.cast("double")).groupBy("cid", "_pid").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"),
+        F.sum(F.col("y") * F.col("y")).alias("syy"))
+    before = Window.partitionBy("cid").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("n").over(before), F.lit(0))
+    whole = parts.withColumn("sxy", F.col("sxy") + offset * F.col("sy")).groupBy("cid").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sy", "sxy", "syy")])
+    n, xbar = F.col("n").cast("double"), (F.col("n") - 1) / 2.0
+    means = F.create_map(*[x for i in range(n_cols) for x in (F.lit(i), F.lit(mean[i]))])
+    sums = whole.select("cid", "n", (n * (n * n - 1) / 12.0).alias("sxx"), xbar.alias("xbar"),
+                        (F.col("sy") / n).alias("ybar"), (F.col("sxy") - xbar * F.col("sy")).alias("cxy"),
+                        (F.col("syy") - F.col("sy") * F.col("sy") / n).alias("syy"))
+    slope = F.when(F.col("sxx") > 0, F.col("cxy") / F.nullif(F.col("sxx"), F.lit(0.0)))
+    r2 = F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.least(F.lit(1.0), (
+        F.col("cxy") * F.col("cxy") / F.nullif(F.col("sxx") * F.col("syy"), F.lit(0.0))))).otherwise(0.0)
+    return sums.select("cid", "n", slope.alias("slope"), (means[F.col("cid")] + F.col("ybar")
+                       - slope * F.col("xbar")).alias("intercept"), r2.alias("r_squared"))
 
 
 def _parts(df: DataFrame) -> int:

@@ -52,22 +52,19 @@ def count_where(df: DataFrame, predicate: Column) -> DataFrame:
 
 def earliest_above(df: DataFrame, value: str, threshold: float, date: str,
                    key: str, cols: Sequence[str]) -> DataFrame:
-    """Q5: the earliest row with ``value > threshold`` (ties by ``key``), as
-    one ``min_by`` aggregate -- no sort of the table."""
-    pick = F.min_by(F.struct(*[qcol(c) for c in cols]),
-                    F.struct(qcol(date), qcol(key)))
-    return df.where(qcol(value) > F.lit(threshold)).agg(pick.alias("r")).select("r.*")
+    """Q5: the earliest row with ``value > threshold`` (ties by ``key``); no row
+    if there is none.  A top-1 sort: each task keeps one row."""
+    return (df.where(qcol(value) > F.lit(threshold))
+            .orderBy(qcol(date).asc_nulls_last(), qcol(key).asc_nulls_last()).limit(1)
+            .select(*[qcol(c) for c in cols]))
 
 
 def extreme_record(df: DataFrame, by: str, cols: Sequence[str], largest: bool = True,
                    key: str | None = None) -> DataFrame:
-    """Q12: the record with the largest (or smallest) ``by``; ties by ``key``."""
-    order = F.struct(qcol(by), qcol(key)) if key else qcol(by)
-    rec = F.struct(*[qcol(c) for c in cols])
-    if largest and key:  # largest value, smallest key on ties
-        order = F.struct(qcol(by), -qcol(key))
-    fn = F.max_by if largest else F.min_by
-    return df.where(qcol(by).isNotNull()).agg(fn(rec, order).alias("r")).select("r.*")
+    """Q12: the record with the largest (or smallest) ``by``, ties by the smallest
+    ``key`` of any type; no row if every ``by`` is missing."""
+    order = [qcol(by).desc() if largest else qcol(by).asc()] + ([qcol(key).asc()] if key else [])
+    return df.where(qcol(by).isNotNull()).orderBy(*order).limit(1).select(*[qcol(c) for c in cols])
 
 
 def most_frequent_in_range(df: DataFrame, category: str, date: str,

@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions import messages
 from tabulon.functions.columns import numeric_columns, string_columns
+from tabulon.functions.messages import NotPossible
 from tabulon.operators import charts, clean, models, profile, stats, trend
 
 DEFAULT_OPERATIONS = ["clean_data", "handle_missing", "basic_stats"]
@@ -45,64 +47,66 @@ def run_operations(df: DataFrame, operations: Sequence[str] = DEFAULT_OPERATIONS
             if with_log:
                 removed = before - df.count()
                 if removed:
-                    log.append(f"Removed {removed} duplicate rows")
+                    log.append(messages.REMOVED_DUPLICATES.format(n=removed))
                 if empty:
-                    log.append(f"Removed empty columns: {empty}")
-                log.append("Applied basic data cleaning")
+                    log.append(messages.REMOVED_EMPTY.format(columns=empty))
+                log.append(messages.CLEANED)
         elif op == "handle_missing":
             if with_log:
-                miss = profile.profile_columns(df).where("missing > 0").collect()
+                miss = profile.profile_columns(df).where("missing > 0").orderBy("position").collect()
                 for r in miss:
                     how = "median" if r["kind"] == "numeric" else "mode"
-                    log.append(f"Filled {r['missing']} missing values in {r['column']} with {how}")
+                    log.append(messages.FILLED.format(n=r["missing"], column=r["column"], how=how))
             df = clean.fill_missing(df)
         elif op == "normalize":
             nums = numeric_columns(df)
             df = clean.zscore(df)
             if nums:
-                log.append(f"Normalized columns: {nums}")
+                log.append(messages.NORMALIZED.format(columns=nums))
         elif op == "encode_categorical":
             before = set(df.columns)
             df = clean.encode_categorical(df)
             for c in df.columns:
                 if c not in before:
-                    log.append(f"Encoded categorical column: {c[:-len('_encoded')]}")
+                    log.append(messages.ENCODED.format(column=c[:-len("_encoded")]))
         elif op == "detect_outliers":
             rows = profile.outliers_iqr(df).collect()
             info = {r["column"]: {"count": r["count"], "percentage": r["percentage"],
                                   "bounds": {"lower": r["lower"], "upper": r["upper"]}}
                     for r in rows}
-            log.append(f"Detected outliers: {info}")
+            log.append(messages.OUTLIERS.format(info=info))
     return df, log
 
 
 def run_steps(df: DataFrame, steps: Sequence[str] = DEFAULT_STEPS,
-              key: Sequence[str] | None = None) -> dict[str, DataFrame]:
+              key: Sequence[str] | None = None,
+              max_depth: int = models.MAX_DEPTH) -> dict[str, DataFrame]:
     """M0: always ``data_summary`` first and ``insights`` last; then the named
     steps.  A step that cannot run (too few columns or rows) is left out and
     its message appears in ``insights``.  ``key`` (a unique row key) fixes
-    the regression split; by default all columns are hashed."""
+    the regression split; by default all columns are hashed.  ``max_depth``
+    bounds the forest's trees."""
     out: dict[str, DataFrame] = {"data_summary": profile.basic_summary(df)}
     notes: list[str] = []
     for step in steps:
         try:
             if step == "summary_statistics":
                 if not numeric_columns(df):
-                    raise ValueError("No numeric columns found for summary statistics")
+                    raise NotPossible(messages.NO_NUMERIC_SUMMARY)
                 out["summary_statistics"] = profile.describe(df).join(
                     profile.skew_kurtosis(df).drop("position"), "column")
             elif step == "correlation_analysis":
                 if len(numeric_columns(df)) < 2:
-                    raise ValueError("Need at least 2 numeric columns for correlation analysis")
+                    raise NotPossible(messages.FEW_FOR_CORRELATION)
                 out["correlation_analysis"] = stats.correlation_matrix(df)
                 out["strong_correlations"] = stats.strong_correlations(df, STRONG_R)
             elif step == "distribution_analysis":
                 if not numeric_columns(df):
-                    raise ValueError("No numeric columns found for distribution analysis")
+                    raise NotPossible(messages.NO_NUMERIC_DISTRIBUTION)
                 out["distribution_analysis"] = stats.distribution(df)
             elif step == "regression_analysis":
                 coefs, metrics = models.linear_regression(df, key or df.columns)
-                imps, rf = models.random_forest(df, key or df.columns)
+                imps, rf = models.random_forest(df, key or df.columns, max_depth=max_depth)
                 out["regression_coefficients"] = coefs
                 out["regression_analysis"] = metrics
                 out["feature_importance"] = imps
@@ -112,10 +116,14 @@ def run_steps(df: DataFrame, steps: Sequence[str] = DEFAULT_STEPS,
                 out["clustering_elbow"] = elbow
                 out["clustering_analysis"] = clusters
             elif step == "time_series_analysis":
+                if trend.find_datetime_column(df) is None:
+                    raise NotPossible(messages.NO_DATETIME)
+                if not numeric_columns(df):
+                    raise NotPossible(messages.NO_NUMERIC_SERIES)
                 t = trend.trends(df)
                 out["time_series_range"] = trend.trend_summary(df)
                 out["time_series_analysis"] = t
-        except ValueError as e:
+        except NotPossible as e:
             notes.append(str(e))
     out["insights"] = insights(df, out, notes)
     return out
@@ -130,47 +138,45 @@ def insights(df: DataFrame, results: dict[str, DataFrame],
     if s is not None:
         r = s.first()
         if r and r["missing_values_total"]:
-            lines.append(f"Dataset has {r['missing_pct']:.1f}% missing values")
+            lines.append(messages.MISSING_SHARE.format(pct=r["missing_pct"]))
     if "strong_correlations" in results:
         n = results["strong_correlations"].count()
         if n:
-            lines.append(f"Found {n} strong correlations between variables")
+            lines.append(messages.STRONG_PAIRS.format(n=n))
     if "distribution_analysis" in results:
         normal = [r["column"] for r in results["distribution_analysis"]
                   .where("is_normal").orderBy("position").collect()]
         if normal:
-            lines.append(f"Variables {normal} follow normal distribution")
+            lines.append(messages.NORMAL_COLUMNS.format(columns=normal))
     if "regression_analysis" in results:
         r2 = results["regression_analysis"].first()["r2"]
         if r2 is not None and r2 > 0.7:
-            lines.append(f"Strong predictive relationship found (R² = {r2:.3f})")
+            lines.append(messages.STRONG_FIT.format(r2=r2))
     lines.extend(notes)
     return df.sparkSession.createDataFrame(list(enumerate(lines)), "ord int, text string")
 
 
 def chart_data(df: DataFrame, chart_names: Sequence[str],
                order_by: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """V8: chart name -> chart table; a chart that cannot be made is skipped."""
+    """V8: chart name -> chart table; a chart that the table has no column for, or
+    whose name is unknown, is left out."""
+    nums, texts = numeric_columns(df), string_columns(df)
+    makers = {
+        "histogram": (nums, lambda: charts.histogram(df)),
+        "correlation_heatmap": (len(nums) > 1, lambda: stats.correlation_matrix(df).withColumn(
+            "r", F.round("r", 2))),
+        "scatter_plot": (len(nums) > 1, lambda: charts.scatter_fit(df)),
+        "box_plot": (nums, lambda: charts.box_plot(df)),
+        "bar_chart": (texts, lambda: charts.bar_chart(df)),
+        "line_chart": (nums, lambda: trend.line_chart(df, list(order_by or df.columns))),
+        "distribution_plot": (nums, lambda: charts.kde(df)),
+    }
     out: dict[str, DataFrame] = {}
     for name in chart_names:
-        try:
-            if name == "histogram":
-                out[name] = charts.histogram(df)
-            elif name == "correlation_heatmap":
-                out[name] = stats.correlation_matrix(df).withColumn("r", F.round("r", 2))
-            elif name == "scatter_plot":
-                out[name] = charts.scatter_fit(df)
-            elif name == "box_plot":
-                out[name] = charts.box_plot(df)
-            elif name == "bar_chart":
-                if not string_columns(df):
-                    continue
-                out[name] = charts.bar_chart(df)
-            elif name == "line_chart":
-                out[name] = trend.line_chart(df, list(order_by or df.columns))
-            elif name == "distribution_plot":
-                out[name] = charts.kde(df)
-                out["distribution_histogram"] = charts.histogram(df, 30, numeric_columns(df)[:4])
-        except (ValueError, KeyError, IndexError):
+        possible, make = makers.get(name, (False, None))
+        if not possible:
             continue
+        out[name] = make()
+        if name == "distribution_plot":
+            out["distribution_histogram"] = charts.histogram(df, 30, nums[:4])
     return out

@@ -40,18 +40,6 @@ def test_normality_normal_vs_uniform(spark):
     assert math.isclose(d["normal_data"]["median"], float(np.median(pdf["normal_data"])))
 
 
-def test_normality_spark_and_python_agree(spark):
-    rng = np.random.default_rng(7)
-    pdf = pd.DataFrame({"g": np.repeat([0, 1, 2], 200),
-                        "v": np.concatenate([rng.normal(0, 1, 200), rng.exponential(1, 200),
-                                             rng.uniform(0, 1, 200)])})
-    df = spark.createDataFrame(pdf)
-    grouped = {r["g"]: r["p_value"] for r in stats.grouped_normality(df, ["g"], "v").collect()}
-    for g in range(3):
-        one = stats.distribution(df.where(f"g = {g}").select("v")).first()["p_value"]
-        assert math.isclose(grouped[g], one, rel_tol=1e-9)
-
-
 def test_normality_small_n(spark):
     df = spark.createDataFrame([(float(i),) for i in range(5)], "v double")
     r = stats.distribution(df).first()
