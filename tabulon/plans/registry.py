@@ -139,11 +139,9 @@ def q_row_count(spark, d):
 
 
 @register("first_numeric_mean",
-          "SELECT 'o_totalprice' AS \"column\", round(avg(o_totalprice), 2) AS mean "
-          "FROM orders")
+          "SELECT 'o_orderkey' AS \"column\", round(avg(o_orderkey), 2) AS mean FROM orders")
 def q_first_numeric_mean(spark, d):
-    o = table(spark, d, "orders").select("o_orderstatus", "o_totalprice", "o_orderkey")
-    return profile.first_numeric_mean(o)
+    return profile.first_numeric_mean(table(spark, d, "orders"))
 
 
 CUSTOMER_BYTES = [("c_custkey", "8 * count(c_custkey)"), ("c_name", "sum(strlen(c_name))"),
@@ -217,6 +215,26 @@ def q_corr(spark, d):
 ORDERS_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
 
 
+# pairs are complete pairwise: each has its own missing rows
+@register("correlation_gaps", union_all([
+    f"""SELECT '{a}' AS var1, '{b}' AS var2, {sr(f'corr({a}, {b})', 6)} AS r FROM {ORDERS_GAPS_SQL} g"""
+    for a in ORDERS_NUM for b in ORDERS_NUM]))
+def q_corr_gaps(spark, d):
+    return round_doubles(stats.correlation_matrix(orders_gaps(spark, d)), 6)
+
+
+@register("trend_gaps", union_all([f"""
+SELECT '{c}' AS "column", count(*) AS n, {sr('regr_slope(y, x)', 6)} AS slope,
+  {sr('regr_intercept(y, x)', 4)} AS intercept,
+  {sr('CASE WHEN var_pop(y) = 0 THEN 0 ELSE regr_r2(y, x) END', 8)} AS r_squared,
+  CASE WHEN regr_slope(y, x) > 0 THEN 'increasing' ELSE 'decreasing' END AS trend
+FROM (SELECT CAST({c} AS DOUBLE) AS y, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS x
+      FROM {ORDERS_GAPS_SQL} g WHERE {c} IS NOT NULL) s""" for c in ORDERS_NUM]))
+def q_trend_gaps(spark, d):
+    out = trend.trends(orders_gaps(spark, d), "o_orderdate", ["o_orderdate", "o_orderkey"])
+    return round_doubles(round_doubles(round_doubles(out, 6, ["slope"]), 4, ["intercept"]), 8, ["r_squared"])
+
+
 # lineitem with the pricing-summary columns: strongly correlated by construction
 PRICED = ["l_quantity", "l_extendedprice", "l_discount", "disc_price", "charge"]
 PRICED_SQL = """(SELECT l_quantity, l_extendedprice, l_discount,
@@ -330,45 +348,45 @@ def q_fill(spark, d):
 
 
 @register("encode_flags", """
-SELECT o_orderkey, o_orderstatus, o_orderpriority,
+SELECT * REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate),
   CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS o_orderstatus_encoded,
   CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority_encoded
 FROM orders""")
 def q_encode(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    return clean.encode_categorical(o)
+    out = clean.encode_categorical(table(spark, d, "orders"))
+    return out.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
-@register("dedup_rows",
-          "SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem")
+# a fifth of the rows are there twice
+@register("dedup_rows", """
+SELECT DISTINCT * REPLACE (CAST(l_shipdate AS VARCHAR) AS l_shipdate) FROM lineitem""")
 def q_dedup(spark, d):
-    return clean.dedup(table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag"))
+    li = table(spark, d, "lineitem")
+    out = clean.dedup(li.unionByName(li.where("l_orderkey % 5 = 0")))
+    return out.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
 
 
-PADDED_SQL = """(SELECT c_nationkey,
+PADDED_SQL = """(SELECT * REPLACE (
   CASE WHEN c_custkey % 2 = 0 THEN ' ' || c_mktsegment || chr(9) ELSE c_mktsegment END
-    AS c_mktsegment,
-  CAST(NULL AS VARCHAR) AS note FROM customer)"""
+    AS c_mktsegment), CAST(NULL AS VARCHAR) AS note FROM customer)"""
 
 
 def padded_customer(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer")
-    return c.select(
-        "c_nationkey",
-        F.when(F.col("c_custkey") % 2 == 0,
-               F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit("\t")))
-        .otherwise(F.col("c_mktsegment")).alias("c_mktsegment"),
-        F.lit(None).cast("string").alias("note"))
+    padded = F.when(F.col("c_custkey") % 2 == 0,
+                    F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit("\t"))).otherwise(F.col("c_mktsegment"))
+    return table(spark, d, "customer").withColumns(
+        {"c_mktsegment": padded, "note": F.lit(None).cast("string")})
 
 
 @register("clean_strings", f"""
-SELECT c_nationkey, regexp_replace(c_mktsegment, '^\\s+|\\s+$', '', 'g') AS c_mktsegment
+SELECT * EXCLUDE (note) REPLACE (regexp_replace(c_mktsegment, '^\\s+|\\s+$', '', 'g') AS c_mktsegment)
 FROM (SELECT DISTINCT * FROM {PADDED_SQL} p) t""")
 def q_clean_strings(spark, d):
-    return clean.clean_data(padded_customer(spark, d))
+    p = padded_customer(spark, d)
+    return clean.clean_data(p.unionByName(p.where("c_custkey % 3 = 0")))
 
 
-@register("drop_empty_columns", f"SELECT c_nationkey, c_mktsegment FROM {PADDED_SQL} p")
+@register("drop_empty_columns", f"SELECT * EXCLUDE (note) FROM {PADDED_SQL} p")
 def q_drop_empty(spark, d):
     return clean.drop_empty_columns(padded_customer(spark, d))
 
@@ -448,7 +466,7 @@ def charts_line(spark, d):
     return trend.line_chart(o, ["o_orderdate", "o_orderkey"], "o_totalprice")
 
 
-KDE_COLS = ["o_totalprice", "o_custkey"]
+KDE_COLS = ["o_orderkey", "o_custkey", "o_totalprice"]
 
 
 @register("kde", union_all([f"""
@@ -465,7 +483,7 @@ JOIN (SELECT least(floor((CAST({c} AS DOUBLE) - r2.lo) * (2000 / (r2.hi - r2.lo)
 GROUP BY p.i, r.lo, r.hi""" for c in KDE_COLS]))
 def q_kde(spark, d):
     o = table(spark, d, "orders")
-    out = charts.kde(o, KDE_COLS)
+    out = charts.kde(o)
     return round_doubles(round_doubles(out, 12, ["density"]), 6, ["x"])
 
 
@@ -500,33 +518,57 @@ def q_trend_range(spark, d):
 
 
 # ================================================================== runner
-RUN_OPS = ["clean_data", "handle_missing", "normalize", "encode_categorical"]
-_G5 = f"(SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority FROM {ORDERS_GAPS_SQL} g)"
+RUN_OPS = ["clean_data", "handle_missing", "normalize", "encode_categorical", "detect_outliers"]
+
+
+def doubled_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """orders with gaps, a ninth of the rows twice."""
+    g = orders_gaps(spark, d).withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+    return g.unionByName(g.where("o_orderkey % 9 = 0"))
 
 
 @register("run_operations", f"""
-WITH g AS {_G5},
+WITH g AS (SELECT * FROM {ORDERS_GAPS_SQL} o),
 f AS (SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey,
         coalesce(CAST(o_custkey AS DOUBLE), (SELECT median(o_custkey) FROM g)) AS o_custkey,
         coalesce(o_totalprice, (SELECT median(o_totalprice) FROM g)) AS o_totalprice,
         coalesce(o_orderstatus, {_MODE_SQL.format(c='o_orderstatus', src='g')}) AS o_orderstatus,
+        CAST(o_orderdate AS VARCHAR) AS o_orderdate,
         coalesce(o_orderpriority, {_MODE_SQL.format(c='o_orderpriority', src='g')}) AS o_orderpriority
       FROM g)
 SELECT """ + ", ".join(
     f"{sr(f'({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 ELSE stddev_pop({c}) OVER () END')} AS {c}"
     for c in ["o_orderkey", "o_custkey", "o_totalprice"]) + """,
-  o_orderstatus, o_orderpriority,
+  o_orderstatus, o_orderdate, o_orderpriority,
   CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS o_orderstatus_encoded,
   CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority_encoded
 FROM f""")
 def q_run_operations(spark, d):
     from tabulon.plans.runner import run_operations
-    g = orders_gaps(spark, d).select("o_orderkey", "o_custkey", "o_totalprice",
-                                     "o_orderstatus", "o_orderpriority")
-    out, _log = run_operations(g, RUN_OPS, with_log=False)
+    out, _log = run_operations(doubled_gaps(spark, d), RUN_OPS, with_log=False)
     return round_doubles(out)
 
 
+def _filled_sql(ord_: int, col: str, how: str) -> str:
+    return (f"SELECT {ord_}, 'Filled ' || count(*) || ' missing values in {col} with {how}' "
+            f"FROM {ORDERS_GAPS_SQL} g WHERE {col} IS NULL")
+
+
+@register("run_operations_log", f"""
+SELECT CAST(ord AS INTEGER) AS ord, text FROM (
+SELECT 0 AS ord, 'Removed ' || count(*) || ' duplicate rows' AS text FROM orders WHERE o_orderkey % 9 = 0
+UNION ALL SELECT 1, 'Applied basic data cleaning'
+UNION ALL {_filled_sql(2, 'o_custkey', 'median')}
+UNION ALL {_filled_sql(3, 'o_totalprice', 'median')}
+UNION ALL {_filled_sql(4, 'o_orderpriority', 'mode')}
+UNION ALL SELECT 5, 'Encoded categorical column: o_orderstatus'
+UNION ALL SELECT 6, 'Encoded categorical column: o_orderpriority') t""")
+def q_run_operations_log(spark, d):
+    from tabulon.plans.runner import run_operations
+    _out, log = run_operations(doubled_gaps(spark, d), ["clean_data", "handle_missing", "encode_categorical"])
+    return spark.createDataFrame(list(enumerate(log)), "ord int, text string")
+
+
 def _insights_sql() -> str:
     pairs = union_all([f"SELECT corr({a}, {b}) AS r FROM {PRICED_SQL} p"
                        for i, a in enumerate(PRICED) for b in PRICED[i + 1:]])
@@ -562,6 +604,120 @@ def q_flatten(spark, d):
     return parse_json_column(ev, "props")
 
 
+def orders_json(spark: SparkSession, d: str) -> DataFrame:
+    """``o_orderkey`` and the other columns of orders (with gaps) as JSON text:
+    missing keys differ by row, the price is nested."""
+    g = orders_gaps(spark, d)
+    return g.select("o_orderkey", F.to_json(F.struct(
+        "o_custkey", "o_orderstatus", F.when(F.col("o_totalprice").isNotNull(), F.struct(
+            F.col("o_totalprice").alias("total"), F.lit("usd").alias("unit"))).alias("price"),
+        "o_orderpriority")).alias("doc"))
+
+
+_JSON_COLS = """CAST(o_custkey AS DOUBLE) AS "{p}o_custkey", 'bigint' AS custkey_type, o_orderpriority AS "{p}o_orderpriority",
+  o_orderstatus AS "{p}o_orderstatus", {total} AS "{p}price.total",
+  CASE WHEN o_totalprice IS NOT NULL THEN 'usd' END AS "{p}price.unit\""""
+
+
+@register("json_column_keys", f"""
+SELECT o_orderkey, {_JSON_COLS.format(p='doc.', total=sr('o_totalprice', 2))} FROM {ORDERS_GAPS_SQL} g""")
+def q_json_column(spark, d):
+    from tabulon.sources.files import parse_json_column
+    return round_doubles(_with_type(parse_json_column(orders_json(spark, d), "doc"), "doc.o_custkey"), 2)
+
+
+def _with_type(df: DataFrame, col: str) -> DataFrame:
+    """``col`` as double (gaps and all) beside the type that was found for it."""
+    return df.withColumns({"custkey_type": F.lit(dict(df.dtypes)[col]), col: qcol(col).cast("double")})
+
+
+def _written(df: DataFrame, kind: str, **options) -> str:
+    """``df`` written under the shared checkpoint folder; its place."""
+    import uuid
+
+    from tabulon.session import checkpoint_dir
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}.{kind}"
+    fmt = {"tsv": "csv", "txt": "csv"}.get(kind, kind)
+    (df.write.options(**options).text(path) if options.pop("plain", False) else
+     df.write.format(fmt).options(**options).save(path))
+    return path
+
+
+@register("json_lines_file", f"""
+SELECT {_JSON_COLS.format(p='', total=sr('o_totalprice', 2))} FROM {ORDERS_GAPS_SQL} g""")
+def q_json_file(spark, d):
+    from tabulon.sources.files import load
+    docs = orders_json(spark, d).select("doc")
+    # blank lines first and between: they are no rows
+    path = _written(docs.select(F.explode(F.array(F.lit(""), F.col("doc"))).alias("doc")), "json", plain=True)
+    return round_doubles(_with_type(load(spark, path), "o_custkey"), 2)
+
+
+_NA_ORDERS = """SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, 'bigint' AS custkey_type, o_orderstatus, {total} AS o_totalprice,
+  CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM {src} g"""
+
+
+def _na_text(df: DataFrame, words: tuple[str, str]) -> DataFrame:
+    """All columns as text, gaps as two of the words that mean missing, names padded."""
+    word = F.when(F.col("o_orderkey") % 2 == 0, words[0]).otherwise(words[1])
+    return df.select(*[F.coalesce(F.col(c).cast("string"), word).alias(f" {c} ") for c in df.columns])
+
+
+def _delimited(spark, d, kind: str, sep: str, words: tuple[str, str]) -> DataFrame:
+    from tabulon.sources.files import load
+    path = _written(_na_text(orders_gaps(spark, d), words), kind, sep=sep, header=True)
+    out = load(spark, path)
+    out = out.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    return round_doubles(_with_type(out, "o_custkey"), 2)
+
+
+_CSV_SQL = _NA_ORDERS.format(total=sr("o_totalprice", 2), src=ORDERS_GAPS_SQL).replace(
+    "CAST(o_orderdate AS VARCHAR)", "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')")
+
+
+@register("csv_file", _CSV_SQL)
+def q_csv(spark, d):
+    return _delimited(spark, d, "csv", ",", ("NA", "n/a"))
+
+
+@register("tsv_file", _CSV_SQL)
+def q_tsv(spark, d):
+    return _delimited(spark, d, "tsv", "\t", ("NULL", "None"))
+
+
+@register("pipe_text_file", _CSV_SQL)
+def q_pipe(spark, d):
+    return _delimited(spark, d, "txt", "|", ("#N/A", "nan"))
+
+
+@register("date_column_from_text", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders""")
+def q_date_text(spark, d):
+    # padded names are stripped, the date column is found by its name and values, then parsed
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias(" o_orderkey"), F.date_format(
+        "o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate  "))
+    o = clean.strip_column_names(o)
+    col = clean.find_datetime_column(o)
+    out = clean.parse_datetime(o, col)
+    return out.withColumn(col, F.date_format(col, "yyyy-MM-dd HH:mm:ss"))
+
+
+@register("request_log_days", """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1""")
+def q_request_log(spark, d):
+    import uuid
+
+    from tabulon.session import checkpoint_dir
+    from tabulon.sources.files import write_request_log
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    ev = table(spark, d, "events")
+    write_request_log(ev.where("event_id % 2 = 0"), path, "ts")
+    write_request_log(ev.where("event_id % 2 = 1"), path, "ts")  # a second batch is appended
+    back = spark.read.json(path)
+    return back.groupBy(F.col("date").cast("string").alias("date")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+
+
 @register("scan_parquet_count", "SELECT count(*) AS n FROM lineitem")
 def q_scan_count(spark, d):
     from tabulon.sources.files import read_parquet
@@ -591,31 +747,94 @@ def q_head(spark, d):
     return sample_head(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], 5)
 
 
-@register("file_manifest")
+@register("file_manifest", """
+SELECT extension, category, count(*) AS files, readable FROM (
+  SELECT DISTINCT n_regionkey, '.csv' AS extension, 'data' AS category, true AS readable FROM nation
+  UNION ALL SELECT DISTINCT n_nationkey, '.json', 'data', true FROM nation
+  UNION ALL SELECT DISTINCT r_regionkey, '.txt', 'text', true FROM region) t
+GROUP BY extension, category, readable""")
 def q_manifest(spark, d):
     from tabulon.sources.files import file_manifest
-    return file_manifest(spark, d).drop("path", "modified")
-
-
-@register("page_table_count", """
-SELECT page_id, CAST((length(lower(html)) - length(replace(lower(html), '<table', ''))) / 6
-  AS BIGINT) AS n_tables FROM pages""")
-def q_page_tables(spark, d):
-    from tabulon.sources.html_tables import page_table_counts
-    return page_table_counts(table(spark, d, "pages"))
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    files = None
+    for df, key, kind in ((nation, "n_regionkey", "csv"), (nation, "n_nationkey", "json"),
+                          (region.select("r_regionkey", F.col("r_name").alias("value")), "r_regionkey", "text")):
+        path = _written_by(df, key, kind)
+        one = file_manifest(spark, path).where("bytes > 0 and within_limit")
+        files = one if files is None else files.union(one)
+    return files.groupBy("extension", "category", "readable").agg(F.count(F.lit(1)).alias("files"))
+
+
+def _written_by(df: DataFrame, key: str, fmt: str) -> str:
+    """``df`` with one file for each value of ``key``."""
+    import uuid
+
+    from tabulon.session import checkpoint_dir
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    df.repartition(1).write.partitionBy(key).format(fmt).save(path)
+    return path
+
+
+# ------------------------------------------------------------------ pages rendered from orders
+def order_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every order as a page: a table with spanned headers, a table with an empty
+    row, and on every tenth (an encyclopedia page) a ranked film table and a
+    longer list."""
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey").cast("string")
+    html = F.concat(
+        F.lit("<p>order<table><tr><th rowspan=2>Key</th><th colspan=2>Info</th></tr><tr><th>Status</th>"
+              "<th>Priority</th></tr><tr><td>"), key, F.lit("</td><td>"), F.col("o_orderstatus"),
+        F.lit("<td>"), F.col("o_orderpriority"),
+        F.lit("</table><table><tr><td>a</td><td rowspan=3>"), key,
+        F.lit("</td></tr><tr></tr><tr><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>"),
+        F.when(F.col("o_orderkey") % 10 == 0, F.concat(
+            F.lit("<table><tr><th>Rank</th><th>Title</th><th>Gross</th><th>Year</th></tr>"),
+            F.repeat(F.concat(F.lit("<tr><td>1</td><td>"), key, F.lit("</td><td>$1</td><td>1999</td></tr>")), 12),
+            F.lit("</table><table>"), F.repeat(F.lit("<tr><td>x</td></tr>"), 20), F.lit("</table>"))).otherwise(""))
+    url = F.when(F.col("o_orderkey") % 10 == 0, F.lit("https://en.wikipedia.org/wiki/")) \
+        .otherwise(F.lit("https://shop.example/"))
+    return o.select(F.col("o_orderkey").alias("page_id"), F.concat(url, key).alias("url"), html.alias("html"))
+
+
+_PAGE_ROWS = """
+SELECT page_id, CAST(t AS INTEGER) AS table_idx, CAST(r AS INTEGER) AS row_idx, h AS is_header, cells FROM (
+  SELECT o_orderkey AS page_id, v.t, v.r, v.h,
+    replace(replace(replace(v.c, '#K', CAST(o_orderkey AS VARCHAR)), '#S', o_orderstatus), '#P', o_orderpriority) AS cells
+  FROM orders, (VALUES (0, 0, true, 'Key|Info|Info'), (0, 1, true, 'Key|Status|Priority'), (0, 2, false, '#K|#S|#P'),
+    (1, 0, false, 'a|#K'), (1, 1, false, '-|#K'), (1, 2, false, 'b|#K'), (1, 3, false, 'c|d')) v(t, r, h, c)
+  UNION ALL
+  SELECT o_orderkey, 2, 0, true, 'Rank|Title|Gross|Year' FROM orders WHERE o_orderkey % 10 = 0
+  UNION ALL
+  SELECT o_orderkey, 2, i, false, '1|' || o_orderkey || '|$1|1999' FROM orders, range(1, 13) n(i) WHERE o_orderkey % 10 = 0
+  UNION ALL
+  SELECT o_orderkey, 3, i, false, 'x' FROM orders, range(20) n(i) WHERE o_orderkey % 10 = 0) t"""
 
 
-@register("html_tables")
+@register("html_tables", _PAGE_ROWS)
 def q_html_tables(spark, d):
     from tabulon.sources.html_tables import html_tables
-    return html_tables(table(spark, d, "pages"))
+    return html_tables(order_pages(spark, d)).select(
+        "page_id", "table_idx", "row_idx", "is_header", F.array_join("cells", "|", "-").alias("cells"))
 
 
-@register("html_best_table")
+@register("html_best_table", """
+SELECT o_orderkey AS page_id, CAST(CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 1 END AS INTEGER) AS table_idx,
+  CASE WHEN o_orderkey % 10 = 0 THEN 12 ELSE 4 END::BIGINT AS n_rows, o_orderkey % 10 = 0 AS matched FROM orders""")
 def q_html_best(spark, d):
     from tabulon.sources.html_tables import best_tables, html_tables
-    pages = table(spark, d, "pages")
-    return best_tables(html_tables(pages), pages)
+    pages = order_pages(spark, d)
+    return best_tables(html_tables(pages), pages).select("page_id", "table_idx", "n_rows", "matched")
+
+
+@register("page_table_count", """
+SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 10 = 0 THEN 4 ELSE 2 END::BIGINT AS n_tables FROM orders
+UNION ALL SELECT -1 - page_id, CAST((length(lower(html)) - length(replace(lower(html), '<table', ''))) / 6 AS BIGINT)
+FROM pages""")
+def q_page_tables(spark, d):
+    from tabulon.sources.html_tables import page_table_counts
+    raw = table(spark, d, "pages").select((-1 - F.col("page_id")).alias("page_id"), "url", "html")
+    return page_table_counts(order_pages(spark, d).unionByName(raw))
 
 
 # ================================================================== prompt text
@@ -629,27 +848,49 @@ def q_urls(spark, d):
     return extract_urls(p, "page_id", "text")
 
 
-_CONV_ID = "CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)"
+# conversations of all roles, and a prompt rendered from every part
+PROMPTS_SQL = """(SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id, text FROM conversations
+UNION ALL
+SELECT 'p' || p_partkey, CASE CAST(p_partkey % 4 AS INTEGER)
+  WHEN 0 THEN 'Answer:' || chr(10) || '1. How many ' || p_name || '?' || chr(10) || '2. Which size, ' || p_size || chr(10)
+    || 'Return a JSON object with keys:' || chr(10) || '- `name`: text' || chr(10) || '- `size`: number'
+  WHEN 1 THEN '  ' || p_name || '  '
+  WHEN 2 THEN 'Respond with a JSON array of 3. ' || p_type || ' and base64 charts?'
+  ELSE 'Return JSON. - `brand` : ' || p_brand || ' ' || chr(10) || '10.' || p_type || '?? 4. ' || p_size END
+FROM part)"""
+
+
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
+    p, k = table(spark, d, "part"), F.col("p_partkey") % 4
+    size = F.col("p_size").cast("string")
+    text = F.when(k == 0, F.concat(
+        F.lit("Answer:\n1. How many "), F.col("p_name"), F.lit("?\n2. Which size, "), size,
+        F.lit("\nReturn a JSON object with keys:\n- `name`: text\n- `size`: number"))) \
+        .when(k == 1, F.concat(F.lit("  "), F.col("p_name"), F.lit("  "))) \
+        .when(k == 2, F.concat(F.lit("Respond with a JSON array of 3. "), F.col("p_type"),
+                               F.lit(" and base64 charts?"))) \
+        .otherwise(F.concat(F.lit("Return JSON. - `brand` : "), F.col("p_brand"), F.lit(" \n10."),
+                            F.col("p_type"), F.lit("?? 4. "), size))
+    return c.union(p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), text.alias("text")))
 
 
 @register("extract_questions", rf"""
-WITH q AS (SELECT {_CONV_ID} AS id,
+WITH q AS (SELECT id,
   list_filter(list_transform(regexp_extract_all(text, '\d+\.\s*([^?\n]+\??)', 1),
                              lambda x: trim(x)), lambda x: x <> '') AS found, trim(text) AS whole
-  FROM conversations WHERE role = 'user'),
+  FROM {PROMPTS_SQL} p),
 l AS (SELECT id, CASE WHEN len(found) > 0 THEN found
                       WHEN whole <> '' THEN [whole] ELSE [] END AS qs FROM q)
 SELECT id, CAST(generate_subscripts(qs, 1) - 1 AS INTEGER) AS pos, unnest(qs) AS question FROM l""")
 def q_questions(spark, d):
     from tabulon.functions.text import extract_questions
-    c = (table(spark, d, "conversations").where(F.col("role") == "user")
-         .select(F.concat_ws(":", F.col("conv_id").cast("string"),
-                             F.col("turn").cast("string")).alias("id"), "text"))
-    return extract_questions(c, "id", "text")
+    return extract_questions(prompts(spark, d), "id", "text")
 
 
 @register("answer_shape", f"""
-SELECT {_CONV_ID} AS id,
+SELECT id,
   CASE WHEN contains(lower(text), 'base64')
        THEN (CASE WHEN contains(lower(text), 'json array') THEN 'JSON array' ELSE 'standard' END)
             || ' with base64 images'
@@ -660,13 +901,38 @@ SELECT {_CONV_ID} AS id,
     "respond with json"]) + r""")
     AND len(regexp_extract_all(text, '-\s*`([^`]+)`\s*:', 1)) > 0 AS json_object,
   array_to_string(regexp_extract_all(text, '-\s*`([^`]+)`\s*:', 1), ',') AS keys
-FROM conversations""")
+FROM """ + PROMPTS_SQL + " p")
 def q_answer_shape(spark, d):
     from tabulon.functions.text import answer_shape
-    c = table(spark, d, "conversations").select(
-        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
-        "text")
-    return answer_shape(c, "id", "text").withColumn("keys", F.array_join("keys", ","))
+    return answer_shape(prompts(spark, d), "id", "text").withColumn("keys", F.array_join("keys", ","))
+
+
+@register("answers_array", """
+SELECT l_orderkey AS id, '[' || string_agg('"' || l_returnflag || '"', ',' ORDER BY l_linenumber, l_returnflag) || ']'
+  AS json FROM lineitem GROUP BY l_orderkey""")
+def q_answers_array(spark, d):
+    from tabulon.sources.files import answers_json
+    li = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "id")
+    return answers_json(li, "id", "l_linenumber", "l_returnflag")
+
+
+# the keys a prompt names (two of part, none or one elsewhere) against two answers of every fourth part
+@register("answers_object", """
+SELECT 'p' || p_partkey AS id, '{"name":"' || p_name || '","size":"' || p_size || '"}' AS json,
+  '{"name":"' || p_brand || '","size":null}' AS first_only
+FROM part WHERE p_partkey % 4 = 0
+UNION ALL SELECT 'p' || p_partkey, '{"brand":null}', '{"brand":"' || p_brand || '"}' FROM part WHERE p_partkey % 4 = 3""")
+def q_answers_object(spark, d):
+    from tabulon.functions.text import answers_object, json_keys
+    from tabulon.sources.files import answers_json
+    p = table(spark, d, "part").withColumn("id", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
+    keys = prompts(spark, d).select("id", json_keys("text").alias("keys")).where("id like 'p%' and size(keys) > 0")
+    answers = p.where("p_partkey % 4 = 0").select("id", F.posexplode(F.array(
+        "p_name", F.col("p_size").cast("string"))).alias("pos", "answer"))
+    joined = answers_json(answers, "id", "pos", "answer", keys)
+    first = keys.join(p.select("id", "p_brand"), "id").select(
+        "id", answers_object("keys", F.array("p_brand")).alias("first_only"))
+    return joined.join(first, "id")
 
 
 # ================================================================== models
@@ -681,27 +947,49 @@ def q_ols(spark, d):
     return round_doubles(round_doubles(out, 8, ["r2"]), 4, ["slope", "intercept"])
 
 
-@register("ols_multi")
-def q_ols_multi(spark, d):
-    from tabulon.operators.models import linear_regression
-    li = priced_lineitem(spark, d).withColumn("rid", F.monotonically_increasing_id())
-    coefs, _m = linear_regression(li.drop("rid"), ["l_quantity", "l_extendedprice", "l_discount"])
-    return coefs
-
-
-@register("rf_importance")
+@register("rf_importance", """
+SELECT count(*) FILTER (WHERE {split} >= 1) AS n_train, count(*) FILTER (WHERE {split} < 1) AS n_test,
+  4::BIGINT AS features, 1.0::DOUBLE AS importance, 'charge' AS target FROM lineitem""".format(
+    split="CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), 1, 8)) "
+          "AS BIGINT) % 5"))
 def q_rf(spark, d):
+    # what holds for any forest: the split, the number of features, importances that add up to one
     from tabulon.operators.models import random_forest
-    imps, _m = random_forest(priced_lineitem(spark, d),
-                             ["l_quantity", "l_extendedprice", "l_discount"])
-    return imps
-
-
-@register("kmeans_elbow")
+    li = table(spark, d, "lineitem") \
+        .withColumn("disc_price", F.col("l_extendedprice") * (1 - F.col("l_discount"))) \
+        .withColumn("charge", F.col("disc_price") * (1 + F.col("l_tax")))
+    imps, m = random_forest(li, ["l_orderkey", "l_linenumber"], "charge",
+                            ["l_quantity", "l_extendedprice", "l_discount", "disc_price"], num_trees=20)
+    total = imps.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 6).alias("importance"))
+    return m.select("n_train", "n_test", "target").join(F.broadcast(total)).select(
+        "n_train", "n_test", "features", "importance", "target")
+
+
+@register("kmeans_elbow", """
+SELECT count(*) AS points, 8::BIGINT AS fits, true AS falls, true AS chosen FROM embeddings
+WHERE embedding IS NOT NULL""")
 def q_kmeans(spark, d):
+    # what holds for any clustering: every point in one cluster, one fit a k, less inertia with
+    # more clusters, a k among those tried
     from tabulon.operators.models import kmeans_elbow
-    elbow, _clusters, _k = kmeans_elbow(table(spark, d, "embeddings"), vector_col="embedding")
-    return elbow
+    elbow, clusters, k = kmeans_elbow(table(spark, d, "embeddings"), vector_col="embedding")
+    ends = elbow.agg(F.count(F.lit(1)).alias("fits"), (F.max_by("inertia", "k") < F.min_by("inertia", "k")).alias("falls"))
+    return clusters.agg(F.sum("size").alias("points")).join(F.broadcast(ends)).select(
+        "points", "fits", "falls", (F.lit(k) >= 2).alias("chosen"))
+
+
+# a regression on the dotted names that flattening gives
+@register("ols_flattened", f"""
+WITH t AS (SELECT CAST(json_extract(props, '$.k') AS DOUBLE) AS x, value AS y FROM events
+  WHERE CAST(('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5 >= 1)
+SELECT 'props.k' AS feature, {sr('regr_slope(y, x)', 6)} AS coefficient FROM t WHERE x IS NOT NULL
+UNION ALL SELECT '(intercept)', {sr('regr_intercept(y, x)', 6)} FROM t WHERE x IS NOT NULL""")
+def q_ols_flattened(spark, d):
+    from tabulon.operators.models import linear_regression
+    from tabulon.sources.files import parse_json_column
+    ev = parse_json_column(table(spark, d, "events"), "props")
+    coefs, _m = linear_regression(ev, ["event_id"], "value", ["props.k"])
+    return round_doubles(coefs, 6)
 
 
 # ================================================================== questions
@@ -772,6 +1060,26 @@ def q_extreme(spark, d):
                           ["c_custkey", "c_name", "c_acctbal"], True, "c_custkey")
 
 
+@register("earliest_above_none", """
+SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1e15 ORDER BY o_orderdate, o_orderkey LIMIT 1""")
+def q_earliest_none(spark, d):
+    from tabulon.plans.questions import earliest_above
+    return earliest_above(table(spark, d, "orders"), "o_totalprice", 1e15, "o_orderdate", "o_orderkey",
+                          ["o_orderkey", "o_totalprice"])
+
+
+@register("extreme_record_text_key", """
+SELECT * FROM (SELECT c_custkey, c_name FROM customer ORDER BY c_mktsegment DESC, c_name LIMIT 1) a
+UNION ALL SELECT * FROM (SELECT c_custkey, c_name FROM customer WHERE c_acctbal IS NULL
+  ORDER BY c_acctbal, c_name LIMIT 1) b""")
+def q_extreme_text(spark, d):
+    from tabulon.plans.questions import extreme_record
+    c = table(spark, d, "customer")
+    empty = c.withColumn("c_acctbal", F.lit(None).cast("double"))
+    return extreme_record(c, "c_mktsegment", ["c_custkey", "c_name"], True, "c_name").union(
+        extreme_record(empty, "c_acctbal", ["c_custkey", "c_name"], False, "c_name"))
+
+
 @register("most_frequent_in_range", """
 SELECT o_orderpriority AS category, count(*) AS n FROM orders
 WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY o_orderpriority
@@ -892,7 +1200,21 @@ def q_degree_hist(spark, d):
     return degree_histogram(supply_edges(spark, d))
 
 
-@register("graph_shortest_path")
+@register("graph_shortest_path", f"""
+WITH e AS {EDGES_SQL},
+n AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ends AS (SELECT 's' || min(l_suppkey) AS s, 'p' || max(l_partkey) AS g FROM lineitem),
+l1 AS (SELECT DISTINCT n.b AS node FROM n, ends WHERE n.a = s),
+l2 AS (SELECT n.b AS node, min(n.a) AS parent FROM n JOIN l1 ON n.a = l1.node, ends
+       WHERE n.b <> s AND n.b NOT IN (SELECT node FROM l1) GROUP BY n.b),
+far AS (SELECT min(n.a) AS last FROM n JOIN l2 ON n.a = l2.node, ends WHERE n.b = g),
+near AS (SELECT count(*) AS direct FROM l1, ends WHERE node = g)
+SELECT CAST(step AS INTEGER) AS step, node FROM (
+  SELECT 0 AS step, s AS node FROM ends
+  UNION ALL SELECT 1, g FROM ends, near WHERE direct = 1
+  UNION ALL SELECT 1, parent FROM l2, far, near WHERE direct = 0 AND l2.node = far.last
+  UNION ALL SELECT 2, last FROM far, near WHERE direct = 0
+  UNION ALL SELECT 3, g FROM ends, near WHERE direct = 0) p""")
 def q_path(spark, d):
     from tabulon.operators.graph import shortest_path
     li = table(spark, d, "lineitem")
