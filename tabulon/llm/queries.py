@@ -43,7 +43,32 @@ def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
         sha256_joined(F.col("spans")).alias("spans"))
 
 
-@register("op1_secret_scan")
+def _secrets_sql() -> str:
+    """Every rule's matches by their lengths and those of the text between them."""
+    each = []
+    for i, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("}+", "}").replace("'", "''")  # no possessive repeats in this dialect
+        value = f"regexp_extract(m[i], '{pattern}', {r.value})" if r.value else "m[i]"
+        each.append(f"""SELECT n, {i} AS ord, '{r.kind}' AS kind, m[i] AS hit,
+  coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
+    + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+FROM (SELECT n, m, g, unnest(generate_series(1, len(m))) AS i FROM (
+  SELECT n, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d) a) b
+WHERE length({value}) >= {r.min_value}""")
+    base = ", ".join(f"'{k}'" for k in ("assign", "access", "hex"))
+    text = "kind || ':' || s || ':' || (s + length(hit))"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
+    union = "\nUNION ALL\n".join(each)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+h AS ({union})
+SELECT d.doc_id, {counts},
+  sha256(coalesce(string_agg({text}, ',' ORDER BY s, ord) FILTER (WHERE kind IN ({base})), '')) AS base_sha256,
+  coalesce(string_agg({text}, ',' ORDER BY s, ord), '') AS spans
+FROM d LEFT JOIN h USING (n) GROUP BY d.n, d.doc_id"""
+
+
+@register("op1_secret_scan", _secrets_sql())
 def op1_secret_scan(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return _span_digest(secrets.find_secrets(docs), ("assign", "access", "hex"))
@@ -58,10 +83,30 @@ def op6_simhash_dedup(spark, d):
 
 
 # ---------------------------------------------------------------------- mixing
-@register("op7_source_mixing")
+@register("op7_source_mixing", r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, source, CASE WHEN source IS NULL THEN 1 ELSE 0 END AS none,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(concat_ws(':', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS digest FROM documents),
+s AS (SELECT source, none, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source, none),
+w AS (SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[1 + (row_number() OVER (ORDER BY none, source) - 1) % 3] AS weight FROM s),
+f AS (SELECT *, 3 * source_size / weight AS full_at FROM w),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS here FROM f
+  WINDOW b AS (ORDER BY full_at, none, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, max(CASE WHEN here <= full_at THEN here END) OVER () AS level FROM l),
+g AS (SELECT source, none, source_size,
+    CASE WHEN full_at <= level THEN CAST(3 * source_size AS DOUBLE) ELSE weight * level END AS target FROM t),
+e AS (SELECT n, source, none, size, epoch, md5(concat_ws(':', digest, CAST(epoch AS VARCHAR))) AS turn
+  FROM d, range(3) r(epoch)),
+c AS (SELECT *, sum(size) OVER (PARTITION BY none, source ORDER BY epoch, turn, size, n) - size AS earlier FROM e),
+k AS (SELECT n, sum(least(size, greatest(0, round(target) - earlier))) AS taken
+  FROM c JOIN g ON c.none = g.none AND c.source IS NOT DISTINCT FROM g.source GROUP BY n)
+SELECT d.doc_id, d.size, g.source_size, round(g.target, 6) AS target, CAST(k.taken AS BIGINT) AS taken
+FROM d JOIN k USING (n) JOIN g ON d.none = g.none AND d.source IS NOT DISTINCT FROM g.source
+""")
 def op7_source_mixing(spark, d):
     found = mixing.mix(table(spark, d, "documents"), keep=["doc_id"])
-    return found.select("row.doc_id", "size", "source_size", "target", "taken")
+    return found.select("row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 # --------------------------------------------------------------- sentencepiece
@@ -123,9 +168,9 @@ def op10_token_shards(spark, d):
 
 # ------------------------------------------------------------------ top-k search
 @register("op4_exact_top_k", """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
