@@ -167,19 +167,19 @@ def fit(docs: DataFrame, labels: DataFrame, only: Column | None = None, label: s
 
 def fit_texts(texts: list[list[bytes]], toxic: np.ndarray) -> Tagger:
     held = np.arange(len(texts)) % 5 == 4  # for the calibration
-    marked = _marking([t for t, h in zip(texts, held) if not h], toxic[~held])
-    size = [len(t) for t in texts]
-    at: dict[bytes, list[int]] = {}
-    words = [w for t, h in zip(texts, held) if not h for w in t]
-    for w in set(words):
-        at[w] = features(w)
-    number = {w: i for i, w in enumerate(at)}
-    flat = np.array([f for w in at for f in at[w]], dtype=np.int64)
-    owner = np.repeat(np.arange(len(at)), [len(at[w]) for w in at])
-    tagged_word = np.array([any(f in marked for f in at[w]) for w in at], dtype=bool)
-    word = np.array([number[w] for w in words], dtype=np.int64)
-    sizes = np.array(size)[~held]
+    used = [t for t, h in zip(texts, held) if not h]
+    number: dict[bytes, int] = {}
+    word = np.fromiter((number.setdefault(w, len(number)) for t in used for w in t), dtype=np.int64)
+    sizes = np.array([len(t) for t in used], dtype=np.int64)
+    kinds = np.full((len(number), 1 + len(PREFIXES)), -1, dtype=np.int64)
+    for w, n in number.items():
+        found = features(w)
+        kinds[n, :len(found)] = found
     in_toxic = np.repeat(toxic[~held], sizes)
+    marked = _marking(word, sizes, in_toxic, kinds)
+    owner, column = np.nonzero(kinds >= 0)
+    flat = kinds[owner, column]
+    tagged_word = ((kinds >= 0) & marked[kinds]).any(axis=1)
     tag = tagged_word[word] & in_toxic
     first = np.zeros(len(word), dtype=bool)
     first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
@@ -191,13 +191,13 @@ def fit_texts(texts: list[list[bytes]], toxic: np.ndarray) -> Tagger:
     seen, seen_t, seen_b = np.full(1 << HASH_BITS, 1e-6), np.full((2, 2), 1e-6), 1e-6
     actual = np.bincount(tag[inner - 1] * 2 + tag[inner], minlength=4).reshape(2, 2)
     for _ in range(STEPS):  # gradient ascent with per-weight step lengths
-        by_word = np.bincount(owner, weights[flat], minlength=len(at)) + bias
+        by_word = np.bincount(owner, weights[flat], minlength=len(number)) + bias
         u, step = by_word[word], np.exp(trans)
         p, forward, backward = marginals(u, first, step)
         pair = step[None] * np.stack([np.ones(len(inner)), forward[inner - 1]], 1)[:, :, None] \
             * np.stack([np.ones(len(inner)), backward[inner]], 1)[:, None, :]
         expected = (pair / pair.sum((1, 2), keepdims=True)).sum(0)
-        miss = np.bincount(word, tag - p, minlength=len(at))
+        miss = np.bincount(word, tag - p, minlength=len(number))
         g = np.bincount(flat, miss[owner], minlength=1 << HASH_BITS) - 0.01 * weights
         gt, gb = actual - expected - 0.1 * trans, float(miss.sum())
         seen += g * g
@@ -216,27 +216,29 @@ def fit_texts(texts: list[list[bytes]], toxic: np.ndarray) -> Tagger:
     return tagger
 
 
-def _marking(texts: list[list[bytes]], toxic: np.ndarray) -> set[int]:
-    """Features found in toxic documents almost only, by a likelihood ratio.
-    They are counted by different neighbours, so copies count once."""
-    there: dict[int, set] = {}
-    other: dict[int, set] = {}
-    known = {w: features(w) for w in {w for t in texts for w in t}}
-    for t, x in zip(texts, toxic):
-        into = there if x else other
-        for before, w, after in zip([b"", *t], t, [*t[1:], b""]):
-            for f in known[w]:
-                into.setdefault(f, set()).add(hash((before, after)))
-    n_there, n_other = sum(map(len, there.values())), sum(map(len, other.values()))
-    base = n_there / max(1, n_there + n_other)
-    out = set()
-    for f, found in there.items():
-        n, m = len(found), len(other.get(f, ()))
+def _marking(word: np.ndarray, sizes: np.ndarray, in_toxic: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Mask of the features found in toxic documents almost only, by a likelihood
+    ratio.  Uses are counted by different neighbours, so copies count once."""
+    before, after = np.append(0, word[:-1] + 1), np.append(word[1:] + 1, 0)
+    ends = np.cumsum(sizes)[sizes > 0]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    after[ends - 1] = 0
+    beside = (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+              + after.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(HASH_BITS)
+
+    def uses(of: np.ndarray) -> np.ndarray:
+        key = np.concatenate([kinds[word[of], c].astype(np.uint64) << np.uint64(64 - HASH_BITS) | beside[of]
+                              for c in range(kinds.shape[1])])
+        key = np.unique(key[np.concatenate([kinds[word[of], c] >= 0 for c in range(kinds.shape[1])])])
+        return np.bincount((key >> np.uint64(64 - HASH_BITS)).astype(np.int64), minlength=1 << HASH_BITS)
+
+    n, m = uses(in_toxic).astype(float), uses(~in_toxic).astype(float)
+    base = n.sum() / max(1.0, n.sum() + m.sum())
+    with np.errstate(divide="ignore", invalid="ignore"):
         share = n / (n + m)
-        gain = n * np.log(share / base) + (m * np.log((1 - share) / (1 - base)) if m else 0.0)
-        if gain >= MIN_GAIN and share / base / (share / base + (1 - share) / (1 - base)) >= MIN_SHARE:
-            out.add(f)
-    return out
+        gain = n * np.log(share / base) + np.where(m > 0, m * np.log((1 - share) / (1 - base)), 0.0)
+        even = share / base / (share / base + (1 - share) / (1 - base))
+        return (n > 0) & (gain >= MIN_GAIN) & (even >= MIN_SHARE)
 
 
 def _calibrate(x: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
