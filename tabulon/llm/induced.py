@@ -83,14 +83,13 @@ def larger_types(text: np.ndarray) -> np.ndarray:
     return falls[last[np.searchsorted(last, np.arange(n))]]
 
 
-def run_lengths(text: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Equal symbols from each place on."""
-    last = np.flatnonzero(np.append(text[:-1] != text[1:], True))
-    return last[np.searchsorted(last, places)] - places + 1
+def _whole(n: int) -> type:
+    """The number type for places of ``n`` symbols."""
+    return np.int32 if n < 2**31 - 1 else np.int64
 
 
 def star_places(larger: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(~larger[1:] & larger[:-1]) + 1
+    return (np.flatnonzero(~larger[1:] & larger[:-1]) + 1).astype(_whole(len(larger)))
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
@@ -144,7 +143,7 @@ def name_substrings(text: np.ndarray, larger: np.ndarray, stars: np.ndarray) ->
         # a group goes on as a whole if one of its members does
         goes = np.repeat(np.maximum.reduceat(more, group), np.diff(np.append(group, len(n)))) if len(n) else more
         open_ = open_[order][goes]
-    return np.unique(name, return_inverse=True)[1].astype(np.int64) + 1
+    return np.unique(name, return_inverse=True)[1].astype(_whole(len(name))) + 1
 
 
 def sort_stars(text: np.ndarray, larger: np.ndarray) -> np.ndarray:
@@ -154,7 +153,7 @@ def sort_stars(text: np.ndarray, larger: np.ndarray) -> np.ndarray:
         return stars
     names = name_substrings(text, larger, stars)
     if names.max() == len(names):
-        order = np.empty(len(names), dtype=np.int64)
+        order = np.empty(len(names), dtype=_whole(len(names)))
         order[names - 1] = np.arange(len(names))
     else:  # the last name is unique and the least: it holds the end
         order = suffix_order(names - 1)
@@ -165,7 +164,7 @@ def sort_stars(text: np.ndarray, larger: np.ndarray) -> np.ndarray:
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Places in the order of their suffixes; the last symbol is 0 and unique."""
     if len(text) == 1:
-        return np.zeros(1, dtype=np.int64)
+        return np.zeros(1, dtype=_whole(1))
     larger = larger_types(text)
     up = _sweep_blocks(text, larger, sort_stars(text, larger))
     seeds = up[larger[up]]
@@ -186,8 +185,8 @@ def _sweep_blocks(text: np.ndarray, target: np.ndarray, seeds: np.ndarray) -> np
     block_of = np.searchsorted(edge, np.arange(len(count)), side="right") - 1
     single = np.diff(np.append(edge, len(count))) == 1
     starts = np.searchsorted(block_of[text[seeds]], np.arange(len(edge) + 1))
-    queue, rank, out = DiskQueue(), np.zeros(len(text) + 1, dtype=np.int64), []
-    none = np.zeros(0, dtype=np.int64)
+    queue, rank, out = DiskQueue(), np.zeros(len(text) + 1, dtype=_whole(len(text))), []
+    none = np.zeros(0, dtype=seeds.dtype)
     for b in range(len(edge)):
         came = np.concatenate([none, *[p for p, _ in queue.pop(b)]])
         own, extra = seeds[starts[b]:starts[b + 1]], none
@@ -206,7 +205,8 @@ def _sweep_blocks(text: np.ndarray, target: np.ndarray, seeds: np.ndarray) -> np
             places = np.concatenate([came, extra, own])
             seed = np.arange(len(places)) >= len(came) + len(extra)
             turn = np.concatenate([np.arange(len(came)), len(came) + rank[extra + 1], np.arange(len(own))])
-            order = np.argsort((text[places] * 2 + seed) * (2 * len(places) + 1) + turn)
+            symbol = text[places].astype(np.int64) * 2 + seed
+            order = np.argsort(symbol * (2 * len(places) + 1) + turn)
             places = places[order]
             rank[places] = np.arange(len(places))
             before = places[places > 0] - 1
@@ -258,6 +258,11 @@ def _sweep(text: np.ndarray, target: np.ndarray, seeds: np.ndarray, prefix: np.n
     #: Least prefix since the last tuple sent to a bucket; -1: none sent yet.
     since = np.full(symbols, -1, dtype=np.int16)
     starts = np.searchsorted(text[seeds], np.arange(symbols + 1))
+    last_of_run = np.flatnonzero(np.append(text[:-1] != text[1:], True))
+
+    def run_length(place: int) -> int:
+        """Equal symbols from a place on."""
+        return int(last_of_run[np.searchsorted(last_of_run, place)]) - place + 1
 
     def send(places: np.ndarray, prefix: np.ndarray):
         ok = np.flatnonzero((places > 0) & target[places - 1])
@@ -288,7 +293,8 @@ def _sweep(text: np.ndarray, target: np.ndarray, seeds: np.ndarray, prefix: np.n
         if len(own):
             common = prefix[starts[c]:starts[c + 1]].copy()
             # the last induced and the first seed part where the shorter run of c ends
-            common[0] = 0 if last is None else min(cap, run_lengths(text, np.array([last, own[0]])).min())
+            common[0] = 0 if last is None else min(
+                cap, run_length(int(last)), run_length(int(own[0])))
             for i in range(0, len(own), CHUNK):
                 part = own[i:i + CHUNK], common[i:i + CHUNK]
                 yield *part, True

@@ -46,8 +46,8 @@ from tabulon.llm.induced import sorted_suffixes
 LENGTH, GRAM = 200, 32
 #: Occurrences of an anchor from which its contexts are divided among more shards.
 DIVIDE = 4096
-#: Windows of a long text handled at once.
-PIECE = 1 << 19
+#: Windows of a long text, and bytes of short texts, handled at once.
+PIECE, GROUP = 1 << 19, 1 << 17
 
 _ODD, _MIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 20) - 1)
@@ -73,30 +73,64 @@ def window_minimum(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[:len(h) - (width - step)], h[width - step:]) if step < width else h
 
 
-def contexts(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of a text's contexts: the first window's place, the number of windows, the
-    anchor's hash and its offset in the first window."""
-    starts, sizes, anchors, offsets = [], [], [], []
-    text, windows = np.frombuffer(raw, dtype=np.uint8), len(raw) - length + 1
-    for at in range(0, max(0, windows), PIECE):
-        part = text[at:min(at + PIECE, windows) + length - 1]
+def contexts(raws: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of the contexts of all texts: the text's number, the first window's place
+    in it, the number of windows, the anchor's hash and its offset in the first
+    window, and the context's own hash."""
+    sizes = np.array([len(r) for r in raws], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    text = np.frombuffer(b"".join(raws), dtype=np.uint8)
+    out = []
+    # a window belongs to the text it starts in, and must end there
+    room = np.repeat(ends - length, sizes) >= np.arange(len(text)) if len(text) else np.zeros(0, dtype=bool)
+    for at in range(0, max(0, len(text) - length + 1), PIECE):
+        part = text[at:at + PIECE + length - 1]
         h = gram_hashes(part, gram)
         # least upper bits first, then leftmost
         least = window_minimum(h & ~_PLACE | np.arange(len(h), dtype=np.uint64), length - gram + 1)
         place = (least & _PLACE).astype(np.int64)
-        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        starts.append(first + at)
-        sizes.append(np.diff(np.append(first, len(place))))
-        anchors.append(h[place[first]].view(np.int64))
-        offsets.append(place[first] - first)
+        inside = room[at:at + len(place)]
+        turn = np.append(True, (place[1:] != place[:-1]) | ~inside[:-1])
+        # a text's windows end before the next text's begin: the gap parts them
+        first = np.flatnonzero(turn & inside)
+        stop = np.flatnonzero(inside & np.append((place[1:] != place[:-1]) | ~inside[1:], True)) + 1
+        total = _running(part)
+        own = (total[stop + length - 1] - total[first]) * _powers(len(part), _INVERSE)[first]
+        own = (own ^ own >> np.uint64(32)) * _MIX
+        out.append((first + at, stop - first, h[place[first]].view(np.int64), place[first] - first,
+                    own.view(np.int64)))
     none = np.zeros(0, dtype=np.int64)
-    return tuple(np.concatenate([none, *x]) for x in (starts, sizes, anchors, offsets))
+    start, windows, anchor, offset, own = (np.concatenate([none, *x]) for x in (zip(*out) if out else [[]] * 5))
+    number = np.searchsorted(ends, start, side="right")
+    return number, start - (ends - sizes)[number], windows, anchor, offset, own
+
+
+_BASE = 0xA0761D6478BD642F
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2^64."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.ones(max(n, 1), dtype=np.uint64)
+        known[1:] = np.uint64(base)
+        _POWERS[base] = known = np.cumprod(known)
+    return known[:n]
 
 
-def _hash(raw: bytes) -> int:
-    from xxhash import xxh3_64_intdigest
-    h = xxh3_64_intdigest(raw)
-    return h - (1 << 64) if h >> 63 else h
+def _running(text: np.ndarray) -> np.ndarray:
+    """Running sums of symbol times power, from which any part's hash follows."""
+    mixed = (text.astype(np.uint64) + np.uint64(1)) * _MIX
+    mixed ^= mixed >> np.uint64(29)
+    return np.append(np.uint64(0), np.cumsum(mixed * _powers(len(text), _BASE)))
+
+
+def context_hash(raw: bytes) -> int:
+    """The own hash of a context of these bytes."""
+    total = _running(np.frombuffer(raw, dtype=np.uint8))[-1:]
+    return int(((total ^ total >> np.uint64(32)) * _MIX).view(np.int64)[0])
 
 
 def _identity(text: Column) -> list[Column]:
@@ -123,18 +157,21 @@ def context_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """(key, size, start, windows, offset, anchor, context) of all contexts."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, size, raw in zip(batch.column("key").to_pylist(), batch.column("size").to_pylist(),
-                                      pc.cast(batch.column("text"), pa.binary()).to_pylist()):
-                if size < length:
-                    continue
-                starts, sizes, anchors, offsets = contexts(raw, length, gram)
-                own = [_hash(raw[s:s + n + length - 1]) for s, n in zip(starts.tolist(), sizes.tolist())]
-                n = len(own)
+            raws = pc.cast(batch.column("text"), pa.binary()).to_pylist()
+            key, size = batch.column("key").to_numpy(), batch.column("size").to_numpy()
+            use = [i for i, r in enumerate(raws) if len(r) >= length]
+            while use:
+                n, some = 0, []
+                while use and n < GROUP:
+                    some.append(use.pop())
+                    n += len(raws[some[-1]])
+                number, start, windows, anchor, offset, own = contexts([raws[i] for i in some], length, gram)
+                text = np.array(some)[number]
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(np.full(n, key)), "size": pa.array(np.full(n, size, np.int32)),
-                    "start": pa.array(starts.astype(np.int32)), "windows": pa.array(sizes.astype(np.int16)),
-                    "offset": pa.array(offsets.astype(np.int16)), "anchor": pa.array(anchors),
-                    "context": pa.array(own, pa.int64())})
+                    "key": pa.array(key[text]), "size": pa.array(size[text]),
+                    "start": pa.array(start.astype(np.int32)), "windows": pa.array(windows.astype(np.int16)),
+                    "offset": pa.array(offset.astype(np.int16)), "anchor": pa.array(anchor),
+                    "context": pa.array(own)})
     return texts.mapInArrow(_gathered(cut), "key long, size int, start int, windows short, offset short, "
                                             "anchor long, context long")
 
@@ -155,7 +192,7 @@ def _gathered(cut):
 
 
 def _extracted(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, part, context, again, first, windows, bytes): each wanted context
+    """(anchor, part, context, again, first, windows, offset, bytes): each wanted context
     cut from its text, in parts by the anchor's offset."""
     by_text = wanted.groupBy("key", "size").agg(F.collect_list(F.struct(  # of one text
         "start", "windows", "offset", "anchor", "context", "again", "parts")).alias("wanted"))
@@ -169,7 +206,7 @@ def _extracted(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> D
             for packed_text, contexts_ in zip(batch.column("packed").to_pylist(), batch.column("wanted").to_pylist()):
                 raw = unpack(packed_text)
                 for c in contexts_:
-                    if _hash(raw[c["start"]:c["start"] + c["windows"] + length - 1]) != c["context"]:
+                    if context_hash(raw[c["start"]:c["start"] + c["windows"] + length - 1]) != c["context"]:
                         continue
                     offsets = c["offset"] - np.arange(c["windows"])
                     part = offsets * c["parts"] // width
@@ -177,25 +214,55 @@ def _extracted(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> D
                     for a, b in zip(first.tolist(), [*first[1:].tolist(), c["windows"]]):
                         s = c["start"] + a
                         out.append((c["anchor"], int(part[a]), c["context"], c["again"], a, b - a,
-                                    raw[s:s + b - a + length - 1]))
-            cols = list(zip(*out)) if out else [[]] * 7
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+                                    c["offset"] - a, raw[s:s + b - a + length - 1]))
+            cols = list(zip(*out)) if out else [[]] * 8
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                             ["anchor", "part", "context", "again", "first", "windows", "bytes"])
+                                             ["anchor", "part", "context", "again", "first", "windows",
+                                              "offset", "bytes"])
 
     return once.join(by_text, ["key", "size"]).select("packed", "wanted").mapInArrow(
-        cut, "anchor long, part int, context long, again boolean, first int, windows int, bytes binary")
-
-
-def repeated_windows(pieces: list[bytes], windows: np.ndarray, again: np.ndarray, length: int) -> np.ndarray:
+        cut, "anchor long, part int, context long, again boolean, first int, windows int, "
+             "offset int, bytes binary")
+
+
+def partnered(pieces: list[bytes], anchors: list[int], offsets: list[int], windows: list[int],
+              length: int, gram: int) -> list[tuple[int, int]]:
+    """Of each piece the range of windows that can be repeated in another one.
+
+    A window reaches half of what is beside the anchor to the left or to the
+    right of it; so does its equal.  Windows whose half no other piece of the
+    anchor has are out."""
+    half = (length - gram) // 2
+    seen: dict[tuple, int] = {}
+    sides = []
+    for raw, a, o, n in zip(pieces, anchors, offsets, windows):
+        left = (a, 0, raw[o - half:o + gram]) if o >= half else None
+        right = (a, 1, raw[o:o + gram + half]) if o - n + 1 < half else None
+        for side in (left, right):
+            if side:
+                seen[side] = seen.get(side, 0) + 1
+        sides.append((left, right))
+    out = []
+    for (left, right), o, n in zip(sides, offsets, windows):
+        cut = min(n, max(0, o - half + 1))  # windows before it reach far enough to the left
+        out.append((0 if left and seen[left] > 1 else cut, n if right and seen[right] > 1 else cut))
+    return out
+
+
+def repeated_windows(pieces: list[bytes], windows: np.ndarray, length: int) -> np.ndarray:
     """Of the windows of all pieces, one after the other: whether the window's
-    bytes are found at another place, or its piece occurs again."""
+    bytes are found at another place."""
+    if not len(pieces):
+        return np.zeros(0, dtype=bool)
     raw = np.frombuffer(b"".join(p + b"\xff" for p in pieces), dtype=np.uint8)
     sizes = np.array([len(p) + 1 for p in pieces])
     ends = np.cumsum(sizes)
-    kind = np.uint8 if len(raw) and np.delete(raw, ends - 1).max(initial=0) <= 253 else np.uint16
+    plain = np.ones(len(raw), dtype=bool)
+    plain[ends - 1] = False
+    kind = np.uint8 if raw[plain].max(initial=0) <= 253 else np.uint16
     text = raw.astype(kind) + kind(2)  # 0 ends the shard, 1 a piece
-    text[ends - 1] = 1
+    text[~plain] = 1
     same = np.zeros(len(text) + 1, dtype=bool)
     last = None
     for places, common in sorted_suffixes(np.append(text, kind(0)), length):
@@ -205,10 +272,10 @@ def repeated_windows(pieces: list[bytes], windows: np.ndarray, again: np.ndarray
         same[before[near]] = True
         last = places[-1:]
     at = np.repeat(ends - sizes, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    return same[at] | np.repeat(again, windows)
+    return same[at]
 
 
-def _sorted(pieces: DataFrame, length: int) -> DataFrame:
+def _sorted(pieces: DataFrame, length: int, gram: int) -> DataFrame:
     """(anchor, context, first, end): runs of repeated windows of each context."""
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
@@ -216,8 +283,17 @@ def _sorted(pieces: DataFrame, length: int) -> DataFrame:
             return
         table = pa.Table.from_batches(rows).combine_chunks()
         windows = table.column("windows").to_numpy().astype(np.int64)
-        found = repeated_windows(table.column("bytes").to_pylist(), windows,
-                                 table.column("again").to_numpy(), length)
+        pieces = table.column("bytes").to_pylist()
+        ranges = partnered(pieces, table.column("anchor").to_pylist(), table.column("offset").to_pylist(),
+                           windows.tolist(), length, gram)
+        use = [i for i, (a, b) in enumerate(ranges) if a < b]
+        sort_from = np.array([ranges[i][0] for i in use], dtype=np.int64)
+        sort_size = np.array([ranges[i][1] - ranges[i][0] for i in use], dtype=np.int64)
+        flags = repeated_windows([pieces[i][ranges[i][0]:ranges[i][1] + length - 1] for i in use],
+                                 sort_size, length)
+        found = np.repeat(table.column("again").to_numpy(), windows)
+        base = (np.cumsum(windows) - windows)[use] + sort_from
+        found[np.repeat(base - (np.cumsum(sort_size) - sort_size), sort_size) + np.arange(len(flags))] |= flags
         # runs of repeated windows, broken where a piece begins
         begin = np.zeros(len(found) + 1, dtype=bool)
         begin[np.cumsum(windows) - windows] = True
@@ -251,7 +327,7 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, divi
         F.min(F.struct("key", "size", "start", "windows", "offset")).alias("at")).select(
         "anchor", "context", "again", "parts", "at.*")
     pieces = _extracted(texts.select("key", "size", packed(F.col("text")).alias("packed")), wanted, length, gram)
-    found = _sorted(pieces, length)
+    found = _sorted(pieces, length, gram)
     sorted_ = unsure.select("key", "size", "start", "anchor", "context").distinct() \
         .join(found, ["anchor", "context"]).select(
             "key", "size", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end"))

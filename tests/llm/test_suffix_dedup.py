@@ -61,16 +61,20 @@ def test_short_length_and_text_pieces(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute(texts, 12)
 
 
-def test_equal_windows_have_equal_anchors():
+def test_equal_windows_have_equal_anchors(monkeypatch):
     rng = np.random.default_rng(5)
     raw = rng.integers(97, 100, 3000).astype(np.uint8).tobytes()
-    raw += raw[700:1900] + b"zz" + raw[:900]
-    seen = {}
-    for s, n, a, o in zip(*[x.tolist() for x in op.contexts(raw)]):
-        for j in range(n):
-            window = raw[s + j:s + j + 200]
-            assert seen.setdefault(window, (a, o - j)) == (a, o - j)
-    assert sum(op.contexts(raw)[1]) == len(raw) - 199
+    raws = [raw + raw[700:1900] + b"zz" + raw[:900], b"", raw[:199], raw[:200], b"a" * 450, raw[100:800], b"b" * 200]
+    for piece in (op.PIECE, 150):
+        monkeypatch.setattr(op, "PIECE", piece)
+        seen, windows = {}, [0] * len(raws)
+        for t, s, n, a, o, h in zip(*[x.tolist() for x in op.contexts(raws)]):
+            windows[t] += n
+            assert h == op.context_hash(raws[t][s:s + n + 199]) and len(raws[t][s:s + n + 199]) == n + 199
+            for j in range(n):
+                window = raws[t][s + j:s + j + 200]
+                assert seen.setdefault(window, (a, o - j)) == (a, o - j)
+        assert windows == [max(0, len(r) - 199) for r in raws]
 
 
 def test_repeats_nulls_clashes_and_empty(spark):
