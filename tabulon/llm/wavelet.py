@@ -20,6 +20,7 @@ not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from zlib import crc32
@@ -176,18 +177,63 @@ class WaveletFile:
 
 
 # ---------------------------------------------------------------------- encoding
+#: Letters and digits of Latin-1, and the tokenizer's own split of a lower-cased
+#: word into parts that it encodes apart.  Words of these characters are the same
+#: under canonical composition, and have one lower case.
+_LATIN_WORD = re.compile("[!-~\u00a1-\u00ff]+")
+_LETTER, _NUMBER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+
+
+_ONE = struct.Struct("<I")
+
+
+def _byte_symbols() -> list[str]:
+    """The symbol that stands for each byte in the vocabulary: printable Latin-1
+    as it is, the others from U+0100 on in order."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in kept else chr(next(others)) for b in range(256)]
+
+
+_BYTE_SYMBOLS = _byte_symbols()
+
+
 class WordEncoder:
     """The library's ids of whole texts, encoded by word: the tokenizer drops
-    white space and works on either side of it apart."""
+    white space and works on either side of it apart.  Words of plain characters
+    are taken apart further, as the tokenizer does, so that few different parts
+    are left to encode; any other word goes to the library as it is."""
 
     def __init__(self, model: bytes):
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model.decode())
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
+        self.model = self.tokenizer.model
+        self.parts = WordCache(self._merged)
         self.words = WordCache(self._encode)
 
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts by the library's merges alone."""
+        out = []
+        for part in parts:
+            seen = part if part.isascii() else "".join(map(_BYTE_SYMBOLS.__getitem__, part.encode()))
+            ids = [t.id for t in self.model.tokenize(seen)]
+            out.append(_ONE.pack(ids[0]) if len(ids) == 1 else struct.pack(f"<{len(ids)}I", *ids))
+        return out
+
     def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        plain = [bool(_LATIN_WORD.fullmatch(w)) and not (self.special and self.special.search(w)) for w in words]
+        whole = [w for w, p in zip(words, plain) if not p]
+        found = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
+        split = [_PARTS.findall(w.lower()) if p else None for w, p in zip(words, plain)]
+        known = self.parts
+        known.fill([p for parts in split if parts for p in parts])
+        return [b"".join([known[p] for p in parts]) if parts is not None
+                else np.array(next(found).ids, dtype="<u4").tobytes() for parts in split]
 
     def __call__(self, text: str) -> bytes:
         return self.words.ids([w for w in text.replace("\n", " ").split(" ") if w])

@@ -4,32 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Words longer than this are not kept.
-KEPT_CHARS = 64
-
 
 class WordCache(dict):
-    """Words and their ids as bytes.  Two generations of at most ``bound`` words:
-    a full one becomes the old one, whose words come back when used."""
+    """Words and their ids as bytes.  Two generations of about ``bound`` bytes (a
+    word counts its characters and a fixed share): a full one becomes the old
+    one, whose words come back when used."""
+
+    SHARE = 150
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], bound: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], bound: int = 40 << 20):
         super().__init__()
-        self.encode, self.bound, self.old = encode, bound, {}
+        self.encode, self.bound, self.load, self.old = encode, bound, 0, {}
 
-    def __missing__(self, word: str) -> bytes:
-        self[word] = ids = self.old[word]
-        return ids
+    def fill(self, words) -> None:
+        """Make all ``words`` known; those new are encoded at once."""
+        if self.load > self.bound:
+            self.old, self.load = dict(self), 0
+            self.clear()
+        missing = {w for w in words if w not in self}
+        if not missing:
+            return
+        old = self.old
+        new = [w for w in missing if w not in old]
+        if len(new) < len(missing):
+            self.update((w, old[w]) for w in missing if w in old)
+        if new:
+            self.update(zip(new, self.encode(new)))
+        self.load += sum(map(len, missing)) + self.SHARE * len(missing)
 
     def ids(self, words: list[str]) -> bytes:
-        """Ids of ``words``, joined; all unknown words are encoded at once."""
-        missing = [w for w in set(words) if w not in self and w not in self.old]
-        if missing:
-            self.update(zip(missing, self.encode(missing)))
-        out = b"".join([self[w] for w in words])
-        for w in missing:
-            if len(w) > KEPT_CHARS:
-                del self[w]
-        if len(self) > self.bound:
-            self.old = dict(self)
-            self.clear()
-        return out
+        """Ids of ``words``, joined."""
+        self.fill(words)
+        return b"".join([self[w] for w in words])
