@@ -316,8 +316,10 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, divi
     """(key, size, runs): for each text the runs (first, end) of places where a
     repeated ``length``-byte string starts.  ``texts``: (key, size, text)."""
     rows = context_rows(texts, length, gram)
-    anchors = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("lo"),
-                                         F.max("context").alias("hi")).where("n > 1")
+    # written first, so that the join below is of two plain shuffles, which
+    # adaptive execution splits where many contexts have one anchor
+    anchors = materialize(rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("lo"),
+                                                     F.max("context").alias("hi")).where("n > 1"))
     seen = materialize(rows.join(anchors, "anchor").select(
         *rows.columns, (F.col("lo") != F.col("hi")).alias("sort"), F.ceil(F.col("n") / divide).cast("int").alias("parts")))
     spans = length - gram + 1
