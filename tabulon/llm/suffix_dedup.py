@@ -7,18 +7,24 @@ count.  Matches never cross documents.
 A suffix array of a whole corpus does not fit one task, so the suffixes are
 dealt out first, exactly:
 
-* Every ``length``-byte window has an anchor: the gram of ``GRAM`` bytes in it
-  with the least hash, the leftmost of equals.  That depends on the window's
-  bytes only, so equal windows have equal anchors at equal places.
-* Consecutive windows with the same anchor form one context (about 280
+* Every ``length``-byte window has a least gram: that of ``GRAM`` bytes in it
+  with the least hash, the leftmost of equals.  The window reaches half of what
+  is beside the gram to its left or to its right; gram and that half are its
+  anchor.  All this depends on the window's bytes only, so equal windows have
+  equal anchors at equal places.
+* Consecutive windows with the same anchor form one context (about 240
   bytes).  Contexts whose anchor occurs once hold nothing repeated.  Of an
   anchor whose contexts are all equal, everything is.
 * All other contexts, each different one once with a mark if it occurs again,
-  go to shards by anchor; the contexts of very frequent anchors are divided
-  further by the anchor's place in the window.  A shard's suffixes are sorted
-  with their common prefixes by external induced sorting
-  (:mod:`tabulon.llm.induced`, its queues on disk beyond a bound); a window is
-  repeated if a neighbour shares ``length`` bytes.
+  go to shards by anchor.  The contexts of very frequent anchors are divided
+  first, round by round, by the anchor's place in the window and by all the
+  bytes that windows of such places share: parts without a partner are out,
+  equal parts are repeated, the rest goes on.  Parts end at single windows,
+  which are alone or equal, so that no shard has more than ``DIVIDE`` contexts.
+* A task sorts its shards in lots of a bounded size: suffixes with their common
+  prefixes, by external induced sorting (:mod:`tabulon.llm.induced`, its queues
+  on disk beyond a bound).  A window is repeated if a neighbour shares
+  ``length`` bytes.
 
 Texts are shuffled twice, compressed: to cut out the contexts that are to be
 sorted, and to remove what was found.  Both joins are on (text hash, size),
@@ -32,6 +38,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +51,11 @@ from tabulon.llm.common import bound_batches, materialize, text_or_empty
 from tabulon.llm.induced import sorted_suffixes
 
 LENGTH, GRAM = 200, 32
-#: Occurrences of an anchor from which its contexts are divided among more shards.
-DIVIDE = 4096
+#: Occurrences of an anchor beyond which its contexts are divided among more
+#: shards, and the number of parts that a round makes of one.
+DIVIDE, FAN = 4096, 5
+#: Bytes of the shards that are sorted together.
+LOT = 4 << 20
 #: Windows of a long text, and bytes of short texts, handled at once.
 PIECE, GROUP = 1 << 19, 1 << 17
 
@@ -75,8 +85,9 @@ def window_minimum(h: np.ndarray, width: int) -> np.ndarray:
 
 def contexts(raws: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of the contexts of all texts: the text's number, the first window's place
-    in it, the number of windows, the anchor's hash and its offset in the first
-    window, and the context's own hash."""
+    in it, the number of windows, the anchor's hash, the offset of its gram in the
+    first window, and the context's own hash."""
+    half = (length - gram) // 2
     sizes = np.array([len(r) for r in raws], dtype=np.int64)
     ends = np.cumsum(sizes)
     text = np.frombuffer(b"".join(raws), dtype=np.uint8)
@@ -94,11 +105,19 @@ def contexts(raws: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
         # a text's windows end before the next text's begin: the gap parts them
         first = np.flatnonzero(turn & inside)
         stop = np.flatnonzero(inside & np.append((place[1:] != place[:-1]) | ~inside[1:], True)) + 1
+        # windows that reach far enough to the left of the gram, then the others
+        mid = np.clip(place[first] - half + 1, first, stop)
+        first, stop = np.stack([first, mid], 1).ravel(), np.stack([mid, stop], 1).ravel()
+        side = np.arange(len(first)) % 2
+        first, stop, side = (x[first < stop] for x in (first, stop, side))
+        least_at = place[first]
         total = _running(part)
-        own = (total[stop + length - 1] - total[first]) * _powers(len(part), _INVERSE)[first]
-        own = (own ^ own >> np.uint64(32)) * _MIX
-        out.append((first + at, stop - first, h[place[first]].view(np.int64), place[first] - first,
-                    own.view(np.int64)))
+        own = _hashes(total, first, stop + length - 1)
+        shared = _hashes(total, least_at - half * (1 - side),
+                         least_at + np.where(side, length - half + 1, gram))
+        anchor = (shared + h[least_at] + side.astype(np.uint64)) * _ODD
+        anchor ^= anchor >> np.uint64(32)
+        out.append((first + at, stop - first, anchor.view(np.int64), least_at - first, own.view(np.int64)))
     none = np.zeros(0, dtype=np.int64)
     start, windows, anchor, offset, own = (np.concatenate([none, *x]) for x in (zip(*out) if out else [[]] * 5))
     number = np.searchsorted(ends, start, side="right")
@@ -127,6 +146,12 @@ def _running(text: np.ndarray) -> np.ndarray:
     return np.append(np.uint64(0), np.cumsum(mixed * _powers(len(text), _BASE)))
 
 
+def _hashes(total: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of parts of the text with these running sums."""
+    own = (total[end] - total[begin]) * _powers(len(total), _INVERSE)[begin]
+    return (own ^ own >> np.uint64(32)) * _MIX
+
+
 def context_hash(raw: bytes) -> int:
     """The own hash of a context of these bytes."""
     total = _running(np.frombuffer(raw, dtype=np.uint8))[-1:]
@@ -191,13 +216,15 @@ def _gathered(cut):
     return run
 
 
-def _extracted(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, part, context, again, first, windows, offset, bytes): each wanted context
-    cut from its text, in parts by the anchor's offset."""
+_PIECE = "anchor long, context long, again boolean, n long, first int, windows int, offset int, bytes binary"
+
+
+def _extracted(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(anchor, context, again, n, first, windows, offset, bytes): each wanted
+    context cut from its text."""
     by_text = wanted.groupBy("key", "size").agg(F.collect_list(F.struct(  # of one text
-        "start", "windows", "offset", "anchor", "context", "again", "parts")).alias("wanted"))
+        "start", "windows", "offset", "anchor", "context", "again", "n")).alias("wanted"))
     once = texts.dropDuplicates(["key", "size"])
-    width = length - gram + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = _unpack()
@@ -206,48 +233,56 @@ def _extracted(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> D
             for packed_text, contexts_ in zip(batch.column("packed").to_pylist(), batch.column("wanted").to_pylist()):
                 raw = unpack(packed_text)
                 for c in contexts_:
-                    if context_hash(raw[c["start"]:c["start"] + c["windows"] + length - 1]) != c["context"]:
-                        continue
-                    offsets = c["offset"] - np.arange(c["windows"])
-                    part = offsets * c["parts"] // width
-                    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                    for a, b in zip(first.tolist(), [*first[1:].tolist(), c["windows"]]):
-                        s = c["start"] + a
-                        out.append((c["anchor"], int(part[a]), c["context"], c["again"], a, b - a,
-                                    c["offset"] - a, raw[s:s + b - a + length - 1]))
+                    own = raw[c["start"]:c["start"] + c["windows"] + length - 1]
+                    if context_hash(own) == c["context"]:
+                        out.append((c["anchor"], c["context"], c["again"], c["n"], 0, c["windows"], c["offset"], own))
             cols = list(zip(*out)) if out else [[]] * 8
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                             ["anchor", "part", "context", "again", "first", "windows",
-                                              "offset", "bytes"])
-
-    return once.join(by_text, ["key", "size"]).select("packed", "wanted").mapInArrow(
-        cut, "anchor long, part int, context long, again boolean, first int, windows int, "
-             "offset int, bytes binary")
-
-
-def partnered(pieces: list[bytes], anchors: list[int], offsets: list[int], windows: list[int],
-              length: int, gram: int) -> list[tuple[int, int]]:
-    """Of each piece the range of windows that can be repeated in another one.
-
-    A window reaches half of what is beside the anchor to the left or to the
-    right of it; so does its equal.  Windows whose half no other piece of the
-    anchor has are out."""
-    half = (length - gram) // 2
-    seen: dict[tuple, int] = {}
-    sides = []
-    for raw, a, o, n in zip(pieces, anchors, offsets, windows):
-        left = (a, 0, raw[o - half:o + gram]) if o >= half else None
-        right = (a, 1, raw[o:o + gram + half]) if o - n + 1 < half else None
-        for side in (left, right):
-            if side:
-                seen[side] = seen.get(side, 0) + 1
-        sides.append((left, right))
-    out = []
-    for (left, right), o, n in zip(sides, offsets, windows):
-        cut = min(n, max(0, o - half + 1))  # windows before it reach far enough to the left
-        out.append((0 if left and seen[left] > 1 else cut, n if right and seen[right] > 1 else cut))
-    return out
+                                             [c.split()[0] for c in _PIECE.split(", ")])
+
+    return once.join(by_text, ["key", "size"]).select("packed", "wanted").mapInArrow(cut, _PIECE)
+
+
+def _parts(pieces: DataFrame, width: int, length: int) -> DataFrame:
+    """The pieces cut where the anchor's offset reaches a multiple of ``width``,
+    with their ``shard``, the hash of all bytes that windows of such offsets share,
+    and their ``own`` hash."""
+    col = F.col
+    each = pieces.withColumn("turn", F.explode(F.sequence(
+        F.floor((col("offset") - col("windows") + 1) / width).cast("int"), F.floor(col("offset") / width).cast("int"))))
+    top = F.least("offset", col("turn") * width + width - 1)
+    low = F.greatest(col("offset") - col("windows") + 1, col("turn") * width)
+    each = each.select("anchor", "context", "again", "turn", (col("first") + col("offset") - top).alias("first"),
+                       (top - low + 1).alias("windows"), top.alias("offset"),
+                       F.substring("bytes", col("offset") - top + 1, top - low + length).alias("bytes"))
+    shared = F.substring("bytes", col("offset") - col("turn") * width + 1, F.lit(length - width + 1))
+    return each.withColumn("shard", F.xxhash64("anchor", F.lit(width), "turn", shared)) \
+        .withColumn("own", F.xxhash64("offset", "windows", "bytes")).drop("turn")
+
+
+def _divided(pieces: DataFrame, length: int, gram: int, divide: int) -> tuple[DataFrame, DataFrame]:
+    """Pieces of frequent anchors in shards of at most ``divide``, and the runs
+    (anchor, context, first, end) found on the way."""
+    again = pieces.where("again").select("anchor", "context", "first", F.col("windows").alias("end"))
+    ready, runs, width = [], [again], (length - gram) // 2 + 1
+    while True:
+        width = -(-width // FAN)
+        parts = _parts(pieces, width, length)
+        # written first: the join is of two plain shuffles, which can be split
+        shards = materialize(parts.groupBy("shard").agg(
+            F.count("*").alias("n"), (F.min("own") != F.max("own")).alias("sort")).where("n > 1"))
+        parts = materialize(parts.join(shards, "shard"))
+        runs.append(parts.where("not sort").select(
+            "anchor", "context", "first", (F.col("first") + F.col("windows")).alias("end")))
+        if width == 1:  # single windows, alone or equal; unequal hashes of equal sums are sorted
+            ready.append(parts.where("sort"))
+            break
+        ready.append(parts.where(F.col("sort") & (F.col("n") <= divide)))
+        pieces = parts.where(F.col("sort") & (F.col("n") > divide))
+        if pieces.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, ready), reduce(DataFrame.unionByName, runs)
 
 
 def repeated_windows(pieces: list[bytes], windows: np.ndarray, length: int) -> np.ndarray:
@@ -275,25 +310,37 @@ def repeated_windows(pieces: list[bytes], windows: np.ndarray, length: int) -> n
     return same[at]
 
 
-def _sorted(pieces: DataFrame, length: int, gram: int) -> DataFrame:
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole shards, which come one after the other, in tables of about ``LOT`` bytes."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.column("bytes").nbytes
+        if n < LOT:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        shard = table.column("shard").to_numpy()
+        end = int(np.flatnonzero(shard != shard[-1])[-1]) + 1 if (shard != shard[-1]).any() else 0
+        if end:
+            yield table.slice(0, end).combine_chunks()
+        held = table.slice(end).combine_chunks().to_batches()
+        n = sum(b.column("bytes").nbytes for b in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _sorted(pieces: DataFrame, length: int) -> DataFrame:
     """(anchor, context, first, end): runs of repeated windows of each context."""
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows).combine_chunks()
+        for table in _lots(batches):
+            yield runs(table)
+
+    def runs(table: pa.Table) -> pa.RecordBatch:
         windows = table.column("windows").to_numpy().astype(np.int64)
-        pieces = table.column("bytes").to_pylist()
-        ranges = partnered(pieces, table.column("anchor").to_pylist(), table.column("offset").to_pylist(),
-                           windows.tolist(), length, gram)
-        use = [i for i, (a, b) in enumerate(ranges) if a < b]
-        sort_from = np.array([ranges[i][0] for i in use], dtype=np.int64)
-        sort_size = np.array([ranges[i][1] - ranges[i][0] for i in use], dtype=np.int64)
-        flags = repeated_windows([pieces[i][ranges[i][0]:ranges[i][1] + length - 1] for i in use],
-                                 sort_size, length)
-        found = np.repeat(table.column("again").to_numpy(), windows)
-        base = (np.cumsum(windows) - windows)[use] + sort_from
-        found[np.repeat(base - (np.cumsum(sort_size) - sort_size), sort_size) + np.arange(len(flags))] |= flags
+        found = repeated_windows(table.column("bytes").to_pylist(), windows, length)
+        found |= np.repeat(table.column("again").to_numpy(), windows)
         # runs of repeated windows, broken where a piece begins
         begin = np.zeros(len(found) + 1, dtype=bool)
         begin[np.cumsum(windows) - windows] = True
@@ -302,13 +349,13 @@ def _sorted(pieces: DataFrame, length: int, gram: int) -> DataFrame:
         piece = np.searchsorted(np.cumsum(windows), rises, side="right")
         base = (np.cumsum(windows) - windows)[piece]
         first = table.column("first").to_numpy()[piece]
-        yield pa.RecordBatch.from_pydict({
+        return pa.RecordBatch.from_pydict({
             "anchor": pa.array(table.column("anchor").to_numpy()[piece]),
             "context": pa.array(table.column("context").to_numpy()[piece]),
             "first": pa.array((rises - base + first).astype(np.int32)),
             "end": pa.array((falls - base + first).astype(np.int32))})
 
-    return pieces.repartition("anchor", "part").mapInArrow(
+    return pieces.repartition("shard").sortWithinPartitions("shard").mapInArrow(
         sort, "anchor long, context long, first int, end int")
 
 
@@ -321,15 +368,21 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, divi
     anchors = materialize(rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("lo"),
                                                      F.max("context").alias("hi")).where("n > 1"))
     seen = materialize(rows.join(anchors, "anchor").select(
-        *rows.columns, (F.col("lo") != F.col("hi")).alias("sort"), F.ceil(F.col("n") / divide).cast("int").alias("parts")))
-    spans = length - gram + 1
-    unsure = seen.where("sort").withColumn("parts", F.least("parts", F.lit(spans)))
+        *rows.columns, (F.col("lo") != F.col("hi")).alias("sort"), "n"))
+    unsure = seen.where("sort")
     wanted = unsure.groupBy("anchor", "context").agg(
-        (F.count("*") > 1).alias("again"), F.first("parts").alias("parts"),
+        (F.count("*") > 1).alias("again"), F.first("n").alias("n"),
         F.min(F.struct("key", "size", "start", "windows", "offset")).alias("at")).select(
-        "anchor", "context", "again", "parts", "at.*")
-    pieces = _extracted(texts.select("key", "size", packed(F.col("text")).alias("packed")), wanted, length, gram)
-    found = _sorted(pieces, length, gram)
+        "anchor", "context", "again", "n", "at.*")
+    pieces = _extracted(texts.select("key", "size", packed(F.col("text")).alias("packed")), wanted, length)
+    frequent = F.col("n") > divide
+    if anchors.where(frequent & (F.col("lo") != F.col("hi"))).isEmpty():
+        found = _sorted(pieces.withColumn("shard", F.col("anchor")), length)
+    else:
+        pieces = materialize(pieces)
+        divided, runs = _divided(pieces.where(frequent), length, gram, divide)
+        shards = pieces.where(~frequent).withColumn("shard", F.col("anchor"))
+        found = _sorted(shards.unionByName(divided.select(*shards.columns)), length).unionByName(runs)
     sorted_ = unsure.select("key", "size", "start", "anchor", "context").distinct() \
         .join(found, ["anchor", "context"]).select(
             "key", "size", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end"))

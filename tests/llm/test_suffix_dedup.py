@@ -85,3 +85,33 @@ def test_repeats_nulls_clashes_and_empty(spark):
     assert sorted((r.n_bytes, r.n_removed) for r in rows) == [(0, 0), (0, 0), (228, 228), (228, 228)]
     assert set(rows[0].row.asDict()) == set(docs.columns)
     assert op.without_repeats(docs_frame(spark, [])).collect() == []
+
+
+def test_frequent_passage_is_divided_without_a_ceiling(spark, monkeypatch):
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, ends = some(420), [some(7) for _ in range(3)]
+    texts = [some(150) + rng.choice(ends) + passage + some(150) for _ in range(400)]
+    whole, most = op._sorted, []
+
+    def counted(pieces, *args):
+        by = [c for c in ("shard", "anchor", "part") if c in pieces.columns]
+        most.append(pieces.groupBy(*by[:1 if by[0] == "shard" else 2]).count().agg(F.max("count")).first()[0] or 0)
+        return whole(pieces, *args)
+
+    monkeypatch.setattr(op, "_sorted", counted)
+    rows = op.without_repeats(docs_frame(spark, texts), divide=2).collect()
+    got = {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in rows}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+    assert max(most) <= 2
+
+
+def test_shards_sorted_in_lots(spark, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(op, "LOT", 100)
+    shard = [1, 1, 2, 3, 3, 3, 3, 4]
+    batches = [pa.RecordBatch.from_pydict({"shard": pa.array(shard[i:i + 2], pa.int64()),
+                                           "bytes": pa.array([b"x" * 60] * len(shard[i:i + 2]))}) for i in range(0, 8, 2)]
+    lots = [t.column("shard").to_pylist() for t in op._lots(iter(batches))]
+    assert sum(lots, []) == shard and len(lots) > 2
+    assert all(a[-1] != b[0] for a, b in zip(lots, lots[1:]))
