@@ -7,8 +7,10 @@ regression on rows held back from the first (Platt scaling).  Texts are scored
 in Arrow batches against a fixed threshold.
 
 ``SAMPLE`` bounds the labelled rows per class that are fitted on: those with
-the smallest hash of their id, whatever the size of the table.  Everything
-else reads every row and whole texts.
+the smallest hash of their id, whatever the size of the table.  Both regressions
+weight them by their class's labelled rows over those sampled, so that a
+probability means the same at every size.  Everything else reads every row and
+whole texts.
 
 Defined cases: a null text counts as empty (no words, so it fails the base
 rules); without labels of both classes nothing is rejected beyond the base
@@ -142,12 +144,26 @@ def measured(text: Column, model: Model | None) -> Column:
 
 
 # ------------------------------------------------------------------------ fitting
+def labelled_rows(labels: DataFrame, label: str) -> DataFrame:
+    """(id, label) of the labelled rows, each once."""
+    return labels.select(qcol("doc_id").alias("id"), qcol(label).cast("int").alias("label")) \
+        .where("id is not null and label in (0, 1)").distinct()
+
+
+def class_weights(labels: DataFrame, label: str, per_class: int) -> Column:
+    """A sampled row's weight: labelled rows of its class for each one sampled."""
+    counts = labelled_rows(labels, label).groupBy("label").count().collect()
+    weight = F.lit(1.0)
+    for r in counts:
+        weight = F.when(F.col("label") == r["label"], max(1.0, r["count"] / per_class)).otherwise(weight)
+    return weight
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int,
                     id_col: str = "doc_id", text_col: str = "text", only: Column | None = None) -> DataFrame:
     """(id, text, label) of at most ``per_class`` labelled rows of each class,
     those with the smallest hash of their id.  ``only`` selects label rows."""
-    own = labels.select(qcol("doc_id").alias("id"), qcol(label).cast("int").alias("label")) \
-        .where("id is not null and label in (0, 1)").distinct()
+    own = labelled_rows(labels, label)
     own = own if only is None else own.where(only)
     picked = None
     for value in (0, 1):
@@ -178,11 +194,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     sample = labelled_sample(docs, labels, label, per_class, id_col, text_col)
     held = F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(4)) == 0
     rows = materialize(sample.select("label", held.alias("held"),
+                                     class_weights(labels, label, per_class).alias("weight"),
                                      _features(F.encode("text", "UTF-8")).alias("features")))
     sizes = {(r.held, r.label) for r in rows.select("held", "label").distinct().collect()}
     if {(False, 0), (False, 1)} - sizes:
         return None
-    fitted = LogisticRegression(labelCol="label", maxIter=40, regParam=1e-3, standardization=False) \
+    fitted = LogisticRegression(labelCol="label", weightCol="weight", maxIter=40, regParam=1e-3, standardization=False) \
         .fit(rows.where("not held"))
     weights = fitted.coefficients.toArray().reshape(GROUPS, -1) * SCALE
     slope, offset = 1.0, 0.0
@@ -191,8 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         def margin(v):
             return Vectors.dense(float(fitted_weights[v.indices] @ v.values) + bias)
         fitted_weights, bias = fitted.coefficients.toArray(), float(fitted.intercept)
-        line = LogisticRegression(labelCol="label", maxIter=50, regParam=1e-2, standardization=False) \
-            .fit(rows.where("held").select("label", margin("features").alias("features")))
+        line = LogisticRegression(labelCol="label", weightCol="weight", maxIter=50, regParam=1e-2, standardization=False) \
+            .fit(rows.where("held").select("label", "weight", margin("features").alias("features")))
         slope, offset = float(line.coefficients[0]), float(line.intercept)
     return Model(weights.astype(np.float32), float(fitted.intercept), slope, offset)
 

@@ -86,3 +86,14 @@ def test_repeated_words_windows(window):
 def test_empty_table(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.judged(docs_frame(spark, []), labels).collect() == []
+
+
+def test_probability_keeps_the_labels_share_when_the_sample_is_full(spark):
+    rng = random.Random(12)
+    words = ["river", "stone", "walks", "under", "bright", "morning", "house", "garden", "paper", "slowly"]
+    texts = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(700)]  # both classes alike
+    labels = spark.createDataFrame([(i, int(i % 7 != 0), 0) for i in range(700)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs_frame(spark, texts), labels, per_class=60)
+    raws = [t.encode() for t in texts]
+    good = [model.probability(model.margin(quality.gram_buckets(r, r.split()))) for r in raws]
+    assert abs(sum(good) / len(good) - 6 / 7) < 0.06
