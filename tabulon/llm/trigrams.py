@@ -47,6 +47,7 @@ class _Walk:
     def __init__(self):
         self.run: set[str] = {""}
         self.query: Query = None
+        self.open = False
 
     def end_run(self):
         self.query = _and(self.query, _of_strings(self.run))
@@ -55,6 +56,7 @@ class _Walk:
     def extend(self, strings: set[str]):
         if len(self.run) * len(strings) > MAX_STRINGS:
             self.end_run()
+            self.open = True  # what follows is no longer all of a string
         self.run = {a + b for a in self.run for b in strings}
 
 
@@ -74,7 +76,7 @@ def _strings(tree) -> set[str] | None:
     """All strings that ``tree`` matches, lower-cased, if they are few."""
     walk = _Walk()
     _sequence(tree, walk)
-    return walk.run if walk.query is None and not getattr(walk, "open", False) else None
+    return walk.run if walk.query is None and not walk.open else None
 
 
 def _sequence(tree, walk: _Walk):

@@ -83,3 +83,13 @@ def test_trigram_query_is_necessary(pattern):
 def test_rules_without_trigrams_scan_everything():
     assert trigram_query(r"[0-9a-f]+") is None
     assert trigram_query(r"AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
+
+
+@pytest.mark.parametrize("pattern, text", [
+    (r"key(?:[ab]?[ab]?[ab]?[ab]?[ab]?[ab]?|zz)end", "keyababaend"),
+    (r"key(?:[ab]?[ab]?[ab]?[ab]?[ab]?[ab]?[ab]?)?end", "keyabababaend"),
+    (r"(?:[abc][abc][abc][abc]x){2}end", "abcaxcabbxend")])
+def test_bodies_with_many_strings_stay_open(pattern, text):
+    assert re.fullmatch(pattern, text)
+    query = trigram_query(pattern)
+    assert query is None or any(all(g in text for g in c) for c in query)
