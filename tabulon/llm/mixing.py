@@ -2,9 +2,12 @@
 
 A source's documents stand in shuffled order (by digest), up to ``max_epochs``
 times over.  A document's virtual finish time is its source's cumulative words
-up to and including it, divided by the source's weight.  All documents,
-range-sorted by that time, are served until the total budget is used up; a
-document in service at that moment is taken in part.
+up to and including it, divided by the source's weight.  Sources are served side
+by side until the total budget is used up.  That moment (the level) is solved from
+the sources' totals and every source is cut there by itself, not by a running
+total over all documents; the words are the same up to rounding per source.  A
+document in service at that moment is taken in part; what is served is
+range-sorted by finish time.
 
 Running sums are taken in two levels: a source's documents fall into hash
 buckets, bucket totals are summed per source, and a window runs inside one
