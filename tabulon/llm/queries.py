@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import (covertree, mixing, pieces, pii, quality, secrets, simhash, suffix_dedup,
-                         toxicity, wavelet)
+from tabulon.llm import (compression, covertree, mixing, pieces, pii, quality, secrets, simhash, spelling,
+                         suffix_dedup, toxicity, wavelet, whitening)
 from tabulon.llm.common import bound_batches, sha256_joined, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,3 +191,32 @@ def op5_personal_data(spark, d):
 def op2_suffix_dedup(spark, d):
     found = suffix_dedup.without_repeats(table(spark, d, "documents"), keep=["doc_id"])
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# ------------------------------------------------------------ compression classifier
+def _unlearnt(doc_id):
+    return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(3)) == 1
+
+
+@register("op11_quality_classifier")
+def op11_quality_classifier(spark, d):
+    bound_batches(spark)
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    found = compression.scored(docs.select("doc_id", "text"), labels, "quality", ~_unlearnt(F.col("id")))
+    return found.select(F.col("row.doc_id").alias("doc_id"),
+                        F.coalesce(_unlearnt(F.col("row.doc_id")), F.lit(False)).alias("held_out"),
+                        "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference")
+
+
+# ----------------------------------------------------------------------- whitening
+@register("op12_embedding_whitening")
+def op12_embedding_whitening(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+# ----------------------------------------------------------------- spelling variants
+@register("op13_spelling_variants")
+def op13_spelling_variants(spark, d):
+    bound_batches(spark)
+    words = spelling.vocabulary(table(spark, d, "documents"), min_length=5, min_count=3, noise=97)
+    return spelling.variants(words, ratio=2, min_length=5)
