@@ -1,8 +1,12 @@
 """Correlation and distribution statistics.
 
 Pearson r is taken over the rows where both columns are present (pandas'
-pairwise-complete rule), from ``covar_pop`` and ``stddev_pop`` of each pair in
-the JVM.  Per-column moments use the long-format aggregate of ``profile``.  A
+pairwise-complete rule).  All pairs come from one scan: a task keeps, for every
+pair of columns, the number of rows, both means and the three centred second
+moments (a *co-moment block*), takes them from matrix products over Arrow batches
+and merges them batch by batch; the blocks of the tasks are merged in Spark,
+cell by cell and in two steps, by the same formula (Chan, Golub and LeVeque).
+Per-column moments use the long-format aggregate of ``profile``.  A
 constant column gives NULL (Spark's ``corr`` would raise DIVIDE_BY_ZERO under
 ANSI).
 """
@@ -10,48 +14,126 @@ ANSI).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import as_double, nan_to_null, numeric_columns
 from tabulon.operators.profile import wide_to_long
 from tabulon.operators.ranking import exact_quantiles
 
-#: Pairs of one aggregate: with more, Spark leaves whole-stage code generation.
-PAIRS = 12
+#: Groups in which the tasks' blocks are merged first.
+MERGE_GROUPS = 64
+#: Values of one Arrow slice, which bounds the memory of its matrix products.
+SLICE_VALUES = 1 << 20
+#: Moments of a pair: rows, both means, and centred sums of x*y, x*x and y*y.
+CELL = "n double, mx double, my double, cxy double, cxx double, cyy double"
+
+
+class CoMoments:
+    """Moments of every ordered pair of columns over the rows where both are present."""
+
+    def __init__(self, k: int):
+        self.n, self.mean, self.cross, self.square = (np.zeros((k, k)) for _ in range(4))
+
+    def add(self, x: np.ndarray) -> None:
+        """Merge the moments of the rows of ``x`` (NaN: missing)."""
+        here = ~np.isnan(x)
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            rows = here.sum(axis=0)
+            first = x[here.argmax(axis=0), np.arange(x.shape[1])]  # keeps a constant column exact
+            first = np.where(rows > 0, first, 0.0)
+            middle = first + np.where(here, x - first, 0.0).sum(axis=0) / np.maximum(rows, 1)
+            y, m = np.where(here, x - middle, 0.0), here.astype(float)
+            n = m.T @ m
+            least = np.maximum(n, 1)
+            shift = y.T @ m / least  # [i, j]: mean of column i, less its middle, where j is present
+            cross = y.T @ y - n * shift * shift.T
+            square = (y * y).T @ m - n * shift * shift
+            mean = middle[:, None] + shift
+            total = self.n + n
+            step = mean - self.mean
+            part = np.where(total > 0, n / np.maximum(total, 1), 0.0)
+            weight = self.n * part
+            self.cross += cross + np.where(weight > 0, step * step.T * weight, 0.0)
+            self.square += square + np.where(weight > 0, step * step * weight, 0.0)
+            self.mean += np.where(n > 0, step * part, 0.0)
+            self.n = total
+
+
+def _blocks(k: int):
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moments, seen = CoMoments(k), False
+        rows = max(1, SLICE_VALUES // k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                # a missing value becomes NaN
+                moments.add(np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns], axis=1))
+                seen = True
+        if seen:
+            i, j = np.triu_indices(k)
+            m = moments
+            cells = [m.n[i, j], m.mean[i, j], m.mean[j, i], m.cross[i, j], m.square[i, j], m.square[j, i]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *map(pa.array, cells)],
+                ["i", "j", "n", "mx", "my", "cxy", "cxx", "cyy"])
+    return partial
+
+
+def _merged(cells: Column) -> Column:
+    """An array of one pair's blocks as one block."""
+    def merge(a, b):
+        n = a["n"] + b["n"]
+        dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+        part = b["n"] / F.greatest(n, F.lit(1.0))
+        both = a["n"] * part
+        # an empty block has means of zero that say nothing
+        moved = lambda m, d: F.when(a["n"] == 0, b[m]).when(b["n"] == 0, a[m]).otherwise(a[m] + d * part)
+        gain = lambda d, e: F.when(both > 0, d * e * both).otherwise(0.0)
+        return F.struct(n.alias("n"), moved("mx", dx).alias("mx"), moved("my", dy).alias("my"),
+                        (a["cxy"] + b["cxy"] + gain(dx, dy)).alias("cxy"),
+                        (a["cxx"] + b["cxx"] + gain(dx, dx)).alias("cxx"),
+                        (a["cyy"] + b["cyy"] + gain(dy, dy)).alias("cyy"))
+    zero = F.struct(*[F.lit(0.0).alias(c.split()[0]) for c in CELL.split(", ")])
+    return F.aggregate(cells, zero, merge)
+
+
+def co_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(i, j, n, mx, my, cxy, cxx, cyy)`` of every pair i <= j of ``cols`` (by
+    position) over the rows where both are present: one scan of those columns,
+    whatever their number; a task ships one row a pair."""
+    names = [f"c{i}" for i in range(len(cols))]
+    data = nan_to_null(df).select(*[as_double(c).alias(n) for c, n in zip(cols, names)])
+    block = F.struct(*[F.col(c.split()[0]) for c in CELL.split(", ")])
+    return data.mapInArrow(_blocks(len(cols)), f"i int, j int, {CELL}") \
+        .groupBy("i", "j", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("g")) \
+        .agg(_merged(F.collect_list(block)).alias("b")) \
+        .groupBy("i", "j").agg(_merged(F.collect_list("b")).alias("b")).select("i", "j", "b.*")
+
+
+def _pearson(cell) -> float | None:
+    both = math.sqrt(cell["cxx"]) * math.sqrt(cell["cyy"]) if min(cell["cxx"], cell["cyy"]) > 0 else 0.0
+    r = cell["cxy"] / both if both else math.nan
+    return None if math.isnan(r) else max(-1.0, min(1.0, r))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """M1: ``(var1, var2, r)`` for every ordered pair, diagonal included.
 
-    Pairs of columns are aggregated ``PAIRS`` at a time: one scan of just
-    those columns and one row of partial aggregates each, every sum being of
-    centred values (Spark's covariance updates its means as it goes).
-    Pairwise-complete, like pandas; a constant column gives NULL.
+    Pairwise-complete, like pandas; a constant column gives NULL, and so does one
+    with an infinite value.
     """
-    df = nan_to_null(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
     schema = "var1 string, var2 string, r double"
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    found: dict[tuple, float | None] = {}
-    for at in range(0, len(pairs), PAIRS):
-        some = pairs[at:at + PAIRS]
-        aggs = []
-        for n, (i, j) in enumerate(some):
-            x, y = as_double(cols[i]), as_double(cols[j])
-            both = x.isNotNull() & y.isNotNull()
-            aggs += [F.covar_pop(x, y).alias(f"c{n}"), F.stddev_pop(F.when(both, x)).alias(f"a{n}"),
-                     F.stddev_pop(F.when(both, y)).alias(f"b{n}")]
-        row = df.agg(*aggs).first()
-        for n, pair in enumerate(some):
-            cov, a, b = row[f"c{n}"], row[f"a{n}"], row[f"b{n}"]
-            found[pair] = max(-1.0, min(1.0, cov / (a * b))) if cov is not None and a and b else None
+    found = {(c["i"], c["j"]): _pearson(c) for c in co_moments(df, cols).collect()}  # one row a pair
     return df.sparkSession.createDataFrame(
-        [(a, b, found[min(i, j), max(i, j)]) for i, a in enumerate(cols) for j, b in enumerate(cols)], schema)
+        [(a, b, found.get((min(i, j), max(i, j)))) for i, a in enumerate(cols) for j, b in enumerate(cols)], schema)
 
 
 def strong_correlations(df: DataFrame, threshold: float = 0.7,

@@ -9,15 +9,18 @@ Arrow batches, no driver involvement.  A JVM-side ``contains('<table')``
 filter runs first, so pages without tables never reach Python.  Unclosed
 tags, nested tables, ``rowspan``/``colspan`` (with the limits of the HTML
 standard) and empty rows are handled; a page that fails to parse yields one
-row with its ``error`` and no table.
+row with its ``error`` and no table.  Counting tables (``page_table_counts``)
+builds no rows: it walks over the tags only.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -276,11 +279,49 @@ def table_frame(tables: DataFrame, page_id: int, table_idx: int) -> DataFrame:
         *[F.get(F.col("cells"), i).alias(n) for i, n in enumerate(uniq)])
 
 
+# A tag's attributes: only a value after "=" may be quoted and hold a ">".
+_ATTRIBUTES = r"""(?:[^>=]++|=++\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^>\s]*+))*+"""
+_TAGS = re.compile(
+    rf"""<!--.*?--\s*>|<(script|style)(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</\s*\1\s*>|\Z)"""
+    rf"""|</\s*(table)(?=[\s/>])[^>]*>|<(table|tr|td|th)(?=[\s/>])({_ATTRIBUTES})>"""
+    rf"""|<[/!?][^>]*>|<[a-z]{_ATTRIBUTES}>""", re.IGNORECASE | re.DOTALL)
+_QUOTED = re.compile(r"""=+\s*(?:"[^"]*"|'[^']*')""")
+_BARE_SLASH = re.compile(r"=\s*\S*/$")
+
+
+def _closes_itself(attributes: str) -> bool:
+    """Whether a tag ends with a slash that is no part of an unquoted value."""
+    return attributes.endswith("/") and not _BARE_SLASH.search(_QUOTED.sub("", attributes))
+
+
+def count_tables(html: str) -> int:
+    """Tables with at least one row: tags are walked over with a stack of the open
+    tables, and nothing is kept of their contents.  Comments, scripts and quoted
+    attribute values hold no tags; a tag whose quoted value never ends is none."""
+    rows: list[bool] = []  # of every open table: whether it has a row
+    found = 0
+    for _, closed, opened, attributes in _TAGS.findall(html):
+        if closed:
+            del rows[-1:]
+        elif opened[:5].lower() == "table":
+            if not _closes_itself(attributes):
+                rows.append(False)
+        elif opened and rows and not rows[-1]:
+            rows[-1] = True
+            found += 1
+    return found
+
+
 def page_table_counts(pages: DataFrame, id_col: str = "page_id",
                       html_col: str = "html") -> DataFrame:
-    """``(page_id, n_tables)`` for every page, zero included."""
-    counts = (html_tables(pages, id_col, html_col)
-              .groupBy("page_id").agg(F.count_distinct("table_idx").alias("n_tables")))
-    ids = pages.select(F.col(id_col).cast("long").alias("page_id"))
-    return ids.join(counts, "page_id", "left").select(
-        "page_id", F.coalesce("n_tables", F.lit(0)).cast("long").alias("n_tables"))
+    """``(page_id, n_tables)`` for every page, zero included: a projection that
+    gives one number a page.  Pages without ``<table`` are not sent to Python."""
+    html = F.col(html_col)
+
+    @F.arrow_udf("long")
+    def counted(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else count_tables(t) for t in texts.to_pylist()], pa.int64())
+
+    n = counted(F.when(F.lower(html).contains("<table"), html))
+    return pages.select(F.col(id_col).cast("long").alias("page_id"),
+                        F.coalesce(n, F.lit(0)).cast("long").alias("n_tables"))

@@ -1,10 +1,12 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from tabulon.functions import text
 from tabulon.operators import graph
-from tabulon.sources.html_tables import best_tables, html_tables, page_table_counts, table_frame
+from tabulon.sources.html_tables import (best_tables, count_tables, html_tables, iter_tables, page_table_counts,
+                                         table_frame)
 
 TEAS = ("<html><body><p>intro<table><tr><th>Tea</th><th>Origin</th><th>Grams</th></tr>"
         "<tr><td>Sencha</td><td>Uji</td><td>40</td></tr>"
@@ -36,6 +38,25 @@ def test_html_tables_and_best(spark):
     assert counts == {1: 1, 2: 3, 3: 0, 4: 1}
 
 
+def test_counted_tables_are_those_with_rows(spark):
+    rng = random.Random(3)
+    bits = ["<table>", "<TABLE class='a>b'>", "</table>", "</ table >", "<tr>", "<td x=\"<table><tr>\">", "</tr>", "<th/>",
+            "<table/>", "<table border=1/>", "<table a=\"x=y\" />", "<!-- <table><tr> -->", "<!--x--  >", "text < 3 > 2", "<tbody>",
+            "<script>if (a<b) '<table><tr>'</script>", "<style>x</STYLE >", "<p title='<table>'>", "<tablex><tr>", "</td>",
+            "<!doctype html>", "<?php <table> ?>", "<a href=x>", "<br/>", "<table\n id = q>", "<trx>", "&lt;table>", "é"]
+    pages = [("".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))),) for _ in range(1500)]
+    pages += [("<script>var t = '<table><tr>'",), ("<table><tr><td><table><tr>" * 300,), ("",), (None,), ("<table><tr><td", )]
+    for (page,) in pages:
+        if page is not None:
+            assert count_tables(page) == len({t for t, *_ in iter_tables(page)}), page
+    df = spark.createDataFrame([(i, p) for i, (p,) in enumerate(pages)] * 2, "page_id long, html string")
+    got = page_table_counts(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInPandas" not in plan
+    assert sorted((r.page_id, r.n_tables) for r in got.collect()) == sorted(
+        (i, count_tables(p or "")) for i, (p,) in enumerate(pages) for _ in range(2))
+
+
 def test_prompt_mining(spark):
     q = ("Scrape https://en.wikipedia.org/wiki/List_of_films and answer:\n"
          "1. How many $2 bn movies were released before 2000?\n"
