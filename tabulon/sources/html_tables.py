@@ -281,10 +281,14 @@ def table_frame(tables: DataFrame, page_id: int, table_idx: int) -> DataFrame:
 
 # A tag's attributes: only a value after "=" may be quoted and hold a ">".
 _ATTRIBUTES = r"""(?:[^>=]++|=++\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^>\s]*+))*+"""
+# What may follow a row's tag without changing the count: text and tags without quotes.
+_RUN = r"""(?:[^<]*+<(?!/?\s*+(?:table|script|style)[\s/>])/?[a-z][^>"']*+>)*+"""
+# Of lower-case text: a row's or cell's tag and what follows it, or one other tag.
 _TAGS = re.compile(
-    rf"""<!--.*?--\s*>|<(script|style)(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</\s*\1\s*>|\Z)"""
-    rf"""|</\s*(table)(?=[\s/>])[^>]*>|<(table|tr|td|th)(?=[\s/>])({_ATTRIBUTES})>"""
-    rf"""|<[/!?][^>]*>|<[a-z]{_ATTRIBUTES}>""", re.IGNORECASE | re.DOTALL)
+    rf"""<(?:(t[rdh])(?=[\s/>]){_ATTRIBUTES}>{_RUN}|/(?:\s*(table)(?=[\s/>]))?[^>]*>"""
+    rf"""|(table)(?=[\s/>])({_ATTRIBUTES})>"""
+    rf"""|(script|style)(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</\s*\5\s*>|\Z)"""
+    rf"""|[a-z]{_ATTRIBUTES}>|!--.*?--\s*>|[!?][^>]*>)""", re.DOTALL)
 _QUOTED = re.compile(r"""=+\s*(?:"[^"]*"|'[^']*')""")
 _BARE_SLASH = re.compile(r"=\s*\S*/$")
 
@@ -300,15 +304,16 @@ def count_tables(html: str) -> int:
     attribute values hold no tags; a tag whose quoted value never ends is none."""
     rows: list[bool] = []  # of every open table: whether it has a row
     found = 0
-    for _, closed, opened, attributes in _TAGS.findall(html):
-        if closed:
-            del rows[-1:]
-        elif opened[:5].lower() == "table":
+    for row, closed, opened, attributes, _ in _TAGS.findall(html.lower()):
+        if row:
+            if rows and not rows[-1]:
+                rows[-1] = True
+                found += 1
+        elif opened:
             if not _closes_itself(attributes):
                 rows.append(False)
-        elif opened and rows and not rows[-1]:
-            rows[-1] = True
-            found += 1
+        elif closed:
+            del rows[-1:]
     return found
 
 
