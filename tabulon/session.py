@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -59,3 +60,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="tabulon-ckpt-", dir="/tmp")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet under the shared checkpoint folder and read back:
+    lineage ends there, and a lost executor costs nothing of what was written."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tabulon-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tabulon.functions.columns import qcol, quote
 from tabulon.operators.profile import wide_to_long
+from tabulon.session import materialized
 
 # The texts pandas reads as missing by default (read_csv na_values).
 PANDAS_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -65,7 +66,7 @@ def load(spark: SparkSession, path: str, fmt: str | None = None,
 
 
 # ------------------------------------------------------------------ S2-S4 text
-def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True,
+def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", header: bool = True,
              schema: T.StructType | str | None = None, infer: bool = True,
              na_values: Sequence[str] = PANDAS_NA, **options) -> DataFrame:
     """Delimited text with a header row.
@@ -132,13 +133,34 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_delimited_text(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A .txt table: tab-separated if the header line holds a tab, else
-    pipe-separated if it holds a pipe, else comma-separated."""
-    # the header is the first line of a file that is no blank one
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    line = first[0][0] if first else ""
-    sep = "\t" if "\t" in line else ("|" if "|" in line else ",")
-    return read_csv(spark, path, sep=sep, **options)
+    """.txt tables.  Every file is tab-separated if its header line (the first
+    that is not blank) holds a tab, else pipe-separated if it holds a pipe, else
+    comma-separated; files of several kinds are put together by column name."""
+    line = F.col("value")
+    sep = F.when(line.contains("\t"), "\t").when(line.contains("|"), "|").otherwise(",")
+    headers = _text_lines(spark, path).groupBy("file").agg(F.min_by("value", F.struct("start", "at")).alias("value")) \
+        .select("file", sep.alias("sep"))
+    kinds = [r["sep"] for r in headers.select("sep").distinct().orderBy("sep").collect()]  # three at most
+    if len(kinds) < 2:
+        return read_csv(spark, path, sep=kinds[0] if kinds else ",", **options)
+    schema, infer = options.pop("schema", None), options.pop("infer", True)
+    parts = []
+    for kind in kinds:  # only where kinds are mixed are file names needed
+        names = [r["file"] for r in headers.where(F.col("sep") == kind).select("file").collect()]
+        parts.append(read_csv(spark, names, sep=kind, infer=False, **options))
+    text = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if schema is not None:
+        return _typed(text, schema)
+    return infer_types(text) if infer else text
+
+
+def _text_lines(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
+    """(value, file, start, at) of the lines that are not blank; ``start`` (of the
+    split in its file) and ``at`` order the lines of a file."""
+    lines = spark.read.options(**options).text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("file"),
+                        F.col("_metadata.file_block_start").alias("start"),
+                        F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
 
 
 # ------------------------------------------------------------------ S5, S6 JSON
@@ -148,62 +170,77 @@ _CORRUPT = "_corrupt_record"
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
               multi_line: bool | None = None, flatten_structs: bool = True,
               **options) -> DataFrame:
-    """JSON lines, a JSON array of objects or one object.
-
-    JSON lines (one object or array of objects in a line) split across tasks.
-    ``multi_line=True`` reads each file as one document.  By default the
-    files are read as JSON lines, and nothing is guessed from a prefix: only if
-    that read meets text that is no JSON line, each of those files must as a
-    whole be one valid document and is read as such; a file that is neither
-    raises ValueError.  Nested objects become ``a.b`` columns.
+    """JSON lines, a JSON array of objects or one object, in any mixture of files.
+
+    By default every line is parsed once as a variant and nothing is guessed from
+    a prefix.  One pass over the text gives the types of all values and says
+    whether any line is no object or array; a second one gives the rows.  Only if there is
+    such a line is its file taken as one document, its lines put together again in
+    tasks (a document must fit one value); a file that is neither raises
+    ValueError.  ``options`` go to the text reader then.  ``multi_line`` chooses
+    Spark's own reader, with one document a file or one a line.  Nested objects become
+    ``a.b`` columns; a key with values of several types is read as text.
     """
-    def reader(multi: bool):
-        out = spark.read.option("multiLine", multi)
-        for k, v in options.items():
-            out = out.option(k, v)
-        return out.schema(schema) if schema is not None else out
-
     if multi_line is not None:
-        df = reader(multi_line).json(path)
-        bad = _CORRUPT in df.columns
-        if bad and len(df.columns) == 1:
+        reader = spark.read.option("multiLine", multi_line).options(**options)
+        df = (reader.schema(schema) if schema is not None else reader).json(path)
+        if _CORRUPT in df.columns and len(df.columns) == 1:
             raise ValueError(f"Not a JSON table: {path}")
         return flatten(df) if flatten_structs else df
-    whole = _document_files(spark, path)
-    lines = [f for f, is_document in whole if not is_document]
-    documents = [f for f, is_document in whole if is_document]
-    parts = [reader(m).option("mode", "FAILFAST").json(f) for m, f in ((False, lines), (True, documents)) if f]
-    if not documents:  # also for a path without any file
-        df = reader(False).option("mode", "FAILFAST").json(path)
-    else:
-        df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-    if not df.columns:
-        raise ValueError(f"Not a JSON table: {path}")
+    lines = _text_lines(spark, path, **options)
+    value = _one_value("value")
+    parsed = lines.select("file", "start", "at", "value", value.alias("v"))
+    found, odd = _types_and_odd(parsed)
+    if odd:
+        parsed = _with_documents(parsed, path)
+        found, _ = _types_and_odd(parsed)
+    if schema is None:
+        if found is None or not found.startswith("OBJECT<") or found == "OBJECT<>":
+            raise ValueError(f"Not a JSON table: {path}")
+        schema = _struct_type(found)
+    ddl = schema if isinstance(schema, str) else schema.simpleString()
+    kind = ddl if ddl.upper().startswith("STRUCT<") else f"STRUCT<{ddl}>"
+    df = _elements(parsed).select(F.try_variant_get("v", "$", kind).alias("r")).select("r.*")
     return flatten(df) if flatten_structs else df
 
 
 def _one_value(col: str):
-    """Whether a text is one JSON object or array and nothing else.  The parser
-    ignores what follows a value, so the value is parsed inside brackets."""
+    """A text that is one JSON object or array and nothing else as a variant, else
+    null.  The parser ignores what follows a value, so the value is parsed inside brackets."""
     text = F.regexp_replace(col, r"^\s+|\s+$", "")
     ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
-    return ends.isin("{}", "[]") & F.try_parse_json(F.concat(F.lit("["), col, F.lit("]"))).isNotNull()
-
-
-def _document_files(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
-    """The files under ``path`` with text, and whether each is one document over
-    many lines.  One pass tests every non-blank line; only files in which a
-    line is no object or array are read as a whole."""
-    text = spark.read.text(path).withColumn("file", F.input_file_name())
-    files = text.where(F.trim("value") != "").groupBy("file").agg(
-        F.count_if(~_one_value("value")).alias("odd")).collect()  # one row per file
-    odd = [r["file"] for r in files if r["odd"]]
-    if odd:
-        whole = spark.read.text(odd, wholetext=True).withColumn("file", F.input_file_name())
-        broken = whole.where(~_one_value("value")).select("file").collect()
-        if broken:
-            raise ValueError(f"Not a JSON table: {[r['file'] for r in broken]}")
-    return [(r["file"], bool(r["odd"])) for r in files]
+    whole = F.try_parse_json(F.concat(F.lit("["), col, F.lit("]")))
+    one = F.try_variant_get(whole, "$[1]", "variant").isNull()
+    return F.when(ends.isin("{}", "[]") & one, F.try_variant_get(whole, "$[0]", "variant"))
+
+
+def _elements(parsed: DataFrame) -> DataFrame:
+    """(v) of every value; an array gives its elements."""
+    many = F.try_variant_get("v", "$", "array<variant>")
+    return parsed.select(F.explode(F.coalesce(many, F.array("v"))).alias("v"))
+
+
+def _types_and_odd(parsed: DataFrame) -> tuple[str | None, int]:
+    """The type of all values together, and the number of texts that are none."""
+    many = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    each = parsed.select(F.explode(F.when(F.col("v").isNull(), F.array(F.lit(None).cast("variant"))).otherwise(many))
+                         .alias("e"), F.col("v").isNull().alias("none"))
+    row = each.agg(F.schema_of_variant_agg("e").alias("found"), F.count_if("none").alias("odd")).first()
+    return row["found"], row["odd"]
+
+
+def _with_documents(parsed: DataFrame, path: str) -> DataFrame:
+    """``parsed`` with each file that has an odd line as one value.  File names stay
+    in tasks; those of files that are no document either are told, five at most."""
+    odd = materialized(parsed.where("v is null").select("file").distinct())
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("start", "at", "value"))), lambda r: r["value"])
+    whole = parsed.join(odd, "file", "left_semi").groupBy("file") \
+        .agg(F.array_join(lines, "\n").alias("value"))
+    whole = materialized(whole).select("file", _one_value("value").alias("v"))
+    broken = [r["file"] for r in whole.where("v is null").select("file").limit(5).collect()]
+    if broken:
+        raise ValueError(f"Not a JSON table: {broken}")
+    return parsed.join(odd, "file", "left_anti").select("file", "v").unionByName(whole)
 
 
 def flat_columns(schema: T.StructType, sep: str = ".") -> list:

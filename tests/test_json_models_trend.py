@@ -1,12 +1,14 @@
 """JSON without lost rows or keys, models on any column name, trends with large offsets."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tabulon.operators import models, trend
-from tabulon.sources.files import parse_json_column, read_csv, read_json
+from tabulon.sources.files import parse_json_column, read_csv, read_delimited_text, read_json
 
 
 def _file(folder, name, text):
@@ -29,6 +31,44 @@ def test_lines_and_documents_in_one_folder(spark, tmp_path):
     assert sorted(r["a"] for r in read_json(spark, path).collect()) == [1, 2, 3, 4, 5, 6]
 
 
+def test_documents_of_many_kinds_keep_types_and_rows(spark, tmp_path):
+    folder = tmp_path / "k"
+    rows = [{"i": i, "x": i / 4, "s": f"t{i}", "n": {"a b": [i, None], "deep": {"z": True}}} for i in range(50)]
+    rows[7]["i"] = 2 ** 40
+    rows[9]["extra"] = {}
+    rows[11]["mixed"], rows[12]["mixed"], rows[13]["mixed"] = 1, "one", {"k": [1]}
+    _file(folder, "lines.json", "\n".join(map(json.dumps, rows[:20])) + "\n\n")
+    _file(folder, "array.json", json.dumps(rows[20:30]))
+    _file(folder, "pretty.json", "\n\n" + json.dumps(rows[30:40], indent=2))
+    for i in range(40, 50):
+        path = _file(folder, f"one{i}.json", json.dumps(rows[i], indent=4))
+    df = read_json(spark, path)
+    got = {r["s"]: r for r in df.collect()}
+    assert dict(df.dtypes) == {"extra": "map<string,string>", "i": "bigint", "mixed": "string", "n.a b": "array<bigint>",
+                               "n.deep.z": "boolean", "s": "string", "x": "double"}
+    assert len(got) == 50
+    for r in rows:
+        assert (got[r["s"]]["i"], got[r["s"]]["x"], got[r["s"]]["n.a b"]) == (r["i"], r["x"], r["n"]["a b"])
+    assert [got[f"t{i}"]["mixed"] for i in (11, 12, 13)] == ["1", "one", '{"k":[1]}']
+    own = read_json(spark, path, schema="i double, s string")
+    assert own.columns == ["i", "s"] and sorted(r["i"] for r in own.collect())[-1] == 2.0 ** 40
+
+
+@pytest.mark.parametrize("text", ["[1, 2]\n", "{\"a\": 1}\n[2]\n", "", "\n \n", "{\"a\": 1} {\"a\": 2}\n", "[\n{\"a\": 1}\n] 7\n"])
+def test_values_that_are_no_objects_fail(spark, tmp_path, text):
+    with pytest.raises(ValueError, match="Not a JSON table"):
+        read_json(spark, _file(tmp_path / "v", "x.json", text))
+
+
+def test_delimiter_of_every_file(spark, tmp_path):
+    _file(tmp_path / "d", "a.txt", "\nid\tv\n1\tx|y\n")
+    _file(tmp_path / "d", "b.txt", "id|v\n2|a,b\n")
+    path = _file(tmp_path / "d", "c.txt", "v,id\nz,3\n")
+    df = read_delimited_text(spark, path)
+    assert sorted((r["id"], r["v"]) for r in df.collect()) == [(1, "x|y"), (2, "a,b"), (3, "z")]
+    assert dict(df.dtypes)["id"] == "bigint"
+
+
 def test_text_that_is_no_json_fails(spark, tmp_path):
     path = _file(tmp_path / "bad", "x.json", "{\"a\": 1}\n{\"a\": 2\n{\"a\": 3}\n")
     with pytest.raises(ValueError, match="Not a JSON table"):
