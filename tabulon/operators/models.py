@@ -1,21 +1,19 @@
-"""Regression and clustering (M3-M5) with ``pyspark.ml``.
+"""Regression and clustering (M3-M5).
 
 * The train/test split is an md5 hash of a row key, not a random draw, so
   it is the same for any partitioning, on a re-run after a lost executor
   (``randomSplit`` depends on partition layout) and in other engines.
 * Linear regression uses the normal-equation solver: XᵀX is a tree-aggregate
   of features x features numbers, so rows never move.
-* K-means runs once per k on the same vectors; they are kept for the
-  elbow loop in the shared checkpoint folder.
+* K-means advances all k and starts in one scan per step over the same vectors,
+  which are kept in the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +21,12 @@ from pyspark.sql import functions as F
 from tabulon.functions import messages
 from tabulon.functions.columns import nan_to_null, numeric_columns, qcol
 from tabulon.functions.messages import NotPossible
+from tabulon.operators import kmeans
+from tabulon.session import materialized
 
 MIN_ROWS = 10
 #: Depth bound of forest trees (a parameter of the analysis plan too).
 MAX_DEPTH = 8
-#: Rows of one partition when clustering.
-ROWS_PER_PART = 250_000
 
 
 def split_flag(key_cols: Sequence[str], test_buckets: int = 1, buckets: int = 5):
@@ -120,54 +118,52 @@ def random_forest(df: DataFrame, key: Sequence[str], target: str | None = None,
 
 
 def kmeans_elbow(df: DataFrame, cols: Sequence[str] | None = None, vector_col: str | None = None,
-                 max_k: int = 10, seed: int = 42, n_init: int = 3):
+                 max_k: int = 10, n_init: int = 3, key: Sequence[str] | None = None,
+                 max_iter: int = 20, tol: float = 1e-4):
     """M5: ``(elbow, clusters, chosen_k)``.
 
     ``elbow``: ``(k, inertia)`` for k in 2 .. min(max_k, n // 2) - 1;
     the chosen k is the one *before* the largest inertia drop (the reference's
     rule, kept); ``clusters``: ``(cluster, size, center array<double>)`` of
-    the best of ``n_init`` fits.  Rows with a missing value are dropped.  ``vector_col``
-    clusters an ``array<float|double>`` column (e.g. embeddings) instead.
+    the best of ``n_init`` starts.  All k and starts advance together, one scan a step
+    (see ``kmeans``).  Starts come from a hash of the ``key`` columns (by default
+    of the values), so the input's layout has no effect.  Rows with a
+    missing value are dropped.  ``vector_col`` clusters an ``array<float|double>``
+    column (e.g. embeddings) instead.
     """
     spark = df.sparkSession
+    d = nan_to_null(df)
     if vector_col:
-        data = df.where(F.col(vector_col).isNotNull()).select(
-            array_to_vector(F.col(vector_col)).alias("features"))
+        values = qcol(vector_col).cast("array<double>")
+        whole = values.isNotNull() & F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v))
     else:
-        d = nan_to_null(df)
         cols = list(cols) if cols is not None else numeric_columns(d)
         if len(cols) < 2:
             raise NotPossible(messages.LITTLE_FOR_CLUSTERING)
-        names = [f"f{i}" for i in range(len(cols))]
-        data = VectorAssembler(inputCols=names, outputCol="features").transform(
-            d.select(*[qcol(c).cast("double").alias(n) for c, n in zip(cols, names)]).dropna())
-    data = data.select("features")
+        values = F.array(*[qcol(c).cast("double") for c in cols])
+        whole = F.forall(values, lambda v: v.isNotNull())
+    named = F.concat_ws("|", *[qcol(c).cast("string") for c in key]) if key else values.cast("string")
+    data = materialized(d.where(whole).select(values.alias("features"), named.alias("key")))
     n = data.count()
     if n < MIN_ROWS:
         raise NotPossible(messages.LITTLE_FOR_CLUSTERING)
-    # the start centres are drawn partition by partition: deal the rows out by
-    # their content and sort them, so that the input's layout has no effect
-    text = vector_to_array("features").cast("string")
-    data = data.withColumn("key", F.xxhash64(text)).repartition(-(-n // ROWS_PER_PART), "key") \
-        .sortWithinPartitions("key", text).select("features").checkpoint(eager=True)
     ks = list(range(2, min(max_k, n // 2)))
-
-    def best(k: int):
-        fits = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(data) for i in range(n_init)]
-        return min(fits, key=lambda m: m.summary.trainingCost)
-
-    models = {k: best(k) for k in ks}
-    inertias = [float(models[k].summary.trainingCost) for k in ks]
+    starts = kmeans.start_points(data, max(ks, default=2), n_init)
+    wanted = [(k, s) for k in ks or [2] for s in range(n_init)]
+    fits = kmeans.lloyd(data, [starts[s][:k] for k, s in wanted], max_iter, tol)
+    best = {}
+    for (k, _), fit in zip(wanted, fits):
+        if k not in best or fit.inertia < best[k].inertia:
+            best[k] = fit
+    inertias = [best[k].inertia for k in ks]
     if len(ks) >= 2:
         drops = [b - a for a, b in zip(inertias, inertias[1:])]
         chosen = ks[drops.index(min(drops))]
     else:
         chosen = ks[0] if ks else 2
-    final = models.get(chosen) or best(chosen)
-    sizes = final.summary.clusterSizes
-    centers = final.clusterCenters()
+    final = best[chosen]
     elbow = spark.createDataFrame(list(zip(ks, inertias)), "k int, inertia double")
     clusters = spark.createDataFrame(
-        [(i, int(sizes[i]), [float(v) for v in centers[i]]) for i in range(len(centers))],
+        [(i, int(s), [float(v) for v in c]) for i, (s, c) in enumerate(zip(final.sizes, final.centers))],
         "cluster int, size long, center array<double>")
     return elbow, clusters, chosen
