@@ -94,6 +94,42 @@ def scatter_fit(df: DataFrame, x: str | None = None, y: str | None = None) -> Da
             .select(xs.alias("x"), ys.alias("y"), fit.alias("fit")))
 
 
+def scatter_bins(df: DataFrame, x: str | None = None, y: str | None = None,
+                 x_bins: int = 50, y_bins: int = 50) -> DataFrame:
+    """V3 for large tables: ``(x_bin, y_bin, x_lo, x_hi, y_lo, y_hi, cnt, fit)``, the
+    non-empty cells of a grid over the ranges of the first two numeric columns (or
+    ``x``, ``y``), with the least-squares line at the middle of the cell's ``x``.
+
+    Complete pairs only; the upper ends belong to the last bins; a constant column
+    has one bin of no width.  One aggregate for ranges and line, one for the cells:
+    ``x_bins * y_bins`` rows at most, per task and in the result.
+    """
+    schema = "x_bin int, y_bin int, x_lo double, x_hi double, y_lo double, y_hi double, cnt long, fit double"
+    d = nan_to_null(df)
+    nums = numeric_columns(d)
+    x = x or (nums[0] if len(nums) > 0 else None)
+    y = y or (nums[1] if len(nums) > 1 else None)
+    if x is None or y is None:
+        return d.sparkSession.createDataFrame([], schema)
+    pairs = d.select(as_double(x).alias("x"), as_double(y).alias("y")).where("x is not null and y is not null")
+    r = pairs.agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))],
+                  F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept")).first()
+    if r["lo_x"] is None:
+        return d.sparkSession.createDataFrame([], schema)
+
+    def cell(c: str, bins: int):
+        lo, width = r[f"lo_{c}"], (r[f"hi_{c}"] - r[f"lo_{c}"]) / bins
+        at = F.least(F.floor((F.col(c) - lo) / width), F.lit(bins - 1)).cast("int") if width > 0 else F.lit(0)
+        edge = lambda i: F.lit(lo) + i * F.lit(width)
+        return at.alias(f"{c}_bin"), edge(F.col(f"{c}_bin")), edge(F.col(f"{c}_bin") + 1)
+    (x_at, x_lo, x_hi), (y_at, y_lo, y_hi) = cell("x", x_bins), cell("y", y_bins)
+    fit = F.lit(None).cast("double") if r["slope"] is None else \
+        F.lit(r["intercept"]) + F.lit(r["slope"]) * (F.col("x_lo") + F.col("x_hi")) / 2
+    return pairs.select(x_at, y_at).groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("cnt")) \
+        .select("x_bin", "y_bin", x_lo.alias("x_lo"), x_hi.alias("x_hi"), y_lo.alias("y_lo"), y_hi.alias("y_hi"), "cnt") \
+        .withColumn("fit", fit)
+
+
 def box_plot(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 5,
              approx_accuracy: int | None = None) -> DataFrame:
     """V4: ``(column, q1, med, q3, whisker_lo, whisker_hi, n_fliers)`` for the

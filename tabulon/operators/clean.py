@@ -8,8 +8,11 @@ rewrite is a plain projection that stays lazy.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,26 +127,40 @@ def zscore(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.withColumns(exprs)
 
 
+def _few_values(columns: int, most: int):
+    """Per task the different values of each column, ``most`` at most."""
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[set[str]] = [set() for _ in range(columns)]
+        for batch in batches:
+            for own, col in zip(found, batch.columns):
+                if len(own) < most:
+                    own.update(islice((v for v in pc.unique(col).to_pylist() if v is not None and v not in own),
+                                      most - len(own)))
+        rows = [(i, v) for i, own in enumerate(found) for v in own]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
+                                          pa.array([r[1] for r in rows], pa.string())], ["column", "value"])
+    return kept
+
+
 def encode_categorical(df: DataFrame, max_distinct: int = ENCODE_MAX_DISTINCT,
                        cols: Sequence[str] | None = None) -> DataFrame:
     """Text columns with fewer than ``max_distinct`` distinct values get
     ``<col>_encoded`` = 0-based position of the value in ascending order.
 
-    At most ``max_distinct`` values of each column come to the driver: the
-    smallest ones, by a row number that every task limits before the shuffle.
-    A column with fewer is complete; the code is a literal array lookup, no
-    join.  NULL stays NULL.
+    Every task keeps the different values of each column until it has
+    ``max_distinct`` of them (such a column is out), so at most tasks x columns x
+    ``max_distinct`` rows are shuffled and as many values of each column reach the
+    driver.  The code is a literal array lookup, no join.  NULL stays NULL.
     """
     cols = list(cols) if cols is not None else string_columns(df)
     if not cols:
         return df
-    values = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), qcol(c).alias("value")) for c in cols
-    ]))).where(F.col("value").isNotNull()).distinct()
-    first = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     by_col: dict[str, list[str]] = {c: [] for c in cols}
+    text = df.select(*[qcol(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+    first = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    values = text.mapInArrow(_few_values(len(cols), max_distinct), "column int, value string").distinct()
     for r in values.withColumn("n", first).where(F.col("n") <= max_distinct).collect():
-        by_col[r["column"]].append(r["value"])
+        by_col[cols[r["column"]]].append(r["value"])
     exprs = {}
     for c, found in by_col.items():
         if len(found) < max_distinct:

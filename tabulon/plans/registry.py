@@ -454,6 +454,20 @@ def q_scatter(spark, d):
     return round_doubles(charts.scatter_fit(o, "o_totalprice", "o_custkey"), 4, ["fit"])
 
 
+@register("scatter_bins", f"""
+WITH p AS (SELECT CAST(l_extendedprice AS DOUBLE) AS x, CAST(l_discount AS DOUBLE) AS y FROM lineitem
+           WHERE l_extendedprice IS NOT NULL AND l_discount IS NOT NULL),
+r AS (SELECT min(x) AS xl, (max(x) - min(x)) / 40 AS xw, min(y) AS yl, (max(y) - min(y)) / 11 AS yw,
+        regr_slope(y, x) AS slope, regr_intercept(y, x) AS icpt FROM p),
+c AS (SELECT CAST(least(floor((x - xl) / xw), 39) AS INTEGER) AS i, CAST(least(floor((y - yl) / yw), 10) AS INTEGER) AS j,
+        count(*) AS cnt FROM p, r GROUP BY i, j)
+SELECT i AS x_bin, j AS y_bin, {sr('xl + i * xw')} AS x_lo, {sr('xl + (i + 1) * xw')} AS x_hi, {sr('yl + j * yw', 6)} AS y_lo,
+  {sr('yl + (j + 1) * yw', 6)} AS y_hi, cnt, {sr('icpt + slope * ((xl + i * xw) + (xl + (i + 1) * xw)) / 2', 6)} AS fit FROM c, r""")
+def q_scatter_bins(spark, d):
+    out = charts.scatter_bins(table(spark, d, "lineitem"), "l_extendedprice", "l_discount", 40, 11)
+    return round_doubles(round_doubles(out, 4, ["x_lo", "x_hi"]), 6, ["y_lo", "y_hi", "fit"])
+
+
 @register("line_chart", """
 SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS idx,
   CAST(o_totalprice AS DOUBLE) AS value FROM orders""")
@@ -653,6 +667,27 @@ def q_json_file(spark, d):
     return round_doubles(_with_type(load(spark, path), "o_custkey"), 2)
 
 
+# even blocks of customers as JSON lines, odd ones each as one indented document
+@register("json_mixed_files", f"""
+SELECT c_custkey, c_name, {sr('c_acctbal', 2)} AS "money.balance", c_mktsegment AS "money.segment",
+  CASE WHEN c_custkey % 5 = 0 THEN CAST(c_nationkey AS DOUBLE) END AS nation, 'bigint' AS nation_type FROM customer""")
+def q_json_mixed(spark, d):
+    from tabulon.sources.files import read_json
+    c = table(spark, d, "customer").select(
+        F.floor(F.col("c_custkey") / 100).alias("block"), "c_custkey", "c_name",
+        F.struct(F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")).alias("money"),
+        F.when(F.col("c_custkey") % 5 == 0, F.col("c_nationkey")).alias("nation"))
+    row = F.struct("c_custkey", "c_name", "money", "nation")
+    lines = c.where("block % 2 = 0").select(F.to_json(row).alias("doc"))
+    documents = c.where("block % 2 = 1").groupBy("block").agg(
+        F.to_json(F.collect_list(row), {"pretty": "true"}).alias("doc"))
+    root = _written(lines, "json", plain=True)
+    documents.write.partitionBy("block").text(f"{root}/documents")
+    out = read_json(spark, root, recursiveFileLookup=True)
+    return round_doubles(out.withColumns({"nation_type": F.lit(dict(out.dtypes)["nation"]),
+                                          "nation": F.col("nation").cast("double")}), 2)
+
+
 _NA_ORDERS = """SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, 'bigint' AS custkey_type, o_orderstatus, {total} AS o_totalprice,
   CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM {src} g"""
 
@@ -747,6 +782,15 @@ def q_head(spark, d):
     return sample_head(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], 5)
 
 
+@register("sample_preview", """
+SELECT '[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey)
+  || ']' AS sample_json, count(*) AS sample_size, (SELECT count(*) FROM orders) AS total_size
+FROM (SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 5) t""")
+def q_preview(spark, d):
+    from tabulon.sources.files import sample_preview
+    return sample_preview(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
+
+
 @register("file_manifest", """
 SELECT extension, category, count(*) AS files, readable FROM (
   SELECT DISTINCT n_regionkey, '.csv' AS extension, 'data' AS category, true AS readable FROM nation
@@ -953,31 +997,110 @@ SELECT count(*) FILTER (WHERE {split} >= 1) AS n_train, count(*) FILTER (WHERE {
     split="CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), 1, 8)) "
           "AS BIGINT) % 5"))
 def q_rf(spark, d):
-    # what holds for any forest: the split, the number of features, importances that add up to one
+    # what holds for any forest: the split, the number of features, importances that add up to one;
+    # tree_splits compares the splits themselves
     from tabulon.operators.models import random_forest
     li = table(spark, d, "lineitem") \
         .withColumn("disc_price", F.col("l_extendedprice") * (1 - F.col("l_discount"))) \
         .withColumn("charge", F.col("disc_price") * (1 + F.col("l_tax")))
     imps, m = random_forest(li, ["l_orderkey", "l_linenumber"], "charge",
-                            ["l_quantity", "l_extendedprice", "l_discount", "disc_price"], num_trees=20)
+                            ["l_quantity", "l_extendedprice", "l_discount", "disc_price"])
     total = imps.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 6).alias("importance"))
     return m.select("n_train", "n_test", "target").join(F.broadcast(total)).select(
         "n_train", "n_test", "features", "importance", "target")
 
 
+# the best cut of the root and of its two children among the cuts at 1/16 quantiles
+TREE_FEATURES = ["l_quantity", "l_discount", "l_extendedprice", "l_tax"]
+
+
+def _tree_sql() -> str:
+    cuts = " UNION ALL ".join(
+        f"SELECT {i} AS f, unnest(list_distinct(quantile_cont(CAST({c} AS DOUBLE), "
+        f"[{', '.join(str(q / 16) for q in range(1, 16))}]))) AS t FROM r" for i, c in enumerate(TREE_FEATURES))
+
+    def level(node: str, source: str) -> str:
+        sides = " UNION ALL ".join(
+            f"SELECT node, f, t, count(*) AS n, sum(y) AS s, count(*) FILTER (WHERE x <= t) AS nl, "
+            f"coalesce(sum(y) FILTER (WHERE x <= t), 0) AS sl FROM (SELECT {node} AS node, {c} AS x, y FROM {source}) a "
+            f"JOIN cuts ON f = {i} GROUP BY node, f, t" for i, c in enumerate(TREE_FEATURES))
+        return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, t) AS best FROM (
+  SELECT *, round((sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n) / total, 9) AS gain
+  FROM ({sides}) b, (SELECT sum(y * y) AS total FROM r) z WHERE nl > 0 AND nl < n) c WHERE gain > 0) d WHERE best = 1"""
+    value = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(TREE_FEATURES))
+    name = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(TREE_FEATURES))
+    return f"""
+WITH m AS (SELECT avg(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS mean FROM lineitem),
+r AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in TREE_FEATURES)},
+  l_extendedprice * (1 - l_discount) * (1 + l_tax) - mean AS y FROM lineitem, m),
+cuts AS ({cuts}),
+root AS ({level('1', 'r')}),
+q AS (SELECT r.*, CASE WHEN CASE root.f {value} END <= root.t THEN 2 ELSE 3 END AS node FROM r, root),
+kids AS ({level('node', 'q')})
+SELECT CAST(node AS BIGINT) AS node, CASE f {name} END AS feature, {sr('t', 4)} AS threshold, n, {sr('s / n + mean', 4)} AS mean,
+  {sr('gain', 6)} AS gain, nl AS n_left, {sr('sl / nl + mean', 4)} AS mean_left, {sr('(s - sl) / (n - nl) + mean', 4)} AS mean_right
+FROM (SELECT * FROM root UNION ALL SELECT * FROM kids) a, m"""
+
+
+@register("tree_splits", _tree_sql())
+def q_tree_splits(spark, d):
+    from tabulon.operators.splits import tree_splits
+    li = table(spark, d, "lineitem").withColumn(
+        "charge", F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
+    out = tree_splits(li, "charge", TREE_FEATURES, depth=2, bins=16).drop("depth")
+    return round_doubles(round_doubles(out, 6, ["gain"]), 4, ["threshold", "mean", "mean_left", "mean_right"])
+
+
 @register("kmeans_elbow", """
 SELECT count(*) AS points, 8::BIGINT AS fits, true AS falls, true AS chosen FROM embeddings
 WHERE embedding IS NOT NULL""")
 def q_kmeans(spark, d):
     # what holds for any clustering: every point in one cluster, one fit a k, less inertia with
-    # more clusters, a k among those tried
+    # more clusters, a k among those tried; kmeans_steps compares the clusters themselves
     from tabulon.operators.models import kmeans_elbow
-    elbow, clusters, k = kmeans_elbow(table(spark, d, "embeddings"), vector_col="embedding")
+    elbow, clusters, k = kmeans_elbow(table(spark, d, "embeddings"), vector_col="embedding", key=["vec_id"])
     ends = elbow.agg(F.count(F.lit(1)).alias("fits"), (F.max_by("inertia", "k") < F.min_by("inertia", "k")).alias("falls"))
     return clusters.agg(F.sum("size").alias("points")).join(F.broadcast(ends)).select(
         "points", "fits", "falls", (F.lit(k) >= 2).alias("chosen"))
 
 
+def _lloyd_sql(steps: int) -> str:
+    """Sizes and inertia of 2 to 9 clusters after that many steps from the first start."""
+    def nearest(centers: str) -> str:
+        return f"""SELECT * FROM (SELECT k, c, p.n, p.v, apart, row_number() OVER (PARTITION BY k, p.n ORDER BY apart, c) AS near
+  FROM (SELECT k, c, p.n, p.v, list_sum(list_transform(list_zip(p.v, {centers}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS apart
+        FROM p, {centers}) p) x WHERE near = 1"""
+    parts = []
+    for i in range(steps):
+        parts.append(f"a{i} AS ({nearest(f'c{i}')})")
+        parts.append(f"""c{i + 1} AS (SELECT c{i}.k, c{i}.c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (
+  SELECT k, c, list(x ORDER BY i) AS v FROM (SELECT k, c, i, avg(x) AS x FROM (
+    SELECT k, c, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM a{i}) u GROUP BY k, c, i) w GROUP BY k, c) m USING (k, c))""")
+    return f"""
+WITH p AS (SELECT row_number() OVER () AS n, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT v, row_number() OVER (ORDER BY h) - 1 AS c FROM (
+  SELECT v, min(md5('0:' || CAST(vec_id AS VARCHAR))) AS h FROM p GROUP BY v) g),
+c0 AS (SELECT k, c, v FROM s, (SELECT unnest(range(2, 10)) AS k) t WHERE c < k),
+{', '.join(parts)},
+last AS ({nearest(f'c{steps}')})
+SELECT CAST(k AS INTEGER) AS k, CAST(c AS INTEGER) AS cluster, count(last.n) AS size, {sr('inertia', 4)} AS inertia
+FROM c{steps} LEFT JOIN last USING (k, c) JOIN (SELECT k, sum(apart) AS inertia FROM last GROUP BY k) t USING (k)
+GROUP BY k, c, inertia"""
+
+
+@register("kmeans_steps", _lloyd_sql(2))
+def q_kmeans_steps(spark, d):
+    from tabulon.operators import kmeans
+    points = table(spark, d, "embeddings").where("embedding is not null").select(
+        F.col("embedding").cast("array<double>").alias("features"), F.col("vec_id").cast("string").alias("key"))
+    start = kmeans.start_points(points, 9, 1)[0]
+    ks = range(2, 10)
+    fits = kmeans.lloyd(points, [start[:k] for k in ks], max_iter=2, tol=0.0)
+    out = spark.createDataFrame([(k, c, int(n), fit.inertia) for k, fit in zip(ks, fits) for c, n in enumerate(fit.sizes)],
+                                "k int, cluster int, size long, inertia double")
+    return round_doubles(out, 4)
+
+
 # a regression on the dotted names that flattening gives
 @register("ols_flattened", f"""
 WITH t AS (SELECT CAST(json_extract(props, '$.k') AS DOUBLE) AS x, value AS y FROM events

@@ -11,9 +11,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -335,24 +339,72 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str],
 
 # ------------------------------------------------------------------ S8 manifest
 def file_manifest(spark: SparkSession, path: str, recursive: bool = True,
-                  max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+                  max_bytes: int = MAX_FILE_BYTES, listing: str = "source") -> DataFrame:
     """One row per file -- ``(path, name, extension, category, bytes,
-    modified, within_limit, readable)``.  Contents are never read: the
-    ``binaryFile`` source skips them when ``content`` is not selected."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-             .load(path).select("path", "length", "modificationTime"))
+    modified, within_limit, readable)``.  Contents are never read.
+
+    ``listing="source"`` takes the files from Spark's ``binaryFile`` source (any store
+    that Spark opens; the driver holds the file list).  ``listing="tasks"`` lists
+    folders in tasks, level by level, so that no file list reaches the driver;
+    for stores that the tasks' own file system library opens (local or mounted
+    folders, ``s3://``, ``gs://``, ``hdfs://``).
+    """
+    if listing == "tasks":
+        files = list_files(spark, [path], recursive)
+    else:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+                 .load(path).select("path", F.col("length").alias("bytes"),
+                                    F.col("modificationTime").alias("modified")))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     ext = F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))
     cat = (F.when(ext.isin(*DATA_EXTENSIONS), "data")
            .when(ext.isin(*IMAGE_EXTENSIONS), "images")
            .when(ext.isin(*TEXT_EXTENSIONS), "text").otherwise("other"))
     return files.select("path", name.alias("name"), ext.alias("extension"), cat.alias("category"),
-                        F.col("length").alias("bytes"),
-                        F.col("modificationTime").alias("modified"),
-                        (F.col("length") <= max_bytes).alias("within_limit"),
+                        "bytes", "modified", (F.col("bytes") <= max_bytes).alias("within_limit"),
                         ext.isin(*sorted(READABLE)).alias("readable"))
 
 
+LISTED = "path string, bytes long, modified timestamp, folder boolean"
+
+
+def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of every folder, hidden ones (Spark's rule: ``_`` and ``.``) left out."""
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            remote = re.match(r"(?!file:)[a-z0-9+.-]+://[^/]*", folder)
+            if remote:  # the store's own path of a folder begins with its root
+                store, root = pafs.FileSystem.from_uri(remote[0])
+                root, before = root.rstrip("/"), remote[0]
+                inner = root + folder[remote.end():]
+            else:
+                store, root, before = pafs.LocalFileSystem(), "", "file:"
+                inner = re.sub(r"^file:(//)?", "", folder)
+            found = [e for e in store.get_file_info(pafs.FileSelector(inner)) if e.base_name[:1] not in ("_", ".")]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([before + e.path[len(root):] for e in found], pa.string()),
+                pa.array([e.size for e in found], pa.int64()),
+                pa.array([e.mtime_ns // 1000 for e in found], pa.timestamp("us", "UTC")),
+                pa.array([e.type == pafs.FileType.Directory for e in found], pa.bool_())],
+                ["path", "bytes", "modified", "folder"])
+
+
+def list_files(spark: SparkSession, folders: Sequence[str], recursive: bool = True) -> DataFrame:
+    """``(path, bytes, modified)`` of all files under ``folders``.  A level's
+    folders are a table dealt over tasks, each of which lists its own; what they find
+    is written to the shared checkpoint folder and gives the next level."""
+    level = spark.createDataFrame([(f,) for f in folders], "path string")
+    out = None
+    while True:
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = materialized(level.repartition(tasks, "path").mapInArrow(_listed, LISTED))
+        files = found.where("not folder").drop("folder")
+        out = files if out is None else out.union(files)
+        level = found.where("folder").select("path")
+        if not recursive or level.isEmpty():
+            return out
+
+
 def manifest_summary(manifest: DataFrame) -> DataFrame:
     """S8 totals: ``(category, files, bytes)``."""
     return manifest.groupBy("category").agg(F.count(F.lit(1)).alias("files"),
@@ -360,29 +412,35 @@ def manifest_summary(manifest: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ S9 many sources
-def load_sources(spark: SparkSession, paths: Sequence[str]) -> tuple[dict[int, DataFrame], DataFrame]:
+def load_sources(spark: SparkSession, paths: Sequence[str],
+                 threads: int = 8) -> tuple[dict[int, DataFrame], DataFrame]:
     """Read every source, keep going on errors.
 
     Returns the DataFrames by index and a status table ``(source, index,
     success, n_rows, n_cols, columns, error)``.  An empty source is a failure
-    ("no data").  The loop is over sources, not rows; each source costs one
-    ``count``.
+    ("no data").  Up to ``threads`` sources are read at the same time, each with one
+    ``count`` in a scheduler pool of its own (with fair scheduling, a
+    large source does not hold up the others); the order of the result is that of
+    ``paths``.
     """
-    frames, status = {}, []
-    for i, p in enumerate(paths):
+    def read(i: int) -> tuple:
         try:
-            df = load(spark, p)
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"source-{i % max(1, threads)}")
+            df = load(spark, paths[i])
             n = df.count()
             if n == 0 or not df.columns:
-                status.append((p, i, False, 0, 0, [], "No data found or empty table"))
-                continue
-            frames[i] = df
-            status.append((p, i, True, n, len(df.columns), list(df.columns), None))
+                return None, (paths[i], i, False, 0, 0, [], "No data found or empty table")
+            return df, (paths[i], i, True, n, len(df.columns), list(df.columns), None)
         except Exception as e:  # noqa: BLE001 -- one bad source must not stop the others
-            status.append((p, i, False, 0, 0, [], f"{type(e).__name__}: {e}"[:500]))
+            return None, (paths[i], i, False, 0, 0, [], f"{type(e).__name__}: {e}"[:500])
+
     schema = ("source string, index int, success boolean, n_rows long, n_cols int, "
               "columns array<string>, error string")
-    return frames, spark.createDataFrame(status, schema)
+    with ThreadPoolExecutor(max(1, min(threads, len(paths)))) as pool:
+        # each call carries the caller's session, job group and other local properties
+        found = list(pool.map(lambda i: inheritable_thread_target(spark)(read)(i), range(len(paths))))
+    return ({i: df for i, (df, _) in enumerate(found) if df is not None},
+            spark.createDataFrame([row for _, row in found], schema))
 
 
 # ------------------------------------------------------------------ S13 append
