@@ -344,7 +344,7 @@ def file_manifest(spark: SparkSession, path: str, recursive: bool = True,
     modified, within_limit, readable)``.  Contents are never read.
 
     ``listing="source"`` takes the files from Spark's ``binaryFile`` source (any store
-    that Spark opens; the driver holds the file list).  ``listing="tasks"`` lists
+    that Spark opens; the driver holds the file list, and empty files are passed over).  ``listing="tasks"`` lists
     folders in tasks, level by level, so that no file list reaches the driver;
     for stores that the tasks' own file system library opens (local or mounted
     folders, ``s3://``, ``gs://``, ``hdfs://``).
