@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -33,11 +33,14 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.columns import qcol
 from tabulon.llm.common import bound_batches, materialize, text_or_empty
-from tabulon.llm.wordcache import WordCache
 
 #: Ids of a part; a longer document has a part of its own.
 PART_IDS = 1 << 20
 MAGIC = b"TBWAVE1\n"
+#: Bytes of one generation of the words that a worker knows.
+CACHE_BYTES = 96 << 20
+#: Characters of a text that are taken apart at once.
+SLICE = 1 << 20
 #: Bits between two counts of ones.
 RANK_BITS = 512
 _HEAD = struct.Struct("<8sQQBQQQ")
@@ -181,8 +184,9 @@ class WaveletFile:
 #: word into parts that it encodes apart.  Words of these characters are the same
 #: under canonical composition, and have one lower case.
 _LATIN_WORD = re.compile("[!-~\u00a1-\u00ff]+")
+_PLAIN_TEXT = re.compile("[ \n!-~\u00a1-\u00ff]*")
 _LETTER, _NUMBER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER} \n]+")
 
 
 _ONE = struct.Struct("<I")
@@ -199,11 +203,36 @@ def _byte_symbols() -> list[str]:
 _BYTE_SYMBOLS = _byte_symbols()
 
 
+class _Known(dict):
+    """Ids of words as bytes, found on first sight.  Two generations of about
+    ``bound`` bytes: a full one becomes the old one, whose words come back when
+    used."""
+
+    #: Bytes that an entry takes besides its characters.
+    SHARE = 150
+
+    def __init__(self, encode: Callable[[str], bytes], bound: int = CACHE_BYTES):
+        super().__init__()
+        self.encode, self.bound, self.load, self.old = encode, bound, 0, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if self.load > self.bound:
+            self.old, self.load = dict(self), 0
+            self.clear()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self.load += len(word) + len(ids) + self.SHARE
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
-    """The library's ids of whole texts, encoded by word: the tokenizer drops
-    white space and works on either side of it apart.  Words of plain characters
-    are taken apart further, as the tokenizer does, so that few different parts
-    are left to encode; any other word goes to the library as it is."""
+    """The library's ids of whole texts.  The tokenizer drops white space and works
+    on either side of it apart.  A text of plain characters is taken apart into
+    words' parts, as the tokenizer does, so that few different parts are left to
+    encode; any other text is encoded by word, and a word of other characters goes to the
+    library as it is."""
 
     def __init__(self, model: bytes):
         import os
@@ -213,30 +242,36 @@ class WordEncoder:
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.model = self.tokenizer.model
-        self.parts = WordCache(self._merged)
-        self.words = WordCache(self._encode)
-
-    def _merged(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts by the library's merges alone."""
-        out = []
-        for part in parts:
-            seen = part if part.isascii() else "".join(map(_BYTE_SYMBOLS.__getitem__, part.encode()))
-            ids = [t.id for t in self.model.tokenize(seen)]
-            out.append(_ONE.pack(ids[0]) if len(ids) == 1 else struct.pack(f"<{len(ids)}I", *ids))
-        return out
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        plain = [bool(_LATIN_WORD.fullmatch(w)) and not (self.special and self.special.search(w)) for w in words]
-        whole = [w for w, p in zip(words, plain) if not p]
-        found = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
-        split = [_PARTS.findall(w.lower()) if p else None for w, p in zip(words, plain)]
-        known = self.parts
-        known.fill([p for parts in split if parts for p in parts])
-        return [b"".join([known[p] for p in parts]) if parts is not None
-                else np.array(next(found).ids, dtype="<u4").tobytes() for parts in split]
+        self.parts = _Known(self._merged)
+        self.words = _Known(self._encode)
+
+    def _merged(self, part: str) -> bytes:
+        """Ids of a part by the library's merges alone."""
+        seen = part if part.isascii() else "".join(map(_BYTE_SYMBOLS.__getitem__, part.encode()))
+        ids = [t.id for t in self.model.tokenize(seen)]
+        return _ONE.pack(ids[0]) if len(ids) == 1 else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _encode(self, word: str) -> bytes:
+        """Ids of a word; white space between words (an empty word) has none."""
+        if not word:
+            return b""
+        if _LATIN_WORD.fullmatch(word) and not (self.special and self.special.search(word)):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _slice(self, text: str) -> bytes:
+        if _PLAIN_TEXT.fullmatch(text) and not (self.special and self.special.search(text)):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
     def __call__(self, text: str) -> bytes:
-        return self.words.ids([w for w in text.replace("\n", " ").split(" ") if w])
+        out, at = [], 0
+        while at < len(text):  # long texts in slices that end between words
+            end = text.find(" ", at + SLICE) if len(text) - at > SLICE else -1
+            end = end if end >= 0 else len(text)
+            out.append(self._slice(text[at:end]))
+            at = end
+        return b"".join(out)
 
 
 _ENCODERS: dict[int, WordEncoder] = {}

@@ -80,3 +80,12 @@ def test_parts_repeats_nulls_and_occurrences(spark, model):
 
 def test_empty_table(spark, model):
     assert wavelet.read_documents(wavelet.write_shards(docs_frame(spark, []), model, 1)).collect() == []
+
+
+def test_slices_and_forgotten_words_change_nothing(model, monkeypatch):
+    tok = Tokenizer.from_str(model.decode())
+    monkeypatch.setattr(wavelet, "SLICE", 7)
+    encoder = wavelet.WordEncoder(model)
+    encoder.parts.bound = encoder.words.bound = 500  # both caches turn over all the time
+    for text in [t or "" for t in _texts()] + ["plain words and\nlines, 12 can't; " * 30, " lead", "trail  ", "a<|endoftext|>b " * 3]:
+        assert np.frombuffer(encoder(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
