@@ -235,6 +235,41 @@ def find_datetime_column(df: DataFrame, min_share: float = 0.5) -> str | None:
     return None
 
 
+# Forms of dates in text, tried in this order (month before day, as pandas
+# reads them); the first one is Spark's own reading of ISO dates and times.
+DATE_FORMATS = ["", "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "yyyyMMdd",
+                "MMM d, yyyy", "d MMM yyyy", "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss",
+                "yyyy/MM/dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss"]
+
+
+def _as_time(text, fmt: str):
+    return F.try_to_timestamp(text, F.lit(fmt)) if fmt else F.try_to_timestamp(text)
+
+
+def convert_first_date(df: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> tuple[DataFrame, str | None, str | None]:
+    """The first datetime column as it is; else the text columns whose names hold
+    ``date`` or ``time`` are tried in order, and the first of which one of ``formats``
+    reads every non-missing value becomes a timestamp.
+
+    Returns the table, the column's name and the format ("" for Spark's own; none
+    without such a column).  One scan counts what every format reads of every candidate.
+    """
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return df, f.name, None
+    cands = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)
+             and ("date" in f.name.lower() or "time" in f.name.lower())]
+    if not cands:
+        return df, None, None
+    read = {f"f{i}": (lambda fmt: lambda v: F.count(_as_time(F.trim(v), fmt)))(fmt) for i, fmt in enumerate(formats)}
+    facts = {r["column"]: r for r in wide_to_long(df, cands, {"n": F.count, **read}, value=lambda c: qcol(c)).collect()}
+    for c in cands:
+        for i, fmt in enumerate(formats):
+            if c in facts and 0 < facts[c]["n"] == facts[c][f"f{i}"]:
+                return df.withColumn(c, _as_time(F.trim(qcol(c)), fmt)), c, fmt
+    return df, None, None
+
+
 def drop_incomplete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """listwise deletion over ``cols`` (NULL or NaN)."""
     d = nan_to_null(df)

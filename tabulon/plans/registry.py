@@ -772,6 +772,69 @@ def q_append(spark, d):
     return append_tables([s, c])
 
 
+# one batch of suppliers, one of customers, and the latter once more as after a failure
+@register("append_to_table", """
+SELECT s_suppkey AS k, s_name AS name, s_acctbal AS acctbal, 'supplier' AS batch FROM supplier
+UNION ALL SELECT c_custkey, c_name, c_acctbal, 'customer' FROM customer""")
+def q_append_sink(spark, d):
+    from tabulon.sources.files import append_to_table
+    s = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"))
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").toDF("k", "name", "acctbal")
+    path = _fresh_path(spark)
+    for rows, batch in ((s, "supplier"), (c.limit(0), "customer"), (c, "customer"), (c, "customer")):
+        append_to_table(rows, path, batch=batch)
+    return spark.read.parquet(path)
+
+
+def _fresh_path(spark: SparkSession) -> str:
+    import uuid
+
+    from tabulon.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+# one status of a partitioned table, read by its folders: both partition columns are kept
+@register("partitioned_parquet", f"""
+SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS status, {sr('o_totalprice', 2)} AS total
+FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) % 2 = 0""")
+def q_partitioned(spark, d):
+    from tabulon.sources.files import read_parquet
+    path = _fresh_path(spark)
+    table(spark, d, "orders").select(
+        "o_orderkey", F.col("o_totalprice").alias("total"), F.year("o_orderdate").alias("year"),
+        F.col("o_orderstatus").alias("status")).write.partitionBy("year", "status").parquet(path)
+    out = read_parquet(spark, f"{path}/year=*/status=F", base_path=path).where("year % 2 = 0")
+    return round_doubles(out, 2)
+
+
+# events as files that a stream picks up, logged by day and read back
+@register("request_log_stream", """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1""")
+def q_request_stream(spark, d):
+    from tabulon.streaming.ingest import file_stream, request_log_stream
+    ev = table(spark, d, "events").select("event_id", "ts")
+    src, out = _fresh_path(spark), _fresh_path(spark)
+    for part in (0, 1):
+        ev.where(F.col("event_id") % 2 == part).write.mode("append").parquet(src)
+    for _ in range(2):  # a restart logs nothing twice
+        stream = file_stream(spark, src, ev.schema, max_files_per_trigger=1)
+        request_log_stream(stream, out, f"{out}-state", "ts", trigger_once=True).awaitTermination()
+    return spark.read.json(out).groupBy(F.col("date").cast("string").alias("date")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+
+
+# two text columns are named like dates; only the second is one, in a form of its own
+@register("date_formats", """
+SELECT o_orderkey, o_orderpriority AS update_time, strftime(o_orderdate, '%Y-%m-%d') AS order_date, 'dd.MM.yyyy' AS fmt
+FROM orders""")
+def q_date_formats(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("update_time"),
+                                         F.date_format("o_orderdate", "dd.MM.yyyy").alias("order_date"))
+    out, col, fmt = clean.convert_first_date(o)
+    return out.withColumns({col: F.date_format(col, "yyyy-MM-dd"), "fmt": F.lit(fmt)})
+
+
 @register("sample_head", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity LIMIT 5""")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabulon.functions import messages
@@ -36,16 +36,18 @@ def run_operations(df: DataFrame, operations: Sequence[str] = DEFAULT_OPERATIONS
              "detect_outliers"}
     for i, op in enumerate(operations):
         if op == "clean_data":
-            before = df.count() if with_log else None
             empty = clean.empty_columns(df)
-            df = clean.clean_data(df, empty)
-            if with_log or any(o in known for o in operations[i + 1:]):
+            before, after = Observation(), Observation()
+            kept = with_log or any(o in known for o in operations[i + 1:])
+            df = clean.clean_data(df.observe(before, F.count(F.lit(1)).alias("n")) if with_log else df, empty)
+            if kept:
                 # every later step reads the de-duplicated table several times;
                 # freeze it once in the shared checkpoint folder instead of
-                # re-running the de-duplicating shuffle for each of them
-                df = df.checkpoint(eager=True)
+                # re-running the de-duplicating shuffle for each of them; the
+                # same job counts the rows before and after
+                df = (df.observe(after, F.count(F.lit(1)).alias("n")) if with_log else df).checkpoint(eager=True)
             if with_log:
-                removed = before - df.count()
+                removed = before.get["n"] - after.get["n"]
                 if removed:
                     log.append(messages.REMOVED_DUPLICATES.format(n=removed))
                 if empty:

@@ -454,13 +454,26 @@ def append_tables(frames: Sequence[DataFrame], by_name: bool = False) -> DataFra
 
 
 def append_to_table(df: DataFrame, name_or_path: str, fmt: str = "parquet",
-                    partition_by: Sequence[str] | None = None) -> None:
-    """S13 sink: create on first write, append afterwards."""
-    w = df.write.mode("append").format(fmt)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
+                    partition_by: Sequence[str] | None = None, batch: str | None = None) -> None:
+    """S13 sink: create on first write, append afterwards.
+
+    With ``batch`` (any text that names what is appended) the rows go to a folder of
+    their own, ``batch=<text>``, and replace what an earlier write of the same batch left
+    there: a repeat after a failure appends nothing twice.
+    """
+    parts = list(partition_by or [])
+    if batch is None:
+        w = df.write.mode("append").format(fmt)
+    else:
+        parts = ["batch", *parts]
+        w = df.withColumn("batch", F.lit(batch)).write.mode("overwrite").format(fmt) \
+            .option("partitionOverwriteMode", "dynamic")
+    if parts:
+        w = w.partitionBy(*parts)
     if "/" in name_or_path or ":" in name_or_path:
         w.save(name_or_path)
+    elif batch is not None:
+        raise ValueError("a batch is written to a folder")
     else:
         w.saveAsTable(name_or_path)
 

@@ -57,9 +57,12 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, fmt: str = "par
 
 
 def request_log_stream(stream: DataFrame, path: str, checkpoint: str,
-                       ts_col: str = "timestamp") -> StreamingQuery:
-    """S16 as a stream: JSON lines appended into one folder per day."""
+                       ts_col: str = "timestamp", trigger_once: bool = False) -> StreamingQuery:
+    """S16 as a stream: JSON lines appended into one folder per day, each request
+    once across restarts (``checkpoint`` is a shared folder)."""
     dated = stream.withColumn("date", F.to_date(F.col(ts_col)))
-    return (dated.writeStream.format("json").outputMode("append")
-            .option("checkpointLocation", checkpoint).option("path", path)
-            .partitionBy("date").start())
+    w = (dated.writeStream.format("json").outputMode("append")
+         .option("checkpointLocation", checkpoint).option("path", path).partitionBy("date"))
+    if trigger_once:
+        w = w.trigger(availableNow=True)
+    return w.start()

@@ -98,3 +98,16 @@ def test_fill_missing_types_follow_pandas(spark):
     out = clean.fill_missing(df)
     assert dict(out.dtypes) == {"full": "bigint", "gappy": "double"}
     assert sorted(r["gappy"] for r in out.collect()) == [10.0, 25.0, 40.0]
+
+
+def test_first_date_column_by_trying_every_format(spark):
+    df = spark.createDataFrame([("02/03/2021", "x", " 13-02-2020 ", 1), ("12/31/2021", "2020-01-01", None, 2), (None, None, "01-03-2020", 3)],
+                               "note string, a_time string, b_date string, n int")
+    out, col, fmt = clean.convert_first_date(df)
+    assert (col, fmt) == ("b_date", "dd-MM-yyyy")
+    assert [str(r[0]) for r in out.orderBy("n").select("b_date").collect()] == ["2020-02-13 00:00:00", "None", "2020-03-01 00:00:00"]
+    own, col, fmt = clean.convert_first_date(df.withColumnRenamed("note", "x.date").drop("b_date"))
+    assert (col, fmt) == ("x.date", "MM/dd/yyyy") and dict(own.dtypes)["x.date"] == "timestamp"
+    assert clean.convert_first_date(out)[1:] == ("b_date", None)
+    assert clean.convert_first_date(df.select("note", "n"))[1:] == (None, None)
+    assert clean.convert_first_date(df.limit(0))[1:] == (None, None)
