@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import match_spans, no_spans, text_or_empty
+from tabulon.llm.common import match_spans, materialize, no_spans, text_or_empty
 from tabulon.llm.trigrams import trigram_query
 
 
@@ -103,7 +103,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text",
     grams = sorted({g for q in queries for clause in q or [] for g in clause})
     if grams:
         texts = docs.select(F.md5(text).alias("key"), text.alias("text"))
-        found = candidates(postings(texts, "key", "text", grams), "key", rules)
+        # written first, so that adaptive execution can split a text with very many copies
+        found = materialize(candidates(postings(texts, "key", "text", grams), "key", rules))
         keyed = keyed.join(found, "key", "left")
     else:
         keyed = keyed.withColumn("rules", F.lit(None).cast("array<int>"))
