@@ -15,7 +15,8 @@ a few array operations per place in a lane.  Spans with a marginal of
 their marginals, calibrated by a logistic curve.
 
 ``SAMPLE`` bounds the labelled documents per class that are fitted on (smallest
-hash of the id).  Scoring reads every row.
+hash of the id); bias, weights and calibration count each for its class's labelled rows over
+those sampled, so a score means the same at every size.  Scoring reads every row.
 
 Defined cases: a null or empty text has no words and gets the score of zero
 toxic words; without training rows of both classes every score is 0; repeated
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import text_or_empty
-from tabulon.llm.quality import labelled_sample
+from tabulon.llm.quality import labelled_rows, labelled_sample
 
 #: Labelled documents fitted on, per class.
 SAMPLE = 1500
@@ -143,7 +144,13 @@ class Tagger:
         return np.split(marginals(u, first, self.step)[0], ends[:-1])
 
     def score(self, toxic_words: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * np.log(toxic_words + 0.01) + self.offset)))
+        return 1 / (1 + np.exp(-(self.slope * measure(toxic_words) + self.offset)))
+
+
+def measure(toxic_words: np.ndarray) -> np.ndarray:
+    """What the score is a logistic curve of: none, one and several toxic words lie
+    about equally far apart."""
+    return np.log(toxic_words + 0.5)
 
 
 def offending(p: np.ndarray) -> float:
@@ -162,10 +169,15 @@ def fit(docs: DataFrame, labels: DataFrame, only: Column | None = None, label: s
     toxic = np.array([r.label for r in rows], dtype=bool)
     if toxic.all() or not toxic.any():
         return None
-    return fit_texts(texts, toxic)
+    own = labelled_rows(labels, label)
+    counts = {r["label"]: r["count"] for r in (own if only is None else own.where(only)).groupBy("label").count().collect()}
+    shares = np.array([max(1.0, counts.get(v, 0) / per_class) for v in (0, 1)])
+    return fit_texts(texts, toxic, shares[toxic.astype(int)])
 
 
-def fit_texts(texts: list[list[bytes]], toxic: np.ndarray) -> Tagger:
+def fit_texts(texts: list[list[bytes]], toxic: np.ndarray, weight: np.ndarray | None = None) -> Tagger:
+    """``weight``: the labelled rows that each text stands for."""
+    weight = np.ones(len(texts)) if weight is None else weight
     held = np.arange(len(texts)) % 5 == 4  # for the calibration
     used = [t for t, h in zip(texts, held) if not h]
     number: dict[bytes, int] = {}
@@ -175,7 +187,7 @@ def fit_texts(texts: list[list[bytes]], toxic: np.ndarray) -> Tagger:
     for w, n in number.items():
         found = features(w)
         kinds[n, :len(found)] = found
-    in_toxic = np.repeat(toxic[~held], sizes)
+    in_toxic, stands = np.repeat(toxic[~held], sizes), np.repeat(weight[~held], sizes)
     marked = _marking(word, sizes, in_toxic, kinds)
     owner, column = np.nonzero(kinds >= 0)
     flat = kinds[owner, column]
@@ -187,17 +199,17 @@ def fit_texts(texts: list[list[bytes]], toxic: np.ndarray) -> Tagger:
     inner = inner[inner > 0]
 
     weights, trans = np.zeros(1 << HASH_BITS), np.zeros((2, 2))
-    bias = float(np.log(max(1, tag.sum()) / max(1, (~tag).sum())))
+    bias = float(np.log(max(1, stands[tag].sum()) / max(1, stands[~tag].sum())))
     seen, seen_t, seen_b = np.full(1 << HASH_BITS, 1e-6), np.full((2, 2), 1e-6), 1e-6
-    actual = np.bincount(tag[inner - 1] * 2 + tag[inner], minlength=4).reshape(2, 2)
+    actual = np.bincount(tag[inner - 1] * 2 + tag[inner], stands[inner], minlength=4).reshape(2, 2)
     for _ in range(STEPS):  # gradient ascent with per-weight step lengths
         by_word = np.bincount(owner, weights[flat], minlength=len(number)) + bias
         u, step = by_word[word], np.exp(trans)
         p, forward, backward = marginals(u, first, step)
         pair = step[None] * np.stack([np.ones(len(inner)), forward[inner - 1]], 1)[:, :, None] \
             * np.stack([np.ones(len(inner)), backward[inner]], 1)[:, None, :]
-        expected = (pair / pair.sum((1, 2), keepdims=True)).sum(0)
-        miss = np.bincount(word, tag - p, minlength=len(number))
+        expected = (pair * (stands[inner] / pair.sum((1, 2)))[:, None, None]).sum(0)
+        miss = np.bincount(word, (tag - p) * stands, minlength=len(number))
         g = np.bincount(flat, miss[owner], minlength=1 << HASH_BITS) - 0.01 * weights
         gt, gb = actual - expected - 0.1 * trans, float(miss.sum())
         seen += g * g
@@ -208,11 +220,11 @@ def fit_texts(texts: list[list[bytes]], toxic: np.ndarray) -> Tagger:
         bias += 0.2 * gb / np.sqrt(seen_b)
     tagger = Tagger(weights.astype(np.float32), bias, np.exp(trans), 1.0, 0.0)
     rest = [t for t, h in zip(texts, held) if h] or texts
-    truth = toxic[held] if held.any() else toxic
+    truth, stands = (toxic[held], weight[held]) if held.any() else (toxic, weight)
     if truth.all() or not truth.any():
-        rest, truth = texts, toxic
+        rest, truth, stands = texts, toxic, weight
     found = np.array([offending(m) for m in tagger.marginals(rest)])
-    tagger.slope, tagger.offset = _calibrate(np.log(found + 0.01), truth)
+    tagger.slope, tagger.offset = _calibrate(measure(found), truth, stands)
     return tagger
 
 
@@ -241,15 +253,15 @@ def _marking(word: np.ndarray, sizes: np.ndarray, in_toxic: np.ndarray, kinds: n
         return (n > 0) & (gain >= MIN_GAIN) & (even >= MIN_SHARE)
 
 
-def _calibrate(x: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve of ``truth`` over ``x`` (Newton steps
-    with a small penalty)."""
+def _calibrate(x: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the weighted logistic curve of ``truth`` over ``x`` (Newton
+    steps with a small penalty)."""
     design = np.stack([x, np.ones(len(x))], 1)
     at = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ at, -30, 30)))
-        grad = design.T @ (truth - p) - 0.05 * at
-        curve = (design * (p * (1 - p))[:, None]).T @ design + 0.05 * np.eye(2)
+        grad = design.T @ (weight * (truth - p)) - 0.05 * at
+        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.05 * np.eye(2)
         move = np.linalg.solve(curve, grad)
         at = at + np.clip(move, -2, 2)
     return float(at[0]), float(at[1])

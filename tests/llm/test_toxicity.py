@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from llm.helpers import docs_frame
+from llm.helpers import docs_frame, write_docs
 from tabulon.llm import toxicity
 from tabulon.llm.queries import QUERIES
 
@@ -88,3 +88,38 @@ def test_without_both_classes_and_empty(spark):
     assert [(r.score, r.predicted, r.spans) for r in rows] == [(0.0, 0, "")] * 2
     assert set(rows[0].row.asDict()) == set(docs.columns)
     assert toxicity.toxic_documents(docs_frame(spark, []), labels).collect() == []
+
+
+def test_whole_query_against_enumeration(spark, tmp_path):
+    """Same sample and weights; tags, spans and scores by enumerating tag sequences."""
+    from zlib import crc32
+    rng = random.Random(6)
+    rows = [(i, t, x) for i, t, x in _corpus(300, 9)]
+    short = [(1000 + i, " ".join(rng.choice(["tana", "grublow", "zorplax!", "Vexnit", "reko", "ünde", "sovu"])
+                                 for _ in range(rng.randrange(11))), None) for i in range(60)]
+    folder = write_docs(spark, tmp_path / "d", [t for _, t, _ in rows + short], ids=[i for i, _, _ in rows + short])
+    spark.createDataFrame([(i, 1, x) for i, _, x in rows], "doc_id long, quality int, toxic int") \
+        .write.parquet(f"{folder}/labels.parquet")
+    got = {r.doc_id: r for r in QUERIES["op9_toxicity"](spark, folder).collect()}
+    learnt = [(t, x) for i, t, x in rows if crc32(str(i).encode()) % 4 != 2]
+    tagger = toxicity.fit_texts([t.encode().split() for t, _ in learnt], np.array([x for _, x in learnt], dtype=bool))
+    for i, text, _ in short:
+        words = text.split()
+        u = np.array([tagger.bias + sum(float(tagger.weights[f]) for f in toxicity.features(w.encode())) for w in words])
+        p = brute(u, tagger.step) if words else np.zeros(0)
+        toxic = sum(x for x in p if x >= 0.5)
+        want = 1 / (1 + np.exp(-(tagger.slope * np.log(toxic + 0.5) + tagger.offset)))
+        assert got[i].score == pytest.approx(want, abs=1e-6) and got[i].predicted == int(want >= 0.3)
+        at, spans = 0, []
+        for w, x in zip(words, p):
+            spans += [f"{at}:{at + len(w)}"] if x >= 0.5 else []
+            at += len(w) + 1
+        assert got[i].spans == ",".join(spans)
+
+
+def test_calibration_counts_each_row_for_those_it_stands_for():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=300)
+    truth, weight = rng.random(300) < 1 / (1 + np.exp(-2 * x)), np.where(rng.random(300) < .5, 4.0, 1.0)
+    again = np.repeat(np.arange(300), weight.astype(int))
+    assert toxicity._calibrate(x, truth, weight) == pytest.approx(toxicity._calibrate(x[again], truth[again], np.ones(len(again))))
