@@ -1,21 +1,25 @@
 """Exact top-k by inner product with a dual-tree search over cover trees.
 
 Vectors become integers, floor(scale * x).  Equal vectors are thinned to the
-k + 1 smallest ids first, which is all that any answer can hold.  The rows are
-dealt into blocks; every block gets a cover tree, and so does every group of
-queries.  A pair of tree nodes is pruned when the largest inner product that
-their centres and covering radii allow,
+k + 1 smallest ids first, which is all that any answer can hold.  The top level of the
+trees is common to all tasks: ``PIVOTS`` points at most, taken farthest-first from a
+bounded sample, each with the rows nearest to it and their covering radius.  A
+region of many rows is dealt over several blocks, and queries are grouped by region
+too; every block and every group gets a cover tree of its own.  A pair of tree nodes, or
+of a group and a region, is pruned when the largest inner product that their
+centres and covering radii allow,
 
     <q, r> + |q| R_r + |r| R_q + R_q R_r,
 
 is below the worst k-th score of the queries in the query node.  Scores come
 from exact integer arithmetic; bounds have a margin for rounding.  A first search
-in one block gives every query a true k-th score to start from.  Blocks give at
-most k rows a query, merged by a window.
+of every group in the region that its centre favours gives a true k-th score to
+start from; then groups go only to the blocks of the regions that are left (the
+stated query set against all rows, in blocks).  A task holds one block's tree and one
+query group at a time.  Blocks give at most k rows a query, merged by a window.
 
-Query groups go to every block as packed rows (the stated query set against
-all rows, in blocks); a task holds one block's tree and one query group at a
-time.
+How much is pruned depends on the vectors: in many dimensions without clusters all
+inner products fit the bounds, and every pair is scored.
 
 Defined cases: vectors that are null or hold null or non-finite components
 take no part, nor do null ids; a query meets vectors of its own length only;
@@ -37,10 +41,13 @@ from pyspark.sql import functions as F
 from tabulon.functions.columns import qcol
 from tabulon.llm.common import bound_batches, materialize
 
-#: Rows of a block and of a query group, on average.
+#: Rows of a block and of a query group at most, on average.
 BLOCK, QUERY_BLOCK = 4096, 256
-#: Points up to which a node is not divided, and the ratio of a level's radius to the next.
-LEAF, SHRINK = 48, 0.7
+#: Regions of one vector length, and rows that their centres are chosen from.
+PIVOTS, SAMPLE = 512, 8192
+#: Points up to which a node is not divided, its most children, and the ratio of a
+#: level's radius to the next.
+LEAF, FAN, SHRINK = 48, 8, 0.7
 
 
 @dataclass
@@ -53,31 +60,33 @@ class Node:
     children: list["Node"] = field(default_factory=list)
 
 
+def farthest_first(points: np.ndarray, first: int, count: int, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres, each as far as possible from those before, until all points lie
+    within ``reach`` of one or there are ``count``; each point's nearest one and its distance."""
+    centres = [first]
+    away = np.sqrt(((points - points[first]) ** 2).sum(axis=1))
+    near = np.zeros(len(points), dtype=np.int64)
+    while len(centres) < count and away.max() > reach:
+        centres.append(int(away.argmax()))
+        new = np.sqrt(((points - points[centres[-1]]) ** 2).sum(axis=1))
+        near[new < away] = len(centres) - 1
+        away = np.minimum(away, new)
+    return np.array(centres), near, away
+
+
 def cover_tree(points: np.ndarray, places: np.ndarray | None = None, centre: int | None = None) -> Node:
-    """A cover tree: a node's children are centred on points of the node further
-    apart than the next level's radius, each covering its points within it."""
+    """A cover tree: the node's centre is its first child's too, children's centres
+    are further apart than the radius that they cover, and each point is with its nearest."""
     places = np.arange(len(points)) if places is None else places
     own = points[places]
     if centre is None:
-        middle = own.mean(axis=0)
-        centre = int(places[np.argmin(((own - middle) ** 2).sum(axis=1))])
+        centre = int(places[np.argmin(((own - own.mean(axis=0)) ** 2).sum(axis=1))])
+    at = int(np.flatnonzero(places == centre)[0])
     away = np.sqrt(((own - points[centre]) ** 2).sum(axis=1))
     node = Node(points[centre], float(away.max()), places)
-    if len(places) <= LEAF or node.radius == 0:
-        return node
-    reach, rest, dist, at = node.radius * SHRINK, places, away, centre
-    parts = []
-    while len(rest):
-        near = dist <= reach
-        parts.append((at, rest[near]))
-        rest = rest[~near]
-        if len(parts) > len(places) // 8:
-            return node  # nothing left to share: the points are the next level
-        if len(rest):
-            at = int(rest[0])
-            dist = np.sqrt(((points[rest] - points[at]) ** 2).sum(axis=1))
-    if len(parts) > 1:
-        node.children = [cover_tree(points, p, c) for c, p in parts]
+    if len(places) > LEAF and node.radius > 0:
+        centres, near, _ = farthest_first(own, at, FAN, node.radius * SHRINK)
+        node.children = [cover_tree(points, places[near == c], int(places[i])) for c, i in enumerate(centres)]
     return node
 
 
@@ -100,7 +109,7 @@ class Search:
         least = -2**63
         self.scores = np.full((len(q_ids), self.k), least, dtype=kind)
         self.found = np.full((len(q_ids), self.k), -1, dtype=np.int64)
-        self.floor = floor
+        self.floor, self.scored = floor, 0
         self._visit(cover_tree(self.q_points), [self.tree])
         return self.scores, self.found
 
@@ -134,6 +143,7 @@ class Search:
             self._visit(q, n.children)
 
     def _score(self, q: np.ndarray, r: np.ndarray):
+        self.scored += len(q) * len(r)
         if self.exact == "double":
             new = (self.q_points[q] @ self.points[r].T).astype(np.int64)
         elif self.exact == "long":
@@ -225,6 +235,89 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _centres(data: DataFrame, blocks: int) -> dict[int, np.ndarray]:
+    """Of each vector length the regions' centres, from the ``SAMPLE`` rows of smallest hash."""
+    rows = data.orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(SAMPLE).select("dim", "vec").collect()
+    out = {}
+    for dim in sorted({r["dim"] for r in rows}):
+        points = np.unique(np.array([r["vec"] for r in rows if r["dim"] == dim], dtype=float), axis=0)
+        middle = int(np.argmin(((points - points.mean(axis=0)) ** 2).sum(axis=1))) if dim else 0
+        out[dim] = points[farthest_first(points, middle, min(blocks, PIVOTS), 0.0)[0]] if dim else points[:1]
+    return out
+
+
+def _centre(centres: dict[int, np.ndarray], dim: int) -> np.ndarray:
+    return centres.get(dim, np.zeros((1, dim)))
+
+
+def _in_regions(vectors: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """``vectors`` with their nearest ``pivot`` (of their length) and its distance ``away``."""
+    @F.arrow_udf("struct<pivot:int,away:double>")
+    def nearest(vecs: pa.Array) -> pa.Array:
+        pivot, away = np.zeros(len(vecs), dtype=np.int32), np.zeros(len(vecs))
+        dims = vecs.value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(dims).tolist():
+            of = np.flatnonzero(dims == dim)
+            x = vecs.take(pa.array(of)).flatten().to_numpy(zero_copy_only=False).reshape(len(of), dim)
+            c = _centre(centres, dim)
+            pivot[of] = ((c * c).sum(axis=1) - 2 * (x @ c.T)).argmin(axis=1)
+            away[of] = np.sqrt(((x - c[pivot[of]]) ** 2).sum(axis=1))
+        return pa.StructArray.from_arrays([pa.array(pivot), pa.array(away)], ["pivot", "away"])
+    return vectors.withColumn("r", nearest("vec")).select("*", "r.*").drop("r")
+
+
+def _dealt(rows: DataFrame, most: int, name: str) -> tuple[DataFrame, list]:
+    """``rows`` with the number (``name``) of a part of their region of ``most`` rows on
+    average; the regions (dim, pivot, first part, parts, covering radius)."""
+    regions = rows.groupBy("dim", "pivot").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")) \
+        .orderBy("dim", "pivot").collect()  # PIVOTS rows a vector length
+    out, first = [], 0
+    for r in regions:
+        parts = -(-r["n"] // most)
+        out.append((r["dim"], r["pivot"], first, parts, r["radius"]))
+        first += parts
+    if not out:
+        return rows.withColumn(name, F.lit(0)), out
+    table = rows.sparkSession.createDataFrame(out, "dim int, pivot int, first int, parts int, radius double")
+    part = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int")
+    return rows.join(F.broadcast(table), ["dim", "pivot"]).withColumn(name, part) \
+        .drop("first", "parts", "radius"), out
+
+
+def _blocks_for(packed: DataFrame, centres: dict[int, np.ndarray], regions: list, favoured: bool) -> DataFrame:
+    """A row for each block that a query group goes to: one of the region that its centre
+    favours, or all of the regions that its worst k-th score does not rule out."""
+    by_dim: dict[int, list] = {}
+    for dim, pivot, first, parts, radius in regions:
+        by_dim.setdefault(dim, []).append((pivot, first, parts, radius))
+
+    @F.arrow_udf("array<int>")
+    def blocks(dims: pa.Array, vecs: pa.Array, floors: pa.Array) -> pa.Array:
+        out = []
+        for dim, raw, floor in zip(dims.to_pylist(), vecs.to_pylist(), floors.to_pylist()):
+            here = by_dim.get(dim, [])
+            if not dim:  # empty vectors: all scores are 0
+                out.append([b for r in here for b in range(r[1], r[1] + (1 if favoured else r[2]))])
+                continue
+            q = np.frombuffer(raw, "<f8").reshape(-1, dim)
+            middle = q.mean(axis=0)
+            reach = float(np.sqrt(((q - middle) ** 2).sum(axis=1)).max())
+            c = _centre(centres, dim)[[r[0] for r in here]]
+            dots = c @ middle
+            if favoured:
+                best = here[int(dots.argmax())]
+                out.append([best[1]])
+                continue
+            radius = np.array([r[3] for r in here])
+            bound = dots + np.linalg.norm(middle) * radius + (np.linalg.norm(c, axis=1) + radius) * reach
+            bound += np.abs(bound) * 1e-9 + 1
+            left = np.flatnonzero(bound >= np.frombuffer(floor, "<f8").min())
+            out.append([b for i in left.tolist() for b in range(here[i][1], here[i][1] + here[i][2])])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return packed.withColumn("block", F.explode(blocks("dim", "vecs", "floor")))
+
+
 def top_k(rows: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id",
           vector_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` highest scores, ties to smaller
@@ -234,19 +327,16 @@ def top_k(rows: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id",
     # of equal vectors the k + 1 smallest ids: a query's own id may be among them
     same = Window.partitionBy("vec").orderBy("vec_id")
     data = vectors.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")
-    n = vectors.count()
-    blocks = max(1, -(-n // BLOCK))
-    data = materialize(data.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")))
-    asked = vectors.where(is_query)
-    groups = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
-    least = asked.withColumn("floor", F.lit(float(-2**63)))
-    first = _pack(least, ["dim", "group"]).withColumn("block", F.lit(0))
-    seeds = _best(_searched(data.where("block = 0"), first, k), k).groupBy("query_id").agg(
-        F.count("*").alias("n"), F.min("score").alias("worst")).where(F.col("n") == k)
+    centres = _centres(vectors, max(1, -(-vectors.count() // BLOCK)))
+    data, regions = _dealt(materialize(_in_regions(data, centres)), BLOCK, "block")
+    asked, _ = _dealt(materialize(_in_regions(vectors.where(is_query), centres)), QUERY_BLOCK, "group")
+    least = F.lit(float(-2**63))
+    first = _blocks_for(_pack(asked.withColumn("floor", least), ["dim", "group"]), centres, regions, True)
+    # a row of each query for every block that has a candidate: the best of all are k true scores
+    seeds = materialize(_best(_searched(data, first, k), k).groupBy("query_id").agg(
+        F.count("*").alias("n"), F.min("score").alias("worst")).where(F.col("n") == k))
     seeded = asked.join(seeds, asked["vec_id"] == seeds["query_id"], "left").select(
-        asked["dim"], "group", "vec_id", "vec",
-        F.coalesce(F.col("worst").cast("double"), F.lit(float(-2**63))).alias("floor"))
+        asked["dim"], "group", "vec_id", "vec", F.coalesce(F.col("worst").cast("double"), least).alias("floor"))
     packed = materialize(_pack(seeded, ["dim", "group"]))
-    everywhere = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return _best(_searched(data, everywhere, k), k).select("query_id", "rank", "vec_id", "score")
+    left = _blocks_for(packed, centres, regions, False)
+    return _best(_searched(data, left, k), k).select("query_id", "rank", "vec_id", "score")
