@@ -45,9 +45,9 @@ from tabulon.llm.common import bound_batches, materialize
 BLOCK, QUERY_BLOCK = 4096, 256
 #: Regions of one vector length, and rows that their centres are chosen from.
 PIVOTS, SAMPLE = 512, 8192
-#: Points up to which a node is not divided, its most children, and the ratio of a
-#: level's radius to the next.
-LEAF, FAN, SHRINK = 48, 8, 0.7
+#: Points up to which a node of rows, and of queries, is not divided; its most children;
+#: the ratio of a level's radius to the next.
+LEAF, QUERY_LEAF, FAN, SHRINK = 48, 8, 8, 0.7
 
 
 @dataclass
@@ -74,7 +74,7 @@ def farthest_first(points: np.ndarray, first: int, count: int, reach: float) ->
     return np.array(centres), near, away
 
 
-def cover_tree(points: np.ndarray, places: np.ndarray | None = None, centre: int | None = None) -> Node:
+def cover_tree(points: np.ndarray, leaf: int, places: np.ndarray | None = None, centre: int | None = None) -> Node:
     """A cover tree: the node's centre is its first child's too, children's centres
     are further apart than the radius that they cover, and each point is with its nearest."""
     places = np.arange(len(points)) if places is None else places
@@ -84,9 +84,9 @@ def cover_tree(points: np.ndarray, places: np.ndarray | None = None, centre: int
     at = int(np.flatnonzero(places == centre)[0])
     away = np.sqrt(((own - points[centre]) ** 2).sum(axis=1))
     node = Node(points[centre], float(away.max()), places)
-    if len(places) > LEAF and node.radius > 0:
+    if len(places) > leaf and node.radius > 0:
         centres, near, _ = farthest_first(own, at, FAN, node.radius * SHRINK)
-        node.children = [cover_tree(points, places[near == c], int(places[i])) for c, i in enumerate(centres)]
+        node.children = [cover_tree(points, leaf, places[near == c], int(places[i])) for c, i in enumerate(centres)]
     return node
 
 
@@ -96,7 +96,7 @@ class Search:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.points = vectors.astype(np.float64)
-        self.tree = cover_tree(self.points)
+        self.tree = cover_tree(self.points, LEAF)
 
     def __call__(self, q_ids: np.ndarray, q_vectors: np.ndarray, floor: np.ndarray):
         """Scores and ids, best first, of each query; absent: the least number and -1."""
@@ -110,7 +110,7 @@ class Search:
         self.scores = np.full((len(q_ids), self.k), least, dtype=kind)
         self.found = np.full((len(q_ids), self.k), -1, dtype=np.int64)
         self.floor, self.scored = floor, 0
-        self._visit(cover_tree(self.q_points), [self.tree])
+        self._visit(cover_tree(self.q_points, QUERY_LEAF), [self.tree])
         return self.scores, self.found
 
     def _worst(self, places: np.ndarray) -> float:

@@ -88,4 +88,4 @@ def test_cover_tree_covers_and_separates():
             return 1 + sum(map(walk, node.children))
         return 1
 
-    assert walk(covertree.cover_tree(points)) > 50
+    assert walk(covertree.cover_tree(points, covertree.LEAF)) > 50
