@@ -1,26 +1,37 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seed entities are what the agreed rules find (e-mail and IP addresses, payment
-cards, phone numbers).  Every identifier-like word (one with a digit or an
-``@``) is a mention; its lexical patterns are the two words before it, and the
-word before it together with its shape.  Patterns and the distinct instances
-found with them form a bipartite graph, scored in rounds:
-
-    confidence(pattern) = sum of its instances' scores / (instances + PRIOR)
+cards, phone numbers).  Runs of one to ``RUN_WORDS`` adjacent identifier-like
+words (words with a digit or an ``@``) are candidates; one that is just what a
+rule found is a seed, one that touches nothing found is free.  Their lexical
+patterns are the two words before them (identifiers among these by their
+shape; not for free runs of several words), the word before with the
+candidate's shape, and the candidate's form (letter runs, every digit).
+Patterns and the distinct instances found with them form a bipartite graph,
+scored in rounds:
+
+    confidence(pattern) = (sum of its instances' scores + prior * share of seeds)
+                          / (instances + prior)
     score(instance)     = 1 for seeds, else 1 - product of (1 - confidence)
-                          over its patterns with enough confidence
+                          over its patterns of at least the threshold
 
-so seeds make patterns trusted, and trusted patterns make instances seeds of
-the next round.  Mentions of instances that end up with a high score and that
-no rule covers become spans of kind ``learned``.
+Free instances whose score reaches the threshold are promoted with that score
+and count for the patterns of the next round; the rounds end when a round
+promotes none.  Prior and threshold are fitted on the graph: a fifth of the
+seeds is hidden, and the pair is taken that finds them again with the best F0.5
+measure, free instances counted as errors.  Free candidates that are promoted,
+or are a seed elsewhere, become spans of kind ``learned``, leftmost and longest
+first.
 
 DataFrame functions only.  One pass over the texts writes spans and mentions;
 the rounds run on the distinct (pattern, instance) pairs, so copies count once
-and no group is collected; each round is written to the shared checkpoint
-folder.
+and no group is collected; a round's joins are with small written tables, which
+lets adaptive execution split a pattern or a text of very many rows.
 
-Defined cases: a null text counts as empty; repeated rows get equal results; an
-empty table gives an empty result; all input columns are kept in ``row``.
+Defined cases: a null text counts as empty; texts of any length are read whole;
+repeated rows get equal results; without seeds nothing is learned; an empty
+table gives an empty result; all input columns are kept in ``row``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,10 +43,10 @@ from tabulon.llm.common import SPAN, match_spans, materialize, no_spans, text_or
 
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = "learned"
-#: Rounds, the prior of a pattern, and the least confidence of patterns and instances.
-ROUNDS, PRIOR, TRUSTED, DISCOVERED = 3, 1.0, 0.8, 0.8
-#: Code points before a mention that its context is taken from.
-CONTEXT = 80
+#: Words of the longest candidate run.
+RUN_WORDS = 4
+#: Priors and thresholds that the fit chooses from; a seed is hidden from it if this divides its hash.
+PRIORS, THRESHOLDS, HIDDEN = (1.0, 2.0, 4.0, 8.0), (0.5, 0.6, 0.7, 0.8, 0.9, 0.95), 5
 
 # The agreed kinds.  A run of one class can only match from its
 # start (or from where the last match ended) on, which keeps long runs linear.
@@ -72,33 +83,47 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-_MENTION = "struct<start:int,end:int,word:string,left:string>"
+_MENTION = "struct<start:int,end:int,word:string,left:string,joined:boolean>"
+
+
+def _last_two(words: Column) -> Column:
+    """The last two of words with single spaces between them."""
+    return F.substring_index(words, " ", -2)
 
 
 def mentions(text: Column) -> Column:
-    """Identifier-like words with the end of the text before them, up to the
-    last mention."""
+    """Identifier-like words with the two words before each, and whether only
+    spaces lie between it and the mention before."""
     hits = F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
     gaps = F.split(text, MENTION, -1)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{_MENTION}>").alias("out"))
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.array().cast(f"array<{_MENTION}>").alias("out"))
+
+    def part(m, g):
+        return F.struct(m.alias("hit"), shape(m).alias("shape"), F.length(g).alias("skip"),
+                        F.rlike(g, F.lit(r"^\x20+$")).alias("joined"),
+                        _last_two(F.lower(F.trim(F.regexp_replace(g, r"\s+", " ")))).alias("words"))
 
     def step(acc, x):
-        begin = acc["pos"] + F.length(x["gap"])
+        begin = acc["pos"] + x["skip"]
         end = begin + F.length(x["hit"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("word"),
-                       F.substring(x["gap"], -CONTEXT, CONTEXT).alias("left")).cast(_MENTION)
-        return F.when(x["hit"].isNull(), acc).otherwise(
-            F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out")))
-
-    zipped = F.zip_with(hits, gaps, lambda m, g: F.struct(m.alias("hit"), g.alias("gap")))
-    found = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+        left = _last_two(F.trim(F.concat_ws(" ", acc["tail"], x["words"])))
+        one = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("word"), left.alias("left"),
+                       (x["joined"] & (acc["pos"] > 0)).alias("joined")).cast(_MENTION)
+        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(
+            end.alias("pos"), _last_two(F.trim(F.concat_ws(" ", left, x["shape"]))).alias("tail"),
+            F.concat(acc["out"], F.array(one)).alias("out")))
+
+    found = F.aggregate(F.zip_with(hits, gaps, part), start, step, lambda acc: acc["out"])
     return F.when(F.rlike(text, F.lit("[0-9@]")), found).otherwise(
         F.array().cast(f"array<{_MENTION}>"))
 
 
+_BEFORE, _AFTER = r"^[^\p{L}0-9@+]+", r"[^\p{L}0-9]+$"
+
+
 def instance(word: Column) -> Column:
     """The word without punctuation around it."""
-    return F.regexp_replace(word, r"^[^\p{L}0-9@+]+|[^\p{L}0-9]+$", "")
+    return F.regexp_replace(word, rf"{_BEFORE}|{_AFTER}", "")
 
 
 def shape(word: Column) -> Column:
@@ -106,45 +131,135 @@ def shape(word: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(word, r"\p{L}+", "a"), "[0-9]+", "0")
 
 
+def form(word: Column) -> Column:
+    """Runs of letters and single digits, the rest as it is."""
+    return F.regexp_replace(F.regexp_replace(word, r"\p{L}+", "a"), "[0-9]", "0")
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """(key, start, end, instance, left, n_words, seed) of the runs in every
+    different text that are seeds or touch no span."""
+    def cut(run):  # the run's bounds without punctuation, and the spans that it touches
+        head, tail = F.element_at(run, 1), F.element_at(run, -1)
+        start = head["start"] + F.length(head["word"]) - F.length(F.regexp_replace(head["word"], _BEFORE, ""))
+        end = tail["end"] - F.length(tail["word"]) + F.length(F.regexp_replace(tail["word"], _AFTER, ""))
+        return F.struct(start.alias("start"), end.alias("end"), head["left"].alias("left"),
+                        F.size(run).alias("n_words"),
+                        instance(F.array_join(F.transform(run, lambda m: m["word"]), " ")).alias("instance"))
+
+    def touched(run):
+        near = F.filter("spans", lambda s: (s["start"] < run["end"]) & (s["end"] > run["start"]))
+        return F.struct(run.alias("run"), F.size(near).alias("n"), F.exists(
+            near, lambda s: (s["start"] == run["start"]) & (s["end"] == run["end"])).alias("seed"))
+
+    def runs_from(m, i):  # a run goes on as long as only spaces lie before the next word
+        words = [m, *[F.get("mentions", i + k) for k in range(1, RUN_WORDS)]]
+        runs, follows = [F.array(m)], F.lit(True)
+        for k in range(1, RUN_WORDS):
+            follows = follows & words[k]["joined"]
+            runs.append(F.when(follows, F.array(*words[:k + 1])))
+        return F.transform(F.array_compact(F.array(*runs)), lambda run: touched(cut(run)))
+
+    return found.select("key", "spans", "mentions").dropDuplicates(["key"]) \
+        .select("key", F.explode(F.flatten(F.transform("mentions", runs_from))).alias("c")) \
+        .select("key", "c.run.*", "c.n", "c.seed") \
+        .where("start < end and instance <> '' and (seed or n = 0)").drop("n")
+
+
 def graph(found: DataFrame) -> DataFrame:
-    """Distinct (pattern, instance, seed) of all mentions.  Of a seed's words
-    only the first is a mention; an instance that is a seed anywhere is one."""
-    each = found.select("key", "spans", "mentions").dropDuplicates(["key"]) \
-        .select("spans", F.explode("mentions").alias("m"))
-    over = F.filter("spans", lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start")))
-    each = each.select("m", F.size(over).alias("n"),
-                       F.exists(over, lambda s: s["start"] >= F.col("m.start")).alias("first")) \
-        .where("n = 0 or first")
-    left = F.lower(F.col("m.left"))
-    two = F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1)
-    one = F.regexp_extract(left, r"(\S+)\s*$", 1)
-    word = instance(F.col("m.word"))
-    pairs = each.select(word.alias("instance"), (F.col("n") > 0).cast("int").alias("seed"), F.explode(F.array(
-        F.when(two != "", F.concat(F.lit("2 "), F.regexp_replace(two, r"\s+", " "))),
-        F.when(one != "", F.concat_ws(" ", F.lit("1"), one, shape(word))))).alias("pattern")) \
-        .where("pattern is not null and instance <> ''")
-    pairs = pairs.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    seeds = pairs.groupBy("instance").agg(F.max("seed").alias("is_seed"))
-    return pairs.join(seeds, "instance").select("pattern", "instance", "is_seed")
-
-
-def discovered(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Instances that no rule found and that trusted patterns vouch for."""
-    scores = edges.select("instance", F.col("is_seed").cast("double").alias("score")).distinct()
-    for _ in range(rounds):
-        trusted = edges.join(scores, "instance").groupBy("pattern").agg(
-            (F.sum("score") / (F.count("*") + PRIOR)).alias("confidence")) \
-            .where(F.col("confidence") >= TRUSTED)
-        doubt = edges.join(trusted, "pattern", "left").groupBy("instance", "is_seed").agg(
-            F.sum(F.log(F.greatest(1 - F.coalesce("confidence", F.lit(0.0)), F.lit(1e-9)))).alias("doubt"))
-        scores = materialize(doubt.select("instance", F.when(F.col("is_seed") == 1, 1.0).otherwise(
-            1 - F.exp("doubt")).alias("score"), "is_seed").withColumn("score", F.round("score", 9)))
-        scores, last = scores.select("instance", "score"), scores
-    return last.where((F.col("is_seed") == 0) & (F.col("score") >= DISCOVERED)).select("instance")
-
-
-def find_personal(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
-                  rounds: int = ROUNDS) -> DataFrame:
+    """Distinct (pattern, instance, is_seed) of all candidates.  An instance that
+    is a seed anywhere is one.  Patterns stand as their digests."""
+    one = F.substring_index("left", " ", -1)
+    two = (F.col("seed") | (F.col("n_words") == 1)) & F.contains("left", F.lit(" "))
+    pairs = found.select("instance", F.col("seed").cast("int").alias("seed"), F.explode(F.array(
+        F.when(two, F.concat(F.lit("2 "), F.col("left"))),
+        F.when(one != "", F.concat_ws(" ", F.lit("1"), one, shape(F.col("instance")))),
+        F.concat(F.lit("f "), form(F.col("instance"))))).alias("pattern")).where("pattern is not null")
+    pairs = pairs.groupBy(F.md5("pattern").alias("pattern"), "instance").agg(F.max("seed").alias("seed"))
+    seeds = materialize(found.where("seed").select("instance").distinct().withColumn("is_seed", F.lit(1)))
+    return pairs.join(seeds, "instance", "left").select(
+        "pattern", "instance", F.coalesce("is_seed", F.lit(0)).alias("is_seed"))
+
+
+def _confidence(prior: float, share: float) -> Column:
+    return (F.col("good") + prior * share) / (F.col("n") + prior)
+
+
+def _doubt(confidence: Column, threshold: float) -> Column:
+    return F.sum(F.when(confidence >= threshold, F.log(F.greatest(1 - confidence, F.lit(1e-9)))).otherwise(0.0))
+
+
+def _score(doubt: Column) -> Column:
+    return F.round(1 - F.exp(doubt), 9)
+
+
+def share_of_seeds(edges: DataFrame) -> float | None:
+    """Seeds among the instances; none without seeds."""
+    n, seeds = edges.select("instance", "is_seed").distinct().agg(F.count("*"), F.sum("is_seed")).first()
+    return seeds / n if seeds else None
+
+
+def fitted(edges: DataFrame, share: float) -> tuple[float, float]:
+    """The prior and the threshold that find hidden seeds again best."""
+    hidden = (F.col("is_seed") == 1) & (F.pmod(F.xxhash64("instance"), F.lit(HIDDEN)) == 0)
+    marked = edges.withColumn("hidden", hidden)
+    seen = materialize(marked.where("not hidden").groupBy("pattern").agg(
+        F.sum("is_seed").alias("good"), F.count("*").alias("n")).where("good > 0"))
+    grid = [(p, t) for p in PRIORS for t in THRESHOLDS]
+    asked = marked.where("hidden or is_seed = 0")
+    scores = asked.join(seen, "pattern").groupBy("instance", "hidden").agg(
+        *[_doubt(_confidence(p, share), t).alias(f"d{i}") for i, (p, t) in enumerate(grid)])
+    hits = scores.agg(*[F.count_if(F.col("hidden") & (_score(F.col(f"d{i}")) >= t)) for i, (_, t) in enumerate(grid)],
+                      *[F.count_if(~F.col("hidden") & (_score(F.col(f"d{i}")) >= t)) for i, (_, t) in enumerate(grid)]).first()
+    wanted = asked.where("hidden").select("instance").distinct().count()
+
+    def merit(i):  # F0.5; of equals the more careful
+        right, wrong = hits[i], hits[len(grid) + i]
+        return right * 1.25 / max(1.25 * right + 0.25 * (wanted - right) + wrong, 1), grid[i][1], grid[i][0]
+    best = max(range(len(grid)), key=merit)
+    return grid[best]
+
+
+def discovered(edges: DataFrame, prior: float, threshold: float, share: float) -> DataFrame:
+    """(instance, score) of the free instances that trusted patterns vouch for."""
+    counts = materialize(edges.groupBy("pattern").agg(F.sum("is_seed").alias("seeds"), F.count("*").alias("n")))
+    free = materialize(edges.where("is_seed = 0").select("pattern", "instance"))
+    known = materialize(free.select("instance", F.lit(0.0).alias("score")).limit(0))
+    while True:
+        gained = materialize(free.join(known, "instance").groupBy("pattern").agg(F.sum("score").alias("more")))
+        trusted = materialize(counts.join(gained, "pattern", "left").withColumn(
+            "good", F.col("seeds") + F.coalesce("more", F.lit(0.0))).select(
+            "pattern", _confidence(prior, share).alias("confidence")).where(F.col("confidence") >= threshold))
+        scores = free.join(trusted, "pattern").groupBy("instance").agg(
+            _score(_doubt(F.col("confidence"), threshold)).alias("score")).where(F.col("score") >= threshold)
+        new = materialize(scores.join(known.select("instance"), "instance", "left_anti"))
+        if new.isEmpty():
+            return known
+        known = known.unionByName(new)
+
+
+def learned_instances(edges: DataFrame) -> DataFrame:
+    """Promoted instances and seeds."""
+    share = share_of_seeds(edges)
+    if share is None:
+        return edges.select("instance").limit(0)
+    prior, threshold = fitted(edges, share)
+    return discovered(edges, prior, threshold, share).select("instance").unionByName(
+        edges.where("is_seed = 1").select("instance").distinct())
+
+
+def _leftmost(spans: Column) -> Column:
+    """Spans in order without those that overlap one taken before; of equal
+    starts the longest."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), (-s["end"]).alias("back"), s.alias("span"))))
+    start = F.struct(F.lit(0).alias("pos"), no_spans().alias("out"))
+    return F.aggregate(order, start, lambda acc, x: F.when(x["start"] >= acc["pos"], F.struct(
+        x["span"]["end"].alias("pos"), F.concat(acc["out"], F.array(x["span"])).alias("out"))).otherwise(acc),
+        lambda acc: acc["out"])
+
+
+def find_personal(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: ``row`` (its columns, or those in ``keep``) and
     ``spans``, ordered by start and then by kind."""
     text = text_or_empty(text_col)
@@ -152,18 +267,10 @@ def find_personal(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
     texts = docs.select(kept.alias("row"), F.md5(text).alias("key"), text.alias("text"))
     found = materialize(texts.select("row", "key", base_spans(F.col("text")).alias("spans"),
                                      mentions(F.col("text")).alias("mentions")))
-    new = discovered(materialize(graph(found)), rounds)
-    # mentions of discovered instances that no rule covers, once per text
-    each = found.select("key", "spans", "mentions").dropDuplicates(["key"]) \
-        .select("key", "spans", F.explode("mentions").alias("m"))
-    free = ~F.exists("spans", lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start")))
-    word = instance(F.col("m.word"))
-    inner = F.instr(F.col("m.word"), word) - 1
-    learned = each.where(free).select("key", "m", word.alias("instance"), inner.alias("skip")) \
-        .join(new, "instance").select("key", F.struct(
-            (F.col("m.start") + F.col("skip")).alias("start"), F.lit(len(KINDS)).alias("ord"),
-            (F.col("m.start") + F.col("skip") + F.length("instance")).alias("end"),
-            F.lit(LEARNED).alias("kind")).cast(SPAN).alias("span")) \
-        .groupBy("key").agg(F.collect_list("span").alias("learned"))  # of one text
+    runs = materialize(candidates(found))
+    new = materialize(learned_instances(materialize(graph(runs))))
+    span = F.struct("start", F.lit(len(KINDS)).alias("ord"), "end", F.lit(LEARNED).alias("kind")).cast(SPAN)
+    learned = materialize(runs.where("not seed").join(new, "instance").groupBy("key").agg(
+        _leftmost(F.collect_list(span)).alias("learned")))  # of one text
     return found.select("row", "key", "spans").join(learned, "key", "left").select(
         "row", F.array_sort(F.concat("spans", F.coalesce("learned", no_spans()))).alias("spans"))
