@@ -14,7 +14,9 @@ whole texts.
 
 Defined cases: a null text counts as empty (no words, so it fails the base
 rules); without labels of both classes nothing is rejected beyond the base
-rules; repeated rows get equal results; an empty table gives an empty result.
+rules; texts of any length are read whole; a probability of just the threshold
+keeps its text; repeated rows get equal results; an empty table gives an empty
+result; all input columns are kept in ``row``, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ HASH_BITS = 15
 GROUPS = 3
 #: A text is rejected below this probability of good quality.
 THRESHOLD = 0.6
+#: Penalties of the weights and of the calibration line.
+PENALTY, LINE_PENALTY = 1e-4, 1e-3
 #: Words kept with their hash, per worker.
 CACHE_WORDS = 300_000
 
@@ -199,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     sizes = {(r.held, r.label) for r in rows.select("held", "label").distinct().collect()}
     if {(False, 0), (False, 1)} - sizes:
         return None
-    fitted = LogisticRegression(labelCol="label", weightCol="weight", maxIter=40, regParam=1e-3, standardization=False) \
+    fitted = LogisticRegression(labelCol="label", weightCol="weight", maxIter=100, regParam=PENALTY, standardization=False) \
         .fit(rows.where("not held"))
     weights = fitted.coefficients.toArray().reshape(GROUPS, -1) * SCALE
     slope, offset = 1.0, 0.0
@@ -208,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         def margin(v):
             return Vectors.dense(float(fitted_weights[v.indices] @ v.values) + bias)
         fitted_weights, bias = fitted.coefficients.toArray(), float(fitted.intercept)
-        line = LogisticRegression(labelCol="label", weightCol="weight", maxIter=50, regParam=1e-2, standardization=False) \
+        line = LogisticRegression(labelCol="label", weightCol="weight", maxIter=100, regParam=LINE_PENALTY, standardization=False) \
             .fit(rows.where("held").select("label", "weight", margin("features").alias("features")))
         slope, offset = float(line.coefficients[0]), float(line.intercept)
     return Model(weights.astype(np.float32), float(fitted.intercept), slope, offset)

@@ -1,8 +1,10 @@
 """Quality measures against plain counting; the classifier on held-out rows."""
 
+import math
 import random
 import re
 from collections import Counter
+from zlib import crc32
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +99,37 @@ def test_probability_keeps_the_labels_share_when_the_sample_is_full(spark):
     raws = [t.encode() for t in texts]
     good = [model.probability(model.margin(quality.gram_buckets(r, r.split()))) for r in raws]
     assert abs(sum(good) / len(good) - 6 / 7) < 0.06
+
+
+def _plain_good(text, model):
+    """The calibrated probability, gram by gram in whole numbers."""
+    def bucket(h):
+        return (h * 0x9E3779B97F4A7C15 % 2 ** 64) >> (64 - quality.HASH_BITS)
+    raw = text.encode()
+    own = [crc32(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    pairs = [7 if a == b else a * 31 + b + 1 for a, b in zip(own, own[1:])]
+    grams = [int.from_bytes(raw[i:i + 4], "little") for i in range(len(raw) - 3)]
+    margin = model.bias
+    for weights, hashes in zip(model.weights, (own, pairs, grams)):
+        if hashes:
+            margin += sum(float(weights[bucket(h)]) for h in hashes) / len(hashes)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * margin + model.offset))))
+
+
+def test_kept_matches_brute_force(spark, tmp_path):
+    rows = _corpus(300)
+    texts = [r[1] for r in rows] + [None, "", "w " * 60, "RIVER!! " * 20 + " ".join(_corpus(2)[1][1].split() * 400),
+                                    " ".join(f"é{i} RIVERS!!" for i in range(90))]
+    labels = [(i, q, 0) for i, _, q in rows if i < 200]
+    folder = write_docs(spark, tmp_path / "d", texts)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    model = quality.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    got = QUERIES["op8_quality_rules"](spark, folder).collect()
+    assert len(got) == len(texts) and {r.kept for r in got} == {True, False}
+    for r in got:
+        text = texts[r.doc_id] or ""
+        n, _, _, _, again = measures(text)
+        good = _plain_good(text, model)
+        assert r.good == pytest.approx(good, abs=1e-4)
+        if abs(good - quality.THRESHOLD) > 1e-4:
+            assert r.kept == (not (n < 50 or 100 * again > 50 * n) and good >= quality.THRESHOLD)
