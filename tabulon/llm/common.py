@@ -25,13 +25,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: lineage ends there, later readers prune columns, and a lost executor
-    costs no recomputation of what was written."""
+    costs no recomputation of what was written.  ``codec``: the files' compression."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tabulon-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

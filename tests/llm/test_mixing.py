@@ -66,6 +66,26 @@ def test_served_documents_follow_virtual_finish_times(spark):
             assert taken == min(n, max(0, round(g.target) - (cum - n)))
 
 
+@pytest.mark.parametrize("max_epochs", [1, 3])
+def test_truncation_is_where_the_words_served_reach_the_budget(spark, max_epochs):
+    """Served word by word over the finish order, against the level that the totals give."""
+    texts = ["w " * (1 + (i * 31) % 50) for i in range(200)] + ["", None, "w " * 5000]
+    docs = docs_frame(spark, texts, sources=[f"s{(i * i) % 9}" for i in range(200)] + ["none", None, "long"])
+    rows = mixing.sized_rows(docs, None, "doc_id", "text", "source")
+    goal = mixing.source_targets(rows, max_epochs=max_epochs)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        order = mixing.finish_order(rows, goal, max_epochs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    end = mixing.truncation(order, goal)
+    assert end == goal.first().level
+    turns = sorted(order.collect(), key=lambda r: (r.finish, r.rid, r.epoch))
+    assert [r.part for r in turns] == sorted(r.part for r in turns) and turns[-1].part > 0
+    used = sum(max(0.0, min(r.size, r.weight * end - r.earlier)) for r in turns)
+    assert used == pytest.approx(sum(r.size for r in turns if r.epoch == 0))
+
+
 def test_mixed_rows_keep_columns_and_repeat(spark):
     docs = docs_frame(spark, ["a b c"] * 4 + ["d e f g"] * 90, sources=["s0"] * 4 + ["s1"] * 90) \
         .withColumns({c: F.lit("x") for c in ("row", "rid", "size", "epoch", "taken", "target")})
