@@ -13,7 +13,7 @@ condition is checked on the model's vocabulary.  Any other model encodes
 whole texts.
 
 Defined cases: a null text counts as empty and gives the begin and end ids
-only, which span nothing; other columns, names and repeated rows pass
+only, which span nothing; texts of any length are encoded whole; other columns, names and repeated rows pass
 through; an empty table gives an empty result.
 """
 

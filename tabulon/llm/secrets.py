@@ -12,7 +12,8 @@ Everything is DataFrame functions: one pass for the postings, one shuffle of
 sort-merge join that adaptive execution splits where many copies share a
 digest, or Spark's own size-checked broadcast).
 
-Defined cases: a null text counts as empty and has no spans; an empty table
+Defined cases: a null text counts as empty and has no spans; texts of any
+length are read whole; an empty table
 gives an empty result; repeated rows each get the spans of their text; all
 input columns are kept in ``row``, whatever their names.
 """

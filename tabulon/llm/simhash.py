@@ -18,7 +18,8 @@ linked; linked fingerprints form components.
   links, never all pairs.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like
-any other; fewer words than a shingle make one shingle; the component id is the
+any other; fewer words than a shingle make one shingle; texts of any length are read
+whole; the component id is the
 smallest non-null id of the component (null if all are null); repeated rows
 are kept; an empty table gives an empty result.
 """

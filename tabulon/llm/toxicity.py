@@ -19,7 +19,9 @@ hash of the id); bias, weights and calibration count each for its class's labell
 those sampled, so a score means the same at every size.  Scoring reads every row.
 
 Defined cases: a null or empty text has no words and gets the score of zero
-toxic words; without training rows of both classes every score is 0; repeated
+toxic words; without training rows of both classes every score is 0; texts of any
+length are read whole; a score of just the threshold counts as toxic; all input
+columns are kept in ``row``, whatever their names; repeated
 rows get equal results; an empty table gives an empty result.
 """
 

@@ -13,7 +13,8 @@ planes above have put them (zeros first, stable).  Counts of ones per 512 bits
 give rank in constant time; access, counting and occurrence lookup walk the
 planes.
 
-Defined cases: a null text counts as empty and has the end id only; null ids
+Defined cases: a null text counts as empty and has the end id only; texts of any length
+are encoded whole; null ids
 come first, equal ids are ordered by their text's digest; other columns are
 not read; an empty table gives an empty result.
 """
