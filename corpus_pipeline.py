@@ -6,7 +6,7 @@ kept, written as Parquet and read again.  Stages return the columns of
 
 Defined cases: nulls, blank texts and repeated rows are handled as the
 operators' docstrings say (a null or blank text has under 50 words, so the
-first stage rejects it); an empty table gives an empty result; other columns
+first stage rejects it); texts of any length go through whole; an empty table gives an empty result; other columns
 of the documents pass through, whatever their names.
 """
 
