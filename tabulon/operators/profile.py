@@ -109,12 +109,13 @@ def first_numeric_mean(df: DataFrame, digits: int = 2) -> DataFrame:
 
 
 # ---------------------------------------------------------------- P3, P4
-def describe(df: DataFrame, cols: Sequence[str] | None = None,
-             approx_accuracy: int | None = None) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str] | None = None, approx_accuracy: int | None = None,
+             quartiles: DataFrame | None = None) -> DataFrame:
     """``(position, column, count, mean, std, min, q25, q50, q75, max)``.
 
     Sample standard deviation and linearly interpolated quartiles, as pandas
-    ``describe``.  NaN counts as missing.
+    ``describe``.  NaN counts as missing.  ``quartiles``: the columns' exact
+    quantiles, if they are known already.
     """
     df = nan_to_null(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
@@ -124,7 +125,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
                 "min double, q25 double, q50 double, q75 double, max double")
     moments = wide_to_long(df, cols, {
         "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
-    q = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], approx_accuracy)
+    q = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], approx_accuracy, quartiles)
     return (moments.join(q, "column", "left")
             .select("position", "column", "count", "mean", "std", "min",
                     "q25", "q50", "q75", "max"))

@@ -10,7 +10,7 @@ acceptable, so the operators here are built from shuffles that split the work:
   the next scan counts the rows below and inside that bracket (so the sketch's
   error does no harm) and sketches inside it, until a bracket is a single
   value.  A bracket shrinks by the sketch's accuracy (some thousand times) per
-  scan: a few scans for any number of rows, each one row of partial
+  scan: a few scans for any number of rows, each a few rows of partial
   aggregates, no shuffle of the data and no copy of it.  The two neighbouring
   ranks are linearly interpolated as pandas, NumPy's default and DuckDB
   ``quantile_cont`` do.
@@ -25,9 +25,10 @@ acceptable, so the operators here are built from shuffles that split the work:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,26 +90,16 @@ class _Bracket:
         self.col, self.rank = col, rank
         self.a, self.b, self.below, self.inside = None, None, 0, n
 
-    def member(self) -> Column:
-        x = F.col(f"x{self.col}")
-        tests = [x.isNotNull()] + ([x > F.lit(self.a)] if self.a is not None else []) \
-            + ([x < F.lit(self.b)] if self.b is not None else [])
-        return reduce(lambda p, q: p & q, tests)
-
     def around(self) -> list[float]:
         """Probabilities inside the bracket, a little below and above the rank."""
         gap = 2 * (self.inside / SKETCH + 1)
         return [min(max((self.rank - self.below + d + 0.5) / self.inside, 0.0), 1.0) for d in (-gap, gap)]
 
-    def counts(self, guess: tuple[float, float]) -> list[Column]:
-        x = F.col(f"x{self.col}")
-        a, z = (F.lit(v) for v in guess)
-        return [F.count_if(self.member() & t) for t in (x < a, x <= a, x < z, x <= z)]
-
     def narrow(self, guess: tuple[float, float], counts: list[int]) -> float | None:
-        """The value at the rank, if the counts tell it.  Otherwise the bracket
-        loses at least the values of the guess, whatever that was worth."""
-        (a, z), (lt_a, le_a, lt_z, le_z) = guess, (self.below + n for n in counts)
+        """The value at the rank, if the counts (of the column's rows below and up
+        to either guess) tell it.  Otherwise the bracket loses at least the values of
+        the guess, whatever that was worth."""
+        (a, z), (lt_a, le_a, lt_z, le_z) = guess, counts
         if lt_a <= self.rank < le_a:
             return a
         if lt_z <= self.rank < le_z:
@@ -141,35 +132,76 @@ def _order_statistics(data: DataFrame, k: int, probs: Sequence[float]) -> dict[t
                 guess[i, r] = tuple(first[f"q{i}"][2 * j:2 * j + 2])
     while wide := [key for key, b in open_.items() if b.inside > SKETCH]:
         if any(key not in guess for key in wide):
-            got = data.where(_any([open_[key].member() for key in wide])).agg(*[
-                F.percentile_approx(F.when(open_[key].member(), F.col(f"x{key[0]}")),
-                                    open_[key].around(), SKETCH) for key in wide]).first()
+            got = _members(data, [open_[key] for key in wide]).agg(*[
+                F.percentile_approx(F.when(F.col("j") == j, F.col("value")), open_[key].around(), SKETCH)
+                for j, key in enumerate(wide)]).first()
             guess = {key: tuple(got[j]) for j, key in enumerate(wide)}
-        got = data.where(_any([open_[key].member() for key in wide])).agg(*[
-            c for key in wide for c in open_[key].counts(guess[key])]).first()
-        for j, key in enumerate(wide):
-            found = open_[key].narrow(guess.pop(key), list(got[4 * j:4 * j + 4]))
+        counts = _rows_up_to(data, [sorted({v for key in wide if key[0] == i for v in guess[key]}) for i in range(k)])
+        for key in wide:
+            a, z = guess.pop(key)
+            found = open_[key].narrow((a, z), [*counts[key[0], a], *counts[key[0], z]])
             if found is not None:
                 values[key] = found
                 del open_[key]
     # what is left: at most SKETCH rows of each bracket
     keys = list(open_)
     if keys:
-        rows = data.where(_any([open_[key].member() for key in keys])).agg(*[
-            F.sort_array(F.collect_list(F.when(open_[key].member(), F.col(f"x{key[0]}")))) for key in keys]).first()
-        values |= {key: row[open_[key].rank - open_[key].below] for key, row in zip(keys, rows)}
+        for r in _members(data, [open_[key] for key in keys]).groupBy("j") \
+                .agg(F.sort_array(F.collect_list("value")).alias("row")).collect():
+            bracket = open_[keys[r["j"]]]
+            values[keys[r["j"]]] = r["row"][bracket.rank - bracket.below]
     return {(i, p): values[i, lo] + (values[i, hi] - values[i, lo]) * frac
             for (i, p), (lo, hi, frac) in ranks.items()}
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x | y, conditions)
-
-
-def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                   names: Sequence[str], approx_accuracy: int | None = None) -> DataFrame:
-    """Quantiles pivoted to one row per column: ``(column, names...)``."""
-    q = exact_quantiles(df, cols, probs, approx_accuracy)
+def _rows_up_to(data: DataFrame, bounds: Sequence[Sequence[float]]) -> dict[tuple[int, float], tuple[int, int]]:
+    """``{(column, bound): (rows below, rows up to it)}`` of the columns x0 ..: one
+    scan of the columns that have bounds, and one row a bound from each task."""
+    cols = [i for i, b in enumerate(bounds) if b]
+    edges = {i: np.array(bounds[i], dtype=float) for i in cols}
+
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {i: np.zeros((2, len(edges[i]) + 1), dtype=np.int64) for i in cols}
+        for batch in batches:
+            for j, i in enumerate(cols):
+                x = batch.column(j).drop_null().to_numpy(zero_copy_only=False)
+                for row, side in enumerate(("right", "left")):
+                    total[i][row] += np.bincount(np.searchsorted(edges[i], x, side), minlength=len(edges[i]) + 1)
+        for i in cols:
+            below, up_to = total[i].cumsum(axis=1)[:, :-1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(below), i, np.int32)), pa.array(np.arange(len(below), dtype=np.int32)),
+                 pa.array(below), pa.array(up_to)], ["i", "j", "below", "up_to"])
+
+    found = data.select(*[f"x{i}" for i in cols]).mapInArrow(partial, "i int, j int, below long, up_to long") \
+        .groupBy("i", "j").agg(F.sum("below").alias("below"), F.sum("up_to").alias("up_to")).collect()
+    return {(r["i"], bounds[r["i"]][r["j"]]): (r["below"], r["up_to"]) for r in found}
+
+
+def _members(data: DataFrame, brackets: Sequence[_Bracket]) -> DataFrame:
+    """``(j, value)``: the rows inside the j-th bracket.  (As Spark expressions the
+    brackets' bounds fill a method too long for the JVM to compile.)"""
+    cols = sorted({b.col for b in brackets})
+
+    def inside(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = {i: batch.column(n).drop_null().to_numpy(zero_copy_only=False) for n, i in enumerate(cols)}
+            for j, b in enumerate(brackets):
+                x = values[b.col]
+                if b.a is not None:
+                    x = x[x > b.a]
+                if b.b is not None:
+                    x = x[x < b.b]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), j, np.int32)), pa.array(x)], ["j", "value"])
+    return data.select(*[f"x{i}" for i in cols]).mapInArrow(inside, "j int, value double")
+
+
+def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], names: Sequence[str],
+                   approx_accuracy: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Quantiles pivoted to one row per column: ``(column, names...)``; ``known``:
+    those that ``exact_quantiles`` has given already."""
+    q = exact_quantiles(df, cols, probs, approx_accuracy) if known is None else known
     aggs = [F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("value"))).alias(n)
             for p, n in zip(probs, names)]
     return q.groupBy("column").agg(*aggs)

@@ -9,14 +9,16 @@ compute anyway.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabulon.functions import messages
-from tabulon.functions.columns import numeric_columns, string_columns
+from tabulon.functions.columns import nan_to_null, numeric_columns, string_columns
 from tabulon.functions.messages import NotPossible
 from tabulon.operators import charts, clean, models, profile, stats, trend
+from tabulon.operators.ranking import exact_quantiles
 
 DEFAULT_OPERATIONS = ["clean_data", "handle_missing", "basic_stats"]
 DEFAULT_STEPS = ["summary_statistics", "correlation_analysis"]
@@ -90,22 +92,28 @@ def run_steps(df: DataFrame, steps: Sequence[str] = DEFAULT_STEPS,
     bounds the forest's trees."""
     out: dict[str, DataFrame] = {"data_summary": profile.basic_summary(df)}
     notes: list[str] = []
+
+    @cache
+    def quartiles() -> DataFrame:  # of two steps
+        return exact_quantiles(nan_to_null(df), numeric_columns(df), [0.25, 0.5, 0.75])
+
     for step in steps:
         try:
             if step == "summary_statistics":
                 if not numeric_columns(df):
                     raise NotPossible(messages.NO_NUMERIC_SUMMARY)
-                out["summary_statistics"] = profile.describe(df).join(
+                out["summary_statistics"] = profile.describe(df, quartiles=quartiles()).join(
                     profile.skew_kurtosis(df).drop("position"), "column")
             elif step == "correlation_analysis":
                 if len(numeric_columns(df)) < 2:
                     raise NotPossible(messages.FEW_FOR_CORRELATION)
                 out["correlation_analysis"] = stats.correlation_matrix(df)
-                out["strong_correlations"] = stats.strong_correlations(df, STRONG_R)
+                out["strong_correlations"] = stats.strong_correlations(
+                    df, STRONG_R, matrix=out["correlation_analysis"])
             elif step == "distribution_analysis":
                 if not numeric_columns(df):
                     raise NotPossible(messages.NO_NUMERIC_DISTRIBUTION)
-                out["distribution_analysis"] = stats.distribution(df)
+                out["distribution_analysis"] = stats.distribution(df, quartiles=quartiles())
             elif step == "regression_analysis":
                 coefs, metrics = models.linear_regression(df, key or df.columns)
                 imps, rf = models.random_forest(df, key or df.columns, max_depth=max_depth)
