@@ -49,9 +49,39 @@ class _Table:
         self.in_head = False
 
 
+# Tags without attributes and without contents of their own syntax.
+_PLAIN = "table|thead|tbody|tfoot|tr|td|th|p|br|div|span|a|b|i"
+_PLAIN_RUN = re.compile(f"([^<&]*)<(/?)({_PLAIN})>")
+
+
 class _TableParser(HTMLParser):
     """Collects every ``<table>`` (nested ones separately, in document order)."""
 
+    # -- plain tags and the text between them need none of the base class's steps
+    def _plain_run(self, i: int) -> int:
+        raw, match = self.rawdata, _PLAIN_RUN.match
+        while m := match(raw, i):
+            text, end, tag = m.groups()
+            if text:
+                self.handle_data(text)
+            if end:
+                self.handle_endtag(tag)
+            else:
+                self.handle_starttag(tag, ())
+            i = m.end()
+        return i
+
+    def parse_starttag(self, i):
+        end = self._plain_run(i) if self.cdata_elem is None else i
+        return end if end > i else super().parse_starttag(i)
+
+    def parse_endtag(self, i):
+        end = self._plain_run(i) if self.cdata_elem is None else i
+        return end if end > i else super().parse_endtag(i)
+
+    def updatepos(self, i, j):  # line numbers, which nobody asks for
+        return j
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.done: list[tuple[int, _Table]] = []
