@@ -5,6 +5,8 @@
   (``randomSplit`` depends on partition layout) and in other engines.
 * Linear regression uses the normal-equation solver: XᵀX is a tree-aggregate
   of features x features numbers, so rows never move.
+* A forest grows all its trees a level a scan over the same binned rows
+  (see ``forest``).
 * K-means advances all k and starts in one scan per step over the same vectors,
   which are kept in the shared checkpoint folder.
 """
@@ -14,14 +16,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions import messages
 from tabulon.functions.columns import nan_to_null, numeric_columns, qcol
 from tabulon.functions.messages import NotPossible
-from tabulon.operators import kmeans
+from tabulon.operators import forest, kmeans
 from tabulon.session import materialized
 
 MIN_ROWS = 10
@@ -40,11 +42,10 @@ def split_flag(key_cols: Sequence[str], test_buckets: int = 1, buckets: int = 5)
     return F.pmod(h, F.lit(buckets)) < test_buckets
 
 
-def _prepare(df: DataFrame, key: Sequence[str], target: str | None, features: Sequence[str] | None,
-             test_buckets: int) -> tuple[DataFrame, str, list[str]]:
-    """The complete rows as (features vector, label, test), read once and kept in
-    the shared checkpoint folder for the count, the fit and the metrics.  Columns
-    are renamed inside, so any column name will do."""
+def _complete(df: DataFrame, key: Sequence[str], target: str | None, features: Sequence[str] | None,
+              test_buckets: int) -> tuple[DataFrame, str, list[str]]:
+    """The complete rows as (f0, f1, ..., label, test).  Columns are renamed, so any
+    column name will do."""
     df = nan_to_null(df)
     nums = numeric_columns(df)
     if len(nums) < 2 and features is None:
@@ -55,7 +56,15 @@ def _prepare(df: DataFrame, key: Sequence[str], target: str | None, features: Se
     data = df.select(*[qcol(c).cast("double").alias(n) for c, n in zip(features, names)],
                      qcol(target).cast("double").alias("label"),
                      split_flag(key, test_buckets).alias("test")).dropna(subset=[*names, "label"])
-    vec = VectorAssembler(inputCols=names, outputCol="features").transform(data)
+    return data, target, features
+
+
+def _prepare(df: DataFrame, key: Sequence[str], target: str | None, features: Sequence[str] | None,
+             test_buckets: int) -> tuple[DataFrame, str, list[str]]:
+    """The complete rows as (features vector, label, test), read once and kept in
+    the shared checkpoint folder for the count, the fit and the metrics."""
+    data, target, features = _complete(df, key, target, features, test_buckets)
+    vec = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(data)
     vec = vec.select("features", "label", "test").checkpoint(eager=True)
     return vec, target, features
 
@@ -107,14 +116,13 @@ def random_forest(df: DataFrame, key: Sequence[str], target: str | None = None,
     """M4: ``(importances, metrics)`` -- ``(feature, importance)`` summing to 1
     and ``(target, n_train, n_test, r2, mse)`` on the held-out rows.  Every
     split considers all features (scikit-learn's regressor default)."""
-    vec, target, features = _prepare(df, key, target, features, test_buckets)
-    train, n_train = _train(vec)
-    model = RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="all",
-                                  seed=seed).fit(train)
+    data, target, features = _complete(df, key, target, features, test_buckets)
+    data = materialized(data)
+    train, n_train = _train(data)
+    model = forest.fit(train, len(features), num_trees, max_depth, seed)
     imps = df.sparkSession.createDataFrame(
-        [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())],
-        "feature string, importance double")
-    return imps, _metrics(model.transform(vec.where("test")), target, n_train)
+        [(f, float(v)) for f, v in zip(features, model.importances)], "feature string, importance double")
+    return imps, _metrics(model.predict(data.where("test")), target, n_train)
 
 
 def kmeans_elbow(df: DataFrame, cols: Sequence[str] | None = None, vector_col: str | None = None,
